@@ -1,7 +1,7 @@
 """Toxicity by a support vector machine on a subsequence string kernel, with Nystroem landmarks.
 
 The kernel of two words sums over all common subsequences of three letters, each weighted by DECAY for
-every letter it spans in either word, and is normalised to 1 for equal words; gaps and inserted
+every letter it spans in either word, is normalised to 1 for equal words, and taken to a power; gaps and inserted
 characters lower it only a little. Landmarks are words of labelled sentences: those that mark toxic
 documents most, and frequent ones. A sentence is described by its words' largest kernel with each
 landmark, mapped by the inverse square root of the landmarks' own kernel matrix, and judged by a linear
@@ -19,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,9 @@ from helixframe.llm.labelled import fold, labelled_texts
 from helixframe.llm.quality import platt
 
 #: Subsequence length, decay, landmarks that mark toxic documents, frequent ones, documents per label that the fit sees at most.
-ORDER, DECAY, MARKING, FREQUENT, SAMPLE = 3, 0.6, 24, 8, 1500
+ORDER, DECAY, MARKING, FREQUENT, SAMPLE = 3, 0.9, 96, 16, 1500
+#: A kernel counts from FLOOR on, and to the power POWER (a product of kernels is one).
+FLOOR, POWER = 0.4, 4
 #: Longer words are read in overlapping parts of so many letters; a worker remembers so many words.
 LONGEST, MAX_WORDS = 32, 400_000
 
@@ -43,26 +46,11 @@ _STOP = np.zeros(256, bool)
 _STOP[list(b".!?\n")] = True
 
 
-def _kernels(words: np.ndarray, lengths: np.ndarray, landmark: bytes) -> np.ndarray:
-    """The unnormalised kernel of padded words (words x letters, zero-padded) with one word."""
-    n, width = words.shape
-    t = np.frombuffer(landmark, np.uint8)
-    out = np.zeros(n, np.float32)
-    lam = np.float32(DECAY)
-    # prime[i][j]: subsequences of i letters that end anywhere before the letters read so far of both words
-    prime = np.zeros((ORDER, len(t) + 1, n), np.float32)
-    prime[0] = 1
-    for a in range(width):
-        hit = [(words[:, a] == x) for x in t]
-        old = prime.copy()
-        for j, same in enumerate(hit):
-            out += lam * lam * np.where(same, old[ORDER - 1, j], 0)
-        for i in range(1, ORDER):
-            second = np.zeros(n, np.float32)
-            for j, same in enumerate(hit):
-                second = lam * second + lam * lam * np.where(same, old[i - 1, j], 0)
-                prime[i, j + 1] = lam * old[i, j + 1] + second
-    return out
+@lru_cache(64)
+def _triples(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions i < j < k of all subsequences of three letters of a word, and their weights."""
+    i, j, k = np.array(list(combinations(range(length), ORDER)), np.int64).T
+    return i, j, k, (DECAY ** (k - i + 1)).astype(np.float32)
 
 
 def _padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,54 +60,77 @@ def _padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return table, lengths
 
 
-def _own(table: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The kernel of each word with itself."""
-    n, width = table.shape
-    lam = np.float32(DECAY)
-    out = np.zeros(n, np.float32)
-    prime = np.zeros((ORDER, width + 1, n), np.float32)
-    prime[0] = 1
-    inside = np.arange(width)[None, :] < lengths[:, None]
-    for a in range(width):
-        hit = [(table[:, a] == table[:, j]) & inside[:, a] & inside[:, j] for j in range(width)]
-        old = prime.copy()
-        for j, same in enumerate(hit):
-            out += lam * lam * np.where(same, old[ORDER - 1, j], 0)
-        for i in range(1, ORDER):
-            second = np.zeros(n, np.float32)
-            for j, same in enumerate(hit):
-                second = lam * second + lam * lam * np.where(same, old[i - 1, j], 0)
-                prime[i, j + 1] = lam * old[i, j + 1] + second
+def _own(table: np.ndarray) -> np.ndarray:
+    """The kernel of each word (rows, all of one length) with itself."""
+    i, j, k, weight = _triples(table.shape[1])
+    wide = table.astype(np.int64)
+    out = np.zeros(len(table), np.float32)
+    for first in range(0, len(table), step := max(1, 1 << 20 >> len(weight).bit_length())):
+        part = wide[first : first + step]
+        codes = (part[:, i] << 16) | (part[:, j] << 8) | part[:, k]
+        order = np.argsort(codes, axis=1, kind="stable")
+        codes = np.take_along_axis(codes, order, axis=1)
+        new = np.ones(codes.shape, bool)
+        new[:, 1:] = codes[:, 1:] != codes[:, :-1]
+        sums = np.add.reduceat(weight[order].ravel(), np.flatnonzero(new.ravel()))
+        np.add.at(out, first + np.nonzero(new)[0], sums * sums)
     return out
 
 
-def _letters(words: np.ndarray) -> np.ndarray:
-    """A bit for each letter that a padded word holds (bytes modulo 64)."""
-    bits = np.where(words > 0, np.uint64(1) << (words % 64).astype(np.uint64), np.uint64(0))
-    return np.bitwise_or.reduce(bits, axis=1)
-
-
-def similarities(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
-    """Normalised kernels, words x landmarks. Words that share fewer than three letters with a landmark have none with it."""
-    out = np.zeros((len(words), len(landmarks)), np.float32)
-    if not words or not landmarks:
+class _Landmarks:
+    """The landmarks' subsequences, as a table from three letters to their weights in every landmark."""
+
+    def __init__(self, words: list[bytes]):
+        self.words = words
+        letters = sorted({c for w in words for c in w})
+        self.size = len(letters) + 1
+        self.letter = np.zeros(256, np.int64)
+        self.letter[letters] = np.arange(1, self.size)
+        place: dict[int, int] = {}
+        rows: list[np.ndarray] = [np.zeros(len(words), np.float32)]
+        own = np.zeros(len(words))
+        for n, word in enumerate(words):
+            table = np.frombuffer(word, np.uint8)[None, :]
+            own[n] = _own(table)[0]
+            for code, weight in zip(self.codes(table)[0].tolist(), _triples(len(word))[3].tolist(), strict=True):
+                if place.setdefault(code, len(rows)) == len(rows):
+                    rows.append(np.zeros(len(words), np.float32))
+                rows[place[code]][n] += weight
+        self.weights = np.array(rows) / np.sqrt(np.maximum(own, 1e-12)).astype(np.float32)
+        self.place = np.zeros(self.size**ORDER, np.int32)
+        self.place[list(place)] = list(place.values())
+
+    def codes(self, table: np.ndarray) -> np.ndarray:
+        i, j, k, _ = _triples(table.shape[1])
+        own = self.letter[table]
+        return (own[:, i] * self.size + own[:, j]) * self.size + own[:, k]
+
+    def similarities(self, words: list[bytes]) -> np.ndarray:
+        """Normalised kernels to the power POWER, words x landmarks; those of less than FLOOR count as none."""
+        out = np.zeros((len(words), len(self.words)), np.float32)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for length in range(ORDER, LONGEST + 1):
+            group = np.flatnonzero(lengths == length)
+            weight = _triples(length)[3]
+            least = float((weight * weight).sum())  # the kernel of a word of this length with itself is no less
+            for first in range(0, len(group), step := max(1, 1 << 20 >> len(weight).bit_length())):
+                at = group[first : first + step]
+                table = np.frombuffer(b"".join([words[x] for x in at.tolist()]), np.uint8).reshape(-1, length)
+                found = self.place[self.codes(table)]
+                word, triple = np.nonzero(found)
+                if not len(word):
+                    continue
+                start = np.flatnonzero(np.diff(word, prepend=-1))
+                kernel = np.add.reduceat(self.weights[found[word, triple]] * weight[triple][:, None], start, axis=0)
+                near = np.flatnonzero((kernel >= FLOOR * least**0.5).any(axis=1))
+                if len(near):
+                    of = word[start[near]]
+                    value = kernel[near] / np.sqrt(_own(table[of]))[:, None]
+                    out[at[of]] = np.where(value >= FLOOR, np.minimum(value, 1) ** POWER, 0)
+        for n in np.flatnonzero(lengths > LONGEST):
+            parts = [words[n][a : a + LONGEST] for a in range(0, len(words[n]) - LONGEST // 2, LONGEST // 2)]
+            out[n] = self.similarities(parts).max(axis=0)
         return out
-    marks, mark_lengths = _padded(landmarks)
-    mark_own, mark_letters = np.sqrt(_own(marks, mark_lengths)), _letters(marks)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    for low, high in ((ORDER, 8), (9, 12), (13, 18), (19, LONGEST)):
-        group = np.flatnonzero((lengths >= low) & (lengths <= high))
-        for first in range(0, len(group), 4096):
-            at = group[first : first + 4096]
-            table, size = _padded([words[k] for k in at])
-            own, letters = np.sqrt(_own(table, size)), _letters(table)
-            for j, landmark in enumerate(landmarks):
-                if len(landmark) >= ORDER and (near := np.flatnonzero(np.bitwise_count(letters & mark_letters[j]) >= ORDER)).size:
-                    out[at[near], j] = _kernels(table[near], size[near], landmark) / np.maximum(own[near] * mark_own[j], 1e-12)
-    for k in np.flatnonzero(lengths > LONGEST):
-        parts = [words[k][a : a + LONGEST] for a in range(0, len(words[k]) - LONGEST // 2, LONGEST // 2)]
-        out[k] = similarities(parts, landmarks).max(axis=0)
-    return np.minimum(out, 1)
 
 
 def sentence_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -166,7 +177,7 @@ class _Memory:
     """The landmark similarities (in 255ths) of the words that a worker has met."""
 
     def __init__(self, landmarks: list[bytes]):
-        self.landmarks = landmarks
+        self.landmarks, self.kernel = landmarks, _Landmarks(landmarks)
         self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros((0, len(landmarks)), np.uint8)
 
     def of(self, folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -179,7 +190,7 @@ class _Memory:
         if not known.all():
             buffer, new = folded.tobytes(), np.flatnonzero(~known)
             a, b = starts[first[new]].tolist(), ends[first[new]].tolist()
-            found = np.rint(similarities([buffer[x:y] for x, y in zip(a, b, strict=True)], self.landmarks) * 255).astype(np.uint8)
+            found = np.rint(self.kernel.similarities([buffer[x:y] for x, y in zip(a, b, strict=True)]) * 255).astype(np.uint8)
             order = np.argsort(every := np.concatenate([self.hashes, distinct[new]]), kind="stable")
             self.hashes, self.rows = every[order], np.concatenate([self.rows, found])[order]
             at = np.searchsorted(self.hashes, distinct)
@@ -235,16 +246,20 @@ def _landmarks(texts: list[bytes], labels: np.ndarray) -> list[bytes]:
     return marking + frequent
 
 
-def _machine(x: np.ndarray, y: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """A linear support vector machine with balanced classes (squared hinge loss, gradient descent)."""
-    w, b = np.zeros(x.shape[1]), 0.0
+def _machine(x: np.ndarray, y: np.ndarray, rounds: int = 50, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+    """A linear support vector machine with balanced classes and squared hinge loss, by Newton steps on the violators."""
+    z = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    step = 1 / (1e-3 + 2 * float((share[:, None] * x * x).sum() + 1))
+    ridge = penalty * np.eye(z.shape[1])
+    w, before = np.zeros(z.shape[1]), None
     for _ in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ w + b)) * share * y
-        w += step * (2 * x.T @ slack - 1e-3 * w)
-        b += step * 2 * float(slack.sum())
-    return w, b
+        inside = y * (z @ w) < 1
+        if before is not None and (inside == before).all():
+            break
+        before = inside
+        v = z[inside]
+        w = np.linalg.solve((v.T * share[inside]) @ v + ridge, v.T @ (share[inside] * y[inside]))
+    return w[:-1], float(w[-1])
 
 
 def fit(rows: list[tuple[str, int]], passes: int = 3) -> Model:
@@ -255,18 +270,24 @@ def fit(rows: list[tuple[str, int]], passes: int = 3) -> Model:
         return Model([], np.zeros(0), 0.0, 0.0, -10.0)
     memory = _Memory(marks)
     pooled, text = pool(texts, memory)
-    values, vectors = np.linalg.eigh(similarities(marks, marks).astype(np.float64))
+    values, vectors = np.linalg.eigh(memory.kernel.similarities(marks).astype(np.float64))
     nystroem = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
     x = pooled @ nystroem
     order = np.arange(len(text))
     margin = pooled[:, :MARKING].max(axis=1) if pooled.shape[1] else np.zeros(len(text))
+    spoiled = memory.kernel.similarities([w[: len(w) // 2] + b"x" + w[len(w) // 2 :] for w in marks])
     weights, bias = np.zeros(len(marks)), 0.0
     for _ in range(passes):  # of each document its most toxic sentence
         ranked = np.lexsort((order, -margin, text))
         best = ranked[np.unique(text[ranked], return_index=True)[1]]
         chosen = np.unique(np.concatenate([best, order[labels[text] == 0][::7]]))
         y = np.where(labels[text[chosen]] == 1, 1.0, -1.0)
-        w, bias = _machine(x[chosen], y)
+        # the same toxic sentences with a letter put into the word that marks them most
+        toxic = pooled[chosen[y > 0]]
+        mark = np.argmax(toxic, axis=1)
+        gapped = np.maximum(np.where(toxic < np.take_along_axis(toxic, mark[:, None], 1), toxic, 0), spoiled[mark])
+        gapped = np.where(toxic > 0.6, spoiled[mark], gapped)[toxic.max(axis=1) > 0.6]
+        w, bias = _machine(np.concatenate([x[chosen], gapped @ nystroem]), np.concatenate([y, np.ones(len(gapped))]))
         weights = nystroem @ w
         margin = pooled @ weights + bias
     model = Model(marks, weights, bias)
