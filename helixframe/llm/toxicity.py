@@ -214,7 +214,7 @@ class Model:
         """Each text's largest sentence margin; a text without words has the margin of no similarity at all."""
         out = np.full(len(texts), -np.inf)
         pooled, text = pool(texts, memory)
-        np.maximum.at(out, text, pooled @ self.weights + self.bias)
+        np.maximum.at(out, text, _margins(pooled, self.weights, self.bias))
         return np.where(np.isfinite(out), out, self.bias)
 
     def scores(self, texts: list[bytes], memory: _Memory) -> np.ndarray:
@@ -222,13 +222,30 @@ class Model:
 
 
 def pool(texts: list[bytes], memory: _Memory) -> tuple[np.ndarray, np.ndarray]:
-    """Each sentence's largest similarities, and its text."""
+    """Each sentence's largest similarities (in 255ths), and its text."""
     folded, starts, ends, sentence, text = sentence_words(texts)
     if not len(starts):
-        return np.zeros((0, len(memory.landmarks)), np.float32), text
+        return np.zeros((0, len(memory.landmarks)), np.uint8), text
     rows = memory.of(folded, starts, ends)
-    first = np.flatnonzero(np.diff(sentence, prepend=-1))
-    return np.maximum.reduceat(rows, first, axis=0).astype(np.float32) / 255, text
+    return np.maximum.reduceat(rows, np.flatnonzero(np.diff(sentence, prepend=-1)), axis=0), text
+
+
+def _pool_in_parts(texts: list[bytes], memory: _Memory, size: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """`pool` over many texts, about `size` bytes at a time."""
+    found, first, held = [], 0, 0
+    for k, t in enumerate(texts):
+        held += len(t)
+        if held >= size or k + 1 == len(texts):
+            pooled, text = pool(texts[first : k + 1], memory)
+            found.append((pooled, text + first))
+            first, held = k + 1, 0
+    return np.concatenate([p for p, _ in found]), np.concatenate([t for _, t in found])
+
+
+def _margins(pooled: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+    scaled = (weights / 255).astype(np.float32)
+    parts = [pooled[k : k + 16384].astype(np.float32) @ scaled for k in range(0, len(pooled), 16384)]
+    return np.concatenate(parts) + bias if parts else np.zeros(0)
 
 
 def _landmarks(texts: list[bytes], labels: np.ndarray) -> list[bytes]:
@@ -269,12 +286,11 @@ def fit(rows: list[tuple[str, int]], passes: int = 3) -> Model:
     if not marks:
         return Model([], np.zeros(0), 0.0, 0.0, -10.0)
     memory = _Memory(marks)
-    pooled, text = pool(texts, memory)
+    pooled, text = _pool_in_parts(texts, memory)
     values, vectors = np.linalg.eigh(memory.kernel.similarities(marks).astype(np.float64))
     nystroem = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
-    x = pooled @ nystroem
     order = np.arange(len(text))
-    margin = pooled[:, :MARKING].max(axis=1) if pooled.shape[1] else np.zeros(len(text))
+    margin = pooled[:, :MARKING].max(axis=1, initial=0).astype(np.float32)
     spoiled = memory.kernel.similarities([w[: len(w) // 2] + b"x" + w[len(w) // 2 :] for w in marks])
     weights, bias = np.zeros(len(marks)), 0.0
     for _ in range(passes):  # of each document its most toxic sentence
@@ -282,16 +298,18 @@ def fit(rows: list[tuple[str, int]], passes: int = 3) -> Model:
         best = ranked[np.unique(text[ranked], return_index=True)[1]]
         chosen = np.unique(np.concatenate([best, order[labels[text] == 0][::7]]))
         y = np.where(labels[text[chosen]] == 1, 1.0, -1.0)
+        x = pooled[chosen].astype(np.float64) / 255
         # the same toxic sentences with a letter put into the word that marks them most
-        toxic = pooled[chosen[y > 0]]
+        toxic = x[y > 0]
         mark = np.argmax(toxic, axis=1)
-        gapped = np.maximum(np.where(toxic < np.take_along_axis(toxic, mark[:, None], 1), toxic, 0), spoiled[mark])
-        gapped = np.where(toxic > 0.6, spoiled[mark], gapped)[toxic.max(axis=1) > 0.6]
-        w, bias = _machine(np.concatenate([x[chosen], gapped @ nystroem]), np.concatenate([y, np.ones(len(gapped))]))
+        gapped = np.where(toxic > 0.6, spoiled[mark], np.maximum(toxic, spoiled[mark]))[toxic.max(axis=1) > 0.6]
+        w, bias = _machine(np.concatenate([x, gapped]) @ nystroem, np.concatenate([y, np.ones(len(gapped))]))
         weights = nystroem @ w
-        margin = pooled @ weights + bias
+        margin = _margins(pooled, weights, bias)
     model = Model(marks, weights, bias)
-    model.slope, model.shift = platt(model.margins(texts, memory), labels)
+    found = np.full(len(texts), -np.inf)
+    np.maximum.at(found, text, margin)
+    model.slope, model.shift = platt(np.where(np.isfinite(found), found, bias), labels)
     return model
 
 
