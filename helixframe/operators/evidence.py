@@ -73,52 +73,52 @@ def segment_evidence(segments: DataFrame, ledger: DataFrame, k: int) -> DataFram
 
 
 def _embedded(lower: DataFrame, higher: DataFrame, k: int, higher_k: int) -> DataFrame:
-    """higher, at, literal, lower (canonical), lower_support: every lower k-mer inside every higher one."""
+    """higher, at, literal, lower_kmer (canonical), lower_support: every lower k-mer inside every higher one."""
     rows = higher.select(F.col("kmer").alias("higher"), F.col("support").alias("higher_support"), F.explode(F.sequence(F.lit(0), F.lit(higher_k - k))).alias("at"))
     cut = rows.withColumn("literal", F.substr("higher", F.col("at") + 1, F.lit(k)))
-    return cut.withColumn("lower", dna.canonical("literal")).join(lower.select(F.col("kmer").alias("lower"), F.col("support").alias("lower_support")), "lower", "left")
+    return cut.withColumn("lower_kmer", dna.canonical("literal")).join(lower.select(F.col("kmer").alias("lower_kmer"), F.col("support").alias("lower_support")), "lower_kmer", "left")
 
 
 def multik_contains(lower: DataFrame, higher: DataFrame, k: int, higher_k: int) -> DataFrame:
-    """higher, lower_offset, lower, orientation, present: what each higher k-mer contains of the lower set."""
-    orientation = F.when(F.col("literal") == F.col("lower"), "+").otherwise("-")
-    return _embedded(lower, higher, k, higher_k).select("higher", F.col("at").alias("lower_offset"), "lower", orientation.alias("orientation"), F.col("lower_support").isNotNull().alias("present"))
+    """higher, lower_offset, lower_kmer, orientation, present: what each higher k-mer contains of the lower set."""
+    orientation = F.when(F.col("literal") == F.col("lower_kmer"), "+").otherwise("-")
+    return _embedded(lower, higher, k, higher_k).select("higher", F.col("at").alias("lower_offset"), "lower_kmer", orientation.alias("orientation"), F.col("lower_support").isNotNull().alias("present"))
 
 
 def multik_supports(lower: DataFrame, higher: DataFrame, k: int, higher_k: int) -> DataFrame:
-    """lower, lower_support, higher_keys, higher_support: lower k-mers and the higher ones that hold them."""
-    seen = _embedded(lower, higher, k, higher_k).filter("lower_support IS NOT NULL").select("lower", "lower_support", "higher", "higher_support").distinct()
-    return seen.groupBy("lower", "lower_support").agg(F.count("*").alias("higher_keys"), F.sum("higher_support").alias("higher_support"))
+    """lower_kmer, lower_support, higher_keys, higher_support: lower k-mers and the higher ones that hold them."""
+    seen = _embedded(lower, higher, k, higher_k).filter("lower_support IS NOT NULL").select("lower_kmer", "lower_support", "higher", "higher_support").distinct()
+    return seen.groupBy("lower_kmer", "lower_support").agg(F.count("*").alias("higher_keys"), F.sum("higher_support").alias("higher_support"))
 
 
 def multik_contexts(lower: DataFrame, higher: DataFrame, k: int, higher_k: int) -> DataFrame:
-    """lower, side, base, higher: the base beside a lower k-mer in a higher one, seen from the canonical spelling.
+    """lower_kmer, side, base, higher: the base beside a lower k-mer in a higher one, seen from the canonical spelling.
 
     For a k-mer that is its own reverse complement both sides fold into one, `fixed_point`.
     """
     rows = _embedded(lower, higher, k, higher_k).filter("lower_support IS NOT NULL")
     flank = lambda side, at: F.struct(F.lit(side).alias("side"), F.substr("higher", at, F.lit(1)).alias("base"))
     beside = F.filter(F.array(F.when(F.col("at") > 0, flank("left", F.col("at"))), F.when(F.col("at") + k < higher_k, flank("right", F.col("at") + k + 1))), lambda x: x.isNotNull())
-    seen = rows.select("lower", "literal", "higher", F.inline(beside))
-    turned = F.col("literal") != F.col("lower")
-    fixed = F.col("lower") == dna.revcomp("lower")
+    seen = rows.select("lower_kmer", "literal", "higher", F.inline(beside))
+    turned = F.col("literal") != F.col("lower_kmer")
+    fixed = F.col("lower_kmer") == dna.revcomp("lower_kmer")
     complement = F.translate("base", "ACGT", "TGCA")
     side = F.when(fixed, "fixed_point").when(turned, F.when(F.col("side") == "left", "right").otherwise("left")).otherwise(F.col("side"))
     base = F.when(fixed, F.when(F.col("side") == "left", complement).otherwise(F.col("base"))).when(turned, complement).otherwise(F.col("base"))
-    return seen.select("lower", side.alias("side"), base.alias("base"), "higher")
+    return seen.select("lower_kmer", side.alias("side"), base.alias("base"), "higher")
 
 
 def multik_conflicts(lower: DataFrame, higher: DataFrame, k: int, higher_k: int) -> DataFrame:
     """All context rows of a (lower k-mer, side) beside which two bases or more occur."""
     rows = multik_contexts(lower, higher, k, higher_k).distinct()
-    mixed = rows.groupBy("lower", "side").agg(F.min("base").alias("x"), F.max("base").alias("y")).filter("x <> y").select("lower", "side")
-    return rows.join(mixed, ["lower", "side"], "left_semi")
+    mixed = rows.groupBy("lower_kmer", "side").agg(F.min("base").alias("x"), F.max("base").alias("y")).filter("x <> y").select("lower_kmer", "side")
+    return rows.join(mixed, ["lower_kmer", "side"], "left_semi")
 
 
 def multik_unresolved(lower: DataFrame, higher: DataFrame, k: int, higher_k: int) -> DataFrame:
-    """lower, side: the sides of lower k-mers that no higher k-mer covers."""
-    sides = lower.select(F.col("kmer").alias("lower"), F.explode(F.when(F.col("kmer") == dna.revcomp("kmer"), F.array(F.lit("fixed_point"))).otherwise(F.array(F.lit("left"), F.lit("right")))).alias("side"))
-    return sides.join(multik_contexts(lower, higher, k, higher_k).select("lower", "side").distinct(), ["lower", "side"], "left_anti")
+    """lower_kmer, side: the sides of lower k-mers that no higher k-mer covers."""
+    sides = lower.select(F.col("kmer").alias("lower_kmer"), F.explode(F.when(F.col("kmer") == dna.revcomp("kmer"), F.array(F.lit("fixed_point"))).otherwise(F.array(F.lit("left"), F.lit("right")))).alias("side"))
+    return sides.join(multik_contexts(lower, higher, k, higher_k).select("lower_kmer", "side").distinct(), ["lower_kmer", "side"], "left_anti")
 
 
 def exact_agreement(units_by_k: dict[int, DataFrame]) -> DataFrame:

@@ -32,20 +32,20 @@ def minor_sql(g: str) -> str:
 
 
 def reads_cte(text: str = "varchar") -> str:
-    """CTEs `truths` (molecule, truth_class, seq), `placed` and `reads` (fragment_id, lane, role, seq, qual)."""
+    """CTEs `truths` (molecule, truth_class, seq), `sampled` and `reads` (fragment_id, lane, role, seq, qual)."""
     return f"""
   g AS (SELECT c_custkey, {genome_sql("c_custkey", text)} AS g0 FROM customer),
   both_copies AS (SELECT c_custkey, g0, {minor_sql("g0")} AS g1 FROM g),
   truths AS (SELECT c_custkey AS molecule, 'primary' AS truth_class, g0 AS seq FROM both_copies UNION ALL SELECT c_custkey, 'minor', g1 FROM both_copies),
-  placed AS (
+  sampled AS (
     SELECT o_orderkey AS fragment_id, cast(o_custkey % 3 as int) AS lane,
            cast((o_orderkey * 7919 + o_custkey * 104729) % 107 as int) AS st,
            CASE WHEN o_orderkey % 7 = 0 THEN g1 ELSE g0 END AS g
     FROM orders JOIN both_copies ON o_custkey = c_custkey),
   mates AS (
-    SELECT fragment_id, lane, 'R1' AS role, substr(g, st + 1, 60) AS s FROM placed
+    SELECT fragment_id, lane, 'R1' AS role, substr(g, st + 1, 60) AS s FROM sampled
     UNION ALL
-    SELECT fragment_id, lane, 'R2' AS role, reverse(translate(substr(g, st + 91, 60), 'ACGT', 'TGCA')) AS s FROM placed),
+    SELECT fragment_id, lane, 'R2' AS role, reverse(translate(substr(g, st + 91, 60), 'ACGT', 'TGCA')) AS s FROM sampled),
   reads AS (
     SELECT fragment_id, lane, role, {_AMBIGUOUS} AS seq, {_QUALITY} AS qual FROM mates)"""
 
@@ -68,7 +68,7 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark,
         sf_dir,
         f"""SELECT fragment_id, lane, array({first}, {second}) AS reads
-        FROM (SELECT fragment_id, lane, substr(g, st + 1, 60) AS s1, reverse(translate(substr(g, st + 91, 60), 'ACGT', 'TGCA')) AS s2 FROM placed)""",
+        FROM (SELECT fragment_id, lane, substr(g, st + 1, 60) AS s1, reverse(translate(substr(g, st + 91, 60), 'ACGT', 'TGCA')) AS s2 FROM sampled)""",
     )
 
 

@@ -1,10 +1,494 @@
-"""The catalogue of registered sequence queries."""
+"""The catalogue of registered sequence queries: operators on reads derived from the order tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helixframe.durable import cut_lineage
+from helixframe.functions import dna
+from helixframe.operators import components, correction, evaluation, evidence, graph, kmers, mapping
+from helixframe.plans import adapters, sql
+
+K, HIGHER, M, BUCKETS, FLANK, QUALITY = 21, 31, 11, 64, 12, 20
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def registered(oracle: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _counts(spark: SparkSession, d: str, k: int = K) -> DataFrame:
+    return kmers.count_kmers(adapters.fragments(spark, d), k, QUALITY)
+
+
+def _kept(spark: SparkSession, d: str, k: int = K) -> DataFrame:
+    return kmers.retain(_counts(spark, d, k))
+
+
+def _graph(spark: SparkSession, d: str, k: int = K) -> tuple[DataFrame, DataFrame]:
+    """The retained k-mers and their unitigs, both cut from their lineage, as several steps read them."""
+    held = cut_lineage(_kept(spark, d, k))
+    return held, cut_lineage(graph.unitigs(held, k))
+
+
+def _mapped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    _, units = _graph(spark, d)
+    reads = adapters.reads(spark, d)
+    placed = cut_lineage(mapping.placements(reads, units, QUALITY))
+    return units, placed, mapping.audit_reads(reads, placed, QUALITY)
+
+
+_COUNTED = (sql.win(K), sql.counts(K))
+_KEPT = (*_COUNTED, sql.kept())
+_GRAPH = (*_KEPT, sql.handles(K), sql.NODES)
+_UNITS = (*_GRAPH, sql.unitigs(K))
+_MAPPED = (*_UNITS, sql.PLACED)
+_PAIRED = (*_MAPPED, sql.PAIRS)
+
+
+# scalar functions
+
+
+@registered(sql.query(select=f"SELECT fragment_id, role, seq, reverse(translate(seq, 'ACGTRYSWKMBDHVN', 'TGCAYRSWMKVHDBN')) AS revcomp, {sql.canon('substr(seq, 1, 21)')} AS canonical, sha256(seq) AS sha256 FROM reads"))
+def revcomp_iupac(spark: SparkSession, d: str) -> DataFrame:
+    first = F.substring("seq", 1, K)
+    return adapters.reads(spark, d).select("fragment_id", "role", "seq", dna.revcomp_iupac("seq").alias("revcomp"), F.least(first, dna.revcomp(first)).alias("canonical"), F.sha2("seq", 256).alias("sha256"))
+
+
+@registered("SELECT o_orderkey, kmer, cast(list_sum(list_transform(range(0, 16), lambda i: cast(instr('ACGT', substr(kmer, i + 1, 1)) - 1 AS hugeint) * cast(pow(4, 15 - i) AS hugeint))) AS bigint) AS code, kmer AS decoded, substr(kmer, 1, 15) AS prefix, substr(kmer, 2) AS suffix, substr(kmer, 1, 4) AS partition, kmer = reverse(translate(kmer, 'ACGT', 'TGCA')) AS is_palindrome FROM (SELECT o_orderkey, substr(translate(md5(cast(o_orderkey AS varchar)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 16) AS kmer FROM orders)")
+def packed_kmers(spark: SparkSession, d: str) -> DataFrame:
+    letters = F.translate(F.md5(F.col("o_orderkey").cast("string").cast("binary")), adapters.HEX, adapters.LETTERS)
+    rows = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.substring(letters, 1, 16).alias("kmer")).withColumn("code", dna.encode("kmer"))
+    return rows.select("o_orderkey", "kmer", "code", dna.decode("code", 16).alias("decoded"), dna.prefix("kmer", 16).alias("prefix"), dna.suffix("kmer", 16).alias("suffix"), dna.partition_prefix("kmer", 8).alias("partition"), dna.is_palindrome("kmer").alias("is_palindrome"))
+
+
+@registered("SELECT o_orderkey, cast(cast(o_custkey AS hugeint) * 1000000 // (o_orderkey + 1) AS bigint) AS ppm, cast('0x' || substr(sha256('helixframe/split/1' || cast(o_orderkey AS varchar)), 1, 15) AS bigint) % 10 < 3 AS is_calibration FROM orders")
+def calibration_split(spark: SparkSession, d: str) -> DataFrame:
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    return orders.select("o_orderkey", (dna.ratio("o_custkey", F.col("o_orderkey") + 1) * 1000000).cast("long").alias("ppm"), dna.split_is_calibration("o_orderkey", 3, 10).alias("is_calibration"))
+
+
+# windows and counts
+
+
+@registered(sql.query(sql.win(K), select="SELECT count(*) AS possible, cast(count_if(class = 'accepted') AS bigint) AS accepted, cast(count_if(class = 'ambiguity_only') AS bigint) AS ambiguity_only, cast(count_if(class = 'quality_only') AS bigint) AS quality_only, cast(count_if(class = 'ambiguity_and_quality') AS bigint) AS ambiguity_and_quality FROM win"))
+def window_stats(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.window_stats(adapters.reads(spark, d), K, QUALITY)
+
+
+@registered(sql.query(sql.win(K), select="SELECT fragment_id, role, pos, w AS window, kmer, class FROM win"))
+def canonical_kmers(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.windows(adapters.reads(spark, d), K, QUALITY).select("fragment_id", "role", "pos", "window", "kmer", "class")
+
+
+@registered(sql.query(*_COUNTED, select="SELECT kmer, support FROM counts"))
+def kmer_count_fragment(spark: SparkSession, d: str) -> DataFrame:
+    return _counts(spark, d)
+
+
+@registered(sql.query(sql.win(K), select="SELECT kmer, count(*) AS support FROM win WHERE kmer IS NOT NULL GROUP BY kmer"))
+def kmer_count_occurrence(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.count_kmers(adapters.fragments(spark, d), K, QUALITY, "occurrence")
+
+
+@registered(sql.query(sql.win(41), sql.counts(41), select="SELECT kmer, support FROM counts"))
+def kmer_count_wide(spark: SparkSession, d: str) -> DataFrame:
+    return _counts(spark, d, 41)
+
+
+@registered(sql.query(*_KEPT, select="SELECT kmer, support FROM kept"))
+def kmer_retained(spark: SparkSession, d: str) -> DataFrame:
+    return _kept(spark, d)
+
+
+@registered(sql.query(*_COUNTED, select="SELECT kmer, support, CASE WHEN support >= 3 THEN 'retained' ELSE 'discarded' END AS decision FROM counts"))
+def retention_decisions(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.retention_decisions(_counts(spark, d), 3)
+
+
+@registered(sql.query(*_COUNTED, select="SELECT support, count(*) AS distinct_canonical_keys FROM counts GROUP BY support"))
+def support_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.support_histogram(_counts(spark, d))
+
+
+@registered(sql.query(*_COUNTED, select="SELECT count(*) AS observed_keys, cast(sum(support) AS bigint) AS observed_mass, cast(count_if(support >= 2) AS bigint) AS retained_keys, cast(sum(support) FILTER (support >= 2) AS bigint) AS retained_mass, cast(count_if(support < 2) AS bigint) AS removed_keys, cast(sum(support) FILTER (support < 2) AS bigint) AS removed_mass FROM counts"))
+def count_summary(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.count_summary(_counts(spark, d))
+
+
+_DIGEST = "SELECT '{label}' AS label, count(*) AS keys, cast(sum(support) AS bigint) AS mass, sha256(cast(count(*) AS varchar) || ':' || " + " || ':' || ".join(f"cast(sum(cast('0x' || substr(h, {1 + 15 * i}, 15) AS bigint)) AS varchar)" for i in range(4)) + ") AS digest FROM (SELECT support, sha256(kmer || chr(9) || cast(support AS varchar)) AS h FROM {source})"
+
+
+@registered(sql.query(*_KEPT, select=_DIGEST.format(label="observed", source="counts") + " UNION ALL " + _DIGEST.format(label="retained", source="kept")))
+def transform_digests(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.transform_summary(_counts(spark, d))
+
+
+@registered(sql.query(*_COUNTED, select="SELECT kmer FROM counts WHERE support >= 2"))
+def two_hit_keys(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.two_hit_keys(adapters.fragments(spark, d), K, QUALITY)
+
+
+_MINIMIZED = f"""
+  mins AS (
+    SELECT kmer, support, list_min(list_transform(range(0, {K - M + 1}), lambda i: {{'key': least(substr(kmer, i + 1, {M}), reverse(translate(substr(kmer, i + 1, {M}), 'ACGT', 'TGCA'))), 'pos': i}})) AS m FROM counts),
+  minimized AS MATERIALIZED (
+    SELECT kmer, support, m.key AS minimizer, cast(m.pos AS int) AS minimizer_pos,
+           cast(list_sum(list_transform(range(0, {M}), lambda i: (instr('ACGT', substr(m.key, i + 1, 1)) - 1) * cast(pow(4, {M - 1} - i) AS bigint))) AS bigint) % {BUCKETS} AS bucket_id
+    FROM mins)"""
+
+
+@registered(sql.query(*_COUNTED, _MINIMIZED, select="SELECT * FROM minimized"))
+def minimizers(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.minimizers(_counts(spark, d), K, M, BUCKETS)
+
+
+@registered(sql.query(*_COUNTED, _MINIMIZED, select="SELECT bucket_id, count(*) AS distinct_keys, cast(sum(support) AS bigint) AS occurrences FROM minimized GROUP BY bucket_id"))
+def bucket_counts(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.bucket_counts(_counts(spark, d), K, M, BUCKETS)
+
+
+@registered(
+    sql.query(
+        *_COUNTED,
+        _MINIMIZED,
+        """
+  marked AS (SELECT fragment_id, role, pos, minimizer, bucket_id FROM win JOIN minimized USING (kmer)),
+  runs AS (SELECT *, sum(new) OVER (PARTITION BY fragment_id, role ORDER BY pos) AS run FROM (
+    SELECT *, CASE WHEN lag(minimizer) OVER w = minimizer AND lag(pos) OVER w = pos - 1 THEN 0 ELSE 1 END AS new FROM marked WINDOW w AS (PARTITION BY fragment_id, role ORDER BY pos)))""",
+        select="SELECT fragment_id, role, min(pos) AS first_window, count(*) AS window_count, any_value(minimizer) AS minimizer, any_value(bucket_id) AS bucket_id FROM runs GROUP BY fragment_id, role, run",
+    )
+)
+def super_kmers(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.super_kmers(adapters.reads(spark, d), K, M, BUCKETS, QUALITY)
+
+
+# graph
+
+
+@registered(sql.query(*_KEPT, sql.handles(K), select="SELECT * FROM handles"))
+def handles(spark: SparkSession, d: str) -> DataFrame:
+    return graph.handles(_kept(spark, d), K)
+
+
+@registered(sql.query(*_GRAPH, select="SELECT node, indeg, outdeg, is_palindrome, touches_self_rc, is_boundary FROM nodes"))
+def node_degree(spark: SparkSession, d: str) -> DataFrame:
+    return graph.nodes(graph.handles(_kept(spark, d), K)).select("node", "indeg", "outdeg", "is_palindrome", "touches_self_rc", "is_boundary")
+
+
+@registered(sql.query(*_GRAPH, select="SELECT node, indeg, outdeg FROM nodes WHERE is_boundary"))
+def boundary_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.nodes(graph.handles(_kept(spark, d), K)).filter("is_boundary").select("node", "indeg", "outdeg")
+
+
+@registered(sql.query(*_GRAPH, select="SELECT node, in_mask, out_mask, touches_self_rc, is_boundary FROM nodes"))
+def node_state_masks(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.state_masks(_kept(spark, d), K)
+
+
+@registered(sql.query(*_UNITS, select="SELECT unitig_id, seq, topology, sequence_sha256 FROM units"))
+def unitigs(spark: SparkSession, d: str) -> DataFrame:
+    return _graph(spark, d)[1].select("unitig_id", "seq", "topology", "sequence_sha256")
+
+
+@registered(sql.query(*_UNITS, select="SELECT unitig_id, length(seq) AS length, edge_steps, canonical_kmers, minimum_support, lower_median_support, maximum_support FROM units"))
+def unitig_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return _graph(spark, d)[1].select("unitig_id", F.length("seq").cast("long").alias("length"), "edge_steps", "canonical_kmers", "minimum_support", "lower_median_support", "maximum_support")
+
+
+@registered(sql.query(*_UNITS, sql.links(K), select="SELECT * FROM links"))
+def graph_links(spark: SparkSession, d: str) -> DataFrame:
+    kept, units = _graph(spark, d)
+    return graph.links(kept, units, K)
+
+
+@registered(
+    sql.query(
+        *_UNITS,
+        sql.links(K),
+        """
+  pairs_of AS MATERIALIZED (SELECT from_segment AS u, to_segment AS v FROM links UNION SELECT to_segment, from_segment FROM links),
+  reach AS (SELECT u AS node, u AS seen FROM pairs_of UNION SELECT r.node, p.v FROM reach r JOIN pairs_of p ON r.seen = p.u)""",
+        select="SELECT node AS unitig_id, min(seen) AS component FROM reach GROUP BY node",
+    )
+)
+def link_components(spark: SparkSession, d: str) -> DataFrame:
+    kept, units = _graph(spark, d)
+    return components.connected_components(graph.links(kept, units, K), "from_segment", "to_segment").select(F.col("node").alias("unitig_id"), "component")
+
+
+@registered(sql.query(*_UNITS, sql.links(K), select="SELECT 'links that do not overlap' AS rule, cast(0 AS bigint) AS rows UNION ALL SELECT 'handles without their mate', 0 UNION ALL SELECT 'unitig keys less retained keys', cast((SELECT sum(canonical_kmers) FROM units) - (SELECT count(*) FROM kept) AS bigint)"))
+def graph_invariants(spark: SparkSession, d: str) -> DataFrame:
+    kept, units = _graph(spark, d)
+    linked = graph.links(kept, units, K)
+    one = lambda rule, df: df.agg(F.lit(rule).alias("rule"), F.count("*").alias("rows"))
+    mass = units.agg(F.sum("canonical_kmers").alias("a")).crossJoin(kept.agg(F.count("*").alias("b"))).select(F.lit("unitig keys less retained keys").alias("rule"), (F.col("a") - F.col("b")).alias("rows"))
+    return one("links that do not overlap", graph.link_overlaps(units, linked, K)).unionByName(one("handles without their mate", graph.rc_asymmetry(kept, K))).unionByName(mass)
+
+
+# mapping
+
+
+@registered(sql.query(*_MAPPED, select='SELECT fragment_id, role, unitig_id, start, "end", strand FROM placed'))
+def placements(spark: SparkSession, d: str) -> DataFrame:
+    return _mapped(spark, d)[1].select("fragment_id", "role", "unitig_id", "start", "end", "strand")
+
+
+@registered(sql.query(*_MAPPED, select=f"SELECT r.role, g.state, coalesce(n, 0) AS reads FROM (SELECT DISTINCT role FROM audits) r CROSS JOIN (VALUES {sql.READ_GRID}) g(state) LEFT JOIN (SELECT role, state, count(*) AS n FROM audits GROUP BY ALL) c ON c.role = r.role AND c.state = g.state"))
+def read_states(spark: SparkSession, d: str) -> DataFrame:
+    return mapping.read_states(_mapped(spark, d)[2])
+
+
+@registered(
+    sql.query(
+        *_MAPPED,
+        "told AS (SELECT unitig_id, fragment_id, role, count(*) AS n, max(state) = 'single_placement_group' AS single FROM placed JOIN audits USING (fragment_id, lane, role) WHERE n_groups BETWEEN 1 AND 1000 GROUP BY unitig_id, fragment_id, role)",
+        select="SELECT unitig_id, cast(coalesce(sum(n), 0) AS bigint) AS placements, cast(coalesce(count_if(single), 0) AS bigint) AS single_reads, cast(coalesce(count_if(NOT single), 0) AS bigint) AS multi_reads FROM units LEFT JOIN told USING (unitig_id) GROUP BY unitig_id",
+    )
+)
+def unitig_placements(spark: SparkSession, d: str) -> DataFrame:
+    units, placed, audits = _mapped(spark, d)
+    return mapping.unitig_placements(placed, audits, units)
+
+
+_PAIR_COUNTS = f"SELECT {{lane}} AS lane, g.state, count(p.fragment_id) AS fragments FROM {{lanes}} CROSS JOIN (VALUES {sql.PAIR_GRID}) g(state) LEFT JOIN pairs p ON p.state = g.state {{on}} GROUP BY ALL"
+
+
+@registered(sql.query(*_PAIRED, select=_PAIR_COUNTS.format(lane="cast(-1 AS int)", lanes="(SELECT 1)", on="") + " UNION ALL " + _PAIR_COUNTS.format(lane="l.lane", lanes="(SELECT DISTINCT lane FROM pairs) l", on="AND p.lane = l.lane")))
+def pair_states(spark: SparkSession, d: str) -> DataFrame:
+    units, placed, audits = _mapped(spark, d)
+    return mapping.pair_states(mapping.audit_pairs(audits, placed, units)).withColumn("lane", F.coalesce("lane", F.lit(-1)))
+
+
+@registered(
+    sql.query(
+        *_PAIRED,
+        "crossing AS (SELECT lane, least(p1, p2) AS a, greatest(p1, p2) AS b FROM pairs WHERE state = 'cross_unitig_observation')",
+        select="SELECT lane, " + ", ".join(f'{s}."{c}" AS {c}_{s}' for s in "ab" for c in ("segment", "end", "strand", "end_distance", "mate_role")) + ", count(*) AS supplied_fragment_instances FROM crossing GROUP BY ALL",
+    )
+)
+def pair_links(spark: SparkSession, d: str) -> DataFrame:
+    units, placed, audits = _mapped(spark, d)
+    return mapping.pair_links(mapping.audit_pairs(audits, placed, units))
+
+
+_SPANS = """
+  sole AS (SELECT fragment_id, lane, role, unitig_id, start, "end", strand FROM audits JOIN placed USING (fragment_id, lane, role) WHERE state = 'single_placement_group'),
+  both_placed AS (SELECT a.lane, a.unitig_id = b.unitig_id AS same, a.start AS s1, b.start AS s2, greatest(a."end", b."end") - least(a.start, b.start) AS span, CASE WHEN a.start < b.start THEN a.strand || b.strand ELSE b.strand || a.strand END AS o FROM sole a JOIN sole b ON a.fragment_id = b.fragment_id AND a.role = 'R1' AND b.role = 'R2'),
+  spans AS (SELECT lane, span, CASE WHEN NOT same THEN 'different' WHEN s1 = s2 THEN 'coincident' ELSE 'included' END AS kind, CASE o WHEN '+-' THEN 'FR' WHEN '-+' THEN 'RF' WHEN '++' THEN 'FF' ELSE 'RR' END AS o FROM both_placed),
+  tallied AS (
+    SELECT lane, cast(count_if(kind = 'included') AS bigint) AS included, cast(count_if(kind = 'different') AS bigint) AS different_unitig, cast(count_if(kind = 'coincident') AS bigint) AS coincident_start,
+           cast(count_if(kind = 'included' AND o = 'FR') AS bigint) AS fr, cast(count_if(kind = 'included' AND o = 'RF') AS bigint) AS rf, cast(count_if(kind = 'included' AND o = 'FF') AS bigint) AS ff, cast(count_if(kind = 'included' AND o = 'RR') AS bigint) AS rr FROM spans GROUP BY lane),
+  led AS (SELECT *, greatest(fr, rf, ff, rr) AS leading_pairs FROM tallied),
+  leads AS (SELECT *, CASE WHEN leading_pairs > 0 AND (fr = leading_pairs)::int + (rf = leading_pairs)::int + (ff = leading_pairs)::int + (rr = leading_pairs)::int = 1 THEN CASE leading_pairs WHEN fr THEN 'FR' WHEN rf THEN 'RF' WHEN ff THEN 'FF' ELSE 'RR' END END AS leading_orientation FROM led),
+  quantiles AS (SELECT s.lane, """ + ", ".join(f"cast(quantile_disc(span, {q / 100}) AS bigint) AS p{q}" for q in (10, 25, 50, 75, 90)) + """ FROM spans s JOIN leads l ON s.lane = l.lane AND s.o = l.leading_orientation WHERE kind = 'included' GROUP BY s.lane)"""
+
+
+@registered(
+    sql.query(
+        *_MAPPED,
+        _SPANS,
+        select="""SELECT lane, included, different_unitig, coincident_start, fr, rf, ff, rr, leading_orientation, leading_pairs, p10, p25, p50, p75, p90,
+      CASE WHEN included < 20 THEN 'insufficient_included_pairs' WHEN leading_orientation IS NULL THEN 'no_unique_leading_orientation' WHEN leading_pairs < 10 THEN 'insufficient_leading_orientation_pairs'
+           WHEN leading_pairs * 10 < included * 9 THEN 'dominance_below_threshold' WHEN p90 - p10 > 1000 THEN 'central_span_interval_too_wide' ELSE 'available' END AS availability
+    FROM leads LEFT JOIN quantiles USING (lane)""",
+    )
+)
+def library_model(spark: SparkSession, d: str) -> DataFrame:
+    _, placed, audits = _mapped(spark, d)
+    return mapping.library_model(audits, placed)
+
+
+# read-witnessed evidence and several k
+
+
+@registered(sql.query(sql.ledger(K), select="SELECT * FROM ledger"))
+def transition_ledger(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.transition_ledger(adapters.reads(spark, d), K, QUALITY)
+
+
+@registered(sql.query(*_UNITS, sql.ledger(K), sql.interior(K), sql.segments(K), select="SELECT * FROM segments"))
+def witnessed_segments(spark: SparkSession, d: str) -> DataFrame:
+    _, units = _graph(spark, d)
+    return evidence.witnessed_segments(units, evidence.transition_ledger(adapters.reads(spark, d), K, QUALITY), K)
+
+
+@registered(
+    sql.query(
+        *_UNITS,
+        sql.ledger(K),
+        sql.interior(K),
+        sql.segments(K),
+        f"inside AS (SELECT unitig_id, segment_no, least(q, {sql.rc('q')}) AS qmer FROM (SELECT unitig_id, segment_no, substr(seq, i, {K + 1}) AS q FROM (SELECT unitig_id, segment_no, seq, cast(unnest(range(1, length(seq) - {K} + 1)) AS int) AS i FROM segments WHERE length(seq) > {K})))",
+        "sums AS (SELECT unitig_id, segment_no, count(*) AS n, sum(occurrences) AS o, sum(fragments) AS f FROM inside JOIN ledger USING (qmer) GROUP BY ALL)",
+        select="SELECT unitig_id, segment_no, coalesce(n, 0) AS transitions, cast(coalesce(o, 0) AS bigint) AS occurrences, cast(coalesce(f, 0) AS bigint) AS fragments FROM segments LEFT JOIN sums USING (unitig_id, segment_no)",
+    )
+)
+def segment_evidence(spark: SparkSession, d: str) -> DataFrame:
+    _, units = _graph(spark, d)
+    ledger = cut_lineage(evidence.transition_ledger(adapters.reads(spark, d), K, QUALITY))
+    return evidence.segment_evidence(evidence.witnessed_segments(units, ledger, K), ledger, K)
+
+
+_OVER = f"""
+  over_links AS (
+    SELECT right(CASE from_orientation WHEN '+' THEN a.seq ELSE {sql.rc("a.seq")} END, {K}) || substr(CASE to_orientation WHEN '+' THEN b.seq ELSE {sql.rc("b.seq")} END, {K}, 1) AS q
+    FROM links JOIN units a ON from_segment = a.unitig_id JOIN units b ON to_segment = b.unitig_id),
+  candidates AS (SELECT qmer, bool_or(i) AS in_unitig, bool_or(l) AS in_link FROM (SELECT qmer, true AS i, false AS l FROM interior UNION ALL SELECT {sql.canon("q")}, false, true FROM over_links) GROUP BY qmer),
+  known AS (SELECT qmer, occurrences, fragments, {sql.canon(f"left(qmer, {K})")} IN (SELECT kmer FROM kept) AND {sql.canon(f"right(qmer, {K})")} IN (SELECT kmer FROM kept) AS ends FROM ledger)"""
+
+
+@registered(
+    sql.query(
+        *_UNITS,
+        sql.links(K),
+        sql.ledger(K),
+        sql.interior(K),
+        _OVER,
+        select="SELECT qmer, coalesce(in_unitig, false) AS in_unitig, coalesce(in_link, false) AS in_link, coalesce(occurrences, 0) AS occurrences, coalesce(fragments, 0) AS fragments, CASE WHEN fragments IS NULL THEN 'excluded_no_witness' WHEN NOT ends THEN 'excluded_endpoint' WHEN in_unitig IS NULL THEN 'unplaced' ELSE 'admitted' END AS decision FROM candidates FULL JOIN known USING (qmer)",
+    )
+)
+def transition_decisions(spark: SparkSession, d: str) -> DataFrame:
+    kept, units = _graph(spark, d)
+    ledger = evidence.transition_ledger(adapters.reads(spark, d), K, QUALITY)
+    return evidence.transition_decisions(ledger, units, graph.links(kept, units, K), kept, K)
+
+
+def _two(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return _kept(spark, d, K), _kept(spark, d, HIGHER)
+
+
+@registered(sql.query(sql.two_k(K, HIGHER), select="SELECT higher, spot AS lower_offset, lower_kmer, CASE WHEN literal = lower_kmer THEN '+' ELSE '-' END AS orientation, lower_support IS NOT NULL AS present FROM embedded"))
+def multik_contains(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.multik_contains(*_two(spark, d), K, HIGHER)
+
+
+@registered(sql.query(sql.two_k(K, HIGHER), select="SELECT lower_kmer, lower_support, count(*) AS higher_keys, cast(sum(higher_support) AS bigint) AS higher_support FROM (SELECT DISTINCT lower_kmer, lower_support, higher, higher_support FROM embedded WHERE lower_support IS NOT NULL) GROUP BY ALL"))
+def multik_supports(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.multik_supports(*_two(spark, d), K, HIGHER)
+
+
+@registered(sql.query(sql.two_k(K, HIGHER), select="SELECT DISTINCT lower_kmer, side, base, higher FROM contexts SEMI JOIN (SELECT lower_kmer, side FROM contexts GROUP BY ALL HAVING count(DISTINCT base) > 1) m USING (lower_kmer, side)"))
+def multik_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.multik_conflicts(*_two(spark, d), K, HIGHER)
+
+
+@registered(sql.query(sql.two_k(K, HIGHER), f"sides AS (SELECT kmer AS lower_kmer, unnest(CASE WHEN kmer = {sql.rc('kmer')} THEN ['fixed_point'] ELSE ['left', 'right'] END) AS side FROM low)", select="SELECT lower_kmer, side FROM sides ANTI JOIN contexts USING (lower_kmer, side)"))
+def multik_unresolved(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.multik_unresolved(*_two(spark, d), K, HIGHER)
+
+
+@registered()
+def exact_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.exact_agreement({k: _graph(spark, d, k)[1] for k in (K, HIGHER)})
+
+
+# correction
+
+
+@registered(sql.query(select="SELECT fragment_id, role, cast(s AS int) AS start, cast(greatest(e - s, 0) AS int) AS length, CASE WHEN greatest(e - s, 0) < 40 THEN 'too_short' WHEN regexp_matches(substr(seq, cast(s + 1 AS int), cast(e - s AS int)), '[^ACGT]') THEN 'internal_ambiguity' WHEN e - s = 60 THEN 'unchanged' ELSE 'trimmed' END AS state FROM (SELECT fragment_id, role, seq, length(regexp_extract(bad, '^(1*)', 1)) AS s, 60 - length(regexp_extract(bad, '(1*)$', 1)) AS e FROM (SELECT fragment_id, role, seq, list_reduce(list_transform(range(1, 61), lambda i: CASE WHEN substr(seq, i, 1) = 'N' OR substr(qual, i, 1) = '!' THEN '1' ELSE '0' END), lambda a, b: a || b) AS bad FROM reads))"))
+def trim_range(spark: SparkSession, d: str) -> DataFrame:
+    return correction.trim_ranges(adapters.reads(spark, d), QUALITY, 40)
+
+
+_EDITS = """
+  weak AS (SELECT fragment_id, role, seq, pos, substr(seq, pos + 1, 1) AS old FROM (SELECT *, cast(unnest(range(0, length(seq))) AS int) AS pos FROM reads) WHERE substr(seq, pos + 1, 1) = 'N' OR substr(qual, pos + 1, 1) = '!'),
+  edits AS MATERIALIZED (SELECT fragment_id, role, pos, old, new, substr(seq, 1, pos) || new || substr(seq, pos + 2) AS candidate FROM weak CROSS JOIN (VALUES ('A'), ('C'), ('G'), ('T')) n(new) WHERE new <> old)"""
+
+
+@registered(sql.query(_EDITS, select="SELECT * FROM edits"))
+def edit_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return correction.edit_candidates(adapters.reads(spark, d), QUALITY)
+
+
+@registered(
+    sql.query(
+        *_COUNTED,
+        _EDITS,
+        f"looked AS (SELECT fragment_id, role, pos, old, new, {sql.canon(f'substr(candidate, i, {K})')} AS kmer FROM (SELECT *, cast(unnest(range(1, length(candidate) - {K} + 2)) AS int) AS i FROM edits))",
+        select="SELECT fragment_id, role, pos, old, new, count(*) AS windows, cast(count_if(coalesce(support, 0) >= 2) AS bigint) AS trusted_windows, cast(sum(coalesce(support, 0)) AS bigint) AS support FROM looked LEFT JOIN counts USING (kmer) GROUP BY ALL",
+    )
+)
+def spectrum_scores(spark: SparkSession, d: str) -> DataFrame:
+    found = correction.edit_candidates(adapters.reads(spark, d), QUALITY)
+    return correction.spectrum_scores(found, ["fragment_id", "role", "pos", "old", "new"], "candidate", _counts(spark, d), K)
+
+
+@registered()
+def corrected_reads(spark: SparkSession, d: str) -> DataFrame:
+    reads = adapters.reads(spark, d)
+    spectra = {k: cut_lineage(_counts(spark, d, k)) for k in (K, HIGHER)}
+    return correction.correct(reads, spectra, QUALITY)
+
+
+# evaluation against the genomes that the reads come from
+
+
+def _truth_windows(size: int, name: str) -> str:
+    return f"{name} AS MATERIALIZED (SELECT w, count(*) AS n, min(truth_class) AS lo FROM (SELECT truth_class, substr(s, i, {size}) AS w FROM (SELECT truth_class, s, cast(unnest(range(1, length(s) - {size} + 2)) AS int) AS i FROM (SELECT truth_class, seq AS s FROM truths UNION ALL SELECT truth_class, {sql.rc('seq')} FROM truths))) GROUP BY w)"
+
+
+_JUNCTIONS = (
+    _truth_windows(2 * FLANK, "whole"),
+    _truth_windows(FLANK, "part"),
+    f"""
+  cut AS (SELECT unitig_id, b, substr(seq, b - {FLANK} + 1, {2 * FLANK}) AS w, substr(seq, b - {FLANK} + 1, {FLANK}) AS l, substr(seq, b + 1, {FLANK}) AS r FROM (SELECT unitig_id, seq, cast(unnest(range({FLANK}, length(seq) - {FLANK} + 1)) AS int) AS b FROM units WHERE length(seq) >= {2 * FLANK})),
+  judged AS (
+    SELECT CASE WHEN c.n IS NOT NULL THEN 'correct_truth_adjacency' WHEN x.n IS NULL OR y.n IS NULL THEN 'indeterminate_unmapped_flank' WHEN x.n > 1 OR y.n > 1 THEN 'indeterminate_ambiguous_flank' ELSE 'false_junction' END AS classification, x.lo <> y.lo AS differ
+    FROM cut LEFT JOIN whole c ON cut.w = c.w LEFT JOIN part x ON cut.l = x.w LEFT JOIN part y ON cut.r = y.w)""",
+)
+
+
+@registered(sql.query(*_UNITS, *_JUNCTIONS, select="SELECT g.classification, count(j.classification) AS boundaries, cast(coalesce(count_if(j.classification = 'false_junction' AND differ), 0) AS bigint) AS chimeras FROM (VALUES ('correct_truth_adjacency'), ('indeterminate_unmapped_flank'), ('indeterminate_ambiguous_flank'), ('false_junction')) g(classification) LEFT JOIN judged j ON j.classification = g.classification GROUP BY g.classification"))
+def junction_classes(spark: SparkSession, d: str) -> DataFrame:
+    _, units = _graph(spark, d)
+    contigs = units.select(F.col("unitig_id").alias("contig_id"), "seq")
+    return evaluation.junction_classes(evaluation.junctions(contigs, adapters.truths(spark, d), FLANK))
+
+
+_ALIGNED = f"""
+  contig_views AS (SELECT unitig_id, '+' AS strand, seq AS s FROM units UNION ALL SELECT unitig_id, '-', {sql.rc("seq")} FROM units),
+  truth_posts AS (SELECT molecule, truth_class, seq, cast(unnest(range(0, length(seq) - 21 + 1)) AS int) AS start FROM truths),
+  aligned AS MATERIALIZED (SELECT unitig_id AS contig_id, molecule, truth_class, strand, start, cast(start + length(s) AS int) AS "end" FROM contig_views JOIN truth_posts ON left(s, 21) = substr(seq, start + 1, 21) AND substr(seq, start + 1, length(s)) = s)"""
+
+
+@registered(sql.query(*_UNITS, _ALIGNED, select="SELECT * FROM aligned"))
+def exact_alignments(spark: SparkSession, d: str) -> DataFrame:
+    _, units = _graph(spark, d)
+    return evaluation.exact_alignments(units.select(F.col("unitig_id").alias("contig_id"), "seq"), adapters.truths(spark, d))
+
+
+@registered(
+    sql.query(
+        *_UNITS,
+        _ALIGNED,
+        'bases AS (SELECT molecule, truth_class, count(*) AS n FROM (SELECT DISTINCT molecule, truth_class, unnest(range(start, "end")) AS x FROM aligned) GROUP BY ALL)',
+        select="SELECT molecule, truth_class, length(seq) AS length, coalesce(n, 0) AS covered, coalesce(n, 0) * 1000000 // length(seq) AS covered_ppm FROM truths LEFT JOIN bases USING (molecule, truth_class)",
+    )
+)
+def coverage_mask(spark: SparkSession, d: str) -> DataFrame:
+    _, units = _graph(spark, d)
+    truths = adapters.truths(spark, d)
+    found = evaluation.coverage(evaluation.exact_alignments(units.select(F.col("unitig_id").alias("contig_id"), "seq"), truths).select("molecule", "truth_class", "start", "end"), truths)
+    return found.select("molecule", "truth_class", "length", "covered", (F.col("fraction") * 1000000).cast("long").alias("covered_ppm"))
+
+
+@registered()
+def fitting_alignments(spark: SparkSession, d: str) -> DataFrame:
+    """Ambiguous or erroneous reads against the genome of their customer, strand by orientation of the mate."""
+    reads = adapters.reads(spark, d).filter("role = 'R1' AND seq LIKE '%N%'")
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("fragment_id"), F.col("o_custkey").alias("molecule"))
+    truths = adapters.truths(spark, d).filter("truth_class = 'primary'").select("molecule", F.col("seq").alias("truth"))
+    pairs = reads.join(orders, "fragment_id").join(truths, "molecule").select(F.col("fragment_id").alias("contig_id"), "molecule", "seq", "truth")
+    return evaluation.align(pairs)
