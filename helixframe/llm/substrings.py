@@ -6,7 +6,7 @@ GRAM-word grams with the smallest hash, so equal windows have equal anchors at e
 consecutive windows mostly share one. The consecutive windows of a document with one anchor are a
 segment: a suffix at the anchor, and the words before it that its windows need.
 
-1. Each segment is hashed (128 bits). Anchors whose gram occurs once are done: their windows are unique.
+1. Each segment is hashed (64 bits beside the 64 of its gram). Anchors whose gram occurs once are done: their windows are unique.
    Where all segments of a gram are equal, all their windows are repeated, and no text moves.
 2. For the others one segment of each distinct content is read (with its number of copies), and the
    suffixes are split into groups by their prefix, the gram; a prefix with more than HEAVY distinct
@@ -37,11 +37,11 @@ GROUP, HEAVY = 20_000, 20_000
 
 
 def _segments(texts: list[bytes], window: int) -> dict[str, np.ndarray]:
-    """Segments of some texts: row, start (word in its text), windows, before (words before the anchor), gram, and hi, lo of its content."""
+    """Segments of some texts: row, start (word in its text), windows, before (words before the anchor), gram, and a digest of its content."""
     data, firsts = joined(texts)
     starts, ends = word_spans(data)
     n, grams = len(starts), window - GRAM + 1
-    none = {k: np.zeros(0, np.int64) for k in ("row", "start", "windows", "before", "gram", "hi", "lo")}
+    none = {k: np.zeros(0, np.int64) for k in ("row", "start", "windows", "before", "gram", "seg")}
     if n < window:
         return none
     first_word = np.searchsorted(starts, firsts)
@@ -73,9 +73,9 @@ def _segments(texts: list[bytes], window: int) -> dict[str, np.ndarray]:
     np.cumsum(ends - starts + 1, out=place[1:])
     a, b = place[low].tolist(), (place[low + count + window - 1] - 1).tolist()
     digest = hashlib.blake2b
-    ids = np.frombuffer(b"".join([digest(body[x:y], digest_size=16).digest() for x, y in zip(a, b, strict=True)]), "<i8").reshape(-1, 2)
+    ids = np.frombuffer(b"".join([digest(body[x:y], digest_size=8).digest() for x, y in zip(a, b, strict=True)]), "<i8")
     of = row[low]
-    return {"row": of, "start": low - first_word[of], "windows": count, "before": anchor - low, "gram": gram[anchor].view(np.int64), "hi": ids[:, 0], "lo": ids[:, 1]}
+    return {"row": of, "start": low - first_word[of], "windows": count, "before": anchor - low, "gram": gram[anchor].view(np.int64), "seg": ids}
 
 
 def _read_segments(window: int):
@@ -83,8 +83,8 @@ def _read_segments(window: int):
         for batch, texts in slices(batches):
             s = _segments(texts, window)
             of = lambda name: batch.column(name).take(pa.array(s["row"]))
-            small = [pa.array(s[k].astype(np.int32)) for k in ("start", "windows", "before")]
-            yield pa.RecordBatch.from_arrays([of("k1"), of("k2"), *[pa.array(s[k].copy()) for k in ("gram", "hi", "lo")], *small], names=["k1", "k2", "gram", "hi", "lo", "start", "windows", "before"])
+            place = s["start"] << 16 | s["windows"] << 8 | s["before"]
+            yield pa.RecordBatch.from_arrays([of("k1"), of("k2"), *[pa.array(x) for x in (s["gram"], s["seg"].copy(), place)]], names=["k1", "k2", "gram", "seg", "place"])
 
     return read
 
@@ -95,7 +95,7 @@ def _cut_segments(window: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, wanted = utf8(batch.column("text")), batch.column("wanted").to_pylist()
-            out: dict[str, list] = {k: [] for k in ("gram", "hi", "lo", "windows", "before", "copies", "heavy", "words")}
+            out: dict[str, list] = {k: [] for k in ("gram", "seg", "windows", "before", "copies", "heavy", "words")}
             size = 0
             for text, segments in zip(texts, wanted, strict=True):
                 words = text.split()
@@ -114,8 +114,8 @@ def _cut_segments(window: int):
     return cut
 
 
-_KINDS = {"gram": pa.int64(), "hi": pa.int64(), "lo": pa.int64(), "windows": pa.int32(), "before": pa.int32(), "copies": pa.int64(), "heavy": pa.bool_(), "words": pa.binary()}
-_SCHEMA = "gram long, hi long, lo long, windows int, before int, copies long, heavy boolean, words binary"
+_KINDS = {"gram": pa.int64(), "seg": pa.int64(), "windows": pa.int32(), "before": pa.int32(), "copies": pa.int64(), "heavy": pa.bool_(), "words": pa.binary()}
+_SCHEMA = "gram long, seg long, windows int, before int, copies long, heavy boolean, words binary"
 
 
 def _batch(out: dict[str, list]) -> pa.RecordBatch:
@@ -160,7 +160,7 @@ def _grow(window: int):
             column = lambda k: t.column(k).to_numpy()
             mask = repeated_masks(column("gram"), t.column("words").to_pylist(), column("windows").astype(np.int64), column("before").astype(np.int64), column("copies"), window)
             at = np.flatnonzero(mask)
-            return pa.RecordBatch.from_arrays([pa.array(column("hi")[at]), pa.array(column("lo")[at]), pa.array(mask[at])], names=["hi", "lo", "mask"])
+            return pa.RecordBatch.from_arrays([pa.array(column("gram")[at]), pa.array(column("seg")[at]), pa.array(mask[at])], names=["gram", "seg", "mask"])
 
         kept, held = [], 0
         for batch in batches:
@@ -185,13 +185,13 @@ def _lengthen(window: int):
     def lengthen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for hi, lo, n, copies, body in zip(*(batch.column(k).to_pylist() for k in ("hi", "lo", "windows", "copies", "words")), strict=True):
+            for gram, seg, n, copies, body in zip(*(batch.column(k).to_pylist() for k in ("gram", "seg", "windows", "copies", "words")), strict=True):
                 words = body.split(b" ")
                 for k in range(n):
                     p = hashlib.blake2b(b" ".join(words[k : k + window]), digest_size=16).digest()
-                    rows.append((int.from_bytes(p[:8], "little", signed=True), int.from_bytes(p[8:], "little", signed=True), hi, lo, 1 << k, copies))
+                    rows.append((int.from_bytes(p[:8], "little", signed=True), int.from_bytes(p[8:], "little", signed=True), gram, seg, 1 << k, copies))
             columns = zip(*rows, strict=True) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["p1", "p2", "hi", "lo", "bit", "copies"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["p1", "p2", "gram", "seg", "bit", "copies"])
 
     return lengthen
 
@@ -199,28 +199,29 @@ def _lengthen(window: int):
 def repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """k1, k2 and found, an array of (start, mask): the repeated windows of a document from word `start` on.
 
-    `docs` has k1, k2 (long; they name a document, not null) and text. Documents without a repeat have no row.
+    `docs` has k1, k2 (long; they name a document, not null), row and text. Documents without a repeat have
+    no row. Steps that read the same exchange ask for the same columns, so that it is made once.
     """
     if not GRAM < window <= GRAM + 61:
         raise ValueError("window must be 9 to 69 words")
-    segments = docs.mapInArrow(_read_segments(window), "k1 long, k2 long, gram long, hi long, lo long, start int, windows int, before int")
-    grams = segments.groupBy("gram").agg(F.count("*").alias("n"), F.min("hi").alias("a"), F.max("hi").alias("b"), F.min("lo").alias("c"), F.max("lo").alias("d"))
-    live = segments.join(grams.filter("n > 1").select("gram", F.expr("a <> b OR c <> d").alias("mixed")), "gram")
-    every = F.expr("shiftleft(1L, windows) - 1")
-    copied = live.filter("NOT mixed").select("k1", "k2", "start", every.alias("mask"))
-    mixed = live.filter("mixed").drop("mixed")
-    one = mixed.groupBy("gram", "hi", "lo").agg(F.min(F.struct("k1", "k2", "start", "windows", "before")).alias("at"), F.count("*").alias("copies"))
+    segments = docs.select("k1", "k2", "text").mapInArrow(_read_segments(window), "k1 long, k2 long, gram long, seg long, place long")
+    grams = segments.groupBy("gram").agg(F.count("*").alias("n"), F.min("seg").alias("a"), F.max("seg").alias("b"))
+    live = segments.join(grams.filter("n > 1").select("gram", F.expr("a <> b").alias("mixed")), "gram")
+    one = live.filter("mixed").groupBy("gram", "seg").agg(F.min(F.struct("k1", "k2", "place")).alias("at"), F.count("*").alias("copies"))
     heavy = one.groupBy("gram").count().filter(F.col("count") > HEAVY).select("gram", F.lit(True).alias("heavy"))
-    wanted = one.join(heavy, "gram", "left").select("at.k1", "at.k2", F.struct("gram", "hi", "lo", "at.start", "at.windows", "at.before", "copies", F.coalesce("heavy", F.lit(False)).alias("heavy")).alias("s"))
-    lists = wanted.groupBy("k1", "k2").agg(F.collect_list("s").alias("wanted"))
-    cut = docs.join(lists, ["k1", "k2"]).select("text", "wanted").mapInArrow(_cut_segments(window), _SCHEMA)
-    grown = cut.filter("NOT heavy").drop("heavy").repartition("gram").sortWithinPartitions("gram").mapInArrow(_grow(window), "hi long, lo long, mask long")
-    long = cut.filter("heavy").mapInArrow(_lengthen(window), "p1 long, p2 long, hi long, lo long, bit long, copies long")
+    part = lambda low, bits: F.shiftright("at.place", low).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    wanted = F.struct("gram", "seg", F.shiftright("at.place", 16).alias("start"), part(8, 8).alias("windows"), part(0, 8).alias("before"), "copies", F.coalesce("heavy", F.lit(False)).alias("heavy"))
+    lists = one.join(heavy, "gram", "left").groupBy("at.k1", "at.k2").agg(F.collect_list(wanted).alias("wanted"))
+    cut = docs.join(lists, ["k1", "k2"]).select("row", "text", "wanted").mapInArrow(_cut_segments(window), _SCHEMA)
+    grown = cut.filter("NOT heavy").drop("heavy").repartition("gram").sortWithinPartitions("gram").mapInArrow(_grow(window), "gram long, seg long, mask long")
+    long = cut.filter("heavy").mapInArrow(_lengthen(window), "p1 long, p2 long, gram long, seg long, bit long, copies long")
     shared = long.groupBy("p1", "p2").agg(F.sum("copies").alias("n")).filter("n > 1").drop("n")
-    lengthened = long.join(shared, ["p1", "p2"]).select("hi", "lo", F.col("bit").alias("mask"))
-    masks = grown.unionByName(lengthened).groupBy("hi", "lo").agg(F.bit_or("mask").alias("mask"))
-    found = copied.unionByName(mixed.join(masks, ["hi", "lo"]).select("k1", "k2", "start", "mask"))
-    return found.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "mask")).alias("found"))
+    lengthened = long.join(shared, ["p1", "p2"]).select("gram", "seg", F.col("bit").alias("mask"))
+    masks = grown.unionByName(lengthened).groupBy("gram", "seg").agg(F.bit_or("mask").alias("mask"))
+    every = F.expr("shiftleft(1L, cast(shiftright(place, 8) & 255 AS int)) - 1")
+    told = live.join(masks, ["gram", "seg"], "left").withColumn("mask", F.when(F.col("mixed"), F.col("mask")).otherwise(every))
+    spans = told.filter("mask IS NOT NULL").select("k1", "k2", F.struct(F.shiftright("place", 16).alias("start"), "mask").alias("x"))
+    return spans.groupBy("k1", "k2").agg(F.collect_list("x").alias("found"))
 
 
 def _removed(n: int, found: list[dict] | None, window: int) -> np.ndarray:
@@ -254,13 +255,12 @@ def repeat_digests(docs: DataFrame, window: int = 35) -> DataFrame:
 def _joined(docs: DataFrame, window: int, columns: list[str], digest: bool) -> DataFrame:
     made = ["n_words", "n_removed", "kept_sha256" if digest else "kept"]
     columns = [c for c in columns if c not in made]
-    keyed = docs.select(*dict.fromkeys([*columns, "doc_id", "text"]))
+    inner = F.struct(*dict.fromkeys([*[c for c in columns if c != "text"], "doc_id"])).alias("row")
     k1, k2 = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.xxhash64("text", "doc_id")
-    row = keyed.select(F.struct(*columns).alias("row"), "text", k1.alias("k1"), k2.alias("k2"))
-    found = repeats(row.select("k1", "k2", "text"), window)
-    last = "string" if digest else "binary"
-    kept = row.select("row", "text", "k1", "k2").join(found, ["k1", "k2"], "left").select("row", "text", "found")
+    rows = docs.select(inner, "text", k1.alias("k1"), k2.alias("k2"))
+    kept = rows.join(repeats(rows, window), ["k1", "k2"], "left").select("row", "text", "found")
     kind = dict(kept.dtypes)["row"]
+    texts_too = not digest
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,7 +276,8 @@ def _joined(docs: DataFrame, window: int, columns: list[str], digest: bool) -> D
                     gone.append(0)
                 body = b" ".join(words)
                 bodies.append(hashlib.sha256(body).hexdigest() if digest else body)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(words_of, pa.int64()), pa.array(gone, pa.int64()), pa.array(bodies, pa.string() if digest else pa.binary())], names=["row", *made])
+            out = [batch.column("row"), pa.array(words_of, pa.int64()), pa.array(gone, pa.int64()), pa.array(bodies, pa.string() if digest else pa.binary())]
+            yield pa.RecordBatch.from_arrays(out + [batch.column("text")] * texts_too, names=["row", *made] + ["text"] * texts_too)
 
-    out = kept.mapInArrow(keep, f"row {kind}, n_words long, n_removed long, {made[2]} {last}")
-    return out.select("row.*", "n_words", "n_removed", F.col(made[2]).cast("string").alias(made[2]))
+    out = kept.mapInArrow(keep, f"row {kind}, n_words long, n_removed long, {made[2]} {'string' if digest else 'binary, text string'}")
+    return out.select(*[F.col("text") if c == "text" else F.col(f"row.{c}") for c in columns], "n_words", "n_removed", F.col(made[2]).cast("string").alias(made[2]))
