@@ -21,7 +21,7 @@ from helixframe.llm.common import SPACES, joined, mix, slices, span_hashes, word
 from helixframe.llm.labelled import labelled_texts
 
 #: Hash buckets of each bag, labelled documents per label that the fit sees at most, and the threshold.
-BUCKETS, SAMPLE, THRESHOLD = 1 << 16, 1500, 0.5
+BUCKETS, SAMPLE, THRESHOLD = 1 << 16, 700, 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -139,14 +139,17 @@ def fit(rows: list[tuple[str, int]], rounds: int = 60, rate: float = 4.0) -> Mod
         aside[:] = False
     train = np.flatnonzero(~aside)
     y = labels[train]
-    data, firsts = joined([texts[k] for k in train])
-    parts = []
-    for bucket, low, high in _bags(data, firsts):  # one entry per text and bucket, with its share of the bag
-        size = high - low
-        row = np.repeat(np.arange(len(train)), size)
-        item = np.arange(len(row)) + np.repeat(low - np.cumsum(size) + size, size)
-        code, count = np.unique(row * BUCKETS + bucket[item], return_counts=True)
-        parts.append((code // BUCKETS, code % BUCKETS, count / np.maximum(size, 1)[code // BUCKETS]))
+    held: list[list[tuple]] = [[], [], []]
+    for first in range(0, len(train), 100):  # one entry per text and bucket, with its share of the bag
+        data, firsts = joined([texts[k] for k in train[first : first + 100]])
+        for k, (bucket, low, high) in enumerate(_bags(data, firsts)):
+            size = high - low
+            row = np.repeat(np.arange(len(low)), size)
+            item = np.arange(len(row)) + np.repeat(low - np.cumsum(size) + size, size)
+            code, count = np.unique(row * BUCKETS + bucket[item], return_counts=True)
+            share = count / np.maximum(size, 1)[code // BUCKETS]
+            held[k].append(((code // BUCKETS + first).astype(np.int32), (code % BUCKETS).astype(np.int32), share.astype(np.float32)))
+    parts = [tuple(np.concatenate(x) for x in zip(*h, strict=True)) for h in held]
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     squares, bias_square = np.full((3, BUCKETS), 1e-12), 1e-12
     for _ in range(rounds):
