@@ -35,7 +35,7 @@ ORDER, DECAY, MARKING, FREQUENT, SAMPLE = 3, 0.9, 96, 16, 1500
 #: A kernel counts from FLOOR on, and to the power POWER (a product of kernels is one).
 FLOOR, POWER = 0.4, 4
 #: Longer words are read in overlapping parts of so many letters; a worker remembers so many words.
-LONGEST, MAX_WORDS = 32, 400_000
+LONGEST, MAX_WORDS = 32, 1_000_000
 
 _FOLD = np.zeros(256, np.uint8)
 _FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -96,10 +96,31 @@ class _Landmarks:
                 if place.setdefault(code, len(rows)) == len(rows):
                     rows.append(np.zeros(len(words), np.float32))
                 rows[place[code]][n] += weight
-        self.weights = np.array(rows) / np.sqrt(np.maximum(own, 1e-12)).astype(np.float32)
+        self.weights = np.ascontiguousarray((np.array(rows) / np.sqrt(np.maximum(own, 1e-12)).astype(np.float32)).T)
+        self.bit = np.where(self.letter > 0, np.uint64(1) << (self.letter % 64).astype(np.uint64), np.uint64(0))
+        self.masks = np.array([np.bitwise_or.reduce(self.bit[list(w)]) for w in words], np.uint64)
+        self.need = np.array([self._need(w, weight) for w, weight in zip(words, self.weights, strict=True)], np.int64)
         self.place = np.zeros(self.size**ORDER, np.int32)
         self.place[list(place)] = list(place.values())
 
+    def _need(self, word: bytes, weight: np.ndarray) -> int:
+        """How many of a landmark's letters a word must hold at least for a kernel of FLOOR (by Cauchy and Schwarz)."""
+        i, j, k, _ = _triples(len(word))
+        letters = np.array(sorted({int(x) for x in self.bit[list(word)]}), np.uint64)
+        if len(letters) > 10:
+            return ORDER
+        of = np.searchsorted(letters, self.bit[list(word)])
+        mass: dict[tuple, float] = {}
+        for a, b, c in zip(i.tolist(), j.tolist(), k.tolist(), strict=True):
+            mass[word[a], word[b], word[c]] = 1 << int(of[a]) | 1 << int(of[b]) | 1 << int(of[c])
+        total: dict[tuple, float] = {}
+        for a, b, c, w in zip(i.tolist(), j.tolist(), k.tolist(), _triples(len(word))[3].tolist(), strict=True):
+            total[word[a], word[b], word[c]] = total.get((word[a], word[b], word[c]), 0) + w
+        held, square = np.array([mass[t] for t in total]), np.array([total[t] ** 2 for t in total])
+        subsets = np.arange(1 << len(letters))
+        share = ((held[None, :] & ~subsets[:, None]) == 0) @ square / square.sum()
+        return int(np.bitwise_count(subsets[share >= FLOOR**2 * 0.999]).min())
+
     def codes(self, table: np.ndarray) -> np.ndarray:
         i, j, k, _ = _triples(table.shape[1])
         own = self.letter[table]
@@ -116,17 +137,20 @@ class _Landmarks:
             for first in range(0, len(group), step := max(1, 1 << 20 >> len(weight).bit_length())):
                 at = group[first : first + step]
                 table = np.frombuffer(b"".join([words[x] for x in at.tolist()]), np.uint8).reshape(-1, length)
-                found = self.place[self.codes(table)]
-                word, triple = np.nonzero(found)
-                if not len(word):
+                shared = np.bitwise_count(np.bitwise_or.reduce(self.bit[table], axis=1)[:, None] & self.masks[None, :]) >= self.need
+                hopeful = np.flatnonzero(shared.any(axis=1))
+                if not len(hopeful):
                     continue
-                start = np.flatnonzero(np.diff(word, prepend=-1))
-                kernel = np.add.reduceat(self.weights[found[word, triple]] * weight[triple][:, None], start, axis=0)
+                at, table, shared = at[hopeful], table[hopeful], shared[hopeful]
+                found = self.place[self.codes(table)]
+                kernel = np.zeros(shared.shape, np.float32)
+                for n, own in enumerate(self.weights):
+                    if len(rows := np.flatnonzero(shared[:, n])):
+                        kernel[rows, n] = own[found[rows]] @ weight
                 near = np.flatnonzero((kernel >= FLOOR * least**0.5).any(axis=1))
                 if len(near):
-                    of = word[start[near]]
-                    value = kernel[near] / np.sqrt(_own(table[of]))[:, None]
-                    out[at[of]] = np.where(value >= FLOOR, np.minimum(value, 1) ** POWER, 0)
+                    value = kernel[near] / np.sqrt(_own(table[near]))[:, None]
+                    out[at[near]] = np.where(value >= FLOOR, np.minimum(value, 1) ** POWER, 0)
         for n in np.flatnonzero(lengths > LONGEST):
             parts = [words[n][a : a + LONGEST] for a in range(0, len(words[n]) - LONGEST // 2, LONGEST // 2)]
             out[n] = self.similarities(parts).max(axis=0)
@@ -174,27 +198,34 @@ def sentence_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 class _Memory:
-    """The landmark similarities (in 255ths) of the words that a worker has met."""
+    """The words that a worker has met, and the landmark similarities (in 255ths) of those that have any; row 0 is for the others."""
 
     def __init__(self, landmarks: list[bytes]):
         self.landmarks, self.kernel = landmarks, _Landmarks(landmarks)
-        self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros((0, len(landmarks)), np.uint8)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.place, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros((1, len(self.landmarks)), np.uint8)
 
     def of(self, folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The row of each word."""
         own = span_hashes(folded, starts, ends)
         distinct, first, inverse = np.unique(own, return_index=True, return_inverse=True)
         if len(self.hashes) > MAX_WORDS:
-            self.__init__(self.landmarks)
+            self._forget()
         at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
         known = self.hashes[at] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
         if not known.all():
             buffer, new = folded.tobytes(), np.flatnonzero(~known)
             a, b = starts[first[new]].tolist(), ends[first[new]].tolist()
             found = np.rint(self.kernel.similarities([buffer[x:y] for x, y in zip(a, b, strict=True)]) * 255).astype(np.uint8)
+            some = found.any(axis=1)
+            place = np.where(some, len(self.rows) - 1 + np.cumsum(some), 0).astype(np.int32)
+            self.rows = np.concatenate([self.rows, found[some]])
             order = np.argsort(every := np.concatenate([self.hashes, distinct[new]]), kind="stable")
-            self.hashes, self.rows = every[order], np.concatenate([self.rows, found])[order]
+            self.hashes, self.place = every[order], np.concatenate([self.place, place])[order]
             at = np.searchsorted(self.hashes, distinct)
-        return self.rows[at][inverse]
+        return self.place[at][inverse]
 
 
 @lru_cache(1)
@@ -211,23 +242,25 @@ class Model:
     shift: float = 0.0
 
     def margins(self, texts: list[bytes], memory: _Memory) -> np.ndarray:
-        """Each text's largest sentence margin; a text without words has the margin of no similarity at all."""
-        out = np.full(len(texts), -np.inf)
+        """Each text's largest sentence margin, and at least that of a sentence without any similar word."""
+        out = np.full(len(texts), self.bias)
         pooled, text = pool(texts, memory)
         np.maximum.at(out, text, _margins(pooled, self.weights, self.bias))
-        return np.where(np.isfinite(out), out, self.bias)
+        return out
 
     def scores(self, texts: list[bytes], memory: _Memory) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts, memory) + self.shift, -40, 40)))
 
 
 def pool(texts: list[bytes], memory: _Memory) -> tuple[np.ndarray, np.ndarray]:
-    """Each sentence's largest similarities (in 255ths), and its text."""
+    """The largest similarities (in 255ths) of each sentence that has any, and its text."""
     folded, starts, ends, sentence, text = sentence_words(texts)
-    if not len(starts):
-        return np.zeros((0, len(memory.landmarks)), np.uint8), text
-    rows = memory.of(folded, starts, ends)
-    return np.maximum.reduceat(rows, np.flatnonzero(np.diff(sentence, prepend=-1)), axis=0), text
+    rows = memory.of(folded, starts, ends) if len(starts) else np.zeros(0, np.int32)
+    similar = np.flatnonzero(rows)
+    if not len(similar):
+        return np.zeros((0, len(memory.landmarks)), np.uint8), text[:0]
+    first = np.flatnonzero(np.diff(sentence[similar], prepend=-1))
+    return np.maximum.reduceat(memory.rows[rows[similar]], first, axis=0), text[sentence[similar[first]]]
 
 
 def _pool_in_parts(texts: list[bytes], memory: _Memory, size: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
@@ -303,13 +336,14 @@ def fit(rows: list[tuple[str, int]], passes: int = 3) -> Model:
         toxic = x[y > 0]
         mark = np.argmax(toxic, axis=1)
         gapped = np.where(toxic > 0.6, spoiled[mark], np.maximum(toxic, spoiled[mark]))[toxic.max(axis=1) > 0.6]
-        w, bias = _machine(np.concatenate([x, gapped]) @ nystroem, np.concatenate([y, np.ones(len(gapped))]))
+        clean = np.zeros((int((labels == 0).sum()), len(marks)))  # of each clean document a sentence without any similar word
+        w, bias = _machine(np.concatenate([x, gapped, clean]) @ nystroem, np.concatenate([y, np.ones(len(gapped)), -np.ones(len(clean))]))
         weights = nystroem @ w
         margin = _margins(pooled, weights, bias)
     model = Model(marks, weights, bias)
-    found = np.full(len(texts), -np.inf)
+    found = np.full(len(texts), bias)
     np.maximum.at(found, text, margin)
-    model.slope, model.shift = platt(np.where(np.isfinite(found), found, bias), labels)
+    model.slope, model.shift = platt(found, labels)
     return model
 
 
