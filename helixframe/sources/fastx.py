@@ -151,11 +151,12 @@ def records(spark: SparkSession, declared: DataFrame) -> DataFrame:
     read = spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(_parse, _RECORD)
     plain = F.regexp_replace("path", "^[a-z0-9]+:/+(?=[^/])", "/")
     named = declared.select("lane", F.col("role").alias("role"), F.regexp_replace("path", "^[a-z0-9]+:/+(?=[^/])", "/").alias("plain"))
-    rows = read.withColumn("plain", plain).join(F.broadcast(named), "plain")
+    rows = named.join(read.withColumn("plain", plain), "plain", "left")  # a file without bytes has no row of its own
     seq = F.upper("seq")
     stated = header_role(F.col("header"))
     wrong = (
         F.when(F.col("error").isNotNull(), F.col("error"))
+        .when(F.col("idx").isNull(), "no records")
         .when(F.length("seq") == 0, "empty sequence")
         .when(~seq.rlike(f"^[{dna.IUPAC}]+$"), "invalid nucleotide")
         .when(F.col("qual").isNotNull() & ~F.col("qual").rlike("^[!-~]+$"), "invalid quality")
