@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.durable import cut_lineage
 from helixframe.llm.common import joined, mix, slices, span_hashes, utf8, word_spans
 
 #: Words of an anchor's gram.
@@ -206,8 +207,10 @@ def repeats(docs: DataFrame, window: int = 35) -> DataFrame:
         raise ValueError("window must be 9 to 69 words")
     segments = docs.select("k1", "k2", "text").mapInArrow(_read_segments(window), "k1 long, k2 long, gram long, seg long, place long")
     grams = segments.groupBy("gram").agg(F.count("*").alias("n"), F.min("seg").alias("a"), F.max("seg").alias("b"))
-    live = segments.join(grams.filter("n > 1").select("gram", F.expr("a <> b").alias("mixed")), "gram")
-    one = live.filter("mixed").groupBy("gram", "seg").agg(F.min(F.struct("k1", "k2", "place")).alias("at"), F.count("*").alias("copies"))
+    # A hot gram must not bind the next steps to its task: they go by (mix, seg), which names the same pairs.
+    mix = F.col("gram").bitwiseXOR(F.col("seg"))
+    live = cut_lineage(segments.join(grams.filter("n > 1").select("gram", F.expr("a <> b").alias("mixed")), "gram").select("k1", "k2", mix.alias("mix"), "seg", "place", "mixed"))
+    one = live.filter("mixed").groupBy("mix", "seg").agg(F.min(F.struct("k1", "k2", "place")).alias("at"), F.count("*").alias("copies")).withColumn("gram", F.col("mix").bitwiseXOR(F.col("seg")))
     heavy = one.groupBy("gram").count().filter(F.col("count") > HEAVY).select("gram", F.lit(True).alias("heavy"))
     part = lambda low, bits: F.shiftright("at.place", low).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
     wanted = F.struct("gram", "seg", F.shiftright("at.place", 16).alias("start"), part(8, 8).alias("windows"), part(0, 8).alias("before"), "copies", F.coalesce("heavy", F.lit(False)).alias("heavy"))
@@ -217,10 +220,10 @@ def repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     long = cut.filter("heavy").mapInArrow(_lengthen(window), "p1 long, p2 long, gram long, seg long, bit long, copies long")
     shared = long.groupBy("p1", "p2").agg(F.sum("copies").alias("n")).filter("n > 1").drop("n")
     lengthened = long.join(shared, ["p1", "p2"]).select("gram", "seg", F.col("bit").alias("mask"))
-    masks = grown.unionByName(lengthened).groupBy("gram", "seg").agg(F.bit_or("mask").alias("mask"))
+    masks = grown.unionByName(lengthened).select(mix.alias("mix"), "seg", "mask").groupBy("mix", "seg").agg(F.bit_or("mask").alias("mask"))
     every = F.expr("shiftleft(1L, cast(shiftright(place, 8) & 255 AS int)) - 1")
-    told = live.join(masks, ["gram", "seg"], "left").withColumn("mask", F.when(F.col("mixed"), F.col("mask")).otherwise(every))
-    spans = told.filter("mask IS NOT NULL").select("k1", "k2", F.struct(F.shiftright("place", 16).alias("start"), "mask").alias("x"))
+    told = live.filter("mixed").join(masks, ["mix", "seg"]).select("k1", "k2", "place", "mask").unionByName(live.filter("NOT mixed").select("k1", "k2", "place", every.alias("mask")))
+    spans = told.select("k1", "k2", F.struct(F.shiftright("place", 16).alias("start"), "mask").alias("x"))
     return spans.groupBy("k1", "k2").agg(F.collect_list("x").alias("found"))
 
 
