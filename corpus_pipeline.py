@@ -11,17 +11,20 @@ from pyspark.sql import functions as F
 
 from helixframe.durable import cut_lineage
 from helixframe.llm import packing, quality, simhash, substrings, toxicity
+from helixframe.llm.common import small_batches
 from helixframe.llm.queries import table, vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the string kernel machine rejects go."""
+    small_batches(spark)
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.toxicity(docs, model, tuple(docs.columns)).filter("predicted = 0").select(*docs.columns)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
+    small_batches(spark)
     model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality.quality(docs, model, keep=tuple(docs.columns)).filter("kept").select(*docs.columns)
 
@@ -35,6 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 35 words and more that also stand elsewhere are cut out of every text."""
+    small_batches(spark)
     cut = substrings.remove_repeats(docs)
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept"))
     made = {"text": text, "n_chars": F.length(text).cast(dict(docs.dtypes).get("n_chars", "bigint"))}

@@ -7,7 +7,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The bytes that separate words: space and 0x09 to 0x0D. ``bytes.split()`` splits at the same ones.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -100,3 +101,19 @@ def ddl(df: DataFrame, *names: str) -> str:
     """The DDL of some columns of `df`, for the schema of a mapInArrow."""
     types = dict(df.dtypes)
     return ", ".join(f"`{n}` {types[n]}" for n in names)
+
+
+def row_and_text(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """`row`, a struct of the columns to keep but the text, and `text`: so that a text is sent to a worker once."""
+    others = [c for c in keep if c != "text"]
+    return df.select((F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))).alias("row"), "text")
+
+
+def kept_columns(keep: tuple[str, ...]) -> list:
+    """The kept columns of what a worker gave back for `row_and_text`."""
+    return [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in keep]
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let this session send at most so many rows to a Python worker at once: whole texts are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

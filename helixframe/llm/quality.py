@@ -15,9 +15,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from helixframe.llm.common import SPACES, joined, mix, slices, span_hashes, word_spans
+from helixframe.llm.common import SPACES, joined, kept_columns, mix, row_and_text, slices, span_hashes, word_spans
 from helixframe.llm.labelled import labelled_texts
 
 #: Hash buckets of each bag, labelled documents per label that the fit sees at most, and the threshold.
@@ -179,10 +178,10 @@ def quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: t
 
     A text fails the base rules with fewer than 50 words or if over half of its words repeat; else the
     model decides. Null texts have no words, so they fail. Repeated rows stay repeated; null ids and
-    other columns pass through.
+    other columns pass through, but those named like a result are replaced.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    given = docs.select(F.struct(*keep).alias("row"), "text")
+    given, texts_too = row_and_text(docs, keep), "text" in keep
     kind = dict(given.dtypes)["row"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +190,8 @@ def quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: t
             failed = (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"])
             p = model.probabilities(texts)
             columns = [batch.column("row"), *[pa.array(counts[k]) for k in made], pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", *made, "base_failed", "probability", "kept"])
+            yield pa.RecordBatch.from_arrays(columns + [batch.column("text")] * texts_too, names=["row", *made, "base_failed", "probability", "kept"] + ["text"] * texts_too)
 
-    schema = f"row {kind}, {', '.join(f'{k} long' for k in made)}, base_failed boolean, probability double, kept boolean"
-    return given.mapInArrow(score, schema).select("row.*", *made, "base_failed", "probability", "kept")
+    schema = f"row {kind}, {', '.join(f'{k} long' for k in made)}, base_failed boolean, probability double, kept boolean" + ", text string" * texts_too
+    keep = tuple(c for c in keep if c not in (*made, "base_failed", "probability", "kept"))
+    return given.mapInArrow(score, schema).select(*kept_columns(keep), *made, "base_failed", "probability", "kept")

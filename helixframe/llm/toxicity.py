@@ -24,9 +24,8 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from helixframe.llm.common import SPACES, joined, slices, span_hashes, word_spans
+from helixframe.llm.common import SPACES, joined, kept_columns, row_and_text, slices, span_hashes, word_spans
 from helixframe.llm.labelled import fold, labelled_texts
 from helixframe.llm.quality import platt
 
@@ -357,15 +356,18 @@ def toxicity(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     """The kept columns with score (0 to 1) and predicted (1 from 0.5 on).
 
     Null texts count as empty and score as a text without a similar word. Repeated rows stay repeated;
-    null ids and other columns pass through.
+    null ids and other columns pass through, but those named like a result are replaced.
     """
-    given = docs.select(F.struct(*keep).alias("row"), "text")
+    given, texts_too = row_and_text(docs, keep), "text" in keep
     kind = dict(given.dtypes)["row"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _remembered(tuple(model.landmarks))
         for batch, texts in slices(batches):
             p = model.scores(texts, memory)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["row", "score", "predicted"])
+            columns = [batch.column("row"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))] + [batch.column("text")] * texts_too
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "score", "predicted"] + ["text"] * texts_too)
 
-    return given.mapInArrow(score, f"row {kind}, score double, predicted int").select("row.*", "score", "predicted")
+    schema = f"row {kind}, score double, predicted int" + ", text string" * texts_too
+    keep = tuple(c for c in keep if c not in ("score", "predicted"))
+    return given.mapInArrow(score, schema).select(*kept_columns(keep), "score", "predicted")
