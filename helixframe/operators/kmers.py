@@ -39,12 +39,15 @@ def windows(reads: DataFrame, k: int, minimum_quality: int = 20) -> DataFrame:
     Reads shorter than k have none. A window with both faults is a class of its own.
     """
     seq = F.upper("seq")
-    placed = reads.filter(F.length("seq") >= k).select("fragment_id", "lane", "role", seq.alias("seq"), ambiguity_mask(seq).alias("n"), quality_mask(seq, F.col("qual"), minimum_quality).alias("q"), F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("pos"))
+    # Once per read, below the generator: masks, whether they mark anything, and the reverse complement.
+    masked = reads.filter(F.length("seq") >= k).select("fragment_id", "lane", "role", seq.alias("seq"), dna.revcomp(seq).alias("back"), ambiguity_mask(seq).alias("n"), quality_mask(seq, F.col("qual"), minimum_quality).alias("q"))
+    known = masked.withColumn("any_n", F.instr("n", "1") > 0).withColumn("any_q", F.instr("q", "1") > 0)
+    placed = known.select("*", F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("pos"))
     part = lambda c: F.substr(F.col(c), F.col("pos") + 1, F.lit(k))
-    n, q = F.instr(part("n"), "1") > 0, F.instr(part("q"), "1") > 0
+    n, q = F.col("any_n") & (F.instr(part("n"), "1") > 0), F.col("any_q") & (F.instr(part("q"), "1") > 0)
     kind = F.when(n & q, "ambiguity_and_quality").when(n, "ambiguity_only").when(q, "quality_only").otherwise("accepted")
-    cut = placed.select("fragment_id", "lane", "role", "pos", part("seq").alias("window"), kind.alias("class"))
-    return cut.withColumn("kmer", F.when(F.col("class") == "accepted", dna.canonical("window")))
+    back = F.substr("back", F.length("seq") - F.col("pos") - k + 1, F.lit(k))
+    return placed.select("fragment_id", "lane", "role", "pos", part("seq").alias("window"), F.when(~n & ~q, F.least(part("seq"), back)).alias("kmer"), kind.alias("class"))
 
 
 def window_stats(reads: DataFrame, k: int, minimum_quality: int = 20) -> DataFrame:
@@ -53,13 +56,13 @@ def window_stats(reads: DataFrame, k: int, minimum_quality: int = 20) -> DataFra
     return windows(reads, k, minimum_quality).agg(F.count("*").alias("possible"), *map(of, ("accepted", "ambiguity_only", "quality_only", "ambiguity_and_quality")))
 
 
-def _accepted(read: Column, k: int, minimum_quality: int) -> Column:
-    """The canonical accepted k-mers of a read struct, as an array."""
-    seq, n = F.upper(read["seq"]), F.length(read["seq"])
-    faults = F.concat(ambiguity_mask(seq), F.lit("|"), quality_mask(seq, read["qual"], minimum_quality))
-    at = F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1)))
-    clean = F.filter(at, lambda i: (n >= k) & (F.instr(F.substr(faults, i, F.lit(k)), "1") == 0) & (F.instr(F.substr(faults, i + n + 1, F.lit(k)), "1") == 0))
-    return F.transform(clean, lambda i: dna.canonical(F.substr(seq, i, F.lit(k))))
+def _accepted(read: Column, k: int) -> Column:
+    """The canonical accepted k-mers of a struct of upper-case bases s, their reverse complement r and masks n and q, as an array."""
+    at = F.when(F.length(read["s"]) >= k, F.sequence(F.lit(1), F.length(read["s"]) - k + 1)).otherwise(F.array().cast("array<int>"))
+    sound = lambda c, i: F.instr(F.substr(read[c], i, F.lit(k)), "1") == 0
+    faulty = (F.instr(read["n"], "1") > 0) | (F.instr(read["q"], "1") > 0)
+    clean = F.when(faulty, F.filter(at, lambda i: sound("n", i) & sound("q", i))).otherwise(at)
+    return F.transform(clean, lambda i: F.least(F.substr(read["s"], i, F.lit(k)), F.substr(read["r"], F.length(read["s"]) - i - k + 2, F.lit(k))))
 
 
 def count_kmers(frags: DataFrame, k: int, minimum_quality: int = 20, unit: str = "fragment") -> DataFrame:
@@ -68,7 +71,8 @@ def count_kmers(frags: DataFrame, k: int, minimum_quality: int = 20, unit: str =
         return windows(reads_of(frags), k, minimum_quality).filter("kmer IS NOT NULL").groupBy("kmer").agg(F.count("*").alias("support"))
     if unit != "fragment":
         raise ValueError("unit is 'fragment' or 'occurrence'")
-    found = F.array_distinct(F.flatten(F.transform("reads", lambda r: _accepted(r, k, minimum_quality))))
+    masked = lambda r: F.struct(F.upper(r["seq"]).alias("s"), dna.revcomp(F.upper(r["seq"])).alias("r"), ambiguity_mask(F.upper(r["seq"])).alias("n"), quality_mask(r["seq"], r["qual"], minimum_quality).alias("q"))
+    found = F.array_distinct(F.flatten(F.transform(F.transform("reads", masked), lambda r: _accepted(r, k))))
     return frags.select(F.explode(found).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("support"))
 
 
