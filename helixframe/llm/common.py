@@ -16,7 +16,7 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 
 #: Texts are worked on in slices of about this many bytes, so that a task's memory does not depend on the batch size.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = 0x9E3779B97F4A7C15 | 1

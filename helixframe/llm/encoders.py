@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 #: At most so many remembered pieces in a worker; beyond that the long ones are forgotten first.
-MAX_WORDS = 300_000
+MAX_WORDS = 150_000
 #: The pattern that splits text before the merges of byte-level vocabularies (a fixed value of the vocabulary).
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _ODD = re.compile(r"[^\S ] | [^\S ]|  |\A | \Z")
