@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: So many labels are broadcast at most; more are an error.
+MAX_LABELS = 4096
+
+
 def fold(parts: int, column: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo `parts`."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(parts))
@@ -19,6 +23,10 @@ def sample(rows: DataFrame, label: str, bound: int) -> DataFrame:
     """
     known = rows.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     counts = known.groupBy(label).agg(F.count("*").alias("of_label"))
+    found = counts.limit(MAX_LABELS + 1).collect()
+    if len(found) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels in {label}")
+    counts = F.broadcast(rows.sparkSession.createDataFrame(found, counts.schema))
     share = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return known.join(counts, label).filter(share * F.col("of_label") < bound).drop("of_label")
 

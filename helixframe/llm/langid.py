@@ -197,7 +197,8 @@ def fit(rows: list[tuple[str, str]]) -> Model:
 def train(docs: DataFrame, bound: int = SAMPLE) -> Model:
     """The model of a bounded sample (at most about `bound` documents of each language) of the rows that are not held out."""
     known = docs.filter(fold(4) != 2).filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    return fit([(r["text"], r["lang"]) for r in sample(known, "lang", bound).orderBy("doc_id", "lang", "text").collect()])
+    rows = sample(known, "lang", bound).select("doc_id", "text", "lang").collect()
+    return fit([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"]))])
 
 
 def labelled_words(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -222,7 +223,7 @@ def languages(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, k = [*model.languages, "und"], len(model.languages)
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, size=4 << 20):
             _, _, labels, letters, first, _ = labelled_words(texts, model)
             row = np.repeat(np.arange(len(texts)), np.diff(first))
             held = np.bincount(row * (k + 1) + labels, weights=letters, minlength=len(texts) * (k + 1)).reshape(len(texts), k + 1)
@@ -239,7 +240,7 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, size=4 << 20):
             starts, ends, labels, _, first, _ = labelled_words(texts, model)
             buffer = joined(texts)[0].tobytes()
             rows: dict[str, list] = {k: [] for k in ("row", "span_no", "lang", "start_word", "n_words", "text")}
