@@ -193,7 +193,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     members = connected_components(links(distinct))
     labelled = distinct.join(members.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    # Cut off, so that the join by component is not bound to this aggregate's partitions and can be split.
+    least = cut_lineage(labelled.groupBy("component").agg(F.min("least").alias("component_id")))
     of = labelled.join(least, "component").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(of, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
