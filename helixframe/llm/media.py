@@ -6,7 +6,8 @@ again where a header is broken. Durations stay exact, as samples and a sampling
 
 `store` writes bytes as a valid layer III stream: silent frames (all side information zero) that carry
 the bytes as ancillary data, behind a two-byte length; long inputs take large frames and the rest small
-ones, so the bitrate varies and the stream starts with a table of it.
+ones, so the bitrate varies and the stream starts with a table of it. A frame without bytes comes last, so
+that no payload stands where players and `parse` look for tags, 128 and 32 bytes before the end.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ RATES = [44100, 48000, 32000]
 
 #: Bytes that a payload is padded to a multiple of, and those in a large frame.
 BLOCK, LARGE = 192, 768
+#: Kilobits a second of the last frame, which then has 144 bytes: an ID3v1 tag would take 128.
+LAST = 48
 
 
 @lru_cache(4096)
@@ -209,9 +212,11 @@ def write(payload: bytes) -> bytes:
         for _ in range(count):
             parts += (start, payload[at : at + size], rest)
             at += size
+    start, length = _frame(LAST)
+    parts += (start, bytes(length - len(start)))
     audio = b"".join(parts)
     start, length = _frame(128)
-    total, count = length + len(audio), large + small
+    total, count = length + len(audio), large + small + 1
     big, little = _frame(320)[1], _frame(80)[1]
     toc = bytes(min(255, (length + min(k * count // 100, large) * big + max(0, k * count // 100 - large) * little) * 256 // total) for k in range(100))
     table = b"Xing" + struct.pack(">III", 7, count, total) + toc

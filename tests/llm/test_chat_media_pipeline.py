@@ -54,6 +54,20 @@ def test_stored_bytes_come_back(text):
     assert found["table"]["bytes"] == len(stream) - (10 + stream[8] * 128 + stream[9])
 
 
+@pytest.mark.parametrize("blocks", [1, 2, 3, 4, 5])
+def test_letters_of_end_tags_in_a_text_are_no_tags(blocks):
+    for size in (media.BLOCK, media.LARGE):
+        for sign in (b"TAG", b"APETAGEX" + b"\xff" * 24, b"APETAGEX" + b"\x00" * 24):
+            for at in {87, 183, *range(max(0, size - 170), size - 2, 3)}:
+                text = bytearray(b"x" * (media.BLOCK * blocks))
+                start = min(max(0, len(text) - size) + at, len(text))
+                text[start : start + len(sign)] = sign[: len(text) - start]
+                stream = media.write(bytes(text))
+                found = media.parse(stream)
+                assert media.read(stream, found) == bytes(text)
+                assert (found["failed"], found["skipped"], found["tags"], found["table"]["frames"]) == (0, 0, ["ID3v2"], len(found["frames"]))
+
+
 def test_damaged_streams_are_resynchronised():
     payload = media.padded(b"some words " * 900)
     stream = bytearray(media.write(payload))
