@@ -18,24 +18,28 @@ def transition_ledger(reads: DataFrame, k: int, minimum_quality: int = 20) -> Da
     return seen.groupBy(F.col("kmer").alias("qmer")).agg(F.sum("n").alias("occurrences"), F.count("*").alias("fragments"))
 
 
-def _interior(units: DataFrame, k: int) -> DataFrame:
-    """unitig_id, step, qmer: the transitions inside linear unitigs, and around closed ones."""
+def _interior(units: DataFrame, k: int, *key: str) -> DataFrame:
+    """unitig_id, other key columns, step, qmer: the transitions inside linear walks, and around closed ones (the last is the closure)."""
     ring = F.when(F.col("topology") == "linear", F.col("seq")).otherwise(F.concat("seq", F.substr("seq", F.lit(k), F.lit(1))))
-    rows = units.select("unitig_id", ring.alias("s")).filter(F.length("s") > k)
-    return rows.select("unitig_id", F.explode(F.sequence(F.lit(1), F.length("s") - k)).alias("step"), "s").select("unitig_id", "step", dna.canonical(F.substr("s", F.col("step"), F.lit(k + 1))).alias("qmer"))
+    rows = units.select("unitig_id", *key, ring.alias("s")).filter(F.length("s") > k)
+    return rows.select("unitig_id", *key, F.explode(F.sequence(F.lit(1), F.length("s") - k)).alias("step"), "s").select("unitig_id", *key, "step", dna.canonical(F.substr("s", F.col("step"), F.lit(k + 1))).alias("qmer"))
 
 
 def witnessed_segments(units: DataFrame, ledger: DataFrame, k: int) -> DataFrame:
-    """unitig_id, segment_no, first_step, edge_steps, seq: linear unitigs cut wherever no read shows the transition.
+    """unitig_id, segment_no, first_step, edge_steps, topology, seq: unitigs cut wherever no read shows the transition.
 
-    A step is an edge; transition s lies between edges s and s+1. Nothing is joined again afterwards.
+    A step is an edge; transition s lies between edges s and s+1. A closed walk stays closed only if all its
+    transitions and its closure are shown; else its segments are linear. Nothing is joined again afterwards.
     """
-    linear = units.filter("topology = 'linear'")
-    cuts = _interior(linear, k).join(ledger.select("qmer"), "qmer", "left_anti").groupBy("unitig_id").agg(F.array_sort(F.collect_list("step")).alias("cuts"))
-    split = linear.join(cuts, "unitig_id", "left").withColumn("edges", F.length("seq") - (k - 1)).withColumn("firsts", F.concat(F.array(F.lit(0)), F.coalesce("cuts", F.array().cast("array<int>"))))
-    parts = split.select("unitig_id", "seq", "edges", "firsts", F.posexplode("firsts").alias("segment_no", "first_step"))
+    missing = _interior(units, k).join(ledger.select("qmer"), "qmer", "left_anti").groupBy("unitig_id").agg(F.array_sort(F.collect_list("step")).alias("missing"))
+    every = units.join(missing, "unitig_id", "left").withColumn("edges", F.length("seq") - (k - 1)).withColumn("missing", F.coalesce("missing", F.array().cast("array<int>")))
+    topology = F.when(F.size("missing") == 0, F.col("topology")).otherwise("linear")
+    # the closure is no place to cut: it is the transition after the last edge
+    firsts = F.concat(F.array(F.lit(0)), F.filter("missing", lambda s: s < F.col("edges")))
+    split = every.select("unitig_id", "seq", "edges", topology.alias("topology"), firsts.alias("firsts"))
+    parts = split.select("*", F.posexplode("firsts").alias("segment_no", "first_step"))
     last = F.coalesce(F.get("firsts", F.col("segment_no") + 1), F.col("edges"))
-    return parts.select("unitig_id", "segment_no", "first_step", (last - F.col("first_step")).alias("edge_steps"), F.substr("seq", F.col("first_step") + 1, last - F.col("first_step") + (k - 1)).alias("seq"))
+    return parts.select("unitig_id", "segment_no", "first_step", (last - F.col("first_step")).alias("edge_steps"), "topology", F.substr("seq", F.col("first_step") + 1, last - F.col("first_step") + (k - 1)).alias("seq"))
 
 
 def transition_decisions(ledger: DataFrame, units: DataFrame, linked: DataFrame, retained: DataFrame, k: int) -> DataFrame:
@@ -59,17 +63,15 @@ def transition_decisions(ledger: DataFrame, units: DataFrame, linked: DataFrame,
 
 
 def unsupported_adjacencies(segments: DataFrame, ledger: DataFrame, k: int) -> DataFrame:
-    """Transitions inside segments without a ledger row: empty if all is well."""
-    rows = segments.filter(F.length("seq") > k).select(F.explode(F.sequence(F.lit(1), F.length("seq") - k)).alias("i"), "seq")
-    return rows.select(dna.canonical(F.substr("seq", F.col("i"), F.lit(k + 1))).alias("qmer")).join(ledger, "qmer", "left_anti").distinct()
+    """Transitions inside segments, and around closed ones, without a ledger row: empty if all is well."""
+    return _interior(segments, k).select("qmer").join(ledger, "qmer", "left_anti").distinct()
 
 
 def segment_evidence(segments: DataFrame, ledger: DataFrame, k: int) -> DataFrame:
-    """unitig_id, segment_no, transitions, occurrences, fragments (sums over its inner transitions)."""
-    rows = segments.filter(F.length("seq") > k).select("unitig_id", "segment_no", F.explode(F.sequence(F.lit(1), F.length("seq") - k)).alias("i"), "seq")
-    told = rows.select("unitig_id", "segment_no", dna.canonical(F.substr("seq", F.col("i"), F.lit(k + 1))).alias("qmer")).join(ledger, "qmer")
-    sums = told.groupBy("unitig_id", "segment_no").agg(F.count("*").alias("transitions"), F.sum("occurrences").alias("occurrences"), F.sum("fragments").alias("fragments"))
-    return segments.select("unitig_id", "segment_no").join(sums, ["unitig_id", "segment_no"], "left").na.fill(0, ["transitions", "occurrences", "fragments"])
+    """unitig_id, segment_no, topology, transitions, occurrences, fragments (sums over its inner transitions; a closure is a link and not among them)."""
+    inner = _interior(segments.withColumn("topology", F.lit("linear")), k, "segment_no")
+    sums = inner.join(ledger, "qmer").groupBy("unitig_id", "segment_no").agg(F.count("*").alias("transitions"), F.sum("occurrences").alias("occurrences"), F.sum("fragments").alias("fragments"))
+    return segments.select("unitig_id", "segment_no", "topology").join(sums, ["unitig_id", "segment_no"], "left").na.fill(0, ["transitions", "occurrences", "fragments"])
 
 
 def _embedded(lower: DataFrame, higher: DataFrame, k: int, higher_k: int) -> DataFrame:

@@ -321,7 +321,7 @@ def transition_ledger(spark: SparkSession, d: str) -> DataFrame:
 @registered(sql.query(*_UNITS, sql.ledger(K), sql.interior(K), sql.segments(K), select="SELECT * FROM segments"))
 def witnessed_segments(spark: SparkSession, d: str) -> DataFrame:
     _, units = _graph(spark, d)
-    return evidence.witnessed_segments(units, evidence.transition_ledger(adapters.reads(spark, d), K, QUALITY), K)
+    return evidence.witnessed_segments(units, evidence.transition_ledger(adapters.reads(spark, d), K, QUALITY), K).drop("topology")
 
 
 @registered(
@@ -338,7 +338,7 @@ def witnessed_segments(spark: SparkSession, d: str) -> DataFrame:
 def segment_evidence(spark: SparkSession, d: str) -> DataFrame:
     _, units = _graph(spark, d)
     ledger = cut_lineage(evidence.transition_ledger(adapters.reads(spark, d), K, QUALITY))
-    return evidence.segment_evidence(evidence.witnessed_segments(units, ledger, K), ledger, K)
+    return evidence.segment_evidence(evidence.witnessed_segments(units, ledger, K), ledger, K).drop("topology")
 
 
 _OVER = f"""

@@ -61,6 +61,24 @@ def test_segments_are_cut_where_no_read_shows_the_transition(spark):
     assert evidence.unsupported_adjacencies(parts, ledger, 5).isEmpty()
 
 
+def test_closed_walks_are_cut_like_linear_ones_and_close_only_if_shown(spark):
+    def run(keys, k, shown):
+        units = graph.unitigs(spark.createDataFrame([(q, 2) for q in keys], "kmer string, support long"), k)
+        ledger = spark.createDataFrame([(q, 2, 1) for q in shown], "qmer string, occurrences long, fragments long")
+        parts = evidence.witnessed_segments(units, ledger, k)
+        assert evidence.unsupported_adjacencies(parts, ledger, k).isEmpty()
+        told = {r.segment_no: (r.topology, r.transitions, r.occurrences, r.fragments) for r in evidence.segment_evidence(parts, ledger, k).collect()}
+        return [(r.first_step, r.edge_steps, r.topology, r.seq, *told[r.segment_no][1:]) for r in parts.orderBy("segment_no").collect() if told[r.segment_no][0] == r.topology]
+
+    ring = ["ACA", "CAC"]
+    assert run(ring, 3, ["ACAC", "CACA"]) == [(0, 2, "closed_graph_walk", "ACAC", 1, 2, 1)]
+    assert run(ring, 3, ["ACAC"]) == [(0, 2, "linear", "ACAC", 1, 2, 1)]
+    assert run(ring, 3, ["CACA"]) == [(0, 1, "linear", "ACA", 0, 0, 0), (1, 1, "linear", "CAC", 0, 0, 0)]
+    assert run(ring, 3, []) == [(0, 1, "linear", "ACA", 0, 0, 0), (1, 1, "linear", "CAC", 0, 0, 0)]
+    assert run(["AAA"], 3, ["AAAA"]) == [(0, 1, "closed_graph_walk", "AAA", 0, 0, 0)]
+    assert run(["AAA"], 3, []) == [(0, 1, "linear", "AAA", 0, 0, 0)]
+
+
 def test_a_single_error_is_corrected_and_ties_are_not(spark):
     truth = "ACGTTGCAAGGCTTAACCGATACG"
     spectrum = kmers.count_kmers(kmers.fragments(spark.createDataFrame([(i, 0, "S", truth, None) for i in range(3)], READS)), 7, 0)
