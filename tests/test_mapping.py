@@ -90,6 +90,36 @@ def test_a_single_error_is_corrected_and_ties_are_not(spark):
     assert {r.seq for r in correction.apply_corrections(reads, decisions).collect()} == {truth}
 
 
+def test_two_and_three_errors_inside_one_k_are_corrected_together(spark):
+    truth = "ACGTTGCAAGGCTTAACCGATACG"
+    spectrum = kmers.count_kmers(kmers.fragments(spark.createDataFrame([(i, 0, "S", truth, None) for i in range(3)], READS)), 7, 0)
+
+    def spoil(*places):
+        return "".join("T" if i in places else c for i, c in enumerate(truth)), "".join("!" if i in places else "I" for i in range(24))
+
+    reads = spark.createDataFrame([(0, 0, "S", *spoil(10, 14)), (1, 0, "S", *spoil(8, 10, 14)), (2, 0, "S", *spoil(10)), (3, 0, "S", truth, "!" * 24), (4, 0, "S", "C" * 24, "I" * 24), (5, 0, "S", *spoil(2, 19)), (6, 0, "S", *spoil(2, 20))], READS)
+
+    def run(**given):
+        decisions = correction.correct(reads, {7: spectrum}, 20, **given)
+        rows = decisions.collect()
+        told = {r.fragment_id: (r.state, r.reason, sorted((x.pos, x.new) for x in rows if x.fragment_id == r.fragment_id and x.pos is not None)) for r in rows}
+        return told, {r.fragment_id: r.seq for r in correction.apply_corrections(reads, decisions).collect()}
+
+    told, seqs = run()
+    assert told[0] == ("corrected", None, [(10, truth[10]), (14, truth[14])]) and told[2] == ("corrected", None, [(10, truth[10])])
+    assert seqs[0] == seqs[2] == seqs[3] == truth and seqs[1] == spoil(8, 10, 14)[0]
+    assert told[1] == ("unchanged", "evidence_below_thresholds", []) and told[3] == ("unchanged", "already_trusted", []) and told[4] == ("unchanged", "no_editable_bases", [])
+    assert told[6] == ("corrected", None, [(2, truth[2])]) and truth[20] == "T"  # the other weak base is right
+    assert told[5] == ("quarantined", "conflicting_candidates", [])  # each change qualifies alone, and both together
+    told, seqs = run(max_substitutions=3)
+    assert told[1] == ("corrected", None, [(i, truth[i]) for i in (8, 10, 14)]) and seqs[1] == truth
+    assert run(max_candidates=14)[0][0] == ("quarantined", "candidates_exceeded", []) and run(max_candidates=15)[0][0][0] == "corrected"
+    assert run(max_sites=1)[0][0] == ("quarantined", "editable_positions_exceeded", [])
+    assert run(unresolved="quarantine")[0][1] == run(unresolved="quarantine")[0][4] == ("quarantined", "unresolved_evidence", [])
+    assert run(mode="diversity_preserving")[0][0] == ("quarantined", "independent_context_unavailable", [])
+    assert {x[:2] for x in run(mode="raw_only")[0].values()} == {("unchanged", "raw_only")}
+
+
 def test_trimming_cuts_ends_only(spark):
     reads = spark.createDataFrame([(0, 0, "S", "NACGTACGTA", "I" * 9 + "!"), (1, 0, "S", "ACGNTACGTA", "I" * 10), (2, 0, "S", "NNNN", "IIII")], READS)
     assert {r.fragment_id: (r.start, r.length, r.state) for r in correction.trim_ranges(reads, 20, 5).collect()} == {0: (1, 8, "trimmed"), 1: (0, 10, "internal_ambiguity"), 2: (4, 0, "too_short")}
