@@ -486,9 +486,5 @@ def coverage_mask(spark: SparkSession, d: str) -> DataFrame:
 
 @registered()
 def fitting_alignments(spark: SparkSession, d: str) -> DataFrame:
-    """Ambiguous or erroneous reads against the genome of their customer, strand by orientation of the mate."""
-    reads = adapters.reads(spark, d).filter("role = 'R1' AND seq LIKE '%N%'")
-    orders = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("fragment_id"), F.col("o_custkey").alias("molecule"))
-    truths = adapters.truths(spark, d).filter("truth_class = 'primary'").select("molecule", F.col("seq").alias("truth"))
-    pairs = reads.join(orders, "fragment_id").join(truths, "molecule").select(F.col("fragment_id").alias("contig_id"), "molecule", "seq", "truth")
-    return evaluation.align(pairs)
+    """All reads against the genomes and their copies that share a k-mer with them, the best alignment of each."""
+    return evaluation.best_fits(adapters.reads(spark, d), adapters.truths(spark, d), K)

@@ -145,6 +145,52 @@ def test_fitting_alignment_prefers_few_edits_then_matches():
     assert edits == mismatches + inserted + deleted == 1 and matches + mismatches + inserted == 4 and len(ops) == matches + edits
 
 
+def plain_fit(query, reference):
+    """(edits, -matches, gaps, start) by comparing tuples in every cell."""
+    row = [(0, 0, 0, j) for j in range(len(reference) + 1)]
+    for q in query:
+        new = [(row[0][0] + 1, row[0][1], row[0][2] + 1, row[0][3])]
+        for j, r in enumerate(reference, 1):
+            d, u, left = row[j - 1], row[j], new[-1]
+            new.append(min((d[0] + (q != r), d[1] - (q == r), d[2], d[3]), (u[0] + 1, u[1], u[2] + 1, u[3]), (left[0] + 1, left[1], left[2] + 1, left[3])))
+        row = new
+    return min(row)
+
+
+def test_fitting_equals_a_plain_program_and_takes_long_sequences():
+    rng = random.Random(8)
+    for _ in range(150):
+        q, r = ("".join(rng.choice("ACGN") for _ in range(n)) for n in (rng.randrange(0, 12), rng.randrange(0, 16)))
+        edits, matches, _, inserted, deleted, start, ops = evaluation.fit(q, r)
+        assert (edits, -matches, inserted + deleted, start) == plain_fit(q, r) and len(ops) == edits + matches
+    long = "".join(rng.choice("ACGT") for _ in range(70_000))
+    assert evaluation.fit(long[60_000:60_020], long) == (0, 20, 0, 0, 0, 60_000, "=" * 20)
+    assert evaluation.fit(long[:9000], long[10:40])[1] == 30
+
+
+def test_best_fits_align_all_reads_on_both_strands_and_classes(spark):
+    rng = random.Random(9)
+    main = ["".join(rng.choice("ACGT") for _ in range(60)) for _ in range(3)]
+    rows = [(i, c, s if c == "primary" else s[:30] + ("A" if s[30] != "A" else "C") + s[31:]) for i, s in enumerate(main) for c in ("primary", "minor")]
+    reads = []
+    for i in range(24):
+        s = list(rows[i % 6][2][12:50])
+        if i % 4 == 1:
+            s[5] = "N"
+        if i % 4 == 2:
+            del s[20]
+        s = "".join(s)
+        reads.append((i, 0, "R2" if i % 2 else "R1", rc(s) if i % 3 else s, None))
+    reads.append((99, 0, "R1", "N" * 30, None))
+    got = evaluation.best_fits(spark.createDataFrame(reads, READS), spark.createDataFrame(rows, "molecule long, truth_class string, seq string"), 8).collect()
+    want = {}
+    for f, _, role, s, _ in reads[:-1]:
+        tried = [((*plain_fit(s, t if strand == "+" else rc(t))[:3], m, c != "primary", strand == "-", plain_fit(s, t if strand == "+" else rc(t))[3]), c, strand) for m, c, t in rows for strand in "+-"]
+        (e, x, g, m, _, _, start), c, strand = min(tried)
+        want[f, role] = (m, c, strand, e, -x, g, start)
+    assert {(r.fragment_id, r.role): (r.molecule, r.truth_class, r.strand, r.edits, r.matches, r.inserted + r.deleted, r.start) for r in got} == want
+
+
 def test_simulated_reads_replay_from_their_origins(spark):
     truths = simulation.molecules(spark, 7, 500)
     first = simulation.simulate(truths, 60, 7, error_ppm=20_000, low_quality_ppm=20_000)
