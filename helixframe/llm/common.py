@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
+
+T = TypeVar("T")
 
 #: The bytes that separate words: space and 0x09 to 0x0D. ``bytes.split()`` splits at the same ones.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -16,7 +21,7 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 
 #: Texts are worked on in slices of about this many bytes, so that a task's memory does not depend on the batch size.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -33,28 +38,31 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_BASE, -1, 1 << 64)
-    up, down = np.empty(n, np.uint64), np.empty(n, np.uint64)
-    up[0] = down[0] = 1
-    k = 1
-    with np.errstate(over="ignore"):
-        while k < n:
-            m = min(k, n - k)
-            up[k : k + m] = up[:m] * np.uint64(pow(_BASE, k, 1 << 64))
-            down[k : k + m] = down[:m] * np.uint64(pow(inverse, k, 1 << 64))
-            k += m
-    return up, down
+def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse: of 0 to 2^14 - 1, and of the multiples of 2^14 up to 2^28."""
+    inverse, out = pow(_BASE, -1, 1 << 64), []
+    for base in (_BASE, inverse, pow(_BASE, 1 << 14, 1 << 64), pow(inverse, 1 << 14, 1 << 64)):
+        table, k = np.ones(1 << 14, np.uint64), 1
+        while k < len(table):
+            table[k : 2 * k] = table[:k] * np.uint64(pow(base, k, 1 << 64))
+            k *= 2
+        out.append(table)
+    return tuple(out)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit content hash of each byte span of `data`; equal bytes give equal hashes wherever they stand."""
+    """A 64-bit content hash of each byte span of `data` (of less than 2^28 bytes); equal bytes give equal hashes wherever they stand."""
     n = len(data)
-    size = 1 << max(20, (n + 1).bit_length())
-    up, down = _powers(size)
+    up, down, far_up, far_down = _powers()
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    inner = sums[1:]
+    inner += data
+    inner += np.uint64(1)
+    for k, first in enumerate(range(0, n, len(up))):
+        part = inner[first : first + len(up)]
+        part *= up[: len(part)] * far_up[k]
+    np.cumsum(inner, out=inner)
+    return mix((sums[ends] - sums[starts]) * (down[starts & 0x3FFF] * far_down[starts >> 14]) + (ends - starts).astype(np.uint64))
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,34 +94,72 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with at least one row and about `size` bytes of text, and their texts as UTF-8."""
+    """Slices of the batches with at least one row and about `size` bytes of text, and their texts as UTF-8.
+
+    They are cut by Arrow's offsets, so only one slice at a time becomes Python objects.
+    """
     for batch in batches:
-        texts = utf8(batch.column(column))
-        first = held = 0
-        for k, text in enumerate(texts):
-            held += len(text)
-            if held >= size or k + 1 == len(texts):
-                yield batch.slice(first, k + 1 - first), texts[first : k + 1]
-                first, held = k + 1, 0
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < len(ends):
+            before = int(ends[first - 1]) if first else 0
+            after = min(len(ends), int(np.searchsorted(ends, before + size)) + 1)
+            part = batch.slice(first, after - first)
+            yield part, utf8(part.column(column))
+            first = after
+
+
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable[[], T]) -> T:
+    """What a Python worker keeps between tasks: one table, made anew where another key's was there.
 
+    Workers serve tasks of all operators in turn, so tables that each operator kept for itself would add up.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
 
-def ddl(df: DataFrame, *names: str) -> str:
-    """The DDL of some columns of `df`, for the schema of a mapInArrow."""
-    types = dict(df.dtypes)
-    return ", ".join(f"`{n}` {types[n]}" for n in names)
+
+def release() -> None:
+    """Drop what this worker keeps: for tasks that need its memory, and no table."""
+    _HELD.clear()
+
+
+def shape(**fields: DataType | str) -> StructType:
+    """A schema of names and types; unlike DDL it holds structs whose fields have any names."""
+    out = StructType()
+    for name, kind in fields.items():
+        out.add(name, StructType.fromDDL(f"x {kind}")["x"].dataType if isinstance(kind, str) else kind)
+    return out
 
 
 def row_and_text(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """`row`, a struct of the columns to keep but the text, and `text`: so that a text is sent to a worker once."""
-    others = [c for c in keep if c != "text"]
+    others = [F.col(quoted(c)).alias(c) for c in keep if c != "text"]
     return df.select((F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))).alias("row"), "text")
 
 
-def kept_columns(keep: tuple[str, ...]) -> list:
+def kept_columns(keep: tuple[str, ...]) -> list[Column]:
     """The kept columns of what a worker gave back for `row_and_text`."""
-    return [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in keep]
+    return [F.col("text") if c == "text" else F.col(f"row.{quoted(c)}").alias(c) for c in keep]
+
+
+def quoted(name: str) -> str:
+    """A column's name for Spark's parser, whatever letters are in it."""
+    return "`" + name.replace("`", "``") + "`"
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Let this session send at most so many rows to a Python worker at once: whole texts are long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def results(made: tuple[str, ...], keep: tuple[str, ...]) -> list[Column]:
+    """The result columns beside kept ones. One whose name a kept column has takes `_2` (or 3, ...) behind it, so neither is lost."""
+    taken, out = {c.lower() for c in keep}, []
+    for name in made:
+        free, n = name, 1
+        while free.lower() in taken:
+            n += 1
+            free = f"{name}_{n}"
+        taken.add(free.lower())
+        out.append(F.col(name).alias(free))
+    return out

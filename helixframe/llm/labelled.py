@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-#: So many labels are broadcast at most; more are an error.
-MAX_LABELS = 4096
+#: So many labels are broadcast at most (more are an error), and so many documents of all labels together are sampled at most.
+MAX_LABELS, MAX_ROWS = 4096, 6000
+#: Texts of more bytes are not fitted on; scoring is of whole texts of any length. So a sample has 400 MB at the very most.
+MAX_BYTES = 1 << 16
 
 
 def fold(parts: int, column: str = "doc_id") -> Column:
@@ -19,13 +21,15 @@ def sample(rows: DataFrame, label: str, bound: int) -> DataFrame:
     """At most about `bound` rows of each label (null labels: none), those with the smallest hashes of doc_id.
 
     Which rows are taken depends on ids alone. Labels are counted over all rows; the number kept of a
-    label is binomial around the bound where there are more.
+    label is binomial around the bound where there are more. With many labels the bound is lower, so that
+    all together stay within MAX_ROWS.
     """
     known = rows.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     counts = known.groupBy(label).agg(F.count("*").alias("of_label"))
     found = counts.limit(MAX_LABELS + 1).collect()
     if len(found) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels in {label}")
+    bound = min(bound, max(1, MAX_ROWS // max(1, len(found))))
     counts = F.broadcast(rows.sparkSession.createDataFrame(found, counts.schema))
     share = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return known.join(counts, label).filter(share * F.col("of_label") < bound).drop("of_label")
@@ -39,7 +43,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, bound: int) -
     """
     one = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     ids = sample(one.filter("label IN (0, 1)"), "label", bound)  # two labels: about 2 * bound rows at most, so they can be broadcast
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").filter("text IS NOT NULL").select("doc_id", "text", "label").collect()
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").filter(F.octet_length("text") <= MAX_BYTES).select("doc_id", "text", "label").collect()
     least: dict = {}
     for r in sorted(found, key=lambda r: (r["doc_id"], r["text"])):
         least.setdefault(r["doc_id"], (r["text"], int(r["label"])))

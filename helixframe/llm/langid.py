@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import joined, slices, span_hashes, word_spans
-from helixframe.llm.labelled import fold, sample
+from helixframe.llm.common import held, joined, kept_columns, results, row_and_text, shape, slices, span_hashes, word_spans
+from helixframe.llm.labelled import MAX_BYTES, fold, sample
 
 #: First code points of ranges and their scripts (fixed values of Unicode blocks).
 RANGES = [
@@ -54,7 +54,7 @@ _SCRIPT = np.array([SCRIPTS.index(b) for b in _NAMES])
 #: Hash buckets, the cost of a switch, the largest difference that one word can make, documents per language that the fit sees at most.
 BUCKETS, SWITCH, CUT, SAMPLE = 1 << 15, 8.0, 6.0, 1500
 #: A language is a candidate in a script that holds this share of its sampled letters. Words that a worker remembers.
-SCRIPT_SHARE, MAX_WORDS = 0.01, 500_000
+SCRIPT_SHARE, MAX_WORDS = 0.01, 100_000
 
 
 def _letters(word: str) -> tuple[int, int]:
@@ -93,11 +93,11 @@ def viterbi(scores: np.ndarray, firsts: np.ndarray, switch: float) -> np.ndarray
     order = np.argsort(-lengths, kind="stable")
     first, length = firsts[:-1][order], lengths[order]
     labels = scores.shape[1]
-    best = np.empty((len(scores), labels), np.int8)  # where each label's path comes from
+    best = np.empty((len(scores), labels), np.int16)  # where each label's path comes from
     longest = int(length[0]) if len(length) else 0
     live = np.searchsorted(-length, -np.arange(longest), "left")  # texts longer than t
     value = np.zeros((len(order), labels), np.float32)
-    own = np.arange(labels, dtype=np.int8)
+    own = np.arange(labels, dtype=np.int16)
     for t in range(longest):
         n = live[t]
         at, v = first[:n] + t, value[:n]
@@ -108,7 +108,7 @@ def viterbi(scores: np.ndarray, firsts: np.ndarray, switch: float) -> np.ndarray
             best[at] = np.where(stay, own, top[:, None])
             v = np.where(stay, v, jump[:, None])
         value[:n] = v + scores[at]
-    out = np.empty(len(scores), np.int8)
+    out = np.empty(len(scores), np.int16)
     state = value.argmax(axis=1)
     for t in range(longest - 1, -1, -1):
         n = live[t]
@@ -165,16 +165,10 @@ class _Memory:
         return self.scores[at][inverse], self.letters[at][inverse]
 
 
-_HELD: dict[tuple, _Memory] = {}
-
-
 def _memory(model: Model) -> _Memory:
     """The memory of this worker; it goes on over tasks of the same model."""
-    key = (*model.languages, float(model.logs.sum()), float(np.abs(model.logs[::7]).sum()))
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = _Memory(model)
-    return _HELD[key]
+    key = ("langid", *model.languages, float(model.logs.sum()), float(np.abs(model.logs[::7]).sum()))
+    return held(key, lambda: _Memory(model))
 
 
 def fit(rows: list[tuple[str, str]]) -> Model:
@@ -195,8 +189,8 @@ def fit(rows: list[tuple[str, str]]) -> Model:
 
 
 def train(docs: DataFrame, bound: int = SAMPLE) -> Model:
-    """The model of a bounded sample (at most about `bound` documents of each language) of the rows that are not held out."""
-    known = docs.filter(fold(4) != 2).filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
+    """The model of a bounded sample of the rows that are not held out: at most about `bound` documents of each language, `MAX_ROWS` of all, of `MAX_BYTES` each."""
+    known = docs.filter(fold(4) != 2).filter(F.col("lang").isNotNull() & (F.octet_length("text") <= MAX_BYTES)).select("doc_id", "lang", "text")
     rows = sample(known, "lang", bound).select("doc_id", "text", "lang").collect()
     return fit([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"]))])
 
@@ -207,7 +201,7 @@ def labelled_words(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.nda
     starts, ends = word_spans(data)
     first_word = np.searchsorted(starts, firsts)
     if not len(starts) or not model.languages:
-        return starts, ends, np.zeros(len(starts), np.int8), np.zeros(len(starts), np.int32), first_word, firsts
+        return starts, ends, np.zeros(len(starts), np.int16), np.zeros(len(starts), np.int32), first_word, firsts
     scores, letters = _memory(model).of(data, starts, ends)
     return starts, ends, viterbi(scores, first_word, SWITCH), letters, first_word, firsts
 
@@ -216,31 +210,39 @@ def languages(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)
     """The kept columns with lang_pred and score, the share of the letters in spans of that language.
 
     Null texts, texts without a letter, and all texts where nothing was learned are `und` with score 0.
-    On a tie the first language by name. Repeated rows stay repeated; null ids and other columns pass.
+    On a tie the first language by name. Repeated rows stay repeated; null ids and other columns pass. A result
+    whose name a kept column has takes `_2` behind it. An empty table gives an empty result. A text of any
+    length is labelled whole, in its worker.
     """
-    given = docs.select(F.struct(*keep).alias("row"), "text")
-    kind = dict(given.dtypes)["row"]
+    given, texts_too = row_and_text(docs, keep), "text" in keep
+    kind = given.schema["row"].dataType
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, k = [*model.languages, "und"], len(model.languages)
-        for batch, texts in slices(batches, size=4 << 20):
+        for batch, texts in slices(batches, size=1 << 20):
             _, _, labels, letters, first, _ = labelled_words(texts, model)
             row = np.repeat(np.arange(len(texts)), np.diff(first))
             held = np.bincount(row * (k + 1) + labels, weights=letters, minlength=len(texts) * (k + 1)).reshape(len(texts), k + 1)
             total = held.sum(axis=1)
             best = np.where(total > 0, held.argmax(axis=1), k)
             score = np.where(total > 0, held.max(axis=1) / np.maximum(total, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([names[b] for b in best.tolist()], pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
+            columns = [batch.column("row"), pa.array([names[b] for b in best.tolist()], pa.string()), pa.array(score)] + [batch.column("text")] * texts_too
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "lang_pred", "score"] + ["text"] * texts_too)
 
-    return given.mapInArrow(label, f"row {kind}, lang_pred string, score double").select("row.*", "lang_pred", "score")
+    schema = shape(row=kind, lang_pred="string", score="double", **{"text": "string"} if texts_too else {})
+    return given.mapInArrow(label, schema).select(*kept_columns(keep), *results(("lang_pred", "score"), keep))
 
 
 def spans(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per span of one language: doc_id, span_no, lang, start_word, n_words, text. Texts without a word have none."""
-    kind = dict(docs.dtypes)["doc_id"]
+    """One row per span of one language: doc_id, span_no, lang, start_word, n_words, text.
+
+    Null texts and texts without a word have none, and no text has any where nothing was learned. Repeated rows
+    have their spans each; a null doc_id stays null; no other column of `docs` is read.
+    """
+    kind = docs.schema["doc_id"].dataType
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, size=4 << 20):
+        for batch, texts in slices(batches, size=1 << 20):
             starts, ends, labels, _, first, _ = labelled_words(texts, model)
             buffer = joined(texts)[0].tobytes()
             rows: dict[str, list] = {k: [] for k in ("row", "span_no", "lang", "start_word", "n_words", "text")}
@@ -253,4 +255,4 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
             columns = [pa.array(rows[n], t) for n, t in (("span_no", pa.int32()), ("lang", pa.string()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("text", pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows["row"], pa.int64())), *columns], names=["doc_id", "span_no", "lang", "start_word", "n_words", "text"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, span_no int, lang string, start_word long, n_words long, text string")
+    return docs.select("doc_id", "text").mapInArrow(cut, shape(doc_id=kind, span_no="int", lang="string", start_word="long", n_words="long", text="string"))

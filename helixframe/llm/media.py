@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import slices
+from helixframe.llm.common import quoted, shape, slices
 
 #: Kilobits a second by (MPEG 1 or later, layer) and header index; 0 is the free format, which has no length (fixed values of the standard).
 BITRATES = {
@@ -246,15 +246,19 @@ def feature(found: dict) -> str:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: each text's bytes, padded with spaces, as an audio stream. A null text counts as empty."""
-    kind = dict(docs.dtypes)["doc_id"]
+    """doc_id, n_bytes, media: each text's bytes, padded with spaces, as an audio stream.
+
+    A null text counts as empty. Repeated rows are stored as often as they occur, equal texts as equal bytes; a null
+    doc_id stays null; no other column of `docs` is read. An empty table gives an empty result.
+    """
+    kind = docs.schema["doc_id"].dataType
 
     def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
             media = pa.array([write(padded(t)) for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), media], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(wrap, f"doc_id {kind}, n_bytes long, media binary")
+    return docs.select("doc_id", "text").mapInArrow(wrap, shape(doc_id=kind, n_bytes="long", media="binary"))
 
 
 _INDEX = "frames long, samples long, rate int, checked long, failed long, resyncs long, skipped long, tags array<string>, names map<string,string>, table_kind string, table_frames long, table_bytes long, seek array<long>"
@@ -267,8 +271,8 @@ def index(media: DataFrame, column: str = "media") -> DataFrame:
     Null media give a null struct; bytes without a frame give zero frames and rate 0. A column `audio` is replaced.
     """
     kept = [c for c in media.columns if c != "audio"]
-    given = media.select(F.struct(*kept).alias("row"), F.col(column).alias("text"))
-    kind = dict(given.dtypes)["row"]
+    given = media.select(F.struct(*[F.col(quoted(c)).alias(c) for c in kept]).alias("row"), F.col(quoted(column)).alias("text"))
+    kind = given.schema["row"].dataType
     names = [x.split()[0] for x in _INDEX.split(", ")]
 
     def one(data: bytes | None) -> dict | None:
@@ -280,20 +284,24 @@ def index(media: DataFrame, column: str = "media") -> DataFrame:
         return dict(zip(names, values, strict=True))
 
     arrow = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64()), "map<string,string>": pa.map_(pa.string(), pa.string())}
-    shape = pa.struct([(x.split()[0], arrow[x.split()[1]]) for x in _INDEX.split(", ")])
+    kinds = pa.struct([(x.split()[0], arrow[x.split()[1]]) for x in _INDEX.split(", ")])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _ in slices(batches):
-            audio = pa.array([one(x) for x in batch.column("text").to_pylist()], shape)
+            audio = pa.array([one(x) for x in batch.column("text").to_pylist()], kinds)
             yield pa.RecordBatch.from_arrays([batch.column("row"), audio], names=["row", "audio"])
 
     fields = ", ".join(f"{x.split()[0]}: {x.split()[1]}" for x in _INDEX.split(", "))
-    return given.mapInArrow(look, f"row {kind}, audio struct<{fields}>").select("row.*", "audio")
+    return given.mapInArrow(look, shape(row=kind, audio=f"struct<{fields}>")).select("row.*", "audio")
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """Of stored texts (doc_id, n_bytes, media): the payload read back, its digests, those of the stream, and what was found in it."""
-    kind = dict(media.dtypes)["doc_id"]
+    """Of stored texts (doc_id, n_bytes, media): the payload read back, its digests, those of the stream, and what was found in it.
+
+    Null media count as streams of no bytes: no payload and no frames. Repeated rows stay repeated, null ids and
+    sizes stay null, and no other column is read. An empty table gives an empty result.
+    """
+    kind = media.schema["doc_id"].dataType
     made = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,4 +314,4 @@ def digests(media: DataFrame) -> DataFrame:
             columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), made.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *columns], names=["doc_id", "n_bytes", *made])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(look, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(look, shape(doc_id=kind, n_bytes="long", **{n: "long" if t == pa.int64() else "string" for n, t in made.items()}))

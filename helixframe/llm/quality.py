@@ -1,6 +1,6 @@
 """Quality rules: exact counts, then a calibrated logistic regression on hashed word and character n-grams.
 
-The model sees a text as two bags, its words and its byte 3- and 4-grams, each hashed into a table of
+The model sees a text as bags, its words and its character 3- and 4-grams (code points), each hashed into a table of
 weights and averaged over the bag. It is fitted on labelled documents (Adagrad on the logistic loss),
 its scores are calibrated on labelled documents that the fit has not seen (Platt's sigmoid), and texts
 are scored in Arrow batches against a fixed threshold.
@@ -16,11 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from helixframe.llm.common import SPACES, joined, kept_columns, mix, row_and_text, slices, span_hashes, word_spans
+from helixframe.llm.common import SPACES, joined, kept_columns, mix, release, results, row_and_text, shape, slices, span_hashes, word_spans
 from helixframe.llm.labelled import labelled_texts
 
 #: Hash buckets of each bag, labelled documents per label that the fit sees at most, and the threshold.
-BUCKETS, SAMPLE, THRESHOLD = 1 << 16, 700, 0.5
+BUCKETS, SAMPLE, THRESHOLD = 1 << 16, 1500, 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -70,21 +70,29 @@ def base_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 
 def _bags(data: np.ndarray, firsts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For words, 3-grams and 4-grams: each item's bucket, and every text's first item and the one after its last."""
+    """For words, character 3-grams and 4-grams: each item's bucket, and every text's first item and the one after its last."""
     starts, ends = word_spans(data)
     first_word = np.searchsorted(starts, firsts)
     out = [((span_hashes(data, starts, ends) >> np.uint64(40)).astype(np.int64) % BUCKETS, first_word[:-1], first_word[1:])]
-    wide = data.astype(np.uint64)
+    lead = (data & 0xC0) != 0x80
+    if lead.all():
+        points, first = data.astype(np.uint64), firsts
+    else:  # texts between newlines are valid UTF-8, so each lead byte starts a code point
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4").astype(np.uint64)
+        before = np.zeros(len(data) + 2, np.int64)
+        np.cumsum(lead, out=before[1:-1])
+        before[-1] = before[-2] + 1
+        first = before[firsts]
     for n in (3, 4):
-        if len(data) < n:
-            out.append((np.zeros(0, np.int64), firsts[:-1] * 0, firsts[:-1] * 0))
+        if len(points) < n:
+            out.append((np.zeros(0, np.int64), first[:-1] * 0, first[:-1] * 0))
             continue
-        code = np.zeros(len(data) - n + 1, np.uint64)
-        for k in range(n):
-            code = (code << np.uint64(8)) | wide[k : k + len(code)]
+        code = np.zeros(len(points) - n + 1, np.uint64)
+        for k in range(n):  # three characters have 63 bits; of four the first one's high bits mix into the others'
+            code = (code << np.uint64(21)) ^ (code >> np.uint64(43)) ^ points[k : k + len(code)]
         code *= np.uint64(0x9E3779B97F4A7C15)
-        low = np.minimum(firsts[:-1], len(code))
-        out.append(((code >> np.uint64(40)).astype(np.int64) % BUCKETS, low, np.maximum(low, firsts[1:] - n)))
+        low = np.minimum(first[:-1], len(code))
+        out.append(((code >> np.uint64(40)).astype(np.int64) % BUCKETS, low, np.maximum(low, first[1:] - n)))
     return out
 
 
@@ -173,25 +181,32 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     return fit(labelled_texts(docs, labels, "quality", bound))
 
 
-def quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, probability, kept.
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-    A text fails the base rules with fewer than 50 words or if over half of its words repeat; else the
-    model decides. Null texts have no words, so they fail. Repeated rows stay repeated; null ids and
-    other columns pass through, but those named like a result are replaced.
-    """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+def judged(docs: DataFrame, model: Model, threshold: float, keep: tuple[str, ...]) -> DataFrame:
+    """row (a struct of the kept columns but the text), the counts, base_failed, probability, kept, and text if it is kept: no name can clash."""
     given, texts_too = row_and_text(docs, keep), "text" in keep
-    kind = dict(given.dtypes)["row"]
+    kind = given.schema["row"].dataType
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch, texts in slices(batches):
             counts = base_counts(texts)
             failed = (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"])
             p = model.probabilities(texts)
-            columns = [batch.column("row"), *[pa.array(counts[k]) for k in made], pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))]
-            yield pa.RecordBatch.from_arrays(columns + [batch.column("text")] * texts_too, names=["row", *made, "base_failed", "probability", "kept"] + ["text"] * texts_too)
+            columns = [batch.column("row"), *[pa.array(counts[k]) for k in _COUNTS], pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))]
+            yield pa.RecordBatch.from_arrays(columns + [batch.column("text")] * texts_too, names=["row", *_COUNTS, "base_failed", "probability", "kept"] + ["text"] * texts_too)
+
+    return given.mapInArrow(score, shape(row=kind, **dict.fromkeys(_COUNTS, "long"), base_failed="boolean", probability="double", kept="boolean", **{"text": "string"} if texts_too else {}))
 
-    schema = f"row {kind}, {', '.join(f'{k} long' for k in made)}, base_failed boolean, probability double, kept boolean" + ", text string" * texts_too
-    keep = tuple(c for c in keep if c not in (*made, "base_failed", "probability", "kept"))
-    return given.mapInArrow(score, schema).select(*kept_columns(keep), *made, "base_failed", "probability", "kept")
+
+def quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, probability, kept.
+
+    A text fails the base rules with fewer than 50 words or if over half of its words repeat; else the
+    model decides. Null texts have no words, so they fail. Repeated rows stay repeated and are judged alike;
+    null ids and other columns pass through. A result whose name a kept column has takes `_2` behind it.
+    An empty table gives an empty result. A text of any length is judged whole, in its worker.
+    """
+    return judged(docs, model, threshold, keep).select(*kept_columns(keep), *results((*_COUNTS, "base_failed", "probability", "kept"), keep))

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from helixframe.llm.common import SPACES, joined, kept_columns, row_and_text, slices, span_hashes, word_spans
+from helixframe.llm.common import SPACES, held, joined, kept_columns, results, row_and_text, shape, slices, span_hashes, word_spans
 from helixframe.llm.labelled import fold, labelled_texts
 from helixframe.llm.quality import platt
 
@@ -34,7 +34,7 @@ ORDER, DECAY, MARKING, FREQUENT, SAMPLE = 3, 0.9, 96, 16, 1500
 #: A kernel counts from FLOOR on, and to the power POWER (a product of kernels is one).
 FLOOR, POWER = 0.4, 4
 #: Longer words are read in overlapping parts of so many letters; a worker remembers so many words.
-LONGEST, MAX_WORDS = 32, 1_000_000
+LONGEST, MAX_WORDS = 32, 200_000
 
 _FOLD = np.zeros(256, np.uint8)
 _FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -228,11 +228,6 @@ class _Memory:
         return self.place[at][inverse]
 
 
-@lru_cache(1)
-def _remembered(landmarks: tuple[bytes, ...]) -> _Memory:
-    return _Memory(list(landmarks))
-
-
 @dataclass
 class Model:
     landmarks: list[bytes]
@@ -352,22 +347,26 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     return fit(labelled_texts(docs, labels.filter(fold(5) != 0), "toxic", bound))
 
 
-def toxicity(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with score (0 to 1) and predicted (1 from 0.5 on).
-
-    Null texts count as empty and score as a text without a similar word. Repeated rows stay repeated;
-    null ids and other columns pass through, but those named like a result are replaced.
-    """
+def judged(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
+    """row (a struct of the kept columns but the text), score, predicted, and text if it is kept: no name can clash."""
     given, texts_too = row_and_text(docs, keep), "text" in keep
-    kind = dict(given.dtypes)["row"]
+    kind = given.schema["row"].dataType
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _remembered(tuple(model.landmarks))
+        memory = held(("toxicity", *model.landmarks), lambda: _Memory(model.landmarks))
         for batch, texts in slices(batches):
             p = model.scores(texts, memory)
             columns = [batch.column("row"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))] + [batch.column("text")] * texts_too
             yield pa.RecordBatch.from_arrays(columns, names=["row", "score", "predicted"] + ["text"] * texts_too)
 
-    schema = f"row {kind}, score double, predicted int" + ", text string" * texts_too
-    keep = tuple(c for c in keep if c not in ("score", "predicted"))
-    return given.mapInArrow(score, schema).select(*kept_columns(keep), "score", "predicted")
+    return given.mapInArrow(score, shape(row=kind, score="double", predicted="int", **{"text": "string"} if texts_too else {}))
+
+
+def toxicity(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns with score (0 to 1) and predicted (1 from 0.5 on).
+
+    Null texts count as empty and score as a text without a similar word. Repeated rows stay repeated and
+    score alike; null ids and other columns pass through. A result whose name a kept column has takes `_2`
+    behind it. An empty table gives an empty result. A text of any length is scored whole, in its worker.
+    """
+    return judged(docs, model, keep).select(*kept_columns(keep), *results(("score", "predicted"), keep))
