@@ -9,13 +9,16 @@ segment: a suffix at the anchor, and the words before it that its windows need.
 1. Each segment is hashed (64 bits beside the 64 of its gram). Anchors whose gram occurs once are done: their windows are unique.
    Where all segments of a gram are equal, all their windows are repeated, and no text moves.
 2. For the others one segment of each distinct content is read (with its number of copies), and the
-   suffixes are split into groups by their prefix, the gram; a prefix with more than HEAVY distinct
-   segments is lengthened, up to the whole window, and counted by Spark.
+   suffixes are split into groups by their prefix, the gram.
 3. A task takes whole prefix groups, as many as fit its memory (GROUP suffixes), and builds their
    subtree level by level, every branch by one word at a time, and another one leftwards. A window
    with d words before its anchor is a pair of nodes, at depth window - d in the one and d in the other
    tree; nodes with two leaves or more are the deep internal nodes, whose windows are repeats.
-4. The repeated windows of a segment's content are joined back to all its copies.
+4. A prefix with more than HEAVY distinct segments is lengthened, a few words at a time, until a group fits a
+   task. There a window goes by its words from the anchor on, then those before the anchor from right to
+   left, so that every window of such a group has one spelling and one tree takes them all. Windows that
+   are still too many under their whole spelling are equal, so they are repeats without a tree.
+5. The repeated windows of a segment's content are joined back to all its copies.
 """
 
 from __future__ import annotations
@@ -29,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.durable import cut_lineage
-from helixframe.llm.common import joined, mix, slices, span_hashes, utf8, word_spans
+from helixframe.llm.common import joined, kept_columns, mix, quoted, release, results, shape, slices, span_hashes, word_spans
 
 #: Words of an anchor's gram.
 GRAM = 8
 #: Suffixes in the subtrees that a task builds at once, and distinct segments beyond which a prefix is lengthened.
 GROUP, HEAVY = 20_000, 20_000
+#: Words by which a prefix is longer at every step after the gram (the whole window ends the steps).
+STEPS = (1, 1, 2, 4, 8)
 
 
 def _segments(texts: list[bytes], window: int) -> dict[str, np.ndarray]:
@@ -81,6 +86,7 @@ def _segments(texts: list[bytes], window: int) -> dict[str, np.ndarray]:
 
 def _read_segments(window: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch, texts in slices(batches):
             s = _segments(texts, window)
             of = lambda name: batch.column(name).take(pa.array(s["row"]))
@@ -93,36 +99,29 @@ def _read_segments(window: int):
 def _cut_segments(window: int):
     """The words of wanted segments (wanted: array of structs), for the prefix groups."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, wanted = utf8(batch.column("text")), batch.column("wanted").to_pylist()
-            out: dict[str, list] = {k: [] for k in ("gram", "seg", "windows", "before", "copies", "heavy", "words")}
-            size = 0
-            for text, segments in zip(texts, wanted, strict=True):
-                words = text.split()
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        before = None
+        for batch, texts in slices(batches):
+            keys = list(zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True))
+            out: dict[str, list] = {k: [] for k in _KINDS}
+            for key, text, segments in zip(keys, texts, batch.column("wanted").to_pylist(), strict=True):
+                if key == before:  # a repeated row: its segments are known
+                    continue
+                before, words = key, text.split()
                 for s in segments:
-                    body = b" ".join(words[s["start"] : s["start"] + s["windows"] + window - 1])
-                    size += len(body)
+                    s["words"] = b" ".join(words[s["start"] : s["start"] + s["windows"] + window - 1])
                     for k, v in out.items():
-                        v.append(body if k == "words" else s[k])
-                if size > 4 << 20:
-                    yield _batch(out)
-                    size = 0
-                    for v in out.values():
-                        v.clear()
-            yield _batch(out)
+                        v.append(s[k])
+            yield pa.RecordBatch.from_arrays([pa.array(v, _KINDS[k]) for k, v in out.items()], names=list(out))
 
-    return cut
+    return take
 
 
 _KINDS = {"gram": pa.int64(), "seg": pa.int64(), "windows": pa.int32(), "before": pa.int32(), "copies": pa.int64(), "heavy": pa.bool_(), "words": pa.binary()}
 _SCHEMA = "gram long, seg long, windows int, before int, copies long, heavy boolean, words binary"
 
 
-def _batch(out: dict[str, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, _KINDS[k]) for k, v in out.items()], names=list(out))
-
-
 def _levels(first: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
     """The node of each suffix at every depth of a tree: a branch goes on by one word of `words` at a time."""
     nodes = [np.unique(first, return_inverse=True)[1]]
@@ -154,14 +153,22 @@ def repeated_masks(gram: np.ndarray, bodies: list[bytes], windows: np.ndarray, b
     return mask
 
 
-def _grow(window: int):
+def repeated_spellings(group: np.ndarray, spellings: list[bytes], copies: np.ndarray, window: int) -> np.ndarray:
+    """Of windows in whole groups, each spelled from its anchor, those that stand twice or more: the leaves of one tree by groups."""
+    names: dict[bytes, int] = {}
+    words = np.array([[names.setdefault(w, len(names)) for w in s.split(b" ")] for s in spellings], np.int64).reshape(len(spellings), window)
+    leaf = _levels(group, words)[-1]
+    return np.bincount(leaf, weights=copies)[leaf] >= 2
+
+
+def _in_groups(key: str, made: list[str], tree):
+    """Apply `tree` to whole groups of a partition that is sorted by `key`, as many at once as have GROUP rows."""
+
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tree(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(parts)
-            column = lambda k: t.column(k).to_numpy()
-            mask = repeated_masks(column("gram"), t.column("words").to_pylist(), column("windows").astype(np.int64), column("before").astype(np.int64), column("copies"), window)
-            at = np.flatnonzero(mask)
-            return pa.RecordBatch.from_arrays([pa.array(column("gram")[at]), pa.array(column("seg")[at]), pa.array(mask[at])], names=["gram", "seg", "mask"])
+        release()
+
+        def run(t: pa.Table) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in tree({k: t.column(k) for k in t.column_names})], names=made)
 
         kept, held = [], 0
         for batch in batches:
@@ -169,32 +176,74 @@ def _grow(window: int):
             held += batch.num_rows
             if held >= GROUP:  # whole groups go, the last one may go on
                 t = pa.Table.from_batches(kept).combine_chunks()
-                gram = t.column("gram").to_numpy()
-                last = int(np.searchsorted(gram, gram[-1]))
+                keys = t.column(key).to_numpy()
+                last = int(np.searchsorted(keys, keys[-1]))
                 if last:
-                    yield tree(t.slice(0, last).to_batches())
-                    kept, held = t.slice(last).to_batches(), len(gram) - last
+                    yield run(t.slice(0, last))
+                    kept, held = t.slice(last).to_batches(), len(keys) - last
         if held:
-            yield tree(kept)
+            yield run(pa.Table.from_batches(kept))
 
     return grow
 
 
-def _lengthen(window: int):
-    """Every window of heavy prefixes with its whole content as its prefix."""
+def _subtrees(window: int):
+    def tree(of: dict) -> list[np.ndarray]:
+        column = lambda k: of[k].to_numpy()
+        mask = repeated_masks(column("gram"), of["words"].to_pylist(), column("windows").astype(np.int64), column("before").astype(np.int64), column("copies"), window)
+        at = np.flatnonzero(mask)
+        return [column("gram")[at], column("seg")[at], mask[at]]
+
+    return _in_groups("gram", ["gram", "seg", "mask"], tree)
 
-    def lengthen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for gram, seg, n, copies, body in zip(*(batch.column(k).to_pylist() for k in ("gram", "seg", "windows", "copies", "words")), strict=True):
-                words = body.split(b" ")
-                for k in range(n):
-                    p = hashlib.blake2b(b" ".join(words[k : k + window]), digest_size=16).digest()
-                    rows.append((int.from_bytes(p[:8], "little", signed=True), int.from_bytes(p[8:], "little", signed=True), gram, seg, 1 << k, copies))
-            columns = zip(*rows, strict=True) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["p1", "p2", "gram", "seg", "bit", "copies"])
 
-    return lengthen
+def _long_subtrees(window: int):
+    def tree(of: dict) -> list[np.ndarray]:
+        column = lambda k: of[k].to_numpy()
+        at = np.flatnonzero(repeated_spellings(column("p1"), of["spelling"].cast(pa.binary()).to_pylist(), column("copies"), window))
+        return [column("gram")[at], column("seg")[at], column("bit")[at]]
+
+    return _in_groups("p1", ["gram", "seg", "mask"], tree)
+
+
+def _spelled(window: int):
+    """Every window of the segments: its words from the anchor on, then those before the anchor from right to left."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                rows: list[tuple] = []
+                part = batch.slice(first, 256)
+                for gram, seg, n, before, copies, body in zip(*(part.column(k).to_pylist() for k in ("gram", "seg", "windows", "before", "copies", "words")), strict=True):
+                    words = body.split(b" ")
+                    for k in range(n):
+                        rows.append((gram, seg, 1 << k, before - k, copies, b" ".join(words[before : k + window] + words[k:before][::-1]).decode()))
+                columns = zip(*rows, strict=True) if rows else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string() if k == 5 else pa.int64()) for k, c in enumerate(columns)], names=["gram", "seg", "bit", "ahead", "copies", "spelling"])
+
+    return spell
+
+
+def _lengthened(heavy: DataFrame, window: int) -> DataFrame:
+    """gram, seg, mask of the repeated windows of segments under heavy prefixes."""
+    left = heavy.mapInArrow(_spelled(window), "gram long, seg long, bit long, ahead long, copies long, spelling string")
+    out, words = None, GRAM
+    for step in (*STEPS, window):
+        words = min(window, words + step)
+        # The group: gram, words before the anchor, and the spelling's first words, as two hashes.
+        prefix = F.substring_index("spelling", " ", words)
+        keyed = cut_lineage(left.withColumn("p1", F.xxhash64("gram", "ahead", prefix)).withColumn("p2", F.xxhash64(prefix, "ahead", "gram")))
+        sizes = cut_lineage(keyed.groupBy("p1", "p2").agg(F.count("*").alias("n"), F.sum("copies").alias("total")).filter(F.col("total") > 1).drop("total"))
+        sized = keyed.join(sizes, ["p1", "p2"])
+        if words == window:  # one spelling each: all of a group are equal
+            found = sized.select("gram", "seg", F.col("bit").alias("mask"))
+            return found if out is None else out.unionByName(found)
+        light = sized.filter(F.col("n") <= HEAVY).select("p1", "gram", "seg", "bit", "copies", "spelling")
+        grown = light.repartition("p1").sortWithinPartitions("p1").mapInArrow(_long_subtrees(window), "gram long, seg long, mask long")
+        out = grown if out is None else out.unionByName(grown)
+        left = sized.filter(F.col("n") > HEAVY).select("gram", "seg", "bit", "ahead", "copies", "spelling")
+        if left.isEmpty():
+            return out
 
 
 def repeats(docs: DataFrame, window: int = 35) -> DataFrame:
@@ -206,21 +255,21 @@ def repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     if not GRAM < window <= GRAM + 61:
         raise ValueError("window must be 9 to 69 words")
     segments = docs.select("k1", "k2", "text").mapInArrow(_read_segments(window), "k1 long, k2 long, gram long, seg long, place long")
-    grams = segments.groupBy("gram").agg(F.count("*").alias("n"), F.min("seg").alias("a"), F.max("seg").alias("b"))
+    # Written first, so that Spark can split the join where one gram has a large share of all segments.
+    grams = cut_lineage(segments.groupBy("gram").agg(F.count("*").alias("n"), (F.min("seg") != F.max("seg")).alias("mixed")).filter("n > 1").drop("n"))
     # A hot gram must not bind the next steps to its task: they go by (mix, seg), which names the same pairs.
     mix = F.col("gram").bitwiseXOR(F.col("seg"))
-    live = cut_lineage(segments.join(grams.filter("n > 1").select("gram", F.expr("a <> b").alias("mixed")), "gram").select("k1", "k2", mix.alias("mix"), "seg", "place", "mixed"))
+    live = cut_lineage(segments.join(grams, "gram").select("k1", "k2", mix.alias("mix"), "seg", "place", "mixed"))
     one = live.filter("mixed").groupBy("mix", "seg").agg(F.min(F.struct("k1", "k2", "place")).alias("at"), F.count("*").alias("copies")).withColumn("gram", F.col("mix").bitwiseXOR(F.col("seg")))
-    heavy = one.groupBy("gram").count().filter(F.col("count") > HEAVY).select("gram", F.lit(True).alias("heavy"))
+    heavy = cut_lineage(one.groupBy("gram").count().filter(F.col("count") > HEAVY).select("gram", F.lit(True).alias("heavy")))
     part = lambda low, bits: F.shiftright("at.place", low).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
     wanted = F.struct("gram", "seg", F.shiftright("at.place", 16).alias("start"), part(8, 8).alias("windows"), part(0, 8).alias("before"), "copies", F.coalesce("heavy", F.lit(False)).alias("heavy"))
     lists = one.join(heavy, "gram", "left").groupBy("at.k1", "at.k2").agg(F.collect_list(wanted).alias("wanted"))
-    cut = docs.join(lists, ["k1", "k2"]).select("row", "text", "wanted").mapInArrow(_cut_segments(window), _SCHEMA)
-    grown = cut.filter("NOT heavy").drop("heavy").repartition("gram").sortWithinPartitions("gram").mapInArrow(_grow(window), "gram long, seg long, mask long")
-    long = cut.filter("heavy").mapInArrow(_lengthen(window), "p1 long, p2 long, gram long, seg long, bit long, copies long")
-    shared = long.groupBy("p1", "p2").agg(F.sum("copies").alias("n")).filter("n > 1").drop("n")
-    lengthened = long.join(shared, ["p1", "p2"]).select("gram", "seg", F.col("bit").alias("mask"))
-    masks = grown.unionByName(lengthened).select(mix.alias("mix"), "seg", "mask").groupBy("mix", "seg").agg(F.bit_or("mask").alias("mask"))
+    taken = docs.select("k1", "k2", "text").join(lists, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(_cut_segments(window), _SCHEMA)
+    grown = taken.filter("NOT heavy").drop("heavy").repartition("gram").sortWithinPartitions("gram").mapInArrow(_subtrees(window), "gram long, seg long, mask long")
+    if not heavy.isEmpty():
+        grown = grown.unionByName(_lengthened(taken.filter("heavy"), window))
+    masks = grown.select(mix.alias("mix"), "seg", "mask").groupBy("mix", "seg").agg(F.bit_or("mask").alias("mask"))
     every = F.expr("shiftleft(1L, cast(shiftright(place, 8) & 255 AS int)) - 1")
     told = live.filter("mixed").join(masks, ["mix", "seg"]).select("k1", "k2", "place", "mask").unionByName(live.filter("NOT mixed").select("k1", "k2", "place", every.alias("mask")))
     spans = told.select("k1", "k2", F.struct(F.shiftright("place", 16).alias("start"), "mask").alias("x"))
@@ -240,47 +289,75 @@ def _removed(n: int, found: list[dict] | None, window: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
-    """All columns of `docs` with n_words, n_removed, kept (the words left, joined by a space) added.
-
-    Every word of a window that also starts elsewhere goes, so no occurrence stays; windows are judged on
-    the input. Null texts have no words. Repeated rows are documents of their own, so all their windows
-    repeat; each keeps its row. doc_id may be null. Columns of those names in `docs` are replaced.
-    """
-    return _joined(docs, window, docs.columns, False)
+def _with_repeats(docs: DataFrame, keep: tuple[str, ...], window: int) -> DataFrame:
+    """row (a struct of the kept columns but the text), text, found. A row goes by two hashes of its id and text."""
+    others = [F.col(quoted(c)).alias(c) for c in keep if c != "text"]
+    row = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
+    rows = docs.select(row.alias("row"), "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "doc_id").alias("k2"))
+    return rows.join(repeats(rows, window), ["k1", "k2"], "left").select("row", "text", "found")
 
 
-def repeat_digests(docs: DataFrame, window: int = 35) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of the same removal."""
-    return _joined(docs, window, ["doc_id"], True)
-
-
-def _joined(docs: DataFrame, window: int, columns: list[str], digest: bool) -> DataFrame:
-    made = ["n_words", "n_removed", "kept_sha256" if digest else "kept"]
-    columns = [c for c in columns if c not in made]
-    inner = F.struct(*dict.fromkeys([*[c for c in columns if c != "text"], "doc_id"])).alias("row")
-    k1, k2 = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.xxhash64("text", "doc_id")
-    rows = docs.select(inner, "text", k1.alias("k1"), k2.alias("k2"))
-    kept = rows.join(repeats(rows, window), ["k1", "k2"], "left").select("row", "text", "found")
-    kind = dict(kept.dtypes)["row"]
+def cut(docs: DataFrame, keep: tuple[str, ...], window: int = 35, digest: bool = False) -> DataFrame:
+    """row (a struct of the kept columns but the text), n_words, n_removed, kept or kept_sha256, text: no name can clash."""
+    given = _with_repeats(docs, keep, window)
+    kind, name = given.schema["row"].dataType, "kept_sha256" if digest else "kept"
     texts_too = not digest
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch, texts in slices(batches):
             words_of, gone, bodies = [], [], []
-            for text, spans in zip(utf8(batch.column("text")), batch.column("found").to_pylist(), strict=True):
+            for text, spans in zip(texts, batch.column("found").to_pylist(), strict=True):
                 words = text.split()
                 words_of.append(len(words))
                 if spans:
-                    cut = _removed(len(words), spans, window)
-                    gone.append(int(cut.sum()))
-                    words = [w for w, c in zip(words, cut.tolist(), strict=True) if not c]
+                    out = _removed(len(words), spans, window)
+                    gone.append(int(out.sum()))
+                    words = [w for w, x in zip(words, out.tolist(), strict=True) if not x]
                 else:
                     gone.append(0)
                 body = b" ".join(words)
-                bodies.append(hashlib.sha256(body).hexdigest() if digest else body)
-            out = [batch.column("row"), pa.array(words_of, pa.int64()), pa.array(gone, pa.int64()), pa.array(bodies, pa.string() if digest else pa.binary())]
-            yield pa.RecordBatch.from_arrays(out + [batch.column("text")] * texts_too, names=["row", *made] + ["text"] * texts_too)
+                bodies.append(hashlib.sha256(body).hexdigest() if digest else body.decode())
+            columns = [batch.column("row"), pa.array(words_of, pa.int64()), pa.array(gone, pa.int64()), pa.array(bodies, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + [batch.column("text")] * texts_too, names=["row", "n_words", "n_removed", name] + ["text"] * texts_too)
+
+    return given.mapInArrow(trim, shape(row=kind, n_words="long", n_removed="long", **{name: "string"}, **{"text": "string"} if texts_too else {}))
+
+
+def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
+    """All columns of `docs` with n_words, n_removed, kept (the words left, joined by a space) added.
+
+    Every word of a window that also starts elsewhere goes, so no occurrence stays; windows are judged on
+    the input. Null texts have no words. Repeated rows are documents of their own, so all their windows
+    repeat; each keeps its row. doc_id may be null and of any type. A result whose name a column of `docs` has
+    takes `_2` behind it. An empty table gives an empty result. A text of any length is read whole, in its worker.
+    """
+    keep = tuple(docs.columns)
+    return cut(docs, keep, window).select(*kept_columns(keep), *results(("n_words", "n_removed", "kept"), keep))
+
+
+def repeat_digests(docs: DataFrame, window: int = 35) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of the same removal; other columns of `docs` are not read."""
+    return cut(docs, ("doc_id",), window, True).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def repeat_spans(docs: DataFrame, window: int = 35) -> DataFrame:
+    """doc_id, start_word, n_words, text: the maximal runs of words that repeated windows cover, as they stand.
+
+    Null texts and documents without a repeat have no row; repeated rows have theirs each.
+    """
+    given = _with_repeats(docs, ("doc_id",), window).filter("found IS NOT NULL")
+    kind = given.schema["row"].dataType
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch, texts in slices(batches):
+            row, first, length, body = [], [], [], []
+            for k, (text, found) in enumerate(zip(texts, batch.column("found").to_pylist(), strict=True)):
+                words = text.split()
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], _removed(len(words), found, window).astype(np.int8), [0]]))).tolist()
+                for a, b in zip(edges[0::2], edges[1::2], strict=True):
+                    row.append(k), first.append(a), length.append(b - a), body.append(b" ".join(words[a:b]).decode())
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(row, pa.int64())), pa.array(first, pa.int64()), pa.array(length, pa.int64()), pa.array(body, pa.string())], names=["row", "start_word", "n_words", "text"])
 
-    out = kept.mapInArrow(keep, f"row {kind}, n_words long, n_removed long, {made[2]} {'string' if digest else 'binary, text string'}")
-    return out.select(*[F.col("text") if c == "text" else F.col(f"row.{c}") for c in columns], "n_words", "n_removed", F.col(made[2]).cast("string").alias(made[2]))
+    return given.mapInArrow(spans, shape(row=kind, start_word="long", n_words="long", text="string")).select("row.doc_id", "start_word", "n_words", "text")
