@@ -2,11 +2,15 @@
 
 A hash of the last bytes rolls over every text; where it meets a fixed pattern a chunk ends, so equal
 passages of different documents fall into equal chunks wherever they stand. Each distinct chunk is
-encoded once by a worker (a bounded table, chunks compared by their bytes). A chunk's ids hold only
-between its first and last space, since what its neighbours add may change the rest; so every join is
-repaired by encoding the text from the left chunk's last space to the right chunk's first one again,
-growing over further chunks while they have no space. From there on both sides agree with the
-encoding of the whole text, because a space always ends a pre-token of the vocabulary.
+encoded once by a worker (a bounded table, chunks compared by their bytes).
+
+A chunk's ids hold only away from its ends, since its neighbours may change what stands there. So every
+join is repaired: the text from the left chunk's last words to the right chunk's first ones is encoded
+again. Its ids must agree exactly with the left chunk's in a whole word before the join, and with the right
+chunk's in one behind it, and only what lies between is replaced; if they do not agree, twice as many
+words on either side are encoded again, and so on until they do. Words here end at spaces, which always
+end a pre-token of the vocabulary, so beyond a word that agrees nothing of the other side is felt. A chunk
+with too few spaces is encoded again whole.
 
 The table lives in the worker, across the batches and tasks that it runs: joining chunks across the
 cluster would move every text and all its ids, which costs more disk than the input has.
@@ -16,17 +20,20 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from helixframe.llm.common import joined, mix, slices
-from helixframe.llm.encoders import WordEndEncoder, word_end_encoder
+from helixframe.llm.common import held, joined, mix, shape, slices
+from helixframe.llm.encoders import WordEndEncoder
 
 #: Bytes that the rolling hash sees, bits that end a chunk (512 bytes on average), and the bytes of text the table may hold.
-ROLL, CHUNK_BITS, TABLE_BYTES = 16, 9, 24 << 20
+ROLL, CHUNK_BITS, TABLE_BYTES = 16, 9, 6 << 20
+#: Words on either side of a join that are encoded again at first; the outer one must agree.
+REACH = 2
 
 
 def chunk_ends(data: np.ndarray) -> np.ndarray:
@@ -48,112 +55,136 @@ def chunk_ends(data: np.ndarray) -> np.ndarray:
 
 
 class ChunkTable:
-    """Distinct chunks and their encodings."""
+    """Distinct chunks and their ids."""
 
     def __init__(self, encoder: WordEndEncoder):
-        self.encoder, self.known, self.held = encoder, {}, 0
-        self.seen = self.reused = 0
+        self.encoder, self.held = encoder, 0
+        self.known: dict[bytes, np.ndarray] = {}
+        self.cuts: dict[tuple[bytes, int], tuple | None] = {}
+        self.seen = self.reused = self.grown = 0
 
-    def learn(self, chunks: set[bytes], bridges: set[str]) -> None:
-        """Encode chunks that are not known: (text before the first space or None, ids, decoded, text after the last)."""
+    def learn(self, chunks: set[bytes]) -> None:
+        """Encode the chunks that are not known, in one call."""
         if self.held > TABLE_BYTES:
-            self.known, self.held = {}, 0
+            self.known, self.cuts, self.held = {}, {}, 0
         new = [c for c in chunks if c not in self.known]
-        split = [c.decode().split(" ") for c in new]
-        words = set(bridges)
-        for pieces in split:
-            words.update(pieces[1:-1])
-        self.encoder.learn(words)
-        of = self.encoder.cache
-        for c, pieces in zip(new, split, strict=True):
-            if len(pieces) == 1:
-                self.known[c] = (None, b"", b"", pieces[0])
+        self.known.update(zip(new, self.encoder.encode_many([c.decode() for c in new]), strict=True))
+        self.held += sum(map(len, new))
+
+    def _cut(self, chunk: bytes, reach: int) -> tuple | None:
+        """A chunk cut `reach` spaces from its ends: text before, ids of the word before the cut, ids between the
+        cuts, ids of the word behind the second cut, text behind it. None without so many spaces."""
+        key = chunk, reach
+        if key not in self.cuts:
+            self.cuts[key] = self._cut_anew(chunk, reach)
+        return self.cuts[key]
+
+    def _cut_anew(self, chunk: bytes, reach: int) -> tuple | None:
+        pieces = chunk.split(b" ", reach)
+        if len(pieces) <= reach or pieces[-1].count(b" ") < reach:
+            return None
+        tail = pieces[-1].rsplit(b" ", reach)[1:]
+        ids, words = self.known[chunk], self.encoder.words
+        ends = np.concatenate([[0], np.flatnonzero(self.encoder.is_end[ids]) + 1])
+        before, last = words(b" ".join(pieces[:-1]).decode()), words(pieces[-2].decode())
+        behind, first = words(b" ".join(tail).decode()), words(tail[0].decode())
+        low, high = ends[before], ends[len(ends) - 1 - behind]
+        return b" ".join(pieces[:-1]), ids[ends[before - last] : low], ids[low:high], ids[high : ends[len(ends) - 1 - behind + first]], b" ".join(tail)
+
+    def _planned(self, chunks: list[bytes], reach: int) -> tuple[list[bytes], list[tuple]]:
+        """The stretches to encode again, one more than the cut chunks between them."""
+        stretches, cores, open_ = [], [], b""
+        for c in chunks:
+            cut = self._cut(c, reach)
+            if cut is None:
+                open_ += c
             else:
-                core = [of[p] for p in pieces[1:-1]]
-                self.known[c] = (pieces[0], b"".join([a for a, _ in core]), b"".join([b for _, b in core]), pieces[-1])
-            self.held += len(c)
-
-    def encode_many(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """(ids, decoded text) of each text."""
+                stretches.append(open_ + cut[0])
+                cores.append(cut)
+                open_ = cut[4]
+        return [*stretches, open_], cores
+
+    def _agree(self, again: list[np.ndarray], cores: list[tuple]) -> bool:
+        """Whether each stretch ends with the ids of the word before a chunk's core, and starts with those of the word behind it."""
+        same = lambda a, b: len(a) == len(b) and bool((a == b).all())
+        return all(same(left[len(left) - len(core[1]) :], core[1]) and same(right[: len(core[3])], core[3]) for left, core, right in zip(again, cores, again[1:], strict=False))
+
+    def encode_many(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
         encoder = self.encoder
-        whole = {k for k, t in enumerate(texts) if any(s.encode() in t for s in encoder.special)}
         data, firsts = joined(texts)
-        ends = chunk_ends(data)
-        buffer, cut = data.tobytes(), []
+        ends, buffer = chunk_ends(data), data.tobytes()
         lows, highs = np.searchsorted(ends, firsts[:-1], "right"), np.searchsorted(ends, firsts[1:] - 1, "left")
+        cut: dict[int, list[bytes]] = {}
+        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
         for k, (low, high) in enumerate(zip(lows.tolist(), highs.tolist(), strict=True)):
-            at = [int(firsts[k]), *ends[low:high].tolist(), int(firsts[k + 1]) - 1]
-            cut.append([] if k in whole or at[0] == at[-1] else [buffer[a:b] for a, b in zip(at, at[1:], strict=False)])
-        chunks = {c for x in cut for c in x}
-        self.seen += sum(map(len, cut))
-        self.reused += sum(map(len, cut)) - sum(c not in self.known for c in chunks)
-        self.learn(chunks, set())
-        plans, bridges = [], set()
-        for x in cut:  # the bridges over the joins, from a space to the next
-            bridge, plan = "", []
-            for c in x:
-                head, ids, names, tail = self.known[c]
-                if head is None:
-                    bridge += tail
-                    continue
-                plan += [bridge + head, (ids, names)]
-                bridges.add(bridge + head)
-                bridge = tail
-            plan.append(bridge)
-            bridges.add(bridge)
-            plans.append(plan)
-        encoder.learn(bridges)
-        of, out = encoder.cache, []
-        for k, plan in enumerate(plans):
-            if k in whole:
-                ids, names = encoder.whole(texts[k].decode())
+            if not texts[k]:
+                continue
+            if encoder.plain(text := texts[k].decode()):
+                at = [int(firsts[k]), *ends[low:high].tolist(), int(firsts[k + 1]) - 1]
+                cut[k] = [buffer[a:b] for a, b in pairwise(at)]
             else:
-                parts = [of[p] if isinstance(p, str) else p for p in plan]
-                ids, names = b"".join([a for a, _ in parts]), b"".join([b for _, b in parts])
-            out.append((ids, names[:-1]))  # decoding puts one space between two tokens' names
+                out[k] = encoder.whole(text)
+        chunks = {c for x in cut.values() for c in x}
+        self.seen += sum(map(len, cut.values()))
+        self.reused += sum(map(len, cut.values())) - sum(c not in self.known for c in chunks)
+        self.learn(chunks)
+        reach = REACH
+        while cut:
+            plans = {k: self._planned(x, reach) for k, x in cut.items()}
+            distinct = list({s for stretches, _ in plans.values() for s in stretches})
+            ids = dict(zip(distinct, encoder.encode_many([s.decode() for s in distinct]), strict=True))
+            for k, (stretches, cores) in plans.items():
+                again = [ids[s] for s in stretches]
+                if self._agree(again, cores):
+                    out[k] = np.concatenate([x for s, core in zip(again, cores, strict=False) for x in (s, core[2])] + [again[-1]])
+                    del cut[k]
+            self.grown += len(cut)
+            reach *= 2
         return out
 
 
-@lru_cache(2)
 def _table(vocabulary: str) -> ChunkTable:
-    return ChunkTable(word_end_encoder(vocabulary))
+    return held(("chunks", vocabulary), lambda: ChunkTable(WordEndEncoder(vocabulary)))
 
 
-def _mapped(docs: DataFrame, vocabulary: str, schema: str, row) -> DataFrame:
-    kind = dict(docs.dtypes)["doc_id"]
+def _mapped(docs: DataFrame, vocabulary: str, made: dict[str, str], row) -> DataFrame:
+    given = docs.select(F.col("doc_id").alias("key"), "text")
+    kind = given.schema["key"].dataType
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(vocabulary)
         for batch, texts in slices(batches):
-            columns = row(table.encode_many(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns.values()], names=["doc_id", *columns])
+            columns = row(table.encode_many(texts), table.encoder)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *columns.values()], names=["key", *columns])
 
-    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, {schema}")
+    return given.mapInArrow(encode, shape(key=kind, **made)).withColumnRenamed("key", "doc_id")
 
 
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, ids (array<int>), decoded: the whole texts' ids and what decoding them gives.
 
     Null and empty texts have no ids. Repeated rows stay repeated, a null doc_id stays null, and no
-    other column of `docs` is read.
+    other column of `docs` is read. An empty table gives an empty result. A text of any length is encoded whole,
+    in its worker.
     """
 
-    def row(found: list[tuple[bytes, bytes]]) -> dict[str, pa.Array]:
-        lengths = np.cumsum([0, *(len(a) // 4 for a, _ in found)]).astype(np.int32)
-        ids = pa.array(np.frombuffer(b"".join([a for a, _ in found]), "<i4"), pa.int32())
-        return {"ids": pa.ListArray.from_arrays(pa.array(lengths), ids), "decoded": pa.array([b.decode() for _, b in found], pa.string())}
+    def row(found: list[np.ndarray], encoder: WordEndEncoder) -> dict[str, pa.Array]:
+        lengths = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        ids = pa.array(np.concatenate([np.zeros(0, "<u4"), *found]).astype(np.int32))
+        return {"ids": pa.ListArray.from_arrays(pa.array(lengths), ids), "decoded": pa.array([encoder.decoded(x).decode() for x in found], pa.string())}
 
-    return _mapped(docs, vocabulary, "ids array<int>, decoded string", row)
+    return _mapped(docs, vocabulary, {"ids": "array<int>", "decoded": "string"}, row)
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of the same encodings, without moving them out of the worker."""
 
-    def row(found: list[tuple[bytes, bytes]]) -> dict[str, pa.Array]:
+    def row(found: list[np.ndarray], encoder: WordEndEncoder) -> dict[str, pa.Array]:
         return {
-            "n_tokens": pa.array([len(a) // 4 for a, _ in found], pa.int64()),
-            "ids_sha256": pa.array([hashlib.sha256(a).hexdigest() for a, _ in found], pa.string()),
-            "decoded_sha256": pa.array([hashlib.sha256(b).hexdigest() for _, b in found], pa.string()),
+            "n_tokens": pa.array([len(x) for x in found], pa.int64()),
+            "ids_sha256": pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in found], pa.string()),
+            "decoded_sha256": pa.array([hashlib.sha256(encoder.decoded(x)).hexdigest() for x in found], pa.string()),
         }
 
-    return _mapped(docs, vocabulary, "n_tokens long, ids_sha256 string, decoded_sha256 string", row)
+    return _mapped(docs, vocabulary, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, row)

@@ -1,32 +1,24 @@
-"""Encoders that remember words.
+"""Encoders of two public vocabularies, equal to the tokenizers library and several times faster.
 
-A space between two other characters always ends a pre-token of the vocabularies used here, so a
-text may be cut there and the pieces encoded apart; most pieces of prose recur. Texts that hold a
-special token, or white space of another shape, take the library's own path.
+Both let tiktoken do the merges. Texts that hold a special token, or characters whose class differs
+between Unicode versions (so that two pattern engines may cut them differently), take the library's own path.
 """
 
 from __future__ import annotations
 
 import json
-import re
-from functools import lru_cache
+import unicodedata
 
 import numpy as np
+import regex
 
-#: At most so many remembered pieces in a worker; beyond that the long ones are forgotten first.
-MAX_WORDS = 150_000
-#: The pattern that splits text before the merges of byte-level vocabularies (a fixed value of the vocabulary).
-BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_ODD = re.compile(r"[^\S ] | [^\S ]|  |\A | \Z")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-
+from helixframe.llm.common import held
 
-def _trim(cache: dict) -> None:
-    if len(cache) > MAX_WORDS:
-        for k in [k for k in cache if len(k) > 6]:
-            del cache[k]
-        if len(cache) > MAX_WORDS // 2:
-            cache.clear()
+#: The patterns that split text before the merges (fixed values of the vocabularies).
+BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+WORD_END_PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+""")
+#: What marks the end of a word in a name of the vocabulary, and in the text that tiktoken sees; and what stands between two texts.
+WORD_END, MARK, GAP = "</w>", "\x01", "\x02"
 
 
 def _byte_of_symbol() -> dict[str, int]:
@@ -40,112 +32,129 @@ def _byte_of_symbol() -> dict[str, int]:
     return out
 
 
+def _is_firm(char: str) -> bool:
+    """Whether all Unicode versions since 3.2 take a character for the same: letter, number, space or other."""
+    old, new = unicodedata.ucd_3_2_0.category(char), unicodedata.category(char)
+    kind = lambda c: c[0] if c[0] in "LNZ" else ""
+    return new != "Cn" and kind(old) == kind(new)
+
+
+class _Firm:
+    """Remembers which characters are firm; there are few in a corpus."""
+
+    def __init__(self, odd: str = ""):
+        self.firm, self.odd = set(map(chr, range(128))) - set(odd), set(odd)
+
+    def holds(self, text: str) -> bool:
+        new = set(text) - self.firm
+        if not new:
+            return True
+        if new & self.odd:
+            return False
+        for c in new:
+            (self.firm if _is_firm(c) else self.odd).add(c)
+        return not new & self.odd
+
+
 class ByteEncoder:
-    """Byte-level BPE ids of texts, equal to those of the tokenizers library for the same file."""
+    """Byte-level BPE ids of texts."""
 
     def __init__(self, path: str):
         import tiktoken
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         symbols = _byte_of_symbol()
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(symbols[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        self.inner = tiktoken.Encoding("words", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.special = tuple(special)
+        self.inner = tiktoken.Encoding("bytes", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.special, self.firm = tuple(special), _Firm()
         self.token_bytes = np.zeros(max([*ranks.values(), *special.values()]) + 1, np.int64)
         for token, i in ranks.items():
             self.token_bytes[i] = len(token)
         for token, i in special.items():
             self.token_bytes[i] = len(token.encode())
-        self.cache: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.inner.encode(text, allowed_special="all"), "<u4").tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces, each after a space, in one call, and cut the ids at the pieces' ends."""
-        spaced = [" " + p for p in pieces]
-        ids = np.array(self.inner.encode_ordinary("".join(spaced)), "<u4")
-        ends = np.cumsum(np.fromiter((len(p.encode()) for p in spaced), np.int64, len(spaced)))
-        at = np.cumsum(self.token_bytes[ids])
-        cuts = np.searchsorted(at, ends)
-        if len(cuts) and (cuts[-1] >= len(at) or (at[np.minimum(cuts, len(at) - 1)] != ends).any()):
-            self.cache.update((p, self._whole(s)) for p, s in zip(pieces, spaced, strict=True))
-            return
-        raw, first = ids.tobytes(), 0
-        for p, last in zip(pieces, ((cuts + 1) * 4).tolist(), strict=True):
-            self.cache[p] = raw[first:last]
-            first = last
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        _trim(self.cache)
-        split = [None if any(s in t for s in self.special) else _CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
-        missing = set()
-        for pieces in split:
-            if pieces:
-                missing.update(pieces[1:])
-        missing.difference_update(self.cache)
-        if missing:
-            self._learn(list(missing))
-        of = self.cache.__getitem__
-        return [self._whole(t) if pieces is None else self._whole(pieces[0]) + b"".join(map(of, pieces[1:])) for t, pieces in zip(texts, split, strict=True)]
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text, as little-endian unsigned 32-bit integers."""
+        if any(s in text for s in self.special) or not self.firm.holds(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.inner.encode_ordinary(text), "<u4")
 
 
 class WordEndEncoder:
-    """Ids and decoded texts of a BPE vocabulary that marks word ends and drops white space."""
+    """Ids of a BPE vocabulary that marks word ends and drops white space, and the names that decoding joins.
+
+    A byte of its own marks the ends of words for tiktoken, and one letter with a mark ranks before every merge. As
+    each name of the vocabulary is what the merges below it make of its own letters (a test checks all),
+    merging by ranks gives what merging by the list of pairs does.
+    """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.inner = Tokenizer.from_file(path)
-        self.inner.no_truncation()
-        self.inner.no_padding()
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = tuple(t["content"] for t in spec["added_tokens"])
-        names = self.inner.get_vocab(with_added_tokens=True)
+        names = self.library.get_vocab(with_added_tokens=True)
         self.token = [b""] * (max(names.values()) + 1)
+        self.is_end = np.zeros(len(self.token), bool)
         for name, i in names.items():
             self.token[i] = name.encode()
-        self.mark = self.inner.encode("\x01", add_special_tokens=False).ids
-        #: piece -> (ids as bytes, its tokens' names with a space after each)
-        self.cache: dict[str, tuple[bytes, bytes]] = {"": (b"", b"")}
-
-    def _pair(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return np.array(ids, "<u4").tobytes(), b"".join([self.token[i] + b" " for i in ids])
-
-    def whole(self, text: str) -> tuple[bytes, bytes]:
-        return self._pair(self.inner.encode(text, add_special_tokens=False).ids)
-
-    def learn(self, pieces: set[str]) -> None:
-        """Encode the pieces (without a space) that are not known yet."""
-        if len(self.cache) > MAX_WORDS:
-            _trim(self.cache)
-            self.cache[""] = (b"", b"")
-        new = [p for p in pieces if p not in self.cache]
-        plain = [p for p in new if "\x01" not in p]
-        if len(self.mark) == 1 and plain:
-            ids = np.array(self.inner.encode_batch_fast([" \x01 ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark[0])
-            if len(cuts) == len(plain) - 1:
-                token, first = self.token, 0
-                flat = ids.tolist()
-                for p, last in zip(plain, [*cuts.tolist(), len(flat)], strict=True):
-                    own = flat[first:last]
-                    self.cache[p] = (ids[first:last].tobytes(), b"".join([token[i] + b" " for i in own]))
-                    first = last + 1
-        for p in new:
-            if p not in self.cache:
-                self.cache[p] = self.whole(p)
-
-
-@lru_cache(2)
+            self.is_end[i] = name.endswith(WORD_END)
+        symbols = _byte_of_symbol()
+        ranks, ids = {bytes([b]): b for b in range(256)}, []
+        for name, i in sorted(spec["model"]["vocab"].items(), key=lambda x: x[1]):
+            if name not in self.special:
+                stem = name.removesuffix(WORD_END)
+                token = bytes(symbols[c] for c in stem) + MARK.encode() * (stem != name)
+                ids.append((ranks.setdefault(token, len(ranks)), i))
+        self.ids = np.zeros(len(ranks), "<u4")
+        for rank, i in ids:
+            self.ids[rank] = i
+        self.inner = tiktoken.Encoding("words", pat_str=f"[^{MARK}]+{MARK}", mergeable_ranks=ranks, special_tokens={})
+        # Control characters that two engines may or may not take for white space, and the marks, are left to the library.
+        self.firm = _Firm("".join(map(chr, [*range(9), *range(14, 32), 127])))
+
+    def plain(self, text: str) -> bool:
+        """Whether a text may be cut at spaces and encoded in parts: no special token, and only firm characters."""
+        return not any(s in text for s in self.special) and self.firm.holds(text)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of plain texts, in one call for all."""
+        if not texts:
+            return []
+        words = [WORD_END_PATTERN.findall(t) for t in self.library.normalizer.normalize_str(GAP.join(texts)).split(GAP)]
+        flat = MARK.join([MARK.join(w) for w in words if w])
+        ids = self.ids[np.array(self.inner.encode_ordinary(flat + MARK) if flat else [], np.int64)]
+        ends = np.concatenate([[0], np.flatnonzero(self.is_end[ids]) + 1])
+        cuts = ends[np.cumsum([0, *map(len, words)])].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def words(self, text: str) -> int:
+        """How many words a plain text has for the vocabulary."""
+        return len(WORD_END_PATTERN.findall(self.library.normalizer.normalize_str(text)))
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """What decoding gives: the names with one space between two."""
+        token = self.token
+        return b" ".join([token[i] for i in ids.tolist()])
+
+
 def byte_encoder(path: str) -> ByteEncoder:
-    return ByteEncoder(path)
+    return held(("bytes", path), lambda: ByteEncoder(path))
 
 
-@lru_cache(2)
 def word_end_encoder(path: str) -> WordEndEncoder:
-    return WordEndEncoder(path)
+    return held(("words", path), lambda: WordEndEncoder(path))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import slices
+from helixframe.llm.common import quoted, shape, slices
 from helixframe.llm.encoders import byte_encoder
 
 
@@ -37,15 +37,16 @@ def section_tokens(docs: DataFrame, vocabulary: str, fields: tuple[str, ...] = (
     The document that is encoded is its fields joined by a newline; a section is a field or, with
     `by_line`, a line of one with its newline. A null field counts as empty. An empty document has one
     section of no characters and no tokens, as has every empty field. Repeated rows stay repeated, a
-    null doc_id stays null, and no other column of `docs` is read.
+    null doc_id stays null, and no other column of `docs` is read. An empty table gives an empty result. A
+    text of any length is encoded whole, in its worker.
     """
-    kind, names = dict(docs.dtypes)["doc_id"], list(fields)
+    names = list(fields)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_encoder(vocabulary)
         for batch, texts in slices(batches):
             row, number, field, first, last, tokens = [], [], [], [], [], []
-            ends = [np.cumsum(encoder.token_bytes[np.frombuffer(x, "<u4")]) for x in encoder.encode_many([t.decode() for t in texts])]
+            ends = [np.cumsum(encoder.token_bytes[encoder.encode(t.decode())]) for t in texts]
             sizes = batch.column("sizes").to_pylist()
             for k, text in enumerate(texts):
                 data = np.frombuffer(text, np.uint8)
@@ -69,8 +70,9 @@ def section_tokens(docs: DataFrame, vocabulary: str, fields: tuple[str, ...] = (
                 last += at[1:].tolist()
                 tokens += found.tolist()
             long = lambda x: pa.array(x, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(long(row)), long(number), pa.array(field, pa.string()), long(first), long(last), long(tokens)], names=["doc_id", "section_no", "field", "start_char", "end_char", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(long(row)), long(number), pa.array(field, pa.string()), long(first), long(last), long(tokens)], names=["key", "section_no", "field", "start_char", "end_char", "n_tokens"])
 
-    whole = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in names]
-    given = docs.select("doc_id", F.concat_ws("\n", *whole).alias("text"), F.array(*[F.octet_length(x).cast("long") for x in whole]).alias("sizes"))
-    return given.mapInArrow(count, f"doc_id {kind}, section_no long, field string, start_char long, end_char long, n_tokens long")
+    whole = [F.coalesce(F.col(quoted(f)).cast("string"), F.lit("")) for f in names]
+    given = docs.select(F.col("doc_id").alias("key"), F.concat_ws("\n", *whole).alias("text"), F.array(*[F.octet_length(x).cast("long") for x in whole]).alias("sizes"))
+    kind = given.schema["key"].dataType
+    return given.mapInArrow(count, shape(key=kind, section_no="long", field="string", start_char="long", end_char="long", n_tokens="long")).withColumnRenamed("key", "doc_id")

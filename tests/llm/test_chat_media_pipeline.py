@@ -19,7 +19,9 @@ def talks():
     rows = []
     for conv, n in ((1, 2), (2, 4), (3, 4), (4, 3), (6, 1)):
         rows += [(conv, t, r, x, "extra") for t, (r, x) in enumerate(full[:n])]
-    rows += [(5, 0, "user", "hi", ""), (5, 1, "assistant", "other", ""), (7, 0, None, "", ""), (8, None, "user", "b", ""), (8, None, "user", "a", ""), (8, 3, "user", "a", ""), (8, 3, "user", "a", ""), (None, 0, "user", "lost", "")]
+    rows += [(5, 0, "user", "hi", ""), (5, 1, "assistant", "other", ""), (7, 0, None, "", ""), (8, None, "user", "b", ""), (8, None, "user", "a", ""), (8, 3, "user", "a", ""), (8, 3, "user", "a", "")]
+    rows += [(None, 0, "user", "lost", ""), (None, 4, "user", "lost", ""), (None, 0, "user", "hi", ""), (9, 0, "user", "lone", ""), (None, 0, "user", "lone", "")]
+    rows += [(20, 0, "<|im_x", "hello", ""), (21, 0, "<|_im_x", "hello", ""), (22, 0, "<||im_x", "hello", ""), (23, 0, "a\nb", "c", ""), (24, 0, "a", "b\nc", ""), (25, 0, "a\\nb", "c", ""), (26, 0, "", "x", ""), (27, 0, None, "x", ""), (28, 0, "1:a+b", None, ""), (29, 0, "1:a", "b", "")]
     return rows
 
 
@@ -31,7 +33,11 @@ def test_snapshots_collapse_as_in_sql(spark):
     want = con.execute(chat.FORMAT_SQL).fetchall()
     assert Counter(map(tuple, got.collect())) == Counter(tuple(None if x != x else x for x in r) for r in want)
     found = {r.conv_id: r for r in got.collect()}
-    assert set(found) == {2, 5, 7, 8, None} and found[2].n_copies == 2 and "<|_im_end|>" in found[2].rendered
+    assert set(found) == {2, 5, 7, 8, 9, *range(20, 30), None} and found[2].n_copies == 2 and "<||im_end|>" in found[2].rendered
+    # rows without a conv_id are conversations of their own: one is a prefix of others, one equals a named one
+    assert [(r.n_turns, r.n_copies, "lost" in r.rendered) for r in got.collect() if r.conv_id is None] == [(1, 2, True)] and found[9].n_copies == 2
+    # other conversations stay other ones, and so do their texts (but for null and empty, which render alike)
+    assert len({found[k].rendered for k in range(20, 30)}) == 9
     assert chat.format_chats(frame.limit(0)).count() == 0
 
 
@@ -114,6 +120,43 @@ def test_pipeline_keeps_one_of_each_group_and_packs_the_rest(spark):
             assert given.columns == docs.columns
         seen[name] = given.collect()
     ids = {name: {r.doc_id for r in rows} for name, rows in seen.items()}
+    assert [r for r in seen["toxicity"] if r.doc_id == 1] == [r for r in docs.filter("doc_id = 1").collect()]
     assert 10**6 not in ids["toxicity"] and 2_000_001 in ids["quality rules"]
     assert 2_000_001 not in ids["SimHash near-dedup"] and 1 in ids["SimHash near-dedup"] and ids["substring dedup"] == ids["SimHash near-dedup"] == ids["packing"]
     assert len(ids["quality rules"]) > 0.7 * docs.count()
+
+
+def test_stages_keep_clashing_columns_and_rows_with_repeated_ids(spark):
+    docs = table(spark, DATA, "documents").limit(60)
+    names = ("score", "predicted", "kept", "probability", "n_words", "n_removed", "row", "fp", "component_id", "a.b")
+    wide = docs.selectExpr("doc_id", "text", "lang", "source", "n_chars", *[f"cast(doc_id AS string) AS `{n}`" for n in names])
+    given = wide
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        given = stage(spark, given, DATA)
+        assert given.columns == wide.columns, name
+    rows = given.collect()
+    assert rows and all(r[n] == str(r.doc_id) for r in rows for n in names)
+
+
+def test_near_duplicates_go_by_rows(spark):
+    long = " ".join(f"w{k}" for k in range(80))
+    rows = [(5, "one text about hills and rivers", "a"), (5, "quite another text of some other things", "b"), (9, "a third one with nothing in common at all", "c")]
+    rows += [(7, long, "d"), (7, long, "d"), (3, long, "e"), (None, long, "f"), (None, "no id and no partner here today", "g"), (None, None, "h"), (2, "", "i"), (None, "no id and no partner here today", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `x.y` string").repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, DATA)
+    assert kept.columns == docs.columns
+    assert sorted(r[2] for r in kept.collect()) == ["a", "b", "c", "e", "g", "i"]
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), DATA).count() == 0
+    named = docs.selectExpr("concat('n', doc_id) AS doc_id", "text", "`x.y`")
+    assert corpus_pipeline.drop_repeated_passages(spark, named, DATA).count() == len(rows)
+
+
+@pytest.mark.parametrize("sign", [b"TAG", b"APETAGEX", b"ID3\x04", b"\xff\xfb\x90\x64", b"Xing", b"VBRI"])
+def test_every_offset_of_a_sign_in_the_payload_comes_back(sign):
+    for blocks in (1, 2, 4, 5):
+        for at in range(media.BLOCK):
+            text = bytearray(b"y" * (media.BLOCK * blocks))
+            start = media.BLOCK * (blocks - 1) + at
+            text[start : start + len(sign)] = sign[: len(text) - start]
+            stream = media.write(bytes(text))
+            assert media.read(stream, media.parse(stream)) == bytes(text)

@@ -68,7 +68,7 @@ def test_components_equal_brute_force(spark):
     check_components(spark)
 
 
-def test_crowded_cells_lose_no_link(spark, monkeypatch):
+def test_crowded_cells_and_short_segments_lose_no_link(spark):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
     prints = {int(b) for b in base}
@@ -77,34 +77,15 @@ def test_crowded_cells_lose_no_link(spark, monkeypatch):
             prints.add(b ^ sum(1 << int(x) for x in rng.choice(64, rng.integers(1, 6), replace=False)))
     prints = sorted(prints)
     fps = [p - (1 << 64) if p >> 63 else p for p in prints]
-    for cell in (2048, 3):
-        monkeypatch.setattr(simhash, "CELL", cell)
-        frame = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, least long")
-        # the limit must reach the workers, so the step runs on one partition in this process
-        pairs = simhash.links(frame).collect() if cell == 2048 else local_links(np.array(fps))
+    frame = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, least long")
+    groups = lambda xs: {frozenset(k for k in range(len(fps)) if xs[k] == c) for c in set(xs)}
+    want = groups(components(prints))
+    for bits, cell in ((2, 2048), (2, 3), (1, 2048), (1, 4)):
         label = {f: f for f in fps}
-        for u, v in pairs:
+        for u, v in simhash.links(frame, bits, cell).collect():
             a, b = label[u], label[v]
             label = {k: (a if x == b else x) for k, x in label.items()}
-        groups = lambda xs: {frozenset(k for k in range(len(fps)) if xs[k] == c) for c in set(xs)}
-        assert groups([label[f] for f in fps]) == groups(components(prints))
-
-
-def local_links(fps):
-    """The same steps as `links` over one partition."""
-    import pyarrow as pa
-
-    batch = next(simhash._in_cells(iter([pa.RecordBatch.from_arrays([pa.array(fps)], names=["fp"])])))
-    order = np.argsort(batch.column("cell").to_numpy(), kind="stable")
-    placed = batch.take(pa.array(order))
-    rows = [r for b in simhash._linked(iter([placed.slice(0, 500), placed.slice(500)])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-    dense = sorted({u for u, v in rows if v is None})
-    assert dense
-    points = {}
-    for b in simhash._around(iter([pa.RecordBatch.from_arrays([pa.array(dense)], names=["fp"])])):
-        for p, f in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            points.setdefault(p, []).append(f)
-    return [(u, v) for u, v in rows if v is not None] + [(f, min(x)) for x in points.values() for f in x if f != min(x)]
+        assert groups([label[f] for f in fps]) == want
 
 
 def test_embedding_bounds_the_hamming_distance():
@@ -116,6 +97,8 @@ def test_embedding_bounds_the_hamming_distance():
             b[k] ^= np.uint64(1) << np.uint64(x)
     cells = lambda fps: [set(c[i == k].tolist()) for k in range(len(fps)) for c, i in [tuple(map(np.concatenate, zip(*simhash.cells(fps), strict=True)))]]
     assert all(x & y for x, y in zip(cells(a[:40]), cells(b[:40]), strict=True))
+    one = lambda fps: [set(c[i == k].tolist()) for k in range(len(fps)) for c, i in [tuple(map(np.concatenate, zip(*simhash.cells(fps, 1), strict=True)))]]
+    assert all(x & y for x, y in zip(one(a[:40]), one(b[:40]), strict=True))
 
 
 def windows_removed(rows, window):
@@ -142,7 +125,12 @@ def test_repeats_equal_brute_force(spark):
 
 
 def test_long_prefixes_of_heavy_groups(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "HEAVY", 1)
+    for heavy in (1, 3):
+        monkeypatch.setattr(substrings, "HEAVY", heavy)
+        check_heavy(spark)
+
+
+def check_heavy(spark):
     want = Counter((i, n, g) for (i, *_), (n, g, _) in zip(ROWS, windows_removed(ROWS, 35), strict=True))
     assert Counter((r.doc_id, r.n_words, r.n_removed) for r in substrings.repeat_digests(spark.createDataFrame(ROWS, SCHEMA)).collect()) == want
 

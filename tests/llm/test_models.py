@@ -39,10 +39,11 @@ def base(text):
 
 def test_base_counts_equal_brute_force(odd):
     model = quality.fit([])
-    rows = quality.quality(odd, model, keep=("doc_id", "kept")).collect()
+    rows = quality.quality(odd, model, keep=("doc_id", "kept", "score")).collect()
+    assert {r.kept for r in rows} == {"k"} and {r.kept_2 for r in rows} <= {True, False}
     want = Counter((None if i == 1 else i, *base(t)) for i, t in enumerate([*ODD]))
     want[(4, *base(ODD[4]))] += 1
-    assert Counter((r[0], r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rows) == want
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rows) == want
     for r in rows:
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
 
@@ -101,7 +102,107 @@ def test_kernel_equals_its_definition():
 
 def test_odd_texts_score(odd):
     model = toxicity.fit([])
-    assert odd.count() == toxicity.toxicity(odd, model, ("doc_id", "score", "row")).count()
+    rows = toxicity.toxicity(odd, model, ("doc_id", "score", "row")).collect()
+    assert odd.count() == len(rows) and {r.score for r in rows} == {"s"} and {r.row for r in rows} == {"r"} and all(r.score_2 < 0.5 for r in rows)
+
+
+def test_scores_equal_a_plain_rescoring(spark, tables):
+    """Each text alone, words in a loop and the kernel by its definition, against the query's batches."""
+    from itertools import combinations
+
+    model = toxicity.train(*tables)
+    feature = lambda w: {k: sum(toxicity.DECAY ** (c[-1] - c[0] + 1) for c in places) for k, places in _subsequences(w).items()}
+
+    def _subsequences(word):
+        out = {}
+        for c in combinations(range(len(word)), 3):
+            out.setdefault(bytes(word[i] for i in c), []).append(c)
+        return out
+
+    marks = [feature(w) for w in model.landmarks]
+    norm = lambda f: sum(v * v for v in f.values()) ** 0.5
+
+    def kernels(word):
+        if not 3 <= len(word) <= toxicity.LONGEST:
+            return [0.0] * len(marks)
+        f = feature(word)
+        found = [sum(v * m.get(k, 0) for k, v in f.items()) / (norm(f) * norm(m)) for m in marks]
+        return [x**toxicity.POWER if x >= toxicity.FLOOR else 0.0 for x in found]
+
+    known = {}
+    texts = [r for r in tables[0].filter("length(text) < 900").orderBy("doc_id").limit(25).collect()]
+    got = {r.doc_id: r.score for r in toxicity.toxicity(tables[0], model).collect()}
+    for r in texts:
+        folded, starts, ends, sentence, _ = toxicity.sentence_words([r.text.encode()])
+        best = model.bias
+        for s in set(sentence.tolist()):
+            top = [0.0] * len(marks)
+            for a, b, n in zip(starts, ends, sentence, strict=True):
+                if n == s:
+                    word = folded[a:b].tobytes()
+                    if word not in known:
+                        known[word] = kernels(word)
+                    top = [max(x, y) for x, y in zip(top, known[word], strict=True)]
+            best = max(best, sum(x * w for x, w in zip(top, model.weights, strict=True)) + model.bias)
+        assert got[r.doc_id] == pytest.approx(1 / (1 + 2.718281828459045 ** -(model.slope * best + model.shift)), abs=0.02)
+
+
+def test_quality_verdicts_equal_a_plain_rescoring(tables):
+    import numpy as np
+
+    model = quality.train(*tables)
+    for r in [*tables[0].filter("length(text) < 900").orderBy("doc_id").limit(20).collect(), *tables[0].filter("lang <> 'en' AND length(text) < 900").limit(20).collect()]:
+        margin, text = model.bias, r.text
+        words = text.encode().split()
+        bags = [[int(x) for x in _word_buckets(words)]] + [[_gram_bucket(text[i : i + n]) for i in range(len(text) - n + 1)] for n in (3, 4)]
+        for weights, bag in zip(model.weights, bags, strict=True):
+            margin += float(np.sum(weights[bag])) / max(1, len(bag)) if bag else 0
+        assert model.margins([text.encode()])[0] == pytest.approx(margin, abs=1e-4)
+
+
+def _word_buckets(words):
+    import numpy as np
+
+    from helixframe.llm.common import span_hashes
+
+    for w in words:
+        yield int(span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] >> np.uint64(40)) % quality.BUCKETS
+
+
+def _gram_bucket(gram):
+    code = 0
+    for c in gram:
+        code = (code << 21) & (1 << 64) - 1 ^ code >> 43 ^ ord(c)
+    return (code * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 40 & quality.BUCKETS - 1
+
+
+def test_hashes_do_not_depend_on_the_place():
+    import numpy as np
+
+    from helixframe.llm.common import span_hashes
+
+    data = np.frombuffer(b"ab cd " * 20000, np.uint8)
+    starts = np.arange(0, len(data), 3)
+    hashes = span_hashes(data, starts, starts + 2)
+    assert len(np.unique(hashes)) == 2 and (hashes[::2] == hashes[0]).all() and hashes[0] == span_hashes(data[:2], np.array([0]), np.array([2]))[0]
+
+
+def test_languages_beyond_a_byte():
+    import numpy as np
+
+    scores = np.zeros((3, 200), np.float32)
+    scores[:, 150] = 5
+    assert langid.viterbi(scores, np.array([0, 3]), 1.0).tolist() == [150] * 3
+    names = [f"l{k:03}" for k in range(200)]
+    words = {n: "".join(chr(97 + int(c)) * 2 for c in n[1:]) for n in names}
+    model = langid.fit([(f"{words[n]} " * 30, n) for n in names])
+    labels = langid.labelled_words([f"{words[n]} {words[n]}".encode() for n in names], model)[2]
+    assert [model.languages[x] for x in labels[::2]] == names
+
+
+def test_kept_columns_of_languages(odd):
+    rows = langid.languages(odd.withColumnRenamed("row", "lang_pred"), langid.fit([("some words", "en")]), ("doc_id", "lang_pred", "text", "score")).collect()
+    assert {r.lang_pred for r in rows} == {"r"} and {r.lang_pred_2 for r in rows} == {"en", "und"} and {r.score for r in rows} == {"s"} and len(rows) == odd.count()
 
 
 def test_languages_on_held_out_documents(spark, tables):
