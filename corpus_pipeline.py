@@ -11,38 +11,36 @@ from pyspark.sql import functions as F
 
 from helixframe.durable import cut_lineage
 from helixframe.llm import packing, quality, simhash, substrings, toxicity
-from helixframe.llm.common import small_batches
+from helixframe.llm.common import kept_columns
 from helixframe.llm.queries import table, vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the string kernel machine rejects go."""
-    small_batches(spark)
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.toxicity(docs, model, tuple(docs.columns)).filter("predicted = 0").select(*docs.columns)
+    keep = tuple(docs.columns)
+    return toxicity.judged(docs, model, keep).filter("predicted = 0").select(*kept_columns(keep))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    small_batches(spark)
     model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality.quality(docs, model, keep=tuple(docs.columns)).filter("kept").select(*docs.columns)
+    keep = tuple(docs.columns)
+    return quality.judged(docs, model, quality.THRESHOLD, keep).filter("kept").select(*kept_columns(keep))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays, once; rows without an id all stay."""
-    kept = simhash.near_duplicates(docs.select("doc_id", "text")).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    """Of each group of near-duplicates one row stays, that with the smallest id; no other text goes."""
+    return simhash.representatives(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 35 words and more that also stand elsewhere are cut out of every text."""
-    small_batches(spark)
-    cut = substrings.remove_repeats(docs)
+    keep = tuple(docs.columns)
+    cut = substrings.cut(docs, keep)
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept"))
     made = {"text": text, "n_chars": F.length(text).cast(dict(docs.dtypes).get("n_chars", "bigint"))}
-    return cut.select(*[made[c].alias(c) if c in made else c for c in docs.columns])
+    return cut.select(*[made[c].alias(c) if c in made else kept for c, kept in zip(keep, kept_columns(keep), strict=True)])
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
