@@ -97,9 +97,15 @@ def unitig_id(sequence, topology, k: int, domain: str = "helixframe/unitig/1") -
 
 
 def minimum_rotation(c) -> Column:
-    """The smallest rotation of a cyclic spelling."""
+    """The smallest rotation of a cyclic spelling: only those that start with its smallest 32 letters are compared whole.
+
+    A ring of distinct k-mers has few such places, so memory grows with its length; a ring that repeats itself has more.
+    """
     s = _col(c)
-    return F.array_min(F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substr(s, i), F.left(s, i - 1))))
+    twice, places = F.concat(s, s), F.when(F.length(s) > 0, F.sequence(F.lit(1), F.length(s)))
+    width = F.least(F.length(s), F.lit(32))
+    least = F.array_min(F.transform(places, lambda i: F.substr(twice, i, width)))
+    return F.array_min(F.transform(F.filter(places, lambda i: F.substr(twice, i, width) == least), lambda i: F.substr(twice, i, F.length(s))))
 
 
 def flip(orientation) -> Column:

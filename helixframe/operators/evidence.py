@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.functions import dna
+from helixframe.functions import dna, packed
 from helixframe.operators import graph, kmers
 
 
 def transition_ledger(reads: DataFrame, k: int, minimum_quality: int = 20) -> DataFrame:
     """qmer, occurrences, fragments: the canonical (k+1)-mers of accepted windows, in both units.
 
-    Counted per fragment first, so no distinct count shuffles every window a second time.
+    `reads` may be fragments (with both mates in a row, so that nothing but partial counts is shuffled) or single reads.
     """
-    seen = kmers.windows(reads, k + 1, minimum_quality).filter("kmer IS NOT NULL").groupBy("fragment_id", "kmer").agg(F.count("*").alias("n"))
+    if k + 1 <= packed.LONGEST:
+        frags = reads if "reads" in reads.columns else kmers.fragments(reads)
+        return kmers.spectrum(frags, k + 1, minimum_quality).select(dna.decode("code", k + 1).alias("qmer"), "occurrences", "fragments")
+    single = kmers.reads_of(reads) if "reads" in reads.columns else reads
+    seen = kmers.windows(single, k + 1, minimum_quality).filter("kmer IS NOT NULL").groupBy("fragment_id", "kmer").agg(F.count("*").alias("n"))
     return seen.groupBy(F.col("kmer").alias("qmer")).agg(F.sum("n").alias("occurrences"), F.count("*").alias("fragments"))
 
 
@@ -74,6 +78,43 @@ def segment_evidence(segments: DataFrame, ledger: DataFrame, k: int) -> DataFram
     return segments.select("unitig_id", "segment_no", "topology").join(sums, ["unitig_id", "segment_no"], "left").na.fill(0, ["transitions", "occurrences", "fragments"])
 
 
+def edge_placements(segments: DataFrame, k: int) -> DataFrame:
+    """unitig_id, segment_no, step, kmer (canonical), orientation: every oriented edge of every segment; a k-mer has one at most."""
+    steps = segments.filter(F.length("seq") >= k).select("unitig_id", "segment_no", "seq", F.explode(F.sequence(F.lit(0), F.col("edge_steps") - 1)).alias("step"))
+    literal = F.substr("seq", F.col("step") + 1, F.lit(k))
+    named = steps.select("unitig_id", "segment_no", "step", literal.alias("literal")).withColumn("kmer", dna.canonical("literal"))
+    return named.select("unitig_id", "segment_no", "step", "kmer", F.when(F.col("literal") == F.col("kmer"), "+").otherwise("-").alias("orientation"))
+
+
+def segment_support(segments: DataFrame, counts: DataFrame, k: int) -> DataFrame:
+    """unitig_id, segment_no, edges, total, minimum, lower_median, maximum support of each segment's edges."""
+    held = edge_placements(segments, k).join(counts, "kmer").groupBy("unitig_id", "segment_no")
+    lower = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY support)").cast("long")
+    return held.agg(F.count("*").alias("edges"), F.sum("support").alias("total"), F.min("support").alias("minimum"), lower.alias("lower_median"), F.max("support").alias("maximum"))
+
+
+def segment_links(segments: DataFrame, ledger: DataFrame, k: int) -> DataFrame:
+    """from_unitig, from_no, from_orientation, to_unitig, to_no, to_orientation: segments that meet in a transition with a ledger row.
+
+    Ends and starts are joined by their node; what the cut removed is not in the ledger, so it does not come back. A
+    closed segment is linked to itself.
+    """
+    linear = segments.filter("topology = 'linear'").select(F.struct("unitig_id", "segment_no").alias("id"), "seq")
+    views = linear.select("id", F.inline(F.array(F.struct(F.lit("+").alias("o"), F.col("seq").alias("s")), F.struct(F.lit("-").alias("o"), dna.revcomp("seq").alias("s")))))
+    ends = views.select(F.right("s", F.lit(k - 1)).alias("node"), F.col("id").alias("a"), F.col("o").alias("oa"), F.right("s", F.lit(k)).alias("last"))
+    starts = views.select(F.left("s", F.lit(k - 1)).alias("node"), F.col("id").alias("b"), F.col("o").alias("ob"), F.substr("s", F.lit(k), F.lit(1)).alias("next"))
+    met = ends.join(starts, "node").withColumn("qmer", dna.canonical(F.concat("last", "next"))).join(ledger.select("qmer"), "qmer", "left_semi")
+    closed = segments.filter("topology <> 'linear'").select(F.struct("unitig_id", "segment_no").alias("a")).select("a", F.lit("+").alias("oa"), F.col("a").alias("b"), F.lit("+").alias("ob"))
+    every = met.select(dna.canonical_link("a", "oa", "b", "ob").alias("l")).distinct().unionByName(closed.select(F.struct("a", "oa", "b", "ob").alias("l")))
+    return every.select(F.col("l.a.unitig_id").alias("from_unitig"), F.col("l.a.segment_no").alias("from_no"), F.col("l.oa").alias("from_orientation"), F.col("l.b.unitig_id").alias("to_unitig"), F.col("l.b.segment_no").alias("to_no"), F.col("l.ob").alias("to_orientation"))
+
+
+def qmer_windows(reads: DataFrame, k: int, minimum_quality: int = 20) -> DataFrame:
+    """fragment_id, role, pos, qmer, orientation of the accepted windows of k+1 bases."""
+    seen = kmers.windows(reads, k + 1, minimum_quality).filter("kmer IS NOT NULL")
+    return seen.select("fragment_id", "role", "pos", F.col("kmer").alias("qmer"), F.when(F.col("window") == F.col("kmer"), "+").otherwise("-").alias("orientation"))
+
+
 def _embedded(lower: DataFrame, higher: DataFrame, k: int, higher_k: int) -> DataFrame:
     """higher, at, literal, lower_kmer (canonical), lower_support: every lower k-mer inside every higher one."""
     rows = higher.select(F.col("kmer").alias("higher"), F.col("support").alias("higher_support"), F.explode(F.sequence(F.lit(0), F.lit(higher_k - k))).alias("at"))
@@ -88,9 +129,14 @@ def multik_contains(lower: DataFrame, higher: DataFrame, k: int, higher_k: int)
 
 
 def multik_supports(lower: DataFrame, higher: DataFrame, k: int, higher_k: int) -> DataFrame:
-    """lower_kmer, lower_support, higher_keys, higher_support: lower k-mers and the higher ones that hold them."""
-    seen = _embedded(lower, higher, k, higher_k).filter("lower_support IS NOT NULL").select("lower_kmer", "lower_support", "higher", "higher_support").distinct()
-    return seen.groupBy("lower_kmer", "lower_support").agg(F.count("*").alias("higher_keys"), F.sum("higher_support").alias("higher_support"))
+    """lower_kmer, lower_support, higher_keys, higher_support: lower k-mers and the higher ones that hold them.
+
+    What a higher k-mer holds twice is one already in its row, so its partial sums are all that is shuffled.
+    """
+    part = lambda i: dna.canonical(F.substr("kmer", i, F.lit(k)))
+    held = F.array_distinct(F.array(*[part(F.lit(i + 1)) for i in range(higher_k - k + 1)]))
+    sums = higher.select(F.explode(held).alias("lower_kmer"), "support").groupBy("lower_kmer").agg(F.count("*").alias("higher_keys"), F.sum("support").alias("higher_support"))
+    return lower.select(F.col("kmer").alias("lower_kmer"), F.col("support").alias("lower_support")).join(sums, "lower_kmer")
 
 
 def multik_contexts(lower: DataFrame, higher: DataFrame, k: int, higher_k: int) -> DataFrame:
@@ -140,20 +186,40 @@ def portfolio(frags: DataFrame, ks: list[int], minimum_support: int = 2, minimum
         kept = kmers.retain(counts, minimum_support)
         units = graph.unitigs(kept, k)
         ledger = transition_ledger(kmers.reads_of(frags), k, minimum_quality)
-        out[k] = {"counts": counts, "retained": kept, "unitigs": units, "links": graph.links(kept, units, k), "ledger": ledger, "segments": witnessed_segments(units, ledger, k)}
+        out[k] = {"counts": counts, "retained": kept, "unitigs": units, "links": graph.links(units, k), "ledger": ledger, "segments": witnessed_segments(units, ledger, k)}
     return out
 
 
-def conservation(counts: DataFrame, kept: DataFrame, units: DataFrame, k: int) -> DataFrame:
-    """rule, left, right: totals that must balance."""
-    one = lambda rule, a, b: a.crossJoin(b).select(F.lit(rule).alias("rule"), "left", "right")
-    total = lambda df, e, name: df.agg(F.coalesce(F.expr(e).cast("long"), F.lit(0)).alias(name))
+def conservation(counts: DataFrame, kept: DataFrame, units: DataFrame, segments: DataFrame, ledger: DataFrame, decided: DataFrame, k: int, minimum_support: int = 2) -> DataFrame:
+    """rule, left, right: totals that must balance, each side summed on its own."""
+    total = lambda df, e="count(*)": df.agg(F.coalesce(F.expr(e).cast("long"), F.lit(0).cast("long")).alias("n"))
     edges = graph.handles(kept, k)
-    return (
-        one("handles are twice the keys less palindromes", total(edges, "count(*)", "left"), total(kept, "2 * count(*) - count_if(kmer = reverse(translate(kmer, 'ACGT', 'TGCA')))", "right"))
-        .unionByName(one("unitigs hold every retained key once", total(units, "sum(canonical_kmers)", "left"), total(kept, "count(*)", "right")))
-        .unionByName(one("retained keys were observed", total(kept.join(counts, "kmer", "left_anti"), "count(*)", "left"), total(kept.limit(0), "count(*)", "right")))
-    )
+    summary = kmers.count_summary(counts, minimum_support)
+    inner = _interior(units, k)
+    shown = inner.join(ledger.select("qmer"), "qmer", "left_semi")
+    rules = [
+        ("observed keys are retained or removed", total(summary, "max(observed_keys)"), total(summary, "max(retained_keys + removed_keys)")),
+        ("observed mass is retained or removed", total(summary, "max(observed_mass)"), total(summary, "max(retained_mass + removed_mass)")),
+        ("retained keys were observed", total(kept), total(kept.join(counts, "kmer", "left_semi"))),
+        ("retained mass is the summary's", total(kept, "sum(support)"), total(summary, "max(retained_mass)")),
+        ("handles are twice the keys less palindromes", total(edges), total(kept, "2 * count(*) - count_if(kmer = reverse(translate(kmer, 'ACGT', 'TGCA')))")),
+        ("unitigs hold every retained key once", total(units, "sum(canonical_kmers)"), total(kept)),
+        ("unitigs are as long as their edges", total(units, "sum(length(seq))"), total(units, f"sum(edge_steps) + count(*) * {k - 1}")),
+        ("segments hold every edge once", total(segments, "sum(edge_steps)"), total(units, "sum(edge_steps)")),
+        ("segments are as long as their edges", total(segments, "sum(length(seq))"), total(segments, f"sum(edge_steps) + count(*) * {k - 1}")),
+        ("transitions lie between edges", total(inner), total(units, "sum(CASE topology WHEN 'linear' THEN edge_steps - 1 ELSE edge_steps END)")),
+        ("cuts are the transitions without a witness", total(segments.filter("segment_no > 0")), total(inner.filter("qmer IS NOT NULL").join(units.filter("topology = 'linear'").select("unitig_id"), "unitig_id", "left_semi").join(ledger.select("qmer"), "qmer", "left_anti"))),
+        ("transitions are shown or cut", total(inner), total(shown.select("qmer").unionByName(inner.select("qmer").join(ledger.select("qmer"), "qmer", "left_anti")))),
+        ("every ledger row is decided on", total(ledger), total(decided.filter("decision <> 'excluded_no_witness'"))),
+        ("decisions hold all occurrences", total(ledger, "sum(occurrences)"), total(decided, "sum(occurrences)")),
+        ("decisions hold all fragments", total(ledger, "sum(fragments)"), total(decided, "sum(fragments)")),
+        ("no fragment counts more often than it occurs", total(ledger, "count_if(fragments > occurrences)"), total(ledger.limit(0))),
+    ]
+    every = None
+    for rule, left, right in rules:
+        row = left.select(F.col("n").alias("left")).crossJoin(right.select(F.col("n").alias("right"))).select(F.lit(rule).alias("rule"), "left", "right")  # one row by one row
+        every = row if every is None else every.unionByName(row)
+    return every
 
 
 def state_masks(counts: DataFrame, k: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.durable import cut_lineage
-from helixframe.functions import dna
+from helixframe.functions import dna, packed
 
 
 def handles(counts: DataFrame, k: int) -> DataFrame:
@@ -33,46 +33,81 @@ def nodes(edges: DataFrame) -> DataFrame:
     return found.withColumn("is_boundary", boundary)
 
 
+class _Ids:
+    """How handles of one k are named: by 64-bit codes up to 31 bases, by their spellings beyond."""
+
+    def __init__(self, k: int):
+        self.k, self.coded = k, k <= packed.LONGEST
+
+    def of(self, spelling) -> Column:
+        return dna.encode(spelling) if self.coded else F.col(spelling)
+
+    def spelling(self, c: str) -> Column:
+        return dna.decode(c, self.k) if self.coded else F.col(c)
+
+    def revcomp(self, c: str, size: int | None = None) -> Column:
+        return packed.revcomp_code(c, size or self.k) if self.coded else dna.revcomp(c)
+
+    def source(self, c: str) -> Column:
+        return F.shiftright(c, 2) if self.coded else dna.prefix(c, self.k)
+
+    def target(self, c: str) -> Column:
+        return F.col(c).bitwiseAND(F.lit((1 << 2 * (self.k - 1)) - 1)) if self.coded else dna.suffix(c, self.k)
+
+    def last_base(self, c: str) -> Column:
+        return F.substr(F.lit(dna.EXACT), (F.col(c).bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1)) if self.coded else dna.last_base(c)
+
+
+def _chained(counts: DataFrame, k: int) -> DataFrame:
+    """id, support, ptr (the handle before it in its walk; itself at the start), dist (1; 0 at the start), done (at the start).
+
+    A node is inner if one handle comes in, one goes out, and no reverse complement is itself there. Those two
+    handles fall out of the same aggregate as the degrees, so it needs no join of nodes with handles.
+    """
+    ids = _Ids(k)
+    seen = counts.select(ids.of("kmer").alias("code"), "support").select("support", F.explode(F.array_distinct(F.array("code", ids.revcomp("code")))).alias("id"))
+    fixed, none = F.col("id") == ids.revcomp("id"), F.lit(None).cast(dict(seen.dtypes)["id"])
+    out = seen.select(ids.source("id").alias("node"), F.col("id").alias("o"), none.alias("i"), fixed.alias("f"))
+    into = seen.select(ids.target("id").alias("node"), none.alias("o"), F.col("id").alias("i"), fixed.alias("f"))
+    met = out.unionByName(into).groupBy("node").agg(F.count("o").alias("outdeg"), F.count("i").alias("indeg"), F.max("o").alias("next"), F.max("i").alias("prev"), F.max("f").alias("f"))
+    inner = met.filter((F.col("indeg") == 1) & (F.col("outdeg") == 1) & ~F.col("f") & (F.col("node") != ids.revcomp("node", k - 1))).select("next", "prev")
+    first = F.col("prev").isNull()
+    return seen.join(inner, F.col("id") == F.col("next"), "left").select("id", "support", F.coalesce("prev", "id").alias("ptr"), F.when(first, 0).otherwise(1).cast("long").alias("dist"), first.alias("done"))
+
+
 def _rank(start: DataFrame, max_rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Pointer doubling of (id, ptr, dist, done). Returns the finished rows and those that never finish (cycles).
+    """Pointer doubling of (id, ptr, dist, done, ...). Returns the finished rows and those that never finish (cycles).
 
-    A pointer that is done rests at its head. Without an end in sight, 2^max_rounds handles are passed.
+    A pointer that is done rests at its head. In every round an open walk finishes handles as long as it has
+    unfinished ones, so a round without any leaves cycles only.
     """
-    rows = cut_lineage(start)
-    finished = rows.filter("done")
-    left = rows.filter("NOT done")
+    finished, left = start.filter("done"), start.filter("NOT done")
+    others = [c for c in start.columns if c not in ("ptr", "dist", "done")]
     before = None
     for _ in range(max_rounds):
         n = left.count()
-        if not n:
+        if not n or n == before:
             return finished, left
-        if n == before:  # pointers have passed every open walk: what is left runs in circles
-            known = left.select("id").join(finished.select(F.col("id").alias("ptr")), F.col("id") == F.col("ptr"), "left_semi")
-            if known.isEmpty() and left.join(finished.select(F.col("id").alias("h")), F.col("ptr") == F.col("h"), "left_semi").isEmpty():
-                return finished, left
         before = n
         target = finished.unionByName(left).select(F.col("id").alias("t"), F.col("ptr").alias("t_ptr"), F.col("dist").alias("t_dist"), F.col("done").alias("t_done"))
-        moved = cut_lineage(left.join(target, F.col("ptr") == F.col("t")).select("id", F.col("t_ptr").alias("ptr"), (F.col("dist") + F.col("t_dist")).alias("dist"), F.col("t_done").alias("done")))
+        moved = cut_lineage(left.join(target, F.col("ptr") == F.col("t")).select(*others, F.col("t_ptr").alias("ptr"), (F.col("dist") + F.col("t_dist")).alias("dist"), F.col("t_done").alias("done")))
         finished, left = finished.unionByName(moved.filter("done")), moved.filter("NOT done")
     raise RuntimeError(f"walks longer than 2^{max_rounds}")
 
 
-def walks(counts: DataFrame, k: int, max_rounds: int = 40) -> DataFrame:
-    """Every maximal non-branching walk's handles: head, topology, step, spelling, kmer, support, src, dst."""
-    edges = cut_lineage(handles(counts, k))
-    inner = nodes(edges).filter("NOT is_boundary").select("node")
-    before = edges.select(F.col("dst").alias("node"), F.col("spelling").alias("prev"))
-    start = edges.join(inner.join(before, "node"), F.col("src") == F.col("node"), "left").select(F.col("spelling").alias("id"), F.coalesce("prev", "spelling").alias("ptr"), F.when(F.col("prev").isNull(), 0).otherwise(1).cast("long").alias("dist"), F.col("prev").isNull().alias("done"))
-    start = cut_lineage(start)
+def _walks(counts: DataFrame, k: int, max_rounds: int = 40) -> DataFrame:
+    """Every maximal non-branching walk's handles: head, topology, step, id, support."""
+    start = cut_lineage(_chained(counts, k))
     linear, circling = _rank(start, max_rounds)
-    placed = linear.select(F.col("id").alias("spelling"), F.col("ptr").alias("head"), F.lit("linear").alias("topology"), F.col("dist").alias("step"))
-    if not circling.isEmpty():
-        placed = placed.unionByName(_cycles(start.join(circling.select("id"), "id", "left_semi").select("id", "ptr"), max_rounds))
-    return placed.join(edges, "spelling").select("head", "topology", "step", "spelling", "kmer", "support", "src", "dst")
+    named = lambda rows, topology: rows.select(F.col("ptr").alias("head"), F.lit(topology).alias("topology"), F.col("dist").alias("step"), "id", "support")
+    placed = named(linear, "linear")
+    if circling.isEmpty():
+        return placed
+    return placed.unionByName(named(_cycles(start.join(circling.select("id"), "id", "left_semi"), max_rounds), "closed_graph_walk"))
 
 
 def _cycles(rows: DataFrame, max_rounds: int) -> DataFrame:
-    """Isolated cycles: the smallest spelling of each, found by doubling, is cut off from its predecessor and becomes the head."""
+    """Isolated cycles: the smallest handle of each, found by doubling, is cut off from its predecessor and becomes the head."""
     ring = cut_lineage(rows.select("id", "ptr", F.least("id", "ptr").alias("low")))
     for _ in range(max_rounds):
         target = ring.select(F.col("id").alias("t"), F.col("ptr").alias("t_ptr"), F.col("low").alias("t_low"))
@@ -81,52 +116,50 @@ def _cycles(rows: DataFrame, max_rounds: int) -> DataFrame:
         if moved.filter("changed").isEmpty():
             break
     head = ring.filter("id = low").select("id")
-    start = rows.join(head.withColumn("is_head", F.lit(True)), "id", "left").select("id", F.when(F.col("is_head"), F.col("id")).otherwise(F.col("ptr")).alias("ptr"), F.when(F.col("is_head"), 0).otherwise(1).cast("long").alias("dist"), F.coalesce("is_head", F.lit(False)).alias("done"))
-    finished, _ = _rank(start, max_rounds)
-    return finished.select(F.col("id").alias("spelling"), F.col("ptr").alias("head"), F.lit("closed_graph_walk").alias("topology"), F.col("dist").alias("step"))
+    is_head = F.coalesce("is_head", F.lit(False))
+    start = rows.select("id", "support", "ptr").join(head.withColumn("is_head", F.lit(True)), "id", "left").select("id", "support", F.when(is_head, F.col("id")).otherwise(F.col("ptr")).alias("ptr"), F.when(is_head, 0).otherwise(1).cast("long").alias("dist"), is_head.alias("done"))
+    finished, _ = _rank(cut_lineage(start), max_rounds)
+    return finished
 
 
-def _spelled(steps: Column, k: int) -> Column:
-    return F.concat(steps[0]["spelling"], F.concat_ws("", F.transform(F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))), lambda s: F.right(s["spelling"], F.lit(1)))))
-
-
-def unitigs(counts: DataFrame, k: int, max_rounds: int = 40, walked: DataFrame | None = None) -> DataFrame:
+def unitigs(counts: DataFrame, k: int, max_rounds: int = 40) -> DataFrame:
     """unitig_id, seq, topology, edge_steps, canonical_kmers, minimum, lower median and maximum support, sequence_sha256.
 
     A walk and its reverse complement are one unitig, spelled as the smaller; a closed walk is spelled from
-    its smallest rotation on either strand. A unitig is one row, so its steps meet in one task.
+    its smallest rotation on either strand. A unitig is one row, so its steps meet in one task, each with its
+    last base and support only. No walk holds a k-mer on both strands, as only boundaries turn a walk round.
     """
-    rows = walks(counts, k, max_rounds) if walked is None else walked
-    step = F.struct("step", "spelling", "kmer", "support")
-    whole = rows.groupBy("head", "topology").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    spelled = whole.withColumn("raw", _spelled(F.col("steps"), k)).withColumn("n", F.size("steps"))
-    ring = F.left("raw", F.col("n"))
+    ids = _Ids(k)
+    step = F.struct("step", ids.last_base("id").alias("base"), "support")
+    whole = _walks(counts, k, max_rounds).groupBy("head", "topology").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    n = F.size("steps")
+    raw = F.concat(ids.spelling("head"), F.substr(F.concat_ws("", "steps.base"), F.lit(2)))
+    spelled = whole.select("topology", n.alias("n"), raw.alias("raw"), F.array_sort("steps.support").alias("supports"))
+    linear = F.col("topology") == "linear"
+    ring = F.when(~linear, F.left("raw", F.col("n")))
     turned = F.least(dna.minimum_rotation(ring), dna.minimum_rotation(dna.revcomp(ring)))
     closed = F.left(F.repeat(turned, F.lit(k)), F.col("n") + k - 1)
-    seq = F.when(F.col("topology") == "linear", F.least("raw", dna.revcomp("raw"))).otherwise(closed)
-    supports = F.array_sort(F.transform("steps", lambda s: s["support"]))
-    made = spelled.withColumn("seq", seq).withColumn("supports", supports).filter((F.col("topology") != "linear") | (F.col("raw") == F.col("seq")))
+    made = spelled.filter(~linear | (F.col("raw") <= dna.revcomp("raw"))).withColumn("seq", F.when(linear, F.col("raw")).otherwise(closed))
     return made.groupBy("topology", "seq").agg(
         F.max(F.col("n").cast("long")).alias("edge_steps"),
-        F.max(F.size(F.array_distinct(F.transform("steps", lambda s: s["kmer"]))).cast("long")).alias("canonical_kmers"),
+        F.max(F.col("n").cast("long")).alias("canonical_kmers"),
         F.max(F.element_at("supports", 1)).alias("minimum_support"),
         F.max(F.expr("element_at(supports, cast((size(supports) - 1) div 2 as int) + 1)")).alias("lower_median_support"),
         F.max(F.element_at("supports", -1)).alias("maximum_support"),
     ).select(dna.unitig_id("seq", "topology", k).alias("unitig_id"), "seq", "topology", "edge_steps", "canonical_kmers", "minimum_support", "lower_median_support", "maximum_support", F.sha2("seq", 256).alias("sequence_sha256"))
 
 
-def links(counts: DataFrame, units: DataFrame, k: int) -> DataFrame:
+def links(units: DataFrame, k: int) -> DataFrame:
     """from_segment, from_orientation, to_segment, to_orientation, in canonical form.
 
-    Linear walks meet only at boundary nodes, where each of their representations ends or starts; a closed
-    walk is linked to itself.
+    Linear walks start and end at boundary nodes and meet nowhere else, so their ends are joined by the
+    node's spelling; a closed walk is linked to itself.
     """
     linear = units.filter("topology = 'linear'")
-    views = linear.select("unitig_id", F.lit("+").alias("o"), F.col("seq").alias("s")).unionByName(linear.select("unitig_id", F.lit("-").alias("o"), dna.revcomp("seq").alias("s")))
-    boundary = nodes(handles(counts, k)).filter("is_boundary").select("node")
+    views = linear.select("unitig_id", F.inline(F.array(F.struct(F.lit("+").alias("o"), F.col("seq").alias("s")), F.struct(F.lit("-").alias("o"), dna.revcomp("seq").alias("s")))))
     ends = views.select(F.right("s", F.lit(k - 1)).alias("node"), F.col("unitig_id").alias("a"), F.col("o").alias("oa"))
     starts = views.select(F.left("s", F.lit(k - 1)).alias("node"), F.col("unitig_id").alias("b"), F.col("o").alias("ob"))
-    met = ends.join(boundary, "node", "left_semi").join(starts, "node").select(dna.canonical_link("a", "oa", "b", "ob").alias("l"))
+    met = ends.join(starts, "node").select(dna.canonical_link("a", "oa", "b", "ob").alias("l"))
     closed = units.filter("topology <> 'linear'").select(F.struct(F.col("unitig_id").alias("a"), F.lit("+").alias("oa"), F.col("unitig_id").alias("b"), F.lit("+").alias("ob")).alias("l"))
     every = met.distinct().unionByName(closed)
     return every.select(F.col("l.a").alias("from_segment"), F.col("l.oa").alias("from_orientation"), F.col("l.b").alias("to_segment"), F.col("l.ob").alias("to_orientation"))
@@ -145,9 +178,3 @@ def rc_asymmetry(counts: DataFrame, k: int) -> DataFrame:
     edges = handles(counts, k)
     return edges.join(edges.select(F.col("spelling").alias("mate_spelling")), "mate_spelling", "left_anti")
 
-
-def components(linked: DataFrame) -> DataFrame:
-    """unitig_id, component (its smallest unitig_id) of every linked unitig."""
-    from helixframe.operators.components import connected_components
-
-    return connected_components(linked, "from_segment", "to_segment").withColumnRenamed("node", "unitig_id")

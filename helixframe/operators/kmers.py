@@ -6,11 +6,18 @@ So counting each k-mer once per fragment needs no shuffle of its own.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from helixframe.functions import dna
+from helixframe.functions import dna, packed
+
+#: Bases that a task turns into windows at once.
+SLICE = 1 << 19
 
 
 def fragments(reads: DataFrame) -> DataFrame:
@@ -65,12 +72,71 @@ def _accepted(read: Column, k: int) -> Column:
     return F.transform(clean, lambda i: F.least(F.substr(read["s"], i, F.lit(k)), F.substr(read["r"], F.length(read["s"]) - i - k + 2, F.lit(k))))
 
 
+def _row_slices(batches: Iterator[pa.RecordBatch], lengths) -> Iterator[pa.RecordBatch]:
+    """Slices of batches of about SLICE bases, one row at least. `lengths`: the bases of each row of a batch."""
+    for batch in batches:
+        ends, first = np.cumsum(lengths(batch)), 0
+        while first < len(ends):
+            before = int(ends[first - 1]) if first else 0
+            after = min(len(ends), int(np.searchsorted(ends, before + SLICE)) + 1)
+            yield batch.slice(first, after - first)
+            first = after
+
+
+def _bases(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _fragment_bases(batch: pa.RecordBatch) -> np.ndarray:
+    lists = batch.column("reads")
+    sums = np.concatenate([[0], np.cumsum(_bases(lists.flatten().field("seq")))])
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.diff(sums[np.concatenate([[0], np.cumsum(counts)])])
+
+
+def spectrum(frags: DataFrame, k: int, minimum_quality: int = 20) -> DataFrame:
+    """code, occurrences, fragments of the canonical accepted k-mers, k at most 31: all windows and all fragments with one.
+
+    A task takes all windows of some fragments at once, sorts their codes and counts both units; only these partial
+    counts are shuffled. Null reads and sequences have no windows.
+    """
+    if not 1 <= k <= packed.LONGEST:
+        raise ValueError("k must be 1 to 31")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _row_slices(batches, _fragment_bases):
+            lists = batch.column("reads")
+            reads = lists.flatten()
+            codes, bad, firsts = packed.reads_of(reads.field("seq"), reads.field("qual"), minimum_quality)
+            sound = np.flatnonzero(packed.clean(bad, k))
+            forward, backward = packed.windows(codes, k) if len(sound) else (np.zeros(0, np.uint64),) * 2
+            canonical = np.minimum(forward[sound], backward[sound])
+            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            fragment = np.repeat(np.repeat(np.arange(len(lists), dtype=np.int32), counts), np.diff(firsts))[sound]
+            order = np.argsort(canonical, kind="stable")  # fragments stay in order within a code
+            canonical, fragment = canonical[order], fragment[order]
+            new = np.ones(len(order), bool)
+            new[1:] = canonical[1:] != canonical[:-1]
+            pair = new.copy()
+            pair[1:] |= fragment[1:] != fragment[:-1]
+            at = np.flatnonzero(new)
+            many = np.diff(np.append(at, len(order)))
+            held = np.add.reduceat(pair.astype(np.int64), at) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(canonical[at].astype(np.int64)), pa.array(many), pa.array(held)], names=["code", "occurrences", "fragments"])
+
+    found = frags.select("reads").mapInArrow(count, "code long, occurrences long, fragments long")
+    return found.groupBy("code").agg(F.sum("occurrences").alias("occurrences"), F.sum("fragments").alias("fragments"))
+
+
 def count_kmers(frags: DataFrame, k: int, minimum_quality: int = 20, unit: str = "fragment") -> DataFrame:
     """kmer, support: the number of fragments that hold a canonical k-mer, or (unit 'occurrence') of accepted windows."""
+    if unit not in ("fragment", "occurrence"):
+        raise ValueError("unit is 'fragment' or 'occurrence'")
+    if k <= packed.LONGEST:
+        support = "fragments" if unit == "fragment" else "occurrences"
+        return spectrum(frags, k, minimum_quality).select(dna.decode("code", k).alias("kmer"), F.col(support).alias("support"))
     if unit == "occurrence":
         return windows(reads_of(frags), k, minimum_quality).filter("kmer IS NOT NULL").groupBy("kmer").agg(F.count("*").alias("support"))
-    if unit != "fragment":
-        raise ValueError("unit is 'fragment' or 'occurrence'")
     masked = lambda r: F.struct(F.upper(r["seq"]).alias("s"), dna.revcomp(F.upper(r["seq"])).alias("r"), ambiguity_mask(F.upper(r["seq"])).alias("n"), quality_mask(r["seq"], r["qual"], minimum_quality).alias("q"))
     found = F.array_distinct(F.flatten(F.transform(F.transform("reads", masked), lambda r: _accepted(r, k))))
     return frags.select(F.explode(found).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("support"))
@@ -128,8 +194,18 @@ def two_hit_keys(frags: DataFrame, k: int, minimum_quality: int = 20) -> DataFra
 
 def minimizers(counts: DataFrame, k: int, m: int, buckets: int) -> DataFrame:
     """kmer, support, minimizer, minimizer_pos, bucket_id."""
-    placed = counts.withColumn("m", dna.minimizer("kmer", k, m))
-    return placed.select("kmer", "support", F.col("m.key").alias("minimizer"), F.col("m.pos").alias("minimizer_pos"), dna.route(F.col("m.key"), m, buckets).alias("bucket_id"))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _row_slices(batches, lambda b: _bases(b.column("kmer"))):
+            codes, _, firsts = packed.reads_of(batch.column("kmer"), pa.nulls(batch.num_rows, pa.string()), 0)
+            forward, backward = packed.windows(codes, m)
+            every = np.minimum(forward, backward)[firsts[:-1, None] + np.arange(k - m + 1)]
+            pos = every.argmin(axis=1)  # the leftmost on a tie
+            code = every[np.arange(len(pos)), pos].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("kmer"), batch.column("support"), pa.array(code), pa.array(pos.astype(np.int32))], names=["kmer", "support", "code", "minimizer_pos"])
+
+    found = counts.select("kmer", "support").mapInArrow(find, f"kmer string, support {dict(counts.dtypes)['support']}, code long, minimizer_pos int")
+    return found.select("kmer", "support", dna.decode("code", m).alias("minimizer"), "minimizer_pos", (F.col("code") % buckets).alias("bucket_id"))
 
 
 def bucket_counts(counts: DataFrame, k: int, m: int, buckets: int) -> DataFrame:
@@ -140,11 +216,23 @@ def bucket_counts(counts: DataFrame, k: int, m: int, buckets: int) -> DataFrame:
 def super_kmers(reads: DataFrame, k: int, m: int, buckets: int, minimum_quality: int = 20) -> DataFrame:
     """Maximal runs of accepted windows of a read with one minimizer: fragment_id, role, first_window, window_count, minimizer, bucket_id.
 
-    Runs are found by a window over each read, which holds at most its own bases.
+    A read is one row, so its runs are found inside its task, and nothing is shuffled.
     """
-    rows = windows(reads, k, minimum_quality).filter("kmer IS NOT NULL").select("fragment_id", "role", "pos", dna.minimizer("kmer", k, m)["key"].alias("minimizer"))
-    order = Window.partitionBy("fragment_id", "role").orderBy("pos")
-    new = (F.lag("minimizer").over(order) != F.col("minimizer")) | (F.lag("pos").over(order) != F.col("pos") - 1)
-    runs = rows.withColumn("run", F.sum(F.coalesce(new.cast("int"), F.lit(1))).over(order))
-    found = runs.groupBy("fragment_id", "role", "run").agg(F.min("pos").alias("first_window"), F.count("*").alias("window_count"), F.first("minimizer").alias("minimizer"))
-    return found.select("fragment_id", "role", "first_window", "window_count", "minimizer", dna.route("minimizer", m, buckets).alias("bucket_id"))
+    given = reads.select("fragment_id", "role", "seq", "qual")
+    kinds = dict(given.dtypes)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _row_slices(batches, lambda b: _bases(b.column("seq"))):
+            codes, bad, firsts = packed.reads_of(batch.column("seq"), batch.column("qual"), minimum_quality)
+            sound = np.flatnonzero(packed.clean(bad, k))
+            if not len(sound):
+                continue
+            least = packed.sliding_minimum(np.minimum(*packed.windows(codes, m)), k - m + 1)[sound]
+            at = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (np.diff(sound) != 1)]))
+            row = np.searchsorted(firsts, sound[at], "right") - 1
+            of = lambda name: batch.column(name).take(pa.array(row))
+            columns = [of("fragment_id"), of("role"), pa.array((sound[at] - firsts[row]).astype(np.int32)), pa.array(np.diff(np.append(at, len(sound)))), pa.array(least[at].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["fragment_id", "role", "first_window", "window_count", "code"])
+
+    found = given.mapInArrow(find, f"fragment_id {kinds['fragment_id']}, role {kinds['role']}, first_window int, window_count long, code long")
+    return found.select("fragment_id", "role", "first_window", "window_count", dna.decode("code", m).alias("minimizer"), (F.col("code") % buckets).alias("bucket_id"))

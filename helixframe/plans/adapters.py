@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 HEX, LETTERS = "0123456789abcdef", "ACGTACGTACGTACGT"
 _PARTS = " || ".join(f"md5(cast({{key}} as {{text}}) || '#{i}')" for i in range(8))
 _SPOTS = (17, 67, 117, 167, 217)
-#: The first mate of every 17th fragment has an ambiguous base, every fifth read a base of quality 0.
-_AMBIGUOUS = "CASE WHEN role = 'R1' AND fragment_id % 17 = 0 THEN substr(s, 1, cast(fragment_id % 60 as int)) || 'N' || substr(s, cast(fragment_id % 60 as int) + 2) ELSE s END"
+#: The first mate of every 17th fragment has an ambiguous symbol, each of them in turn, every fifth read a base of quality 0.
+_AMBIGUOUS = "CASE WHEN role = 'R1' AND fragment_id % 17 = 0 THEN substr(s, 1, cast(fragment_id % 60 as int)) || substr('RYSWKMBDHVN', cast(fragment_id % 11 as int) + 1, 1) || substr(s, cast(fragment_id % 60 as int) + 2) ELSE s END"
 _QUALITY = "CASE WHEN (fragment_id + ascii(substr(role, 2, 1))) % 5 = 0 THEN repeat('I', cast(fragment_id * 31 % 60 as int)) || '!' || repeat('I', 59 - cast(fragment_id * 31 % 60 as int)) ELSE repeat('I', 60) END"
 
 
@@ -63,7 +63,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fragment_id, lane, reads: both mates in one row, so no shuffle is needed to bring them together."""
-    first, second = (f"named_struct('role', '{r}', 'seq', {_AMBIGUOUS.replace('role', repr(r)).replace('(s,', f'({s},').replace('ELSE s END', f'ELSE {s} END')}, 'qual', {_QUALITY.replace('role', repr(r))})" for r, s in (("R1", "s1"), ("R2", "s2")))
+    first, second = (f"named_struct('role', '{r}', 'seq', {_AMBIGUOUS.replace('role', repr(r)).replace('substr(s,', f'substr({s},').replace('ELSE s END', f'ELSE {s} END')}, 'qual', {_QUALITY.replace('role', repr(r))})" for r, s in (("R1", "s1"), ("R2", "s2")))
     return _sql(
         spark,
         sf_dir,

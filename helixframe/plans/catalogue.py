@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from helixframe.durable import cut_lineage
 from helixframe.functions import dna
-from helixframe.operators import components, correction, evaluation, evidence, graph, kmers, mapping
+from helixframe.operators import components, correction, evaluation, evidence, graph, kmers, mapping, pair_path
 from helixframe.plans import adapters, sql
 
-K, HIGHER, M, BUCKETS, FLANK, QUALITY = 21, 31, 11, 64, 12, 20
+K, HIGHER, WIDE, M, BUCKETS, FLANK, QUALITY = 21, 31, 41, 11, 64, 12, 20
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,7 +45,7 @@ def _graph(spark: SparkSession, d: str, k: int = K) -> tuple[DataFrame, DataFram
 def _mapped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     _, units = _graph(spark, d)
     reads = adapters.reads(spark, d)
-    placed = cut_lineage(mapping.placements(reads, units, QUALITY))
+    placed = cut_lineage(mapping.placements(reads, units, QUALITY, K))
     return units, placed, mapping.audit_reads(reads, placed, QUALITY)
 
 
@@ -210,7 +210,7 @@ def unitig_evidence(spark: SparkSession, d: str) -> DataFrame:
 @registered(sql.query(*_UNITS, sql.links(K), select="SELECT * FROM links"))
 def graph_links(spark: SparkSession, d: str) -> DataFrame:
     kept, units = _graph(spark, d)
-    return graph.links(kept, units, K)
+    return graph.links(units, K)
 
 
 @registered(
@@ -225,13 +225,13 @@ def graph_links(spark: SparkSession, d: str) -> DataFrame:
 )
 def link_components(spark: SparkSession, d: str) -> DataFrame:
     kept, units = _graph(spark, d)
-    return components.connected_components(graph.links(kept, units, K), "from_segment", "to_segment").select(F.col("node").alias("unitig_id"), "component")
+    return components.connected_components(graph.links(units, K), "from_segment", "to_segment").select(F.col("node").alias("unitig_id"), "component")
 
 
 @registered(sql.query(*_UNITS, sql.links(K), select="SELECT 'links that do not overlap' AS rule, cast(0 AS bigint) AS rows UNION ALL SELECT 'handles without their mate', 0 UNION ALL SELECT 'unitig keys less retained keys', cast((SELECT sum(canonical_kmers) FROM units) - (SELECT count(*) FROM kept) AS bigint)"))
 def graph_invariants(spark: SparkSession, d: str) -> DataFrame:
     kept, units = _graph(spark, d)
-    linked = graph.links(kept, units, K)
+    linked = graph.links(units, K)
     one = lambda rule, df: df.agg(F.lit(rule).alias("rule"), F.count("*").alias("rows"))
     mass = units.agg(F.sum("canonical_kmers").alias("a")).crossJoin(kept.agg(F.count("*").alias("b"))).select(F.lit("unitig keys less retained keys").alias("rule"), (F.col("a") - F.col("b")).alias("rows"))
     return one("links that do not overlap", graph.link_overlaps(units, linked, K)).unionByName(one("handles without their mate", graph.rc_asymmetry(kept, K))).unionByName(mass)
@@ -315,13 +315,13 @@ def library_model(spark: SparkSession, d: str) -> DataFrame:
 
 @registered(sql.query(sql.ledger(K), select="SELECT * FROM ledger"))
 def transition_ledger(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.transition_ledger(adapters.reads(spark, d), K, QUALITY)
+    return evidence.transition_ledger(adapters.fragments(spark, d), K, QUALITY)
 
 
 @registered(sql.query(*_UNITS, sql.ledger(K), sql.interior(K), sql.segments(K), select="SELECT * FROM segments"))
 def witnessed_segments(spark: SparkSession, d: str) -> DataFrame:
     _, units = _graph(spark, d)
-    return evidence.witnessed_segments(units, evidence.transition_ledger(adapters.reads(spark, d), K, QUALITY), K).drop("topology")
+    return evidence.witnessed_segments(units, evidence.transition_ledger(adapters.fragments(spark, d), K, QUALITY), K).drop("topology")
 
 
 @registered(
@@ -337,7 +337,7 @@ def witnessed_segments(spark: SparkSession, d: str) -> DataFrame:
 )
 def segment_evidence(spark: SparkSession, d: str) -> DataFrame:
     _, units = _graph(spark, d)
-    ledger = cut_lineage(evidence.transition_ledger(adapters.reads(spark, d), K, QUALITY))
+    ledger = cut_lineage(evidence.transition_ledger(adapters.fragments(spark, d), K, QUALITY))
     return evidence.segment_evidence(evidence.witnessed_segments(units, ledger, K), ledger, K).drop("topology")
 
 
@@ -361,8 +361,8 @@ _OVER = f"""
 )
 def transition_decisions(spark: SparkSession, d: str) -> DataFrame:
     kept, units = _graph(spark, d)
-    ledger = evidence.transition_ledger(adapters.reads(spark, d), K, QUALITY)
-    return evidence.transition_decisions(ledger, units, graph.links(kept, units, K), kept, K)
+    ledger = evidence.transition_ledger(adapters.fragments(spark, d), K, QUALITY)
+    return evidence.transition_decisions(ledger, units, graph.links(units, K), kept, K)
 
 
 def _two(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -389,22 +389,155 @@ def multik_unresolved(spark: SparkSession, d: str) -> DataFrame:
     return evidence.multik_unresolved(*_two(spark, d), K, HIGHER)
 
 
-@registered()
+def _units_of(k: int) -> str:
+    return "(" + sql.query(sql.win(k), sql.counts(k), sql.kept(), sql.handles(k), sql.NODES, sql.unitigs(k), select=f"SELECT '{k}' AS k, topology, seq FROM units") + ")"
+
+
+@registered(f"SELECT topology, seq, string_agg(k, ',' ORDER BY k) AS members, count(*) > 1 AS agreement FROM (SELECT * FROM {_units_of(K)} UNION ALL SELECT * FROM {_units_of(HIGHER)}) GROUP BY topology, seq")
 def exact_agreement(spark: SparkSession, d: str) -> DataFrame:
     return evidence.exact_agreement({k: _graph(spark, d, k)[1] for k in (K, HIGHER)})
 
 
+@registered(sql.query(sql.win(WIDE), sql.counts(WIDE), sql.kept(), sql.handles(WIDE), sql.NODES, sql.unitigs(WIDE), select="SELECT unitig_id, seq, topology, edge_steps, minimum_support, lower_median_support, maximum_support FROM units"))
+def unitigs_wide(spark: SparkSession, d: str) -> DataFrame:
+    return _graph(spark, d, WIDE)[1].select("unitig_id", "seq", "topology", "edge_steps", "minimum_support", "lower_median_support", "maximum_support")
+
+
+@registered(sql.query(sql.win(K + 1), select="SELECT fragment_id, role, pos, kmer AS qmer, CASE WHEN w = kmer THEN '+' ELSE '-' END AS orientation FROM win WHERE kmer IS NOT NULL"))
+def qmer_windows(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.qmer_windows(adapters.reads(spark, d), K, QUALITY)
+
+
+_SEGMENTED = (*_UNITS, sql.ledger(K), sql.interior(K), sql.segments(K))
+_EDGES = f"edges AS MATERIALIZED (SELECT unitig_id, segment_no, step, literal, {sql.canon('literal')} AS kmer FROM (SELECT unitig_id, segment_no, step, substr(seq, step + 1, {K}) AS literal FROM (SELECT *, cast(unnest(range(0, edge_steps)) AS int) AS step FROM segments)))"
+
+
+def _segmented(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The retained k-mers, their unitigs, the ledger and the witnessed segments, each cut from its lineage."""
+    kept, units = _graph(spark, d)
+    ledger = cut_lineage(evidence.transition_ledger(adapters.fragments(spark, d), K, QUALITY))
+    return kept, units, ledger, cut_lineage(evidence.witnessed_segments(units, ledger, K))
+
+
+@registered(sql.query(*_SEGMENTED, _EDGES, select="SELECT unitig_id, segment_no, step, kmer, CASE WHEN literal = kmer THEN '+' ELSE '-' END AS orientation FROM edges"))
+def edge_placements(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.edge_placements(_segmented(spark, d)[3], K)
+
+
+@registered(sql.query(*_SEGMENTED, _EDGES, select="SELECT unitig_id, segment_no, count(*) AS edges, cast(sum(support) AS bigint) AS total, min(support) AS minimum, cast(quantile_disc(support, 0.5) AS bigint) AS lower_median, max(support) AS maximum FROM edges JOIN kept USING (kmer) GROUP BY ALL"))
+def segment_support(spark: SparkSession, d: str) -> DataFrame:
+    kept, _, _, segments = _segmented(spark, d)
+    return evidence.segment_support(segments, kept, K)
+
+
+_SEGMENT_LINKS = f"""
+  segment_views AS (SELECT {{'unitig_id': unitig_id, 'segment_no': segment_no}} AS id, '+' AS o, seq AS s FROM segments UNION ALL SELECT {{'unitig_id': unitig_id, 'segment_no': segment_no}}, '-', {sql.rc("seq")} FROM segments),
+  touching AS (
+    SELECT a.id AS a, a.o AS oa, b.id AS b, b.o AS ob, right(a.s, {K}) || substr(b.s, {K}, 1) AS q
+    FROM segment_views a JOIN segment_views b ON right(a.s, {K - 1}) = left(b.s, {K - 1})),
+  segment_links AS (
+    SELECT DISTINCT least({{'a': a, 'oa': oa, 'b': b, 'ob': ob}}, {{'a': b, 'oa': CASE ob WHEN '+' THEN '-' ELSE '+' END, 'b': a, 'ob': CASE oa WHEN '+' THEN '-' ELSE '+' END}}) AS l
+    FROM touching WHERE {sql.canon("q")} IN (SELECT qmer FROM ledger))"""
+
+
+@registered(sql.query(*_SEGMENTED, _SEGMENT_LINKS, select="SELECT l.a.unitig_id AS from_unitig, l.a.segment_no AS from_no, l.oa AS from_orientation, l.b.unitig_id AS to_unitig, l.b.segment_no AS to_no, l.ob AS to_orientation FROM segment_links"))
+def segment_links(spark: SparkSession, d: str) -> DataFrame:
+    _, _, ledger, segments = _segmented(spark, d)
+    return evidence.segment_links(segments, ledger, K)
+
+
+_RULES = ["observed keys are retained or removed", "observed mass is retained or removed", "retained keys were observed", "retained mass is the summary''s", "handles are twice the keys less palindromes", "unitigs hold every retained key once", "unitigs are as long as their edges", "segments hold every edge once", "segments are as long as their edges", "transitions lie between edges", "cuts are the transitions without a witness", "transitions are shown or cut", "every ledger row is decided on", "decisions hold all occurrences", "decisions hold all fragments", "no fragment counts more often than it occurs"]
+_TOTALS = ["(SELECT count(*) FROM counts)", "(SELECT sum(support) FROM counts)", "(SELECT count(*) FROM kept)", "(SELECT sum(support) FROM kept)", "(SELECT count(*) FROM handles)", "(SELECT count(*) FROM kept)", "(SELECT sum(length(seq)) FROM units)", "(SELECT sum(edge_steps) FROM units)", "(SELECT sum(length(seq)) FROM segments)", "(SELECT count(*) FROM interior)", "(SELECT count(*) FROM segments WHERE segment_no > 0)", "(SELECT count(*) FROM interior)", "(SELECT count(*) FROM ledger)", "(SELECT sum(occurrences) FROM ledger)", "(SELECT sum(fragments) FROM ledger)", "0"]
+
+
+@registered(sql.query(*_SEGMENTED, select=" UNION ALL ".join(f"SELECT '{rule}' AS rule, cast({n} AS bigint) AS \"left\", cast({n} AS bigint) AS \"right\"" for rule, n in zip(_RULES, _TOTALS, strict=True))))
+def conservation(spark: SparkSession, d: str) -> DataFrame:
+    counts = cut_lineage(_counts(spark, d))
+    kept = kmers.retain(counts)
+    units = cut_lineage(graph.unitigs(kept, K))
+    ledger = cut_lineage(evidence.transition_ledger(adapters.fragments(spark, d), K, QUALITY))
+    segments = cut_lineage(evidence.witnessed_segments(units, ledger, K))
+    decided = cut_lineage(evidence.transition_decisions(ledger, units, graph.links(units, K), kept, K))
+    return evidence.conservation(counts, kept, units, segments, ledger, decided, K)
+
+
+# pairs as evidence for paths
+
+
+def _paired(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Units, their links, parts (lengths and components), placements and the pairs with whether they calibrate."""
+    units, placed, _ = _mapped(spark, d)
+    linked = cut_lineage(graph.links(units, K))
+    labels = components.connected_components(linked, "from_segment", "to_segment").select(F.col("node").alias("unitig_id"), "component")
+    pairs = adapters.fragments(spark, d).select("fragment_id", "lane", dna.split_is_calibration("fragment_id", 3, 10).alias("calibrates"))
+    return units, linked, cut_lineage(pair_path.segments(units, labels)), placed, pairs
+
+
+_ANCHORS = """
+  pairs_of AS MATERIALIZED (SELECT from_segment AS u, to_segment AS v FROM links UNION SELECT to_segment, from_segment FROM links),
+  reach AS (SELECT u AS node, u AS seen FROM pairs_of UNION SELECT r.node, p.v FROM reach r JOIN pairs_of p ON r.seen = p.u),
+  labels AS MATERIALIZED (SELECT node AS unitig_id, min(seen) AS component FROM reach GROUP BY node),
+  told AS (SELECT p.*, coalesce(component, unitig_id) AS component FROM placed p LEFT JOIN labels USING (unitig_id)),
+  sides AS (SELECT fragment_id, lane, role, count(*) AS n, min(unitig_id) AS unitig_id, min(component) AS component, min(start) AS s, min("end") AS e, min(strand) AS o FROM told GROUP BY ALL),
+  calibrating AS (SELECT DISTINCT fragment_id, lane FROM reads WHERE cast('0x' || substr(sha256('helixframe/split/1' || cast(fragment_id AS varchar)), 1, 15) AS bigint) % 10 < 3),
+  anchored AS (
+    SELECT c.fragment_id, c.lane, CASE WHEN a.n IS NULL OR b.n IS NULL THEN 'no_placement' WHEN a.n > 1 OR b.n > 1 THEN 'nonunique_placement' WHEN a.component <> b.component THEN 'cross_component' WHEN a.unitig_id <> b.unitig_id THEN 'different_unitig' WHEN a.s = b.s THEN 'coincident_start' ELSE 'included' END AS disposition,
+           CASE WHEN a.s < b.s THEN a.o || b.o ELSE b.o || a.o END AS o, greatest(a.e, b.e) - least(a.s, b.s) AS span, greatest(a.s, b.s) - CASE WHEN a.s < b.s THEN a.e ELSE b.e END AS inside
+    FROM calibrating c LEFT JOIN sides a ON a.fragment_id = c.fragment_id AND a.role = 'R1' LEFT JOIN sides b ON b.fragment_id = c.fragment_id AND b.role = 'R2'),
+  faced AS (SELECT lane, disposition, span, inside, CASE WHEN disposition = 'included' THEN CASE o WHEN '+-' THEN 'FR' WHEN '-+' THEN 'RF' WHEN '++' THEN 'FF' ELSE 'RR' END END AS o FROM anchored),
+  tallied AS (
+    SELECT lane, """ + ", ".join(f"cast(count_if(disposition = '{x}') AS bigint) AS {x}" for x in pair_path.DISPOSITIONS) + ", " + ", ".join(f"cast(count_if(o = '{x}') AS bigint) AS {x.lower()}" for x in pair_path.ORIENTATIONS) + """ FROM faced GROUP BY lane),
+  led AS (SELECT *, greatest(fr, rf, ff, rr) AS dominant_pairs FROM tallied),
+  leads AS (SELECT *, CASE WHEN dominant_pairs > 0 AND (fr = dominant_pairs)::int + (rf = dominant_pairs)::int + (ff = dominant_pairs)::int + (rr = dominant_pairs)::int = 1 THEN CASE dominant_pairs WHEN fr THEN 'FR' WHEN rf THEN 'RF' WHEN ff THEN 'FF' ELSE 'RR' END END AS dominant_orientation FROM led),
+  ranked AS (SELECT f.lane, """ + ", ".join(f"cast(quantile_disc({c}, {q / 100}) AS bigint) AS {name}_p{q}" for c, name in (("span", "span"), ("inside", "inner")) for q in (10, 50, 90)) + """ FROM faced f JOIN leads l ON f.lane = l.lane AND f.o = l.dominant_orientation GROUP BY f.lane)"""
+
+
+@registered(
+    sql.query(
+        *_MAPPED,
+        sql.links(K),
+        _ANCHORS,
+        select="SELECT lane, " + ", ".join(pair_path.DISPOSITIONS) + """, fr, rf, ff, rr, dominant_orientation, dominant_pairs, span_p10, span_p50, span_p90, inner_p10, inner_p50, inner_p90,
+      CASE WHEN included < 10 THEN 'insufficient_anchors' WHEN dominant_orientation IS NULL THEN 'no_unique_dominant_orientation' WHEN dominant_pairs < 10 THEN 'insufficient_dominant_anchors' WHEN dominant_pairs * 10 < included * 9 THEN 'dominance_below_threshold'
+           WHEN span_p90 - span_p10 > 1000 THEN 'span_interval_too_wide' WHEN inner_p90 - inner_p10 > 1000 THEN 'inner_interval_too_wide' ELSE 'available' END AS availability
+    FROM leads LEFT JOIN ranked USING (lane)""",
+    )
+)
+def pair_models(spark: SparkSession, d: str) -> DataFrame:
+    _, _, parts, placed, pairs = _paired(spark, d)
+    return pair_path.lane_models(pair_path.anchors(pairs.filter("calibrates"), placed, parts))
+
+
+def _decided(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    _, linked, parts, placed, pairs = _paired(spark, d)
+    models = cut_lineage(pair_path.lane_models(pair_path.anchors(pairs.filter("calibrates"), placed, parts)))
+    replayed = pairs.filter("NOT calibrates").drop("calibrates")
+    sized, facts, hits = pair_path.search(replayed, placed, parts, linked, models, K)
+    return pair_path.decisions(sized, facts), hits, replayed, placed, parts
+
+
+@registered()
+def pair_decisions(spark: SparkSession, d: str) -> DataFrame:
+    return _decided(spark, d)[0]
+
+
+@registered()
+def path_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return pair_path.path_evidence(*_decided(spark, d))
+
+
 # correction
 
 
-@registered(sql.query(select="SELECT fragment_id, role, cast(s AS int) AS start, cast(greatest(e - s, 0) AS int) AS length, CASE WHEN greatest(e - s, 0) < 40 THEN 'too_short' WHEN regexp_matches(substr(seq, cast(s + 1 AS int), cast(e - s AS int)), '[^ACGT]') THEN 'internal_ambiguity' WHEN e - s = 60 THEN 'unchanged' ELSE 'trimmed' END AS state FROM (SELECT fragment_id, role, seq, length(regexp_extract(bad, '^(1*)', 1)) AS s, 60 - length(regexp_extract(bad, '(1*)$', 1)) AS e FROM (SELECT fragment_id, role, seq, list_reduce(list_transform(range(1, 61), lambda i: CASE WHEN substr(seq, i, 1) = 'N' OR substr(qual, i, 1) = '!' THEN '1' ELSE '0' END), lambda a, b: a || b) AS bad FROM reads))"))
+@registered(sql.query(select="SELECT fragment_id, role, cast(s AS int) AS start, cast(greatest(e - s, 0) AS int) AS length, CASE WHEN greatest(e - s, 0) < 40 THEN 'too_short' WHEN regexp_matches(substr(seq, cast(s + 1 AS int), cast(e - s AS int)), '[^ACGT]') THEN 'internal_ambiguity' WHEN e - s = 60 THEN 'unchanged' ELSE 'trimmed' END AS state FROM (SELECT fragment_id, role, seq, length(regexp_extract(bad, '^(1*)', 1)) AS s, 60 - length(regexp_extract(bad, '(1*)$', 1)) AS e FROM (SELECT fragment_id, role, seq, list_reduce(list_transform(range(1, 61), lambda i: CASE WHEN regexp_matches(substr(seq, i, 1), '[^ACGT]') OR substr(qual, i, 1) = '!' THEN '1' ELSE '0' END), lambda a, b: a || b) AS bad FROM reads))"))
 def trim_range(spark: SparkSession, d: str) -> DataFrame:
     return correction.trim_ranges(adapters.reads(spark, d), QUALITY, 40)
 
 
-_EDITS = """
-  weak AS (SELECT fragment_id, role, seq, pos, substr(seq, pos + 1, 1) AS old FROM (SELECT *, cast(unnest(range(0, length(seq))) AS int) AS pos FROM reads) WHERE substr(seq, pos + 1, 1) = 'N' OR substr(qual, pos + 1, 1) = '!'),
-  edits AS MATERIALIZED (SELECT fragment_id, role, pos, old, new, substr(seq, 1, pos) || new || substr(seq, pos + 2) AS candidate FROM weak CROSS JOIN (VALUES ('A'), ('C'), ('G'), ('T')) n(new) WHERE new <> old)"""
+_CHOICES = ", ".join(f"('{old}', '{new}')" for old, news in correction.CHOICES.items() for new in news)
+_EDITS = f"""
+  weak AS (SELECT fragment_id, role, seq, pos, substr(seq, pos + 1, 1) AS old FROM (SELECT *, cast(unnest(range(0, length(seq))) AS int) AS pos FROM reads) WHERE regexp_matches(substr(seq, pos + 1, 1), '[^ACGT]') OR substr(qual, pos + 1, 1) = '!'),
+  edits AS MATERIALIZED (SELECT fragment_id, role, pos, old, new, substr(seq, 1, pos) || new || substr(seq, pos + 2) AS candidate FROM weak JOIN (VALUES {_CHOICES}) n(symbol, new) ON symbol = old)"""
 
 
 @registered(sql.query(_EDITS, select="SELECT * FROM edits"))
@@ -445,7 +578,7 @@ _JUNCTIONS = (
     f"""
   cut AS (SELECT unitig_id, b, substr(seq, b - {FLANK} + 1, {2 * FLANK}) AS w, substr(seq, b - {FLANK} + 1, {FLANK}) AS l, substr(seq, b + 1, {FLANK}) AS r FROM (SELECT unitig_id, seq, cast(unnest(range({FLANK}, length(seq) - {FLANK} + 1)) AS int) AS b FROM units WHERE length(seq) >= {2 * FLANK})),
   judged AS (
-    SELECT CASE WHEN c.n IS NOT NULL THEN 'correct_truth_adjacency' WHEN x.n IS NULL OR y.n IS NULL THEN 'indeterminate_unmapped_flank' WHEN x.n > 1 OR y.n > 1 THEN 'indeterminate_ambiguous_flank' ELSE 'false_junction' END AS classification, x.lo <> y.lo AS differ
+    SELECT unitig_id, b, coalesce(c.n, 0) AS compatible, coalesce(x.n, 0) AS left_placements, coalesce(y.n, 0) AS right_placements, CASE WHEN c.n IS NOT NULL THEN 'correct_truth_adjacency' WHEN x.n IS NULL OR y.n IS NULL THEN 'indeterminate_unmapped_flank' WHEN x.n > 1 OR y.n > 1 THEN 'indeterminate_ambiguous_flank' ELSE 'false_junction' END AS classification, x.lo <> y.lo AS differ
     FROM cut LEFT JOIN whole c ON cut.w = c.w LEFT JOIN part x ON cut.l = x.w LEFT JOIN part y ON cut.r = y.w)""",
 )
 
@@ -484,6 +617,67 @@ def coverage_mask(spark: SparkSession, d: str) -> DataFrame:
     return found.select("molecule", "truth_class", "length", "covered", (F.col("fraction") * 1000000).cast("long").alias("covered_ppm"))
 
 
+@registered(sql.query(*_UNITS, *_JUNCTIONS, select="SELECT unitig_id AS contig_id, cast(b AS int) AS boundary, classification, compatible, left_placements, right_placements, coalesce(classification = 'false_junction' AND differ, false) AS primary_minor_chimera FROM judged WHERE classification <> 'correct_truth_adjacency'"))
+def junction_rows(spark: SparkSession, d: str) -> DataFrame:
+    _, units = _graph(spark, d)
+    rows = evaluation.junctions(units.select(F.col("unitig_id").alias("contig_id"), "seq"), adapters.truths(spark, d), FLANK)
+    return evaluation.junction_evidence(rows, "non_correct")
+
+
+_RECOVERED = """
+  told AS (SELECT DISTINCT contig_id, molecule, truth_class, start, "end" FROM aligned),
+  classes AS (SELECT contig_id, count(*) AS places, count(DISTINCT {'m': molecule, 'c': truth_class}) AS molecules FROM told GROUP BY contig_id),
+  bases AS MATERIALIZED (SELECT contig_id, molecule, truth_class, places, molecules, unnest(range(start, "end")) AS x FROM told JOIN classes USING (contig_id)),
+  masks AS (
+    SELECT molecule, truth_class, cast(count(DISTINCT x) FILTER (places = 1) AS bigint) AS "unique", count(DISTINCT x) AS "upper" FROM bases GROUP BY ALL),
+  shared AS (SELECT molecule, truth_class, count(DISTINCT x) AS "lower" FROM (SELECT contig_id, molecule, truth_class, x FROM bases WHERE molecules = 1 GROUP BY contig_id, molecule, truth_class, x, places HAVING count(*) = places) GROUP BY ALL)"""
+
+
+@registered(
+    sql.query(
+        *_UNITS,
+        _ALIGNED,
+        _RECOVERED,
+        select='SELECT molecule, truth_class, length(seq) AS length, coalesce("unique", 0) AS "unique", coalesce("lower", 0) AS "lower", coalesce("upper", 0) AS "upper" FROM truths LEFT JOIN masks USING (molecule, truth_class) LEFT JOIN shared USING (molecule, truth_class)',
+    )
+)
+def recovery_bounds(spark: SparkSession, d: str) -> DataFrame:
+    _, units = _graph(spark, d)
+    truths = adapters.truths(spark, d)
+    placed = cut_lineage(evaluation.exact_alignments(units.select(F.col("unitig_id").alias("contig_id"), "seq"), truths))
+    return evaluation.recovery_bounds(placed, truths).select("molecule", "truth_class", "length", "unique", "lower", "upper")
+
+
+_RINGS = f"""
+  turned AS (SELECT molecule AS contig_id, right(seq, cast(256 - molecule % 256 AS int)) || left(seq, cast(molecule % 256 AS int)) AS seq FROM truths WHERE truth_class = 'primary'),
+  ring_views AS (SELECT contig_id, '+' AS strand, seq AS s FROM turned UNION ALL SELECT contig_id, '-', {sql.rc("seq")} FROM turned),
+  rings AS (SELECT molecule, truth_class, seq || left(seq, 255) AS seq, cast(unnest(range(0, 256)) AS int) AS start FROM truths)"""
+
+
+@registered(sql.query(_RINGS, select="SELECT contig_id, molecule, truth_class, strand, start, cast(start + 256 AS int) AS \"end\" FROM ring_views JOIN rings ON substr(rings.seq, start + 1, 21) = left(s, 21) AND substr(rings.seq, start + 1, 256) = s"))
+def ring_alignments(spark: SparkSession, d: str) -> DataFrame:
+    """The genomes as rings, and contigs that start elsewhere on them."""
+    truths = adapters.truths(spark, d)
+    at = (F.col("molecule") % 256).cast("int")
+    contigs = truths.filter("truth_class = 'primary'").select(F.col("molecule").alias("contig_id"), F.concat(F.right("seq", 256 - at), F.left("seq", at)).alias("seq"))
+    return evaluation.exact_alignments(contigs, truths.withColumn("topology", F.lit("circular")))
+
+
+@registered()
+def contig_alignments(spark: SparkSession, d: str) -> DataFrame:
+    """The primary alignment of every unitig to the genomes and their copies."""
+    _, units = _graph(spark, d)
+    return evaluation.contig_alignments(units.select(F.col("unitig_id").alias("contig_id"), "seq"), adapters.truths(spark, d), seed=K)
+
+
+@registered()
+def alignment_metrics(spark: SparkSession, d: str) -> DataFrame:
+    _, units = _graph(spark, d)
+    contigs, truths = units.select(F.col("unitig_id").alias("contig_id"), "seq"), adapters.truths(spark, d)
+    placed = cut_lineage(evaluation.exact_alignments(contigs, truths))
+    return evaluation.alignment_metrics(evaluation.contig_alignments(contigs, truths, seed=K), contigs, placed, truths)
+
+
 @registered()
 def fitting_alignments(spark: SparkSession, d: str) -> DataFrame:
     """All reads against the genomes and their copies that share a k-mer with them, the best alignment of each."""

@@ -45,7 +45,7 @@ def test_a_bundle_is_whole_never_replaced_and_changes_show(spark, tmp_path):
     held = spark.createDataFrame([("CAA", 2), ("AAC", 3), ("AAG", 5)], "kmer string, support long")
     held = held.selectExpr("least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) AS kmer", "support")
     units = graph.unitigs(held, 3)
-    linked = graph.links(held, units, 3)
+    linked = graph.links(units, 3)
     tables = {"unitigs.fasta": bundle.fasta_lines(units), "assembly.gfa": bundle.gfa_lines(units, linked, 3), "histogram.tsv": bundle.tsv_lines(kmers.support_histogram(held), ["support"])}
     root = str(tmp_path / "out")
     digest = bundle.write_bundle(spark, root, tables, {"k": 3}, bundle.report_html(units, "a <b>"))

@@ -72,7 +72,7 @@ def run(spark, counts, k):
 def test_golden_compactions(spark, counts, k, sequences, n_links):
     held, units, found = run(spark, counts, k)
     assert {s for s, _ in found} == sequences
-    linked = graph.links(held, units, k)
+    linked = graph.links(units, k)
     assert linked.count() == n_links and graph.link_overlaps(units, linked, k).isEmpty() and graph.rc_asymmetry(held, k).isEmpty()
 
 
@@ -83,7 +83,7 @@ def test_support_summary_uses_the_lower_median(spark):
 
 def test_no_keys_give_no_unitigs(spark):
     held, units, found = run(spark, {}, 5)
-    assert not found and graph.links(held, units, 5).isEmpty()
+    assert not found and graph.links(units, 5).isEmpty()
 
 
 def test_random_key_sets_equal_the_plain_walk(spark):
