@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to reliable checkpoint files and return a DataFrame that reads them.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``. Only where that
-    setting is missing, as in local tests, a temporary folder is used.
+    The folder is the one that the cluster names in ``spark.checkpoint.dir``. Only where that setting is missing in
+    local mode, where all share one machine, a temporary folder is used; elsewhere a missing setting is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="helixframe-checkpoint-"))
     return df.checkpoint(eager=True)

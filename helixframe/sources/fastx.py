@@ -6,6 +6,7 @@ task, and everything after that, headers, roles, pairing and validation, is Data
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -13,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.durable import cut_lineage
 from helixframe.functions import dna
 
 _RECORD = "path string, raw_sha256 string, decoded_sha256 string, format string, idx long, header string, seq string, qual string, error string"
@@ -120,6 +122,14 @@ def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
+def _place(spark: SparkSession, path: str) -> str:
+    """A file's full name, links and dots resolved, so that two spellings of one file are told."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    full = fs.makeQualified(where).toUri()
+    return os.path.realpath(full.getPath()) if full.getScheme() == "file" else full.toString()
+
+
 def sources(spark: SparkSession, single: list[str] = (), r1: list[str] = (), r2: list[str] = ()) -> DataFrame:
     """lane, role, path of the declared files, in order. Lists of mates must be as long; no file may occur twice."""
     if bool(single) == bool(r1 or r2):
@@ -127,7 +137,7 @@ def sources(spark: SparkSession, single: list[str] = (), r1: list[str] = (), r2:
     if len(r1) != len(r2):
         raise InputError("as many first as second mate files are needed")
     rows = [(k, "S", p) for k, p in enumerate(single)] or [x for k, (a, b) in enumerate(zip(r1, r2, strict=True)) for x in ((k, "R1", a), (k, "R2", b))]
-    if len({p for *_, p in rows}) < len(rows):
+    if len({_place(spark, p) for *_, p in rows}) < len(rows):
         raise InputError("a source occurs twice")
     return spark.createDataFrame(rows, "lane int, role string, path string")
 
@@ -180,7 +190,7 @@ def read_fastx(spark: SparkSession, single: list[str] = (), r1: list[str] = (),
     fragment_id counts records within lanes, in lane order: a lane's offset is the number of fragments of
     the lanes before it.
     """
-    rows = records(spark, sources(spark, single, r1, r2))
+    rows = cut_lineage(records(spark, sources(spark, single, r1, r2)))  # so that no file is parsed more than once
     bad = rows.filter("error IS NOT NULL").select("path", "idx", "error").orderBy("path", "idx").first()
     if bad is None and not single:
         bad = pair_errors(rows).orderBy("lane", "idx").first()
