@@ -153,10 +153,10 @@ def repeated_masks(gram: np.ndarray, bodies: list[bytes], windows: np.ndarray, b
     return mask
 
 
-def repeated_spellings(group: np.ndarray, spellings: list[bytes], copies: np.ndarray, window: int) -> np.ndarray:
-    """Of windows in whole groups, each spelled from its anchor, those that stand twice or more: the leaves of one tree by groups."""
+def repeated_spellings(group: np.ndarray, spellings: list[bytes], copies: np.ndarray, size: int) -> np.ndarray:
+    """Of windows in whole groups, each with the `size` words of its spelling behind the group's, those that stand twice or more: the leaves of one tree."""
     names: dict[bytes, int] = {}
-    words = np.array([[names.setdefault(w, len(names)) for w in s.split(b" ")] for s in spellings], np.int64).reshape(len(spellings), window)
+    words = np.array([[names.setdefault(w, len(names)) for w in s.split(b" ")] for s in spellings], np.int64).reshape(len(spellings), size)
     leaf = _levels(group, words)[-1]
     return np.bincount(leaf, weights=copies)[leaf] >= 2
 
@@ -197,53 +197,66 @@ def _subtrees(window: int):
     return _in_groups("gram", ["gram", "seg", "mask"], tree)
 
 
-def _long_subtrees(window: int):
+def _long_subtrees(rest: int):
     def tree(of: dict) -> list[np.ndarray]:
         column = lambda k: of[k].to_numpy()
-        at = np.flatnonzero(repeated_spellings(column("p1"), of["spelling"].cast(pa.binary()).to_pylist(), column("copies"), window))
+        at = np.flatnonzero(repeated_spellings(column("p1"), of["rest"].to_pylist(), column("copies"), rest))
         return [column("gram")[at], column("seg")[at], column("bit")[at]]
 
     return _in_groups("p1", ["gram", "seg", "mask"], tree)
 
 
-def _spelled(window: int):
-    """Every window of the segments: its words from the anchor on, then those before the anchor from right to left."""
+def _spelled(window: int, before: int, words: int):
+    """Every window of the segments, spelled by its words from the anchor on, then those before the anchor from right to left.
+
+    Gives the hashes of its group (gram, place in the window and first words of the spelling) at the length before and at
+    this one, and the rest of the spelling: words that a whole group shares need not move.
+    """
+
+    def digest(gram: int, ahead: int, part: list[bytes]) -> tuple[int, int]:
+        whole = hashlib.blake2b(b"%d %d " % (gram, ahead) + b" ".join(part), digest_size=16).digest()
+        return int.from_bytes(whole[:8], "little", signed=True), int.from_bytes(whole[8:], "little", signed=True)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 rows: list[tuple] = []
                 part = batch.slice(first, 256)
-                for gram, seg, n, before, copies, body in zip(*(part.column(k).to_pylist() for k in ("gram", "seg", "windows", "before", "copies", "words")), strict=True):
-                    words = body.split(b" ")
+                for gram, seg, n, anchor, copies, body in zip(*(part.column(k).to_pylist() for k in ("gram", "seg", "windows", "before", "copies", "words")), strict=True):
+                    own = body.split(b" ")
                     for k in range(n):
-                        rows.append((gram, seg, 1 << k, before - k, copies, b" ".join(words[before : k + window] + words[k:before][::-1]).decode()))
-                columns = zip(*rows, strict=True) if rows else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string() if k == 5 else pa.int64()) for k, c in enumerate(columns)], names=["gram", "seg", "bit", "ahead", "copies", "spelling"])
+                        spelling = own[anchor : k + window] + own[k:anchor][::-1]
+                        rows.append((gram, seg, 1 << k, copies, *digest(gram, anchor - k, spelling[:before]), *digest(gram, anchor - k, spelling[:words]), b" ".join(spelling[words:])))
+                columns = zip(*rows, strict=True) if rows else [[]] * 9
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary() if k == 8 else pa.int64()) for k, c in enumerate(columns)], names=["gram", "seg", "bit", "copies", "q1", "q2", "p1", "p2", "rest"])
 
     return spell
 
 
 def _lengthened(heavy: DataFrame, window: int) -> DataFrame:
-    """gram, seg, mask of the repeated windows of segments under heavy prefixes."""
-    left = heavy.mapInArrow(_spelled(window), "gram long, seg long, bit long, ahead long, copies long, spelling string")
-    out, words = None, GRAM
+    """gram, seg, mask of the repeated windows of segments under heavy prefixes.
+
+    `heavy` is read anew for every length: a segment is far smaller than its windows. Of these only hashes are shuffled
+    to count groups, and the rests of those in groups of two and more that fit a task.
+    """
+    out, before, still = None, GRAM, None
     for step in (*STEPS, window):
-        words = min(window, words + step)
-        # The group: gram, words before the anchor, and the spelling's first words, as two hashes.
-        prefix = F.substring_index("spelling", " ", words)
-        keyed = cut_lineage(left.withColumn("p1", F.xxhash64("gram", "ahead", prefix)).withColumn("p2", F.xxhash64(prefix, "ahead", "gram")))
-        sizes = cut_lineage(keyed.groupBy("p1", "p2").agg(F.count("*").alias("n"), F.sum("copies").alias("total")).filter(F.col("total") > 1).drop("total"))
-        sized = keyed.join(sizes, ["p1", "p2"])
+        words = min(window, before + step)
+        rows = heavy.mapInArrow(_spelled(window, before, words), "gram long, seg long, bit long, copies long, q1 long, q2 long, p1 long, p2 long, rest binary")
+        if still is not None:  # groups that were too large so far: one in HEAVY windows at most, which Spark may broadcast by its size
+            rows = rows.join(still.withColumnsRenamed({"p1": "q1", "p2": "q2"}), ["q1", "q2"], "left_semi")
+        sizes = cut_lineage(rows.groupBy("p1", "p2").agg(F.count("*").alias("n"), F.sum("copies").alias("total")).filter("total > 1").drop("total"))
         if words == window:  # one spelling each: all of a group are equal
-            found = sized.select("gram", "seg", F.col("bit").alias("mask"))
+            found = rows.select("gram", "seg", F.col("bit").alias("mask"), "p1", "p2").join(sizes.drop("n"), ["p1", "p2"]).select("gram", "seg", "mask")
             return found if out is None else out.unionByName(found)
-        light = sized.filter(F.col("n") <= HEAVY).select("p1", "gram", "seg", "bit", "copies", "spelling")
-        grown = light.repartition("p1").sortWithinPartitions("p1").mapInArrow(_long_subtrees(window), "gram long, seg long, mask long")
+        light = rows.join(sizes.filter(F.col("n") <= HEAVY).drop("n"), ["p1", "p2"]).select("p1", "gram", "seg", "bit", "copies", "rest")
+        grown = light.repartition("p1").sortWithinPartitions("p1").mapInArrow(_long_subtrees(window - words), "gram long, seg long, mask long")
         out = grown if out is None else out.unionByName(grown)
-        left = sized.filter(F.col("n") > HEAVY).select("gram", "seg", "bit", "ahead", "copies", "spelling")
-        if left.isEmpty():
+        still = sizes.filter(F.col("n") > HEAVY).drop("n")
+        if still.isEmpty():
             return out
+        before = words
 
 
 def repeats(docs: DataFrame, window: int = 35) -> DataFrame:
@@ -266,10 +279,13 @@ def repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     wanted = F.struct("gram", "seg", F.shiftright("at.place", 16).alias("start"), part(8, 8).alias("windows"), part(0, 8).alias("before"), "copies", F.coalesce("heavy", F.lit(False)).alias("heavy"))
     lists = one.join(heavy, "gram", "left").groupBy("at.k1", "at.k2").agg(F.collect_list(wanted).alias("wanted"))
     taken = docs.select("k1", "k2", "text").join(lists, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(_cut_segments(window), _SCHEMA)
+    any_heavy = not heavy.isEmpty()
+    taken = cut_lineage(taken) if any_heavy else taken  # read several times then, and far smaller than the texts
     grown = taken.filter("NOT heavy").drop("heavy").repartition("gram").sortWithinPartitions("gram").mapInArrow(_subtrees(window), "gram long, seg long, mask long")
-    if not heavy.isEmpty():
+    if any_heavy:
         grown = grown.unionByName(_lengthened(taken.filter("heavy"), window))
-    masks = grown.select(mix.alias("mix"), "seg", "mask").groupBy("mix", "seg").agg(F.bit_or("mask").alias("mask"))
+    # Written first, so that Spark can split the join where one segment's copies are a large share of all.
+    masks = cut_lineage(grown.select(mix.alias("mix"), "seg", "mask").groupBy("mix", "seg").agg(F.bit_or("mask").alias("mask")))
     every = F.expr("shiftleft(1L, cast(shiftright(place, 8) & 255 AS int)) - 1")
     told = live.filter("mixed").join(masks, ["mix", "seg"]).select("k1", "k2", "place", "mask").unionByName(live.filter("NOT mixed").select("k1", "k2", "place", every.alias("mask")))
     spans = told.select("k1", "k2", F.struct(F.shiftright("place", 16).alias("start"), "mask").alias("x"))
