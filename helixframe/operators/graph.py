@@ -62,15 +62,24 @@ def _chained(counts: DataFrame, k: int) -> DataFrame:
     """id, support, ptr (the handle before it in its walk; itself at the start), dist (1; 0 at the start), done (at the start).
 
     A node is inner if one handle comes in, one goes out, and no reverse complement is itself there. Those two
-    handles fall out of the same aggregate as the degrees, so it needs no join of nodes with handles.
+    handles fall out of the same aggregate as the degrees, so it needs no join of nodes with handles. A node and its
+    reverse complement mirror each other, so each k-mer is counted at two nodes, not four, and tells two pairs.
     """
     ids = _Ids(k)
-    seen = counts.select(ids.of("kmer").alias("code"), "support").select("support", F.explode(F.array_distinct(F.array("code", ids.revcomp("code")))).alias("id"))
-    fixed, none = F.col("id") == ids.revcomp("id"), F.lit(None).cast(dict(seen.dtypes)["id"])
-    out = seen.select(ids.source("id").alias("node"), F.col("id").alias("o"), none.alias("i"), fixed.alias("f"))
-    into = seen.select(ids.target("id").alias("node"), none.alias("o"), F.col("id").alias("i"), fixed.alias("f"))
-    met = out.unionByName(into).groupBy("node").agg(F.count("o").alias("outdeg"), F.count("i").alias("indeg"), F.max("o").alias("next"), F.max("i").alias("prev"), F.max("f").alias("f"))
-    inner = met.filter((F.col("indeg") == 1) & (F.col("outdeg") == 1) & ~F.col("f") & (F.col("node") != ids.revcomp("node", k - 1))).select("next", "prev")
+    coded = ids.coded and "code" in counts.columns
+    both = counts.select((F.col("code") if coded else ids.of("kmer")).alias("id"), "support").select("id", ids.revcomp("id").alias("rc"), "support")
+    ends = both.select("id", "rc", (F.col("id") == F.col("rc")).alias("f"), ids.source("id").alias("s"), ids.target("id").alias("t")).select("*", ids.revcomp("s", k - 1).alias("rs"), ids.revcomp("t", k - 1).alias("rt"))
+
+    def side(node: str, mirror: str, leaves: bool) -> Column:
+        ahead = F.col(node) <= F.col(mirror)
+        own, other = F.when(ahead, F.col("id")), F.when(~ahead, F.col("rc"))
+        out, into = (own, other) if leaves else (other, own)
+        return F.struct(F.least(node, mirror).alias("node"), out.alias("o"), into.alias("i"), (F.col("f") | (F.col(node) == F.col(mirror))).alias("f"))
+
+    met = ends.select(F.inline(F.array(side("s", "rs", True), side("t", "rt", False)))).groupBy("node").agg(F.count("o").alias("outdeg"), F.count("i").alias("indeg"), F.max("o").alias("next"), F.max("i").alias("prev"), F.max("f").alias("f"))
+    pair = met.filter((F.col("indeg") == 1) & (F.col("outdeg") == 1) & ~F.col("f")).select("next", "prev")
+    inner = pair.select(F.inline(F.array(F.struct("next", "prev"), F.struct(ids.revcomp("prev").alias("next"), ids.revcomp("next").alias("prev")))))
+    seen = both.select("support", F.explode(F.when(F.col("id") == F.col("rc"), F.array("id")).otherwise(F.array("id", "rc"))).alias("id"))
     first = F.col("prev").isNull()
     return seen.join(inner, F.col("id") == F.col("next"), "left").select("id", "support", F.coalesce("prev", "id").alias("ptr"), F.when(first, 0).otherwise(1).cast("long").alias("dist"), first.alias("done"))
 
@@ -90,7 +99,8 @@ def _rank(start: DataFrame, max_rounds: int) -> tuple[DataFrame, DataFrame]:
             return finished, left
         before = n
         target = finished.unionByName(left).select(F.col("id").alias("t"), F.col("ptr").alias("t_ptr"), F.col("dist").alias("t_dist"), F.col("done").alias("t_done"))
-        moved = cut_lineage(left.join(target, F.col("ptr") == F.col("t")).select(*others, F.col("t_ptr").alias("ptr"), (F.col("dist") + F.col("t_dist")).alias("dist"), F.col("t_done").alias("done")))
+        # Pointers are distinct until they rest, so partitions are even and small: no side needs to be sorted.
+        moved = cut_lineage(left.hint("shuffle_hash").join(target, F.col("ptr") == F.col("t")).select(*others, F.col("t_ptr").alias("ptr"), (F.col("dist") + F.col("t_dist")).alias("dist"), F.col("t_done").alias("done")))
         finished, left = finished.unionByName(moved.filter("done")), moved.filter("NOT done")
     raise RuntimeError(f"walks longer than 2^{max_rounds}")
 

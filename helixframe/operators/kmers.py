@@ -128,13 +128,16 @@ def spectrum(frags: DataFrame, k: int, minimum_quality: int = 20) -> DataFrame:
     return found.groupBy("code").agg(F.sum("occurrences").alias("occurrences"), F.sum("fragments").alias("fragments"))
 
 
-def count_kmers(frags: DataFrame, k: int, minimum_quality: int = 20, unit: str = "fragment") -> DataFrame:
-    """kmer, support: the number of fragments that hold a canonical k-mer, or (unit 'occurrence') of accepted windows."""
+def count_kmers(frags: DataFrame, k: int, minimum_quality: int = 20, unit: str = "fragment", with_code: bool = False) -> DataFrame:
+    """kmer, support: the number of fragments that hold a canonical k-mer, or (unit 'occurrence') of accepted windows.
+
+    With `with_code` and k up to 31 also `code`, by which graph.unitigs goes on without reading spellings again.
+    """
     if unit not in ("fragment", "occurrence"):
         raise ValueError("unit is 'fragment' or 'occurrence'")
     if k <= packed.LONGEST:
         support = "fragments" if unit == "fragment" else "occurrences"
-        return spectrum(frags, k, minimum_quality).select(dna.decode("code", k).alias("kmer"), F.col(support).alias("support"))
+        return spectrum(frags, k, minimum_quality).select(dna.decode("code", k).alias("kmer"), F.col(support).alias("support"), *["code"] * with_code)
     if unit == "occurrence":
         return windows(reads_of(frags), k, minimum_quality).filter("kmer IS NOT NULL").groupBy("kmer").agg(F.count("*").alias("support"))
     masked = lambda r: F.struct(F.upper(r["seq"]).alias("s"), dna.revcomp(F.upper(r["seq"])).alias("r"), ambiguity_mask(F.upper(r["seq"])).alias("n"), quality_mask(r["seq"], r["qual"], minimum_quality).alias("q"))

@@ -38,8 +38,8 @@ def _kept(spark: SparkSession, d: str, k: int = K) -> DataFrame:
 
 def _graph(spark: SparkSession, d: str, k: int = K) -> tuple[DataFrame, DataFrame]:
     """The retained k-mers and their unitigs, both cut from their lineage, as several steps read them."""
-    held = cut_lineage(_kept(spark, d, k))
-    return held, cut_lineage(graph.unitigs(held, k))
+    held = cut_lineage(kmers.retain(kmers.count_kmers(adapters.fragments(spark, d), k, QUALITY, with_code=True)))
+    return held.select("kmer", "support"), cut_lineage(graph.unitigs(held, k))
 
 
 def _mapped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
