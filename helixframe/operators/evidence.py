@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.durable import cut_lineage
 from helixframe.functions import dna, packed
 from helixframe.operators import graph, kmers
 
@@ -109,6 +110,38 @@ def segment_links(segments: DataFrame, ledger: DataFrame, k: int) -> DataFrame:
     return every.select(F.col("l.a.unitig_id").alias("from_unitig"), F.col("l.a.segment_no").alias("from_no"), F.col("l.oa").alias("from_orientation"), F.col("l.b.unitig_id").alias("to_unitig"), F.col("l.b.segment_no").alias("to_no"), F.col("l.ob").alias("to_orientation"))
 
 
+def forced_paths(segments: DataFrame, linked: DataFrame, k: int, max_rounds: int = 40) -> DataFrame:
+    """path_segments (unitig_id, segment_no and orientation in order), seq, topology: segments joined where nothing else is possible.
+
+    A link is forced if it is the only one out of its first end and the only one into its second, between two different
+    segments (`linked` is segment_links). Whatever has a choice stays apart. A path and its reverse complement are one,
+    spelled as the smaller; a path that closes is spelled from its smallest rotation.
+    """
+    named = lambda u, n, o: F.concat_ws(":", u, F.col(n).cast("string"), o)
+    closed = segments.filter("topology <> 'linear'")
+    linear = segments.filter("topology = 'linear'").withColumn("id", F.concat_ws(":", "unitig_id", F.col("segment_no").cast("string")))
+    views = cut_lineage(linear.select("id", F.inline(F.array(F.struct(F.lit("+").alias("o"), F.col("seq").alias("s")), F.struct(F.lit("-").alias("o"), dna.revcomp("seq").alias("s"))))).select(F.concat_ws(":", "id", "o").alias("id"), "s"))
+    forward = linked.select(named("from_unitig", "from_no", "from_orientation").alias("a"), named("to_unitig", "to_no", "to_orientation").alias("b"))
+    backward = linked.select(named("to_unitig", "to_no", dna.flip("to_orientation")).alias("a"), named("from_unitig", "from_no", dna.flip("from_orientation")).alias("b"))
+    arcs = cut_lineage(forward.unionByName(backward).distinct())
+    single = lambda c: arcs.groupBy(c).agg(F.count("*").alias("n")).filter("n = 1").select(c)
+    body = lambda c: F.regexp_extract(c, "^(.*):.$", 1)
+    forced = arcs.join(single("a"), "a").join(single("b"), "b").filter(body("a") != body("b")).select(F.col("a").alias("prev"), F.col("b").alias("next"))
+    first = F.col("prev").isNull()
+    start = views.join(forced, F.col("id") == F.col("next"), "left").select("id", F.lit(0).alias("support"), F.coalesce("prev", "id").alias("ptr"), F.when(first, 0).otherwise(1).cast("long").alias("dist"), first.alias("done"))
+    walked = graph.ranked(cut_lineage(start), max_rounds)
+    steps = walked.join(views, "id").groupBy("head", "topology").agg(F.array_sort(F.collect_list(F.struct("step", "id", "s"))).alias("steps"))
+    rest = F.concat_ws("", F.transform("steps", lambda x: F.substr(x["s"], F.lit(k))))
+    raw = F.concat(F.left(F.col("steps")[0]["s"], F.lit(k - 1)), rest)
+    ring = F.when(F.col("topology") != "linear", rest)
+    turned = F.least(dna.minimum_rotation(ring), dna.minimum_rotation(dna.revcomp(ring)))
+    round_seq = F.left(F.repeat(turned, F.lit(k)), F.length(ring) + k - 1)
+    spelled = steps.select(F.col("steps.id").alias("path_segments"), "topology", F.when(F.col("topology") == "linear", raw).otherwise(round_seq).alias("seq"), raw.alias("raw"))
+    one = spelled.filter((F.col("topology") != "linear") | (F.col("raw") <= dna.revcomp("raw"))).groupBy("seq", "topology", F.array_sort(F.transform("path_segments", lambda x: F.regexp_extract(x, "^(.*):.$", 1))).alias("members")).agg(F.min("path_segments").alias("path_segments"))
+    alone = closed.select(F.array(named("unitig_id", "segment_no", F.lit("+"))).alias("path_segments"), "seq", "topology")
+    return one.select("path_segments", "seq", "topology").unionByName(alone)
+
+
 def qmer_windows(reads: DataFrame, k: int, minimum_quality: int = 20) -> DataFrame:
     """fragment_id, role, pos, qmer, orientation of the accepted windows of k+1 bases."""
     seen = kmers.windows(reads, k + 1, minimum_quality).filter("kmer IS NOT NULL")

@@ -105,9 +105,8 @@ def _rank(start: DataFrame, max_rounds: int) -> tuple[DataFrame, DataFrame]:
     raise RuntimeError(f"walks longer than 2^{max_rounds}")
 
 
-def _walks(counts: DataFrame, k: int, max_rounds: int = 40) -> DataFrame:
-    """Every maximal non-branching walk's handles: head, topology, step, id, support."""
-    start = cut_lineage(_chained(counts, k))
+def ranked(start: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """head, topology, step, id, support of chained handles (id, support, ptr, dist, done): each in its walk, cycles cut at their smallest handle."""
     linear, circling = _rank(start, max_rounds)
     named = lambda rows, topology: rows.select(F.col("ptr").alias("head"), F.lit(topology).alias("topology"), F.col("dist").alias("step"), "id", "support")
     placed = named(linear, "linear")
@@ -141,7 +140,7 @@ def unitigs(counts: DataFrame, k: int, max_rounds: int = 40) -> DataFrame:
     """
     ids = _Ids(k)
     step = F.struct("step", ids.last_base("id").alias("base"), "support")
-    whole = _walks(counts, k, max_rounds).groupBy("head", "topology").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    whole = ranked(cut_lineage(_chained(counts, k)), max_rounds).groupBy("head", "topology").agg(F.array_sort(F.collect_list(step)).alias("steps"))
     n = F.size("steps")
     raw = F.concat(ids.spelling("head"), F.substr(F.concat_ws("", "steps.base"), F.lit(2)))
     spelled = whole.select("topology", n.alias("n"), raw.alias("raw"), F.array_sort("steps.support").alias("supports"))

@@ -446,6 +446,14 @@ def segment_links(spark: SparkSession, d: str) -> DataFrame:
     return evidence.segment_links(segments, ledger, K)
 
 
+@registered()
+def forced_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The witnessed segments, joined again where the links leave no choice."""
+    _, _, ledger, segments = _segmented(spark, d)
+    found = evidence.forced_paths(segments, cut_lineage(evidence.segment_links(segments, ledger, K)), K)
+    return found.select(F.array_join("path_segments", " ").alias("path"), "seq", "topology")
+
+
 _RULES = ["observed keys are retained or removed", "observed mass is retained or removed", "retained keys were observed", "retained mass is the summary''s", "handles are twice the keys less palindromes", "unitigs hold every retained key once", "unitigs are as long as their edges", "segments hold every edge once", "segments are as long as their edges", "transitions lie between edges", "cuts are the transitions without a witness", "transitions are shown or cut", "every ledger row is decided on", "decisions hold all occurrences", "decisions hold all fragments", "no fragment counts more often than it occurs"]
 _TOTALS = ["(SELECT count(*) FROM counts)", "(SELECT sum(support) FROM counts)", "(SELECT count(*) FROM kept)", "(SELECT sum(support) FROM kept)", "(SELECT count(*) FROM handles)", "(SELECT count(*) FROM kept)", "(SELECT sum(length(seq)) FROM units)", "(SELECT sum(edge_steps) FROM units)", "(SELECT sum(length(seq)) FROM segments)", "(SELECT count(*) FROM interior)", "(SELECT count(*) FROM segments WHERE segment_no > 0)", "(SELECT count(*) FROM interior)", "(SELECT count(*) FROM ledger)", "(SELECT sum(occurrences) FROM ledger)", "(SELECT sum(fragments) FROM ledger)", "0"]
 

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from helixframe.functions import dna
-from helixframe.operators import components, graph
+from helixframe.operators import components, evidence, graph
 
 
 def rc(s):
@@ -120,3 +120,19 @@ def test_unitig_ids_frame_their_sequence(spark):
 
     row = spark.createDataFrame([("ACGTA", "linear")], "seq string, topology string").select(dna.unitig_id("seq", "topology", 5).alias("i")).first()
     assert row.i == "utg-" + hashlib.sha256(b"helixframe/unitig/1" + b"\x05" + b"\x00" + (5).to_bytes(8, "little") + b"ACGTA").hexdigest()
+
+
+def test_forced_paths_join_segments_without_a_choice(spark):
+    """Segments of a line are joined to it; a fork stays apart; a ring of segments closes."""
+    k = 4
+    cut = lambda text, at: [text[a : b + k - 1] for a, b in zip([0, *at], [*at, len(text) - k + 1], strict=True)]
+    line, ring = "ACCGATTGCAAGTC", "GGATACTC"
+    fork = ["TTTACG", "ACGGA", "ACGCT"]
+    parts = [("l", n, x, "linear") for n, x in enumerate(cut(line, [3, 7]))] + [("f", n, x, "linear") for n, x in enumerate(fork)] + [("r", n, x, "linear") for n, x in enumerate(cut(ring + ring[: k - 1], [5]))] + [("c", 0, "AAAATTTA", "closed_graph_walk")]
+    segments = spark.createDataFrame(parts, "unitig_id string, segment_no int, seq string, topology string")
+    linked = spark.createDataFrame([("l", 0, "+", "l", 1, "+"), ("l", 1, "+", "l", 2, "+"), ("f", 0, "+", "f", 1, "+"), ("f", 0, "+", "f", 2, "+"), ("r", 0, "+", "r", 1, "+"), ("r", 1, "+", "r", 0, "+"), ("c", 0, "+", "c", 0, "+")], "from_unitig string, from_no int, from_orientation string, to_unitig string, to_no int, to_orientation string")
+    rows = evidence.forced_paths(segments, linked, k).collect()
+    turned = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    least = min(x[i:] + x[:i] for x in (ring, turned(ring)) for i in range(len(ring)))
+    want = {(min(line, turned(line)), "linear"), *((min(x, turned(x)), "linear") for x in fork), (least + least[: k - 1], "closed_graph_walk"), ("AAAATTTA", "closed_graph_walk")}
+    assert {(r.seq, r.topology) for r in rows} == want and len(rows) == len(want)
