@@ -54,7 +54,7 @@ _SCRIPT = np.array([SCRIPTS.index(b) for b in _NAMES])
 #: Hash buckets, the cost of a switch, the largest difference that one word can make, documents per language that the fit sees at most.
 BUCKETS, SWITCH, CUT, SAMPLE = 1 << 15, 8.0, 6.0, 1500
 #: A language is a candidate in a script that holds this share of its sampled letters. Words that a worker remembers.
-SCRIPT_SHARE, MAX_WORDS = 0.01, 100_000
+SCRIPT_SHARE, MAX_WORDS = 0.01, 400_000
 
 
 def _letters(word: str) -> tuple[int, int]:
@@ -219,7 +219,7 @@ def languages(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, k = [*model.languages, "und"], len(model.languages)
-        for batch, texts in slices(batches, size=1 << 20):
+        for batch, texts in slices(batches, size=4 << 20):
             _, _, labels, letters, first, _ = labelled_words(texts, model)
             row = np.repeat(np.arange(len(texts)), np.diff(first))
             held = np.bincount(row * (k + 1) + labels, weights=letters, minlength=len(texts) * (k + 1)).reshape(len(texts), k + 1)
@@ -242,7 +242,7 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, size=1 << 20):
+        for batch, texts in slices(batches, size=4 << 20):
             starts, ends, labels, _, first, _ = labelled_words(texts, model)
             buffer = joined(texts)[0].tobytes()
             rows: dict[str, list] = {k: [] for k in ("row", "span_no", "lang", "start_word", "n_words", "text")}
