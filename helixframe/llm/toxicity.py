@@ -34,7 +34,7 @@ ORDER, DECAY, MARKING, FREQUENT, SAMPLE = 3, 0.9, 96, 16, 1500
 #: A kernel counts from FLOOR on, and to the power POWER (a product of kernels is one).
 FLOOR, POWER = 0.4, 4
 #: Longer words are read in overlapping parts of so many letters; a worker remembers so many words.
-LONGEST, MAX_WORDS = 32, 200_000
+LONGEST, MAX_WORDS = 32, 500_000
 
 _FOLD = np.zeros(256, np.uint8)
 _FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
