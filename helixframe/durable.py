@@ -3,20 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to reliable checkpoint files and return a DataFrame that reads them.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``. Only where that setting is missing in
+    The folder is one in that which the cluster names in ``spark.checkpoint.dir``. Only where that setting is missing in
     local mode, where all share one machine, a temporary folder is used; elsewhere a missing setting is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir", None)
         if named is None and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="helixframe-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """The place of a folder, not made yet, that all executors share."""
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` to reliable checkpoint files and return a DataFrame that reads them."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
