@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import chat, chunked_bpe, langid, media, packing, quality, simhash, substrings, token_counts, toxicity
+from helixframe.llm import chat, chunked_bpe, divergence, langid, media, packing, periodic, quality, simhash, substrings, token_counts, token_files, toxicity
 from helixframe.llm.labelled import fold
 
 
@@ -67,6 +67,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.looped(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_media": op2_media,
@@ -78,5 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
+    "op11_divergence": op11_divergence,
+    "op12_token_files": op12_token_files,
+    "op13_periodic": op13_periodic,
 }
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": chat.FORMAT_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": chat.FORMAT_SQL, "op11_divergence": divergence.DIVERGENCES_SQL}
