@@ -41,6 +41,8 @@ def occurrences(queries: DataFrame, targets: DataFrame, seed: int, piece: int =
     `queries` has query, strand and s (not null; empty ones have no place), `targets` has target and seq. With
     `one_piece` no query is longer than a piece, so the pieces of a place need not be counted together.
     """
+    # A place in a string is found by counting letters from its start, in bytes at once.
+    queries, targets = queries.withColumn("s", F.col("s").cast("binary")), targets.withColumn("seq", F.col("seq").cast("binary"))
     postings = _postings(targets, queries, seed)
     met = _chosen(queries, postings, seed).join(postings, "gram").filter("start >= shift").select("query", "strand", "s", "t1", "t2", (F.col("start") - F.col("shift")).alias("start"))
     number = F.when(F.length("seq") > 0, F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / piece).cast("int")))

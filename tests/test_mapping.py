@@ -138,13 +138,6 @@ def test_junctions_find_a_chimera(spark):
     assert {r.molecule: r.covered for r in evaluation.coverage(placed.select("molecule", "truth_class", "start", "end"), truths).collect()} == {0: 55, 1: 0}
 
 
-def test_fitting_alignment_prefers_few_edits_then_matches():
-    assert evaluation.fit("ACGT", "TTACGTTT") == (0, 4, 0, 0, 0, 2, "====")
-    assert evaluation.fit("ACXGT", "TTACGTTT")[:2] == (1, 4)
-    edits, matches, mismatches, inserted, deleted, start, ops = evaluation.fit("AAAT", "CCAATCC")
-    assert edits == mismatches + inserted + deleted == 1 and matches + mismatches + inserted == 4 and len(ops) == matches + edits
-
-
 def plain_fit(query, reference):
     """(edits, -matches, gaps, start) by comparing tuples in every cell."""
     row = [(0, 0, 0, j) for j in range(len(reference) + 1)]
@@ -157,17 +150,6 @@ def plain_fit(query, reference):
     return min(row)
 
 
-def test_fitting_equals_a_plain_program_and_takes_long_sequences():
-    rng = random.Random(8)
-    for _ in range(150):
-        q, r = ("".join(rng.choice("ACGN") for _ in range(n)) for n in (rng.randrange(0, 12), rng.randrange(0, 16)))
-        edits, matches, _, inserted, deleted, start, ops = evaluation.fit(q, r)
-        assert (edits, -matches, inserted + deleted, start) == plain_fit(q, r) and len(ops) == edits + matches
-    long = "".join(rng.choice("ACGT") for _ in range(70_000))
-    assert evaluation.fit(long[60_000:60_020], long) == (0, 20, 0, 0, 0, 60_000, "=" * 20)
-    assert evaluation.fit(long[:9000], long[10:40])[1] == 30
-
-
 def test_best_fits_align_all_reads_on_both_strands_and_classes(spark):
     rng = random.Random(9)
     main = ["".join(rng.choice("ACGT") for _ in range(60)) for _ in range(3)]
