@@ -289,7 +289,8 @@ def repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     every = F.expr("shiftleft(1L, cast(shiftright(place, 8) & 255 AS int)) - 1")
     told = live.filter("mixed").join(masks, ["mix", "seg"]).select("k1", "k2", "place", "mask").unionByName(live.filter("NOT mixed").select("k1", "k2", "place", every.alias("mask")))
     spans = told.select("k1", "k2", F.struct(F.shiftright("place", 16).alias("start"), "mask").alias("x"))
-    return spans.groupBy("k1", "k2").agg(F.collect_list("x").alias("found"))
+    # Repeated rows share k1 and k2 and have the same spans, which are kept once.
+    return spans.groupBy("k1", "k2").agg(F.collect_set("x").alias("found"))
 
 
 def _removed(n: int, found: list[dict] | None, window: int) -> np.ndarray:

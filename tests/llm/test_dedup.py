@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from helixframe.llm import simhash, substrings
 
@@ -138,3 +139,14 @@ def check_heavy(spark):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(empty).count() == substrings.repeat_digests(empty).count() == 0
+
+
+def test_spans_of_repeated_rows_are_kept_once(spark):
+    """Otherwise their list would grow with the number of copies, and so the result with its square."""
+    text = " ".join(f"w{i * i % 4001}" for i in range(400))
+    rows = spark.createDataFrame([(1, text)] * 3000 + [(2, "other words")], "doc_id long, text string").repartition(4)
+    keyed = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "doc_id").alias("k2"))
+    found = substrings.repeats(keyed).collect()
+    assert len(found) == 1 and len(found[0].found) == len(set(found[0].found)) <= 366
+    digests = substrings.repeat_digests(rows).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, digests)) == [(1, 400, 400, 3000), (2, 2, 0, 1)]
