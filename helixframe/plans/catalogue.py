@@ -598,6 +598,22 @@ def junction_classes(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.junction_classes(evaluation.junctions(contigs, adapters.truths(spark, d), FLANK))
 
 
+#: Contigs of two molecules: the first 128 (140) bases of a genome and the last 96 of the next one's copy. Before base 128 and behind the
+#: join stand spots that tell the copies apart, before base 140 none.
+_CHIMERAS = "units AS (SELECT 2 * a.molecule + k AS unitig_id, left(a.seq, cast(128 + 12 * k AS int)) || right(b.seq, 96) AS seq FROM truths a JOIN truths b ON b.molecule = a.molecule + 1 CROSS JOIN (VALUES (0), (1)) AS kinds(k) WHERE a.truth_class = 'primary' AND b.truth_class = 'minor')"
+
+
+@registered(sql.query(_CHIMERAS, *_JUNCTIONS, select="SELECT unitig_id AS contig_id, cast(b AS int) AS boundary, classification, compatible, left_placements, right_placements, coalesce(classification = 'false_junction' AND differ, false) AS primary_minor_chimera FROM judged WHERE classification <> 'correct_truth_adjacency'"))
+def chimeric_junctions(spark: SparkSession, d: str) -> DataFrame:
+    """Junctions of contigs joined from two molecules, so that every class but the correct one has rows."""
+    truths = cut_lineage(adapters.truths(spark, d))
+    heads = truths.filter("truth_class = 'primary'").select("molecule", F.col("seq").alias("head"))
+    tails = truths.filter("truth_class = 'minor'").select((F.col("molecule") - 1).alias("molecule"), F.right("seq", F.lit(96)).alias("tail"))
+    kinds = heads.join(tails, "molecule").select("molecule", "head", "tail", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    contigs = kinds.select((2 * F.col("molecule") + F.col("k")).alias("contig_id"), F.concat(F.left("head", 128 + 12 * F.col("k")), "tail").alias("seq"))
+    return evaluation.junction_evidence(evaluation.junctions(contigs, truths, FLANK), "non_correct")
+
+
 _ALIGNED = f"""
   contig_views AS (SELECT unitig_id, '+' AS strand, seq AS s FROM units UNION ALL SELECT unitig_id, '-', {sql.rc("seq")} FROM units),
   truth_posts AS (SELECT molecule, truth_class, seq, cast(unnest(range(0, length(seq) - 21 + 1)) AS int) AS start FROM truths),
