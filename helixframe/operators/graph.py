@@ -2,17 +2,26 @@
 
 An edge is an oriented view (handle) of a canonical k-mer, a node a literal (k-1)-mer. Walks between
 boundary nodes are found by pointer doubling: each round joins every handle's pointer with its pointer's
-pointer, so a walk of L handles takes log2(L) rounds, and only unfinished handles take part.
+pointer, so a walk of L handles takes log2(L) rounds, and only unfinished handles take part. Coded handles are first
+brought together by their minimizers, as neighbours mostly share one; chains within a slice of a partition are
+contracted there, and only the first handle of each takes part in the rounds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.durable import cut_lineage
 from helixframe.functions import dna, packed
 
+#: Bases of a minimizer that brings handles together, and handles that are contracted at a time.
+MINIMIZER, SLICE = 11, 1 << 20
+
 
 def handles(counts: DataFrame, k: int) -> DataFrame:
     """spelling, kmer, orientation, support, src, dst, mate_spelling: one row per view, one only for a palindrome."""
@@ -131,6 +140,71 @@ def _cycles(rows: DataFrame, max_rounds: int) -> DataFrame:
     return finished
 
 
+def _minimizer(c: str, k: int) -> Column:
+    """The smallest mixed code of the windows of MINIMIZER bases (of all, where a handle is shorter) of a coded handle."""
+    m = min(MINIMIZER, k)
+    mask, odd = (1 << 2 * m) - 1, 0x9E3779B97F4A7C15 - (1 << 64)
+    of = [F.shiftright(c, 2 * i).bitwiseAND(F.lit(mask)) for i in range(k - m + 1)]
+    # Multiplication may not overflow where errors are asked for, so the mixing is by hash.
+    mixed = [F.xxhash64(x, F.lit(odd)) for x in of]
+    return F.least(*mixed) if len(mixed) > 1 else mixed[0]
+
+
+def _chains(ids: np.ndarray, before: np.ndarray, done: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each handle the first one of its chain among those given (its entry), and how many steps behind it it stands.
+
+    `before` is the handle before each in its walk. A handle that is done, or whose `before` is not given, is an entry. So is each
+    handle of a cycle that is given whole.
+    """
+    order = np.argsort(ids, kind="stable")
+    at = np.minimum(np.searchsorted(ids[order], before), len(ids) - 1)
+    parent = order[at]
+    inner = ~done & (ids[parent] == before) & (before != ids)
+    parent, steps = np.where(inner, parent, np.arange(len(ids))), inner.astype(np.int64)
+    for _ in range(max(1, len(ids).bit_length() + 1)):
+        if not inner[parent].any():
+            break
+        steps, parent = steps + steps[parent], parent[parent]
+    circling = inner[parent]
+    return ids[np.where(circling, np.arange(len(ids)), parent)], np.where(circling, 0, steps)
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+
+    def contract() -> pa.RecordBatch:
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        held.clear()
+        entry, steps = _chains(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "ptr", "done")))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(entry), pa.array(steps)], names=[*batch.schema.names, "entry", "off"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= SLICE:
+            yield contract()
+    if held:
+        yield contract()
+
+
+def _ranked_in_parts(chained: DataFrame, k: int, max_rounds: int) -> DataFrame:
+    """The same as `ranked` of coded handles: entries of contracted chains are ranked, the others follow theirs."""
+    given = chained.select("id", "support", "ptr", "done").withColumn("bucket", _minimizer("id", k)).repartition("bucket").sortWithinPartitions("bucket").drop("bucket")
+    rows = cut_lineage(given.mapInArrow(_contracted, f"id long, support {dict(chained.dtypes)['support']}, ptr long, done boolean, entry long, off long"))
+    ahead = rows.select(F.col("id").alias("p"), F.col("entry").alias("p_entry"), F.col("off").alias("p_off"))
+    entries = rows.filter("id = entry").select("id", "ptr", "done")
+    heads = entries.filter("done").select("id", F.col("id").alias("ptr"), F.lit(0).cast("long").alias("dist"), "done")
+    moved = entries.filter("NOT done").join(ahead, F.col("ptr") == F.col("p")).select("id", F.col("p_entry").alias("ptr"), (F.col("p_off") + 1).alias("dist"), "done")
+    linear, circling = _rank(cut_lineage(heads.unionByName(moved)), max_rounds)
+    first = linear.select(F.col("id").alias("entry"), F.col("ptr").alias("head"), F.col("dist").alias("before"))
+    named = lambda topology, step: [F.col("head"), F.lit(topology).alias("topology"), step.alias("step"), F.col("id"), F.col("support")]
+    placed = rows.join(first, "entry").select(*named("linear", F.col("before") + F.col("off")))
+    if circling.isEmpty():
+        return placed
+    rings = rows.join(circling.select(F.col("id").alias("entry")), "entry", "left_semi").select("id", "support", "ptr")
+    return placed.unionByName(_cycles(rings, max_rounds).withColumnRenamed("ptr", "head").select(*named("closed_graph_walk", F.col("dist"))))
+
+
 def unitigs(counts: DataFrame, k: int, max_rounds: int = 40) -> DataFrame:
     """unitig_id, seq, topology, edge_steps, canonical_kmers, minimum, lower median and maximum support, sequence_sha256.
 
@@ -140,7 +214,8 @@ def unitigs(counts: DataFrame, k: int, max_rounds: int = 40) -> DataFrame:
     """
     ids = _Ids(k)
     step = F.struct("step", ids.last_base("id").alias("base"), "support")
-    whole = ranked(cut_lineage(_chained(counts, k)), max_rounds).groupBy("head", "topology").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    walked = _ranked_in_parts(_chained(counts, k), k, max_rounds) if ids.coded else ranked(cut_lineage(_chained(counts, k)), max_rounds)
+    whole = walked.groupBy("head", "topology").agg(F.array_sort(F.collect_list(step)).alias("steps"))
     n = F.size("steps")
     raw = F.concat(ids.spelling("head"), F.substr(F.concat_ws("", "steps.base"), F.lit(2)))
     spelled = whole.select("topology", n.alias("n"), raw.alias("raw"), F.array_sort("steps.support").alias("supports"))

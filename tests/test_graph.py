@@ -136,3 +136,28 @@ def test_forced_paths_join_segments_without_a_choice(spark):
     least = min(x[i:] + x[:i] for x in (ring, turned(ring)) for i in range(len(ring)))
     want = {(min(line, turned(line)), "linear"), *((min(x, turned(x)), "linear") for x in fork), (least + least[: k - 1], "closed_graph_walk"), ("AAAATTTA", "closed_graph_walk")}
     assert {(r.seq, r.topology) for r in rows} == want and len(rows) == len(want)
+
+
+def test_chains_of_a_slice_end_at_what_is_not_given():
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(200):
+        names = rng.sample(range(1000), 60)
+        before, done, at = {}, {}, 0
+        while at < len(names):  # walks and rings
+            part = names[at : at + rng.randrange(1, 15)]
+            ring = rng.random() < 0.3 and len(part) > 1
+            for i, x in enumerate(part):
+                before[x], done[x] = (part[i - 1] if i or ring else x), not i and not ring
+            at += len(part)
+        given = rng.sample(names, rng.randrange(1, 61))
+        entry, off = graph._chains(np.array(given), np.array([before[x] for x in given]), np.array([done[x] for x in given]))
+        for x, e, n in zip(given, entry.tolist(), off.tolist(), strict=True):
+            at, steps, seen = x, 0, {x}
+            while not done[at] and before[at] in given and before[at] not in seen:
+                at, steps = before[at], steps + 1
+                seen.add(at)
+            if not done[at] and before[at] in given:  # a ring that is given whole
+                at, steps = x, 0
+            assert (e, n) == (at, steps)
