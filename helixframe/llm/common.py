@@ -37,32 +37,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(1)
-def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse: of 0 to 2^14 - 1, and of the multiples of 2^14 up to 2^28."""
-    inverse, out = pow(_BASE, -1, 1 << 64), []
-    for base in (_BASE, inverse, pow(_BASE, 1 << 14, 1 << 64), pow(inverse, 1 << 14, 1 << 64)):
-        table, k = np.ones(1 << 14, np.uint64), 1
-        while k < len(table):
-            table[k : 2 * k] = table[:k] * np.uint64(pow(base, k, 1 << 64))
-            k *= 2
-        out.append(table)
+#: Powers of the hash's base are held for places of three digits of so many bits: for texts of any length that Arrow holds.
+_DIGIT = 14
+
+
+@lru_cache(2)
+def _powers(bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Powers of the base, and of its inverse, of every value of each of the three digits of a place."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        tables = []
+        for digit in range(3):
+            step = pow(base, 1 << bits * digit, 1 << 64)
+            table, k = np.ones(1 << bits, np.uint64), 1
+            while k < len(table):
+                table[k : 2 * k] = table[:k] * np.uint64(pow(step, k, 1 << 64))
+                k *= 2
+            tables.append(table)
+        out.append(tables)
     return tuple(out)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit content hash of each byte span of `data` (of less than 2^28 bytes); equal bytes give equal hashes wherever they stand."""
-    n = len(data)
-    up, down, far_up, far_down = _powers()
+    """A 64-bit content hash of each byte span of `data` (of less than 2^42 bytes); equal bytes give equal hashes wherever they stand."""
+    n, bits = len(data), _DIGIT
+    mask = (1 << bits) - 1
+    up, down = _powers(bits)
     sums = np.zeros(n + 1, np.uint64)
     inner = sums[1:]
     inner += data
     inner += np.uint64(1)
-    for k, first in enumerate(range(0, n, len(up))):
-        part = inner[first : first + len(up)]
-        part *= up[: len(part)] * far_up[k]
+    for k, first in enumerate(range(0, n, 1 << bits)):
+        part = inner[first : first + (1 << bits)]
+        part *= up[0][: len(part)] * (up[1][k & mask] * up[2][k >> bits])
     np.cumsum(inner, out=inner)
-    return mix((sums[ends] - sums[starts]) * (down[starts & 0x3FFF] * far_down[starts >> 14]) + (ends - starts).astype(np.uint64))
+    back = down[0][starts & mask] * down[1][starts >> bits & mask]
+    if n >> 2 * bits:
+        back *= down[2][starts >> 2 * bits]
+    return mix((sums[ends] - sums[starts]) * back + (ends - starts).astype(np.uint64))
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

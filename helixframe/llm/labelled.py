@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 #: So many labels are broadcast at most (more are an error), and so many documents of all labels together are sampled at most.
 MAX_LABELS, MAX_ROWS = 4096, 6000
-#: Texts of more bytes are not fitted on; scoring is of whole texts of any length. So a sample has 400 MB at the very most.
+#: Samples are drawn among texts of at most so many bytes; scoring is of whole texts of any length. So a sample has 400 MB at the very most.
 MAX_BYTES = 1 << 16
 
 
@@ -35,16 +35,32 @@ def sample(rows: DataFrame, label: str, bound: int) -> DataFrame:
     return known.join(counts, label).filter(share * F.col("of_label") < bound).drop("of_label")
 
 
+def stretch(text: str = "text") -> Column:
+    """A text, or of one over MAX_BYTES a stretch from its middle: for fits on what is alike all over a text, as a language is."""
+    n = MAX_BYTES // 4  # a character has four bytes at most
+    middle = F.substr(text, F.floor((F.length(text) - n) / 2).cast("int") + 1, F.lit(n))
+    return F.when(F.octet_length(text) <= MAX_BYTES, F.col(text)).otherwise(F.when(F.length(text) <= n, F.col(text)).otherwise(middle))
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> list[tuple[str, int]]:
     """(text, label) of a bounded sample of labelled documents, ordered by id.
 
     A document with several labels counts with its largest, one with several texts with the smallest;
-    labels other than 0 and 1 are left out. Only the sampled ids are joined to the texts.
+    labels other than 0 and 1 are left out. It is drawn among the texts of at most MAX_BYTES. A label that no
+    such text has, but longer ones have, is an error: a model without it would tell nothing. Only the sampled ids
+    are joined to the texts.
     """
-    one = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
-    ids = sample(one.filter("label IN (0, 1)"), "label", bound)  # two labels: about 2 * bound rows at most, so they can be broadcast
+    one = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label")).filter("label IN (0, 1)")
+    sizes = docs.select("doc_id", F.octet_length("text").alias("bytes")).filter(F.col("doc_id").isNotNull() & F.col("bytes").isNotNull())
+    known = sizes.join(one, "doc_id").groupBy("doc_id", "label").agg(F.min("bytes").alias("bytes"))
+    ids = sample(known.filter(F.col("bytes") <= MAX_BYTES).select("doc_id", "label"), "label", bound)  # two labels: about 2 * bound rows at most, so they can be broadcast
     found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").filter(F.octet_length("text") <= MAX_BYTES).select("doc_id", "text", "label").collect()
     least: dict = {}
     for r in sorted(found, key=lambda r: (r["doc_id"], r["text"])):
         least.setdefault(r["doc_id"], (r["text"], int(r["label"])))
-    return list(least.values())
+    out = list(least.values())
+    if len({y for _, y in out}) < 2:
+        lost = {r["label"] for r in known.select("label").distinct().collect()} - {y for _, y in out}
+        if lost:
+            raise ValueError(f"all texts with {label} {sorted(lost)} have more than {MAX_BYTES} bytes")
+    return out

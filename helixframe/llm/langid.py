@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import held, joined, kept_columns, results, row_and_text, shape, slices, span_hashes, word_spans
-from helixframe.llm.labelled import MAX_BYTES, fold, sample
+from helixframe.llm.labelled import fold, sample, stretch
 
 #: First code points of ranges and their scripts (fixed values of Unicode blocks).
 RANGES = [
@@ -189,8 +189,8 @@ def fit(rows: list[tuple[str, str]]) -> Model:
 
 
 def train(docs: DataFrame, bound: int = SAMPLE) -> Model:
-    """The model of a bounded sample of the rows that are not held out: at most about `bound` documents of each language, `MAX_ROWS` of all, of `MAX_BYTES` each."""
-    known = docs.filter(fold(4) != 2).filter(F.col("lang").isNotNull() & (F.octet_length("text") <= MAX_BYTES)).select("doc_id", "lang", "text")
+    """The model of a bounded sample of the rows that are not held out: at most about `bound` documents of each language, `MAX_ROWS` of all, of longer texts a stretch of `MAX_BYTES` each."""
+    known = docs.filter(fold(4) != 2).filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", stretch().alias("text"))
     rows = sample(known, "lang", bound).select("doc_id", "text", "lang").collect()
     return fit([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"]))])
 

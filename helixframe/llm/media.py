@@ -2,7 +2,8 @@
 
 `index` reads any MPEG 1, 2 or 2.5 stream of layers I to III. It skips tags, finds a frame header whose
 length leads to another one (or to the end of the audio), goes on from frame to frame, and searches
-again where a header is broken. Durations stay exact, as samples and a sampling rate.
+again where a header is broken or of another version, layer or rate. Frames of the free format are as long as the way to the next
+such header. Durations stay exact, as samples and a sampling rate (of frames with several rates: of their least common multiple).
 
 `store` writes bytes as a valid layer III stream: silent frames (all side information zero) that carry
 the bytes as ancillary data, behind a two-byte length; long inputs take large frames and the rest small
@@ -13,6 +14,7 @@ that no payload stands where players and `parse` look for tags, 128 and 32 bytes
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import quoted, shape, slices
+from helixframe.llm.common import quoted, results, shape, slices
 
-#: Kilobits a second by (MPEG 1 or later, layer) and header index; 0 is the free format, which has no length (fixed values of the standard).
+#: Kilobits a second by (MPEG 1 or later, layer) and header index; 0 is the free format, whose length the header does not tell (fixed values of the standard).
 BITRATES = {
     (1, 1): [0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448],
     (1, 2): [0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384],
@@ -36,6 +38,17 @@ BITRATES = {
 }
 RATES = [44100, 48000, 32000]
 
+#: Layer II: (subbands, bits of each one's allocation) of the standard's tables (fixed values of the standard).
+ALLOCATIONS = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "low": ((4, 4), (7, 3), (19, 2)),
+}
+#: No frame of the free format is longer.
+FREE = 1 << 13
+
 #: Bytes that a payload is padded to a multiple of, and those in a large frame.
 BLOCK, LARGE = 192, 768
 #: Kilobits a second of the last frame, which then has 144 bytes: an ID3v1 tag would take 128.
@@ -44,7 +57,10 @@ LAST = 48
 
 @lru_cache(4096)
 def header(four: bytes) -> tuple[int, int, int, int, int, int, int, bool] | None:
-    """(length, samples, rate, kbit/s, version, layer, channels, has a checksum) of a frame header, or None."""
+    """(length, samples, rate, kbit/s, version, layer, channels, has a checksum) of a frame header, or None.
+
+    In the free format kbit/s is 0, and length the padding alone.
+    """
     a, b, c, d = four
     if a != 0xFF or b & 0xE0 != 0xE0:
         return None
@@ -54,21 +70,23 @@ def header(four: bytes) -> tuple[int, int, int, int, int, int, int, bool] | None
     kbits = BITRATES[1 if version == 1 else 2, layer][c >> 4]
     rate = RATES[c >> 2 & 3] // {1: 1, 2: 2, 25: 4}[version]
     padding = c >> 1 & 1
-    if not kbits:
-        return None
     samples = 384 if layer == 1 else 576 if layer == 3 and version != 1 else 1152
     length = (12000 * kbits // rate + padding) * 4 if layer == 1 else samples // 8 * 1000 * kbits // rate + padding
     return length, samples, rate, kbits, version, layer, 1 if d >> 6 == 3 else 2, not b & 1
 
 
 @lru_cache(4096)
-def crc16(data: bytes) -> int:
-    """The frame checksum: polynomial 0x8005, all ones at the start."""
-    crc = 0xFFFF
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """The frame checksum of the first `bits` bits (None: all): polynomial 0x8005, all ones at the start."""
+    crc, left = 0xFFFF, 8 * len(data) if bits is None else bits
     for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
+        taken = min(8, left)
+        crc ^= (byte >> 8 - taken << 8 - taken) << 8
+        for _ in range(taken):
             crc = (crc << 1 ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
+        left -= taken
+        if not left:
+            break
     return crc
 
 
@@ -77,6 +95,64 @@ def _side(version: int, channels: int) -> int:
     return (17 if channels == 1 else 32) if version == 1 else (9 if channels == 1 else 17)
 
 
+def _allocation(kbits: int, rate: int, version: int, channels: int) -> list[int]:
+    """Bits of the allocation of every subband of a layer II frame."""
+    each = kbits // channels
+    if version != 1:
+        table = "low"
+    elif kbits and each <= 48:
+        table = "d" if rate == 32000 else "c"
+    else:
+        table = "b" if rate != 48000 and (not kbits or each >= 96) else "a"
+    return [bits for count, bits in ALLOCATIONS[table] for _ in range(count)]
+
+
+def _protected(body: bytes, info: tuple, mode: int) -> int:
+    """Bits behind header and checksum that the checksum covers; `mode` is the header's last byte."""
+    _, _, rate, kbits, version, layer, channels, _ = info
+    if layer == 3:
+        return 8 * _side(version, channels)
+    joint = 4 * ((mode >> 4 & 3) + 1) if mode >> 6 == 1 else 32  # subbands from here on have one allocation for both channels
+    widths = [4] * 32 if layer == 1 else _allocation(kbits, rate, version, channels)
+    entries = [(bits, 1 if sb < joint else channels) for sb, bits in enumerate(widths) for _ in range(channels if sb < joint else 1)]
+    if layer == 1:
+        return sum(bits for bits, _ in entries)
+    number, at, selections = int.from_bytes(body, "big"), 8 * len(body), 0
+    for bits, shared in entries:
+        at -= bits
+        if at < 0:
+            return 8 * len(body)  # the frame ends within its allocation
+        selections += 2 * shared * (number >> at & (1 << bits) - 1 != 0)
+    return 8 * len(body) - at + selections
+
+
+def _passes(data: bytes, at: int, length: int, info: tuple) -> bool:
+    """Whether the checksum of the frame at `at` is right."""
+    body = data[at + 6 : at + min(length, 6 + 64)]  # allocation and selections have 48 bytes at most
+    bits = 16 + _protected(body, info, data[at + 3])
+    return 8 * (2 + len(body)) >= bits and crc16(data[at + 2 : at + 4] + body[: (bits - 9) // 8], bits) == int.from_bytes(data[at + 4 : at + 6], "big")
+
+
+def _like(info: tuple, other: tuple | None) -> bool:
+    """Whether two headers can belong to one stream: of one version, layer and rate, and both or none of the free format."""
+    return other is not None and other[2] == info[2] and other[4:6] == info[4:6] and (not other[3]) == (not info[3])
+
+
+def _free(data: bytes, at: int, end: int, info: tuple) -> int:
+    """The length without padding of a free-format frame at `at`: the way to the next header that a third one or the end confirms; 0 if there is none."""
+    slot = 4 if info[5] == 1 else 1
+    own, k = info[0], at + 24
+    while 0 <= (k := data.find(data[at : at + 2], k, min(end, at + FREE))):
+        following = header(data[k : k + 4]) if k + 4 <= end else None
+        bare = k - at - own
+        if _like(info, following) and bare % slot == 0:
+            third = k + bare + following[0]
+            if third == end or third + 4 <= end and _like(info, header(data[third : third + 4])):
+                return bare
+        k += 1
+    return 0
+
+
 def _text(raw: bytes) -> str:
     if not raw:
         return ""
@@ -111,9 +187,9 @@ def _front_tag(data: bytes, at: int) -> tuple[int, dict[str, str]]:
     return end + (10 if major == 4 and flags & 0x10 else 0), found
 
 
-def _variable(data: bytes, at: int, info: tuple) -> dict | None:
+def _variable(data: bytes, at: int, info: tuple, length: int) -> dict | None:
     """A Xing, Info or VBRI table in the frame at `at`."""
-    length, _, _, _, version, layer, channels, checked = info
+    _, _, _, _, version, layer, channels, checked = info
     if layer != 3:
         return None
     frame = data[at : at + length]
@@ -151,37 +227,42 @@ def parse(data: bytes) -> dict:
         size, _, flags = struct.unpack("<III", data[end - 20 : end - 8])
         end = max(at, end - size - (32 if flags & 0x80000000 else 0))
         tags.append("APE")
-    frames, kbits, skipped, resyncs, checked, failed, samples, rates, table = [], {}, 0, 0, 0, 0, 0, set(), None
-    in_sync = False
+    frames, kbits, skipped, resyncs, checked, failed, rates, table = [], {}, 0, 0, 0, 0, {}, None
+    last, free = None, 0  # the header of the frame before, while in sync, and the length of a free-format frame
     while at + 4 <= end:
         info = header(data[at : at + 4])
-        if info is not None and at + info[0] <= end:
-            after = at + info[0]
-            following = header(data[after : after + 4]) if after + 4 <= end else None
-            if in_sync or after + 4 > end or (following is not None and following[2] == info[2] and following[4:6] == info[4:6]):
-                length, n, rate, k, version, layer, channels, has_crc = info
+        in_sync = last is not None and _like(last, info)
+        length = 0 if info is None else info[0]
+        if info is not None and not info[3]:
+            free = free if in_sync else _free(data, at, end, info)
+            length += free if free else end - at + 1
+        if info is not None and at + length <= end:
+            after = at + length
+            if in_sync or after + 4 > end or _like(info, header(data[after : after + 4])):
+                _, n, rate, k, version, layer, channels, has_crc = info
                 side = _side(version, channels) if layer == 3 else 0
-                if has_crc and layer == 3:
+                if has_crc:
                     checked += 1
-                    failed += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + side]) != int.from_bytes(data[at + 4 : at + 6], "big")
-                in_sync = True
-                if not frames and table is None and (table := _variable(data, at, info)) is not None:
+                    failed += not _passes(data, at, length, info)
+                last = info
+                if not frames and table is None and (table := _variable(data, at, info, length)) is not None:
                     at = after
                     continue
                 frames.append((at, length, 4 + 2 * has_crc + side))
                 kbits[k] = kbits.get(k, 0) + 1
-                samples += n
-                rates.add(rate)
+                rates[rate] = rates.get(rate, 0) + n
                 at = after
                 continue
-        resyncs += in_sync or not frames and not skipped
-        in_sync = False
+        resyncs += last is not None or not frames and not skipped
+        last = None
         found = data.find(b"\xff", at + 1, end)
         found = end if found < 0 else found
         skipped += found - at
         at = found
     skipped += end - at
-    return {"frames": frames, "samples": samples, "rate": min(rates, default=0), "rates": len(rates), "kbits": kbits, "tags": tags, "names": names, "table": table, "checked": checked, "failed": failed, "resyncs": resyncs, "skipped": skipped}
+    rate = math.lcm(*rates) if rates else 0
+    samples = sum(n * (rate // r) for r, n in rates.items())
+    return {"frames": frames, "samples": samples, "rate": rate, "rates": len(rates), "kbits": kbits, "tags": tags, "names": names, "table": table, "checked": checked, "failed": failed, "resyncs": resyncs, "skipped": skipped}
 
 
 def _head(kbits: int) -> bytes:
@@ -268,9 +349,10 @@ def index(media: DataFrame, column: str = "media") -> DataFrame:
     """All columns, and a struct `audio`: frames, samples and rate (the exact duration), checksums checked and failed,
     resyncs, bytes skipped, tags and their texts, the bitrate table, and `seek`, the offset of every frame.
 
-    Null media give a null struct; bytes without a frame give zero frames and rate 0. A column `audio` is replaced.
+    Null media give a null struct; bytes without a frame give zero frames and rate 0. Where a column `audio` is there,
+    the struct is `audio_2`.
     """
-    kept = [c for c in media.columns if c != "audio"]
+    kept = tuple(media.columns)
     given = media.select(F.struct(*[F.col(quoted(c)).alias(c) for c in kept]).alias("row"), F.col(quoted(column)).alias("text"))
     kind = given.schema["row"].dataType
     names = [x.split()[0] for x in _INDEX.split(", ")]
@@ -292,7 +374,7 @@ def index(media: DataFrame, column: str = "media") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row"), audio], names=["row", "audio"])
 
     fields = ", ".join(f"{x.split()[0]}: {x.split()[1]}" for x in _INDEX.split(", "))
-    return given.mapInArrow(look, shape(row=kind, audio=f"struct<{fields}>")).select("row.*", "audio")
+    return given.mapInArrow(look, shape(row=kind, audio=f"struct<{fields}>")).select(*[F.col(f"row.{quoted(c)}").alias(c) for c in kept], *results(("audio",), kept))
 
 
 def digests(media: DataFrame) -> DataFrame:

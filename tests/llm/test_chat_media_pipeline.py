@@ -1,6 +1,7 @@
 """Chat formatting, media columns and the pipeline."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -94,6 +95,77 @@ def test_headers_of_other_kinds():
     assert media.header(bytes([0xFF, 0xFB, 0xF0, 0])) is media.header(bytes([0xFF, 0xEB, 0x90, 0])) is media.header(b"\xfe\xfb\x90\x00") is None
 
 
+def _frame_of(head, length, body=b""):
+    return (head + body).ljust(length, b"\x00")
+
+
+def test_durations_of_several_rates_are_exact():
+    from fractions import Fraction
+
+    at48, at24 = bytes([0xFF, 0xFB, 0x94, 0xC0]), bytes([0xFF, 0xF3, 0x84, 0xC0])
+    assert media.header(at48)[:3] == (384, 1152, 48000) and media.header(at24)[:3] == (192, 576, 24000)
+    found = media.parse(_frame_of(at48, 384) * 5 + _frame_of(at24, 192))
+    assert len(found["frames"]) == 6 and found["resyncs"] == found["skipped"] == 0
+    assert Fraction(found["samples"], found["rate"]) == Fraction(144, 1000)
+    # a header of another rate inside a stream must lead to a header
+    found = media.parse(_frame_of(at48, 384) * 2 + at24 + bytes(50) + _frame_of(at48, 384) * 2)
+    assert len(found["frames"]) == 4 and found["samples"] == 4 * 1152 and found["skipped"] == 54 and found["resyncs"] == 1
+
+
+def _checksum(bits):
+    crc = 0xFFFF
+    for b in bits:
+        top = crc >> 15 ^ int(b)
+        crc = crc << 1 & 0xFFFF
+        crc ^= 0x8005 if top else 0
+    return crc
+
+
+def test_checksums_of_all_layers_are_verified():
+    rng = random.Random(5)
+    assert media.crc16(b"\x12\x34") == _checksum(f"{0x1234:016b}")
+    spread = [4] * 11 + [3] * 12 + [2] * 4
+    cases = [  # header, length, allocation entries as (bits, channels that share them), scale factor selections
+        (bytes([0xFF, 0xFC, 0x84, 0x00]), 384, [4] * 11 * 2 + [3] * 12 * 2 + [2] * 4 * 2, 1),  # layer II, 128 kbit/s stereo: table a
+        (bytes([0xFF, 0xFC, 0x84, 0xC0]), 384, spread, 1),  # mono
+        (bytes([0xFF, 0xFC, 0x44, 0x00]), 192, [4] * 2 * 2 + [3] * 6 * 2, 1),  # 64 kbit/s stereo: table c
+        (bytes([0xFF, 0xF4, 0x84, 0xC0]), 384, [4] * 4 + [3] * 7 + [2] * 19, 1),  # low rates
+        (bytes([0xFF, 0xFE, 0x44, 0x00]), 128, [4] * 64, 0),  # layer I stereo
+        (bytes([0xFF, 0xFE, 0x44, 0xC0]), 128, [4] * 32, 0),
+    ]
+    for head, length, widths, factor in cases:
+        assert media.header(head)[0] == length and media.header(head)[7]
+        stream, spoilt = b"", b""
+        for _ in range(4):
+            values = [rng.randrange(1 << w) for w in widths]
+            bits = "".join(f"{v:0{w}b}" for v, w in zip(values, widths, strict=True))
+            bits += "".join(f"{rng.randrange(4):02b}" for v in values if v) * factor
+            crc = _checksum(f"{int.from_bytes(head[2:], 'big'):016b}" + bits)
+            body = int(bits.ljust(-(-len(bits) // 8) * 8, "1"), 2).to_bytes(-(-len(bits) // 8), "big")
+            stream += _frame_of(head, length, crc.to_bytes(2, "big") + body)
+            spoilt += _frame_of(head, length, (crc ^ 1).to_bytes(2, "big") + body)
+        found = media.parse(stream)
+        assert (len(found["frames"]), found["checked"], found["failed"]) == (4, 4, 0)
+        assert media.parse(spoilt)["failed"] == 4
+    # joint stereo: subbands from 4 on have one allocation and two selections
+    head = bytes([0xFF, 0xFC, 0x84, 0x40])
+    values = [1] * 8 + [1] * 23
+    widths = [4] * 8 + [4] * 7 + [3] * 12 + [2] * 4
+    bits = "".join(f"{v:0{w}b}" for v, w in zip(values, widths, strict=True)) + "10" * (8 + 23 * 2)
+    crc = _checksum(f"{int.from_bytes(head[2:], 'big'):016b}" + bits)
+    body = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    found = media.parse(_frame_of(head, 384, crc.to_bytes(2, "big") + body) * 3)
+    assert (found["checked"], found["failed"]) == (3, 0)
+
+
+def test_free_format_frames_are_as_long_as_the_way_to_the_next():
+    head, more = bytes([0xFF, 0xFB, 0x04, 0xC0]), bytes([0xFF, 0xFB, 0x06, 0xC0])
+    found = media.parse(b"".join(_frame_of(h, 500 + (h is more), b"\xff\xfb" + bytes(9)) for h in (head, more, head, head, more, head)))
+    assert [f[:2] for f in found["frames"]] == [(0, 500), (500, 501), (1001, 500), (1501, 500), (2001, 501), (2502, 500)]
+    assert found["kbits"] == {0: 6} and found["skipped"] == found["resyncs"] == 0 and found["samples"] == 6 * 1152
+    assert media.parse(head + bytes(600))["frames"] == []
+
+
 def test_media_query_and_index(spark):
     rows = [(1, "text", "a"), (2, None, "a"), (None, "text", "a"), (3, "é" * 1000, "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, audio string")
@@ -105,7 +177,8 @@ def test_media_query_and_index(spark):
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
     assert found[1, 4][4:] == found[None, 4][4:]
     seen = media.index(media.store(docs).selectExpr("*", "'x' AS audio").union(spark.sql("SELECT 9L, 0L, CAST(NULL AS BINARY), 'y'")))
-    by_id = {r.doc_id: r.audio for r in seen.collect()}
+    assert {r.audio for r in seen.collect()} == {"x", "y"}
+    by_id = {r.doc_id: r.audio_2 for r in seen.collect()}
     assert by_id[9] is None and by_id[3].frames == len(by_id[3].seek) and by_id[3].rate == 48000 and by_id[3].names["TSSE"] == "helixframe"
 
 

@@ -242,3 +242,32 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.quality(docs, quality.train(docs, labels)).count() == toxicity.toxicity(docs, toxicity.train(docs, labels)).count() == langid.languages(docs, langid.train(docs)).count() == 0
+
+
+def test_span_hashes_do_not_depend_on_the_digits_of_places(monkeypatch):
+    import numpy as np
+
+    from helixframe.llm import common
+
+    data = np.frombuffer(("one two three one two " * 22).encode(), np.uint8)
+    starts, ends = common.word_spans(data)
+    want = common.span_hashes(data, starts, ends)
+    monkeypatch.setattr(common, "_DIGIT", 3)  # three digits of three bits: 512 bytes
+    assert len(data) > 64 and (common.span_hashes(data, starts, ends) == want).all() and len(np.unique(want)) == 3
+
+
+def test_samples_are_of_texts_that_fit(spark):
+    from helixframe.llm.labelled import MAX_BYTES, labelled_texts
+
+    long = "a long text " * (MAX_BYTES // 12 + 2)
+    docs = spark.createDataFrame([(k, long, "xx") for k in range(40)] + [(k, f"short {k}", "yy") for k in range(40, 44)] + [(50, None, "yy")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(44)] + [(50, 1), (None, 1)], "doc_id long, toxic int")
+    assert sorted(labelled_texts(docs, labels, "toxic", 4)) == [(f"short {k}", k % 2) for k in range(40, 44)]
+    with pytest.raises(ValueError, match="more than"):
+        labelled_texts(docs.filter("doc_id < 40 OR doc_id % 2 = 0"), labels, "toxic", 4)
+    assert labelled_texts(docs.limit(0), labels, "toxic", 4) == []
+    wide = spark.createDataFrame([(1, "\u4e2d" * MAX_BYTES)], "doc_id long, text string")
+    from helixframe.llm.labelled import stretch
+
+    assert [len(r[0].encode()) for r in wide.select(stretch()).collect()] == [3 * (MAX_BYTES // 4)]
+    assert "xx" in langid.train(docs).languages  # a language of long texts only is learned
