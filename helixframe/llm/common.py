@@ -69,7 +69,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     inner += np.uint64(1)
     for k, first in enumerate(range(0, n, 1 << bits)):
         part = inner[first : first + (1 << bits)]
-        part *= up[0][: len(part)] * (up[1][k & mask] * up[2][k >> bits])
+        middle, high = k & mask, k >> bits
+        part *= up[0][: len(part)] * (up[1][middle : middle + 1] * up[2][high : high + 1])
     np.cumsum(inner, out=inner)
     back = down[0][starts & mask] * down[1][starts >> bits & mask]
     if n >> 2 * bits:
