@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.durable import cut_lineage
@@ -202,6 +202,39 @@ def multik_unresolved(lower: DataFrame, higher: DataFrame, k: int, higher_k: int
     return sides.join(multik_contexts(lower, higher, k, higher_k).select("lower_kmer", "side").distinct(), ["lower_kmer", "side"], "left_anti")
 
 
+def accepted_stretches(reads: DataFrame, minimum_quality: int = 20) -> DataFrame:
+    """fragment_id, lane, role, stretch: the longest runs of exact bases of sufficient quality of every read."""
+    seq = F.upper("seq")
+    bad = F.zip_with(F.split(kmers.ambiguity_mask(seq), ""), F.split(kmers.quality_mask(seq, F.col("qual"), minimum_quality), ""), lambda n, q: F.greatest(n, q))
+    sound = F.array_join(F.zip_with(F.split(seq, ""), bad, lambda s, b: F.when(b == "1", ".").otherwise(s)), "")
+    return reads.filter(F.length("seq") > 0).select("fragment_id", "lane", "role", F.explode(F.split(sound, r"\.+")).alias("stretch")).filter("stretch <> ''")
+
+
+def covering_flanks(stretch: Column, start: Column, k: int, higher_k: int) -> tuple[Column, Column]:
+    """Whether a higher window of the same stretch holds the lower window at `start` and the base left, and right, of it."""
+    room = F.length(stretch) >= higher_k
+    return room & (start > 0), room & (start + k < F.length(stretch))
+
+
+def unresolved_sides(reads: DataFrame, k: int, higher_k: int, minimum_quality: int = 20) -> DataFrame:
+    """lower_kmer, side, lower_window_occurrences: how often a side of a lower k-mer stands in a read with no higher window about it.
+
+    Sides are seen from the canonical spelling; those of a k-mer that is its own reverse complement fold into one,
+    `fixed_point`, so it may count twice an occurrence. Inside a stretch that holds a higher window only its first and last
+    lower window have such a side, so no other window is made.
+    """
+    stretches = accepted_stretches(reads, minimum_quality).select("stretch").filter(F.length("stretch") >= k)
+    last = F.length("stretch") - k
+    ends = F.when(last > 0, F.array(F.lit(0), last)).otherwise(F.array(F.lit(0)))
+    rows = stretches.select("stretch", F.explode(F.when(F.length("stretch") >= higher_k, ends).otherwise(F.sequence(F.lit(0), last))).alias("start"))
+    left, right = covering_flanks(F.col("stretch"), F.col("start"), k, higher_k)
+    seen = rows.select(F.substr("stretch", F.col("start") + 1, F.lit(k)).alias("literal"), F.explode(F.filter(F.array(F.when(~left, "left"), F.when(~right, "right")), lambda x: x.isNotNull())).alias("side"))
+    named = seen.withColumn("lower_kmer", dna.canonical("literal"))
+    turned = F.when(F.col("side") == "left", "right").otherwise("left")
+    side = F.when(F.col("literal") == dna.revcomp("literal"), "fixed_point").when(F.col("literal") == F.col("lower_kmer"), F.col("side")).otherwise(turned)
+    return named.groupBy("lower_kmer", side.alias("side")).agg(F.count("*").alias("lower_window_occurrences"))
+
+
 def exact_agreement(units_by_k: dict[int, DataFrame]) -> DataFrame:
     """topology, seq, members, agreement: sequences of the unitigs of several k, and whether more than one k gives them."""
     every = None

@@ -13,6 +13,7 @@ from helixframe.operators import components, correction, evaluation, evidence, g
 from helixframe.plans import adapters, sql
 
 K, HIGHER, WIDE, M, BUCKETS, FLANK, QUALITY = 21, 31, 41, 11, 64, 12, 20
+CANDIDATES = 1000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,8 +46,8 @@ def _graph(spark: SparkSession, d: str, k: int = K) -> tuple[DataFrame, DataFram
 def _mapped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     _, units = _graph(spark, d)
     reads = adapters.reads(spark, d)
-    placed = cut_lineage(mapping.placements(reads, units, QUALITY, K))
-    return units, placed, mapping.audit_reads(reads, placed, QUALITY)
+    placed = cut_lineage(mapping.placements(reads, units, QUALITY, K, CANDIDATES))
+    return units, placed, mapping.audit_reads(reads, placed, QUALITY, CANDIDATES)
 
 
 _COUNTED = (sql.win(K), sql.counts(K))
@@ -242,7 +243,7 @@ def graph_invariants(spark: SparkSession, d: str) -> DataFrame:
 
 @registered(sql.query(*_MAPPED, select='SELECT fragment_id, role, unitig_id, start, "end", strand FROM placed'))
 def placements(spark: SparkSession, d: str) -> DataFrame:
-    return _mapped(spark, d)[1].select("fragment_id", "role", "unitig_id", "start", "end", "strand")
+    return _mapped(spark, d)[1].filter("unitig_id IS NOT NULL").select("fragment_id", "role", "unitig_id", "start", "end", "strand")
 
 
 @registered(sql.query(*_MAPPED, select=f"SELECT r.role, g.state, coalesce(n, 0) AS reads FROM (SELECT DISTINCT role FROM audits) r CROSS JOIN (VALUES {sql.READ_GRID}) g(state) LEFT JOIN (SELECT role, state, count(*) AS n FROM audits GROUP BY ALL) c ON c.role = r.role AND c.state = g.state"))
@@ -389,6 +390,21 @@ def multik_unresolved(spark: SparkSession, d: str) -> DataFrame:
     return evidence.multik_unresolved(*_two(spark, d), K, HIGHER)
 
 
+_BESIDE = f"""
+  shown AS (SELECT l.kmer, l.w, l.pos, a.pos AS before, b.pos AS upto
+    FROM (SELECT * FROM lwin WHERE kmer IS NOT NULL) l
+    ASOF LEFT JOIN (SELECT fragment_id, role, pos FROM hwin WHERE kmer IS NOT NULL) a ON l.fragment_id = a.fragment_id AND l.role = a.role AND l.pos > a.pos
+    ASOF LEFT JOIN (SELECT fragment_id, role, pos FROM hwin WHERE kmer IS NOT NULL) b ON l.fragment_id = b.fragment_id AND l.role = b.role AND l.pos >= b.pos),
+  bare AS (
+    SELECT kmer, w, 'left' AS raw FROM shown WHERE coalesce(before < pos - {HIGHER - K}, true)
+    UNION ALL SELECT kmer, w, 'right' FROM shown WHERE coalesce(upto < pos - {HIGHER - K - 1}, true))"""
+
+
+@registered(sql.query(sql.win(K, "lwin"), sql.win(HIGHER, "hwin"), _BESIDE, select=f"SELECT kmer AS lower_kmer, CASE WHEN w = {sql.rc('w')} THEN 'fixed_point' WHEN w = kmer THEN raw WHEN raw = 'left' THEN 'right' ELSE 'left' END AS side, count(*) AS lower_window_occurrences FROM bare GROUP BY ALL"))
+def multik_unresolved_sides(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.unresolved_sides(adapters.reads(spark, d), K, HIGHER, QUALITY)
+
+
 def _units_of(k: int) -> str:
     return "(" + sql.query(sql.win(k), sql.counts(k), sql.kept(), sql.handles(k), sql.NODES, sql.unitigs(k), select=f"SELECT '{k}' AS k, topology, seq FROM units") + ")"
 

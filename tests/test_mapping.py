@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from helixframe.operators import correction, evaluation, evidence, graph, kmers, mapping, simulation
@@ -38,6 +39,52 @@ def test_placements_equal_a_plain_search(spark):
     assert states[5] == ("single_placement_group" if n == 1 else "multiple_placement_groups" if n <= 30 else "indeterminate_candidate_limit", n)
 
 
+def test_reads_of_a_repeat_leave_at_the_limit(spark):
+    """A repeat of tens of thousands of places: its reads are over the limit, others have all their places."""
+    rng = random.Random(8)
+    bases = "".join(rng.choice("ACGT") for _ in range(400))
+    units = spark.createDataFrame([("a", "A" * 50_000 + bases, "linear"), ("b", bases[100:300] + "AC" * 40, "linear")], UNITS)
+    rows = [(i, 0, "S", ("A" if i % 2 else "T") * (30 + i % 3), None) for i in range(600)] + [(900, 0, "S", bases[120:180], None), (901, 0, "S", rc(bases[10:70]), None), (902, 0, "S", "ACAC" * 8, None), (903, 0, "S", "G" * 40, None)]
+    reads = spark.createDataFrame(rows, READS)
+    placed = mapping.placements(reads, units, 0, max_candidates=100)
+    states = {r.fragment_id: (r.state, r.n_groups) for r in mapping.audit_reads(reads, placed, 0, 100).collect()}
+    assert {states[i] for i in range(600)} == {("indeterminate_candidate_limit", 101)}
+    assert states[900] == ("multiple_placement_groups", 2) and states[901] == ("single_placement_group", 1) and states[903] == ("unmapped", 0)
+    assert states[902] == ("multiple_placement_groups", 25)
+    kept = [tuple(r) for r in placed.filter("fragment_id IN (900, 901)").orderBy("fragment_id", "unitig_id").collect()]
+    assert kept == [(900, 0, "S", "a", 50_120, 50_180, "+"), (900, 0, "S", "b", 20, 80, "+"), (901, 0, "S", "a", 50_010, 50_070, "-")]
+    assert placed.filter("fragment_id < 600").filter("unitig_id IS NULL AND start IS NULL").count() == 600 == placed.filter("fragment_id < 600").count()
+    groups = {r.fragment_id: r.groups for r in mapping.ordered_groups(placed).collect()}
+    assert groups[3] is None and [g.unitig_id for g in groups[900]] == ["a", "b"]
+    with pytest.raises(Exception, match="more than 50 bases"):
+        mapping.placements(reads, units, 0, longest=50).collect()
+
+
+def test_sides_that_no_higher_window_covers_are_counted(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        s = "".join(rng.choice("ACGT") for _ in range(rng.choice([0, 3, 5, 7, 9, 30])))
+        rows.append((i, 0, "S", "".join("N" if rng.random() < 0.04 else c for c in s), "".join("!" if rng.random() < 0.04 else "I" for _ in s)))
+    rows += [(90, 0, "S", "AACGTTAACGTT", None), (91, 0, "S", "acgtac", None), (92, 0, "S", None, None)]
+    k, high, want = 4, 7, {}
+    for _, _, _, s, q in rows:
+        s, q = (s or "").upper(), q or "I" * len(s or "")
+        ok = lambda a, n: a >= 0 and a + n <= len(s) and "N" not in s[a : a + n] and "!" not in q[a : a + n]
+        for at in range(len(s) - k + 1):
+            w = s[at : at + k]
+            if not ok(at, k):
+                continue
+            least = min(w, rc(w))
+            for side in ("left", "right"):
+                if any(ok(m, high) and m <= at and at + k <= m + high and (m < at if side == "left" else at + k < m + high) for m in range(len(s))):
+                    continue
+                told = "fixed_point" if w == rc(w) else side if w == least else {"left": "right", "right": "left"}[side]
+                want[least, told] = want.get((least, told), 0) + 1
+    got = {(r.lower_kmer, r.side): r.lower_window_occurrences for r in evidence.unresolved_sides(spark.createDataFrame(rows, READS), k, high, 20).collect()}
+    assert got == want and {s for _, s in got} == {"left", "right", "fixed_point"}
+
+
 def test_pair_states_follow_their_order_and_links_are_canonical(spark):
     units = spark.createDataFrame([("a", "A" * 10, "linear"), ("b", "C" * 10, "linear")], UNITS)
     audits = [(1, "single_placement_group", "single_placement_group"), (2, "single_placement_group", "single_placement_group"), (3, "unmapped", "ineligible_ambiguity_or_quality"), (4, "multiple_placement_groups", "unmapped"), (5, "single_placement_group", "single_placement_group")]
