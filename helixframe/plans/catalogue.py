@@ -582,11 +582,88 @@ def spectrum_scores(spark: SparkSession, d: str) -> DataFrame:
     return correction.spectrum_scores(found, ["fragment_id", "role", "pos", "old", "new"], "candidate", _counts(spark, d), K)
 
 
-@registered()
+#: All sets of one and two changes, with their evidence on both spectra. Reads have two weak bases at most, so no limit of the search is met.
+_SEARCH = (
+    *_COUNTED,
+    sql.win(HIGHER, "win_higher"),
+    sql.counts(HIGHER, "win_higher", "counts_higher"),
+    f"""
+  known AS MATERIALIZED (SELECT * FROM counts UNION ALL SELECT * FROM counts_higher),
+  ks AS (SELECT * FROM (VALUES ({K}), ({HIGHER})) v(k)),
+  raw AS MATERIALIZED (SELECT fragment_id, role, k, i, coalesce(support, 0) AS n FROM (SELECT fragment_id, role, k, i, {sql.canon("substr(seq, i + 1, k)")} AS kmer FROM (SELECT fragment_id, role, seq, k, cast(unnest(range(0, length(seq) - k + 1)) AS int) AS i FROM reads CROSS JOIN ks)) LEFT JOIN known USING (kmer)),
+  sites AS MATERIALIZED (SELECT fragment_id, role, seq, pos, substr(seq, pos + 1, 1) AS old, ascii(substr(qual, pos + 1, 1)) - 33 AS phred FROM (SELECT *, cast(unnest(range(0, length(seq))) AS int) AS pos FROM reads) WHERE regexp_matches(substr(seq, pos + 1, 1), '[^ACGT]') OR substr(qual, pos + 1, 1) = '!'),
+  early AS MATERIALIZED (SELECT r.fragment_id, r.role, length(r.seq) AS len, CASE WHEN w.whole THEN 'already_trusted' WHEN s.fragment_id IS NULL THEN 'no_editable_bases' END AS early FROM reads r JOIN (SELECT fragment_id, role, min(n) >= 2 AS whole FROM raw GROUP BY ALL) w USING (fragment_id, role) LEFT JOIN (SELECT DISTINCT fragment_id, role FROM sites) s ON r.fragment_id = s.fragment_id AND r.role = s.role),
+  singles AS MATERIALIZED (SELECT fragment_id, role, seq, pos, old, new, phred FROM sites JOIN (VALUES {_CHOICES}) n(symbol, new) ON symbol = old JOIN early USING (fragment_id, role) WHERE early IS NULL),
+  sets AS MATERIALIZED (
+    SELECT row_number() OVER () AS c, *, substr(seq, 1, p1) || w1 || CASE WHEN p2 IS NULL THEN substr(seq, p1 + 2) ELSE substr(seq, p1 + 2, p2 - p1 - 1) || w2 || substr(seq, p2 + 2) END AS candidate FROM (
+      SELECT fragment_id, role, seq, 1 AS n_edits, pos AS p1, old AS o1, new AS w1, cast(NULL AS int) AS p2, cast(NULL AS varchar) AS o2, cast(NULL AS varchar) AS w2, phred AS penalty FROM singles
+      UNION ALL SELECT a.fragment_id, a.role, a.seq, 2, a.pos, a.old, a.new, b.pos, b.old, b.new, a.phred + b.phred FROM singles a JOIN singles b ON a.fragment_id = b.fragment_id AND a.role = b.role AND a.pos < b.pos)),
+  over AS MATERIALIZED (SELECT c, fragment_id, role, k, i, {sql.canon("substr(candidate, i + 1, k)")} AS kmer FROM (SELECT c, fragment_id, role, candidate, p1, p2, k, cast(unnest(range(0, length(seq) - k + 1)) AS int) AS i FROM sets CROSS JOIN ks) WHERE (i <= p1 AND p1 < i + k) OR (i <= p2 AND p2 < i + k)),
+  layered AS (SELECT c, k, count(*) AS n_all, count_if(coalesce(support, 0) >= 2) AS t, count_if(coalesce(support, 0) >= 2) - count_if(n >= 2) AS gt, sum(coalesce(support, 0)) - sum(n) AS gs, count_if(n = 1) AS low FROM over JOIN raw USING (fragment_id, role, k, i) LEFT JOIN known USING (kmer) GROUP BY c, k),
+  judged AS MATERIALIZED (
+    SELECT *, layers >= 1 AND trusted_gain >= 1 AND support_gain >= 1 AND sound AS qualified FROM (
+      SELECT c, cast(sum(gt) AS bigint) AS trusted_gain, cast(sum(gs) AS bigint) AS support_gain, cast(count_if(gt > 0 OR gs > 0) AS bigint) AS layers, bool_and(gt >= 0 AND gs >= 0 AND n_all = t) AS sound, cast(sum(low) AS bigint) AS low, coalesce(max(gt) FILTER (k = {K}), 0) AS gt1, coalesce(max(gs) FILTER (k = {K}), 0) AS gs1, coalesce(max(gt) FILTER (k = {HIGHER}), 0) AS gt2, coalesce(max(gs) FILTER (k = {HIGHER}), 0) AS gs2 FROM layered GROUP BY c)
+    JOIN sets USING (c)),
+  fits AS (SELECT * FROM judged WHERE qualified),
+  tops AS (SELECT fragment_id, role, max(gt1) AS a, max(gs1) AS b, max(gt2) AS c2, max(gs2) AS d, max(layers) AS e, min(penalty) AS f, min(n_edits) AS g FROM fits GROUP BY ALL),
+  best AS (SELECT fragment_id, role, any_value(n_edits) AS n_edits, any_value(p1) AS p1, any_value(o1) AS o1, any_value(w1) AS w1, any_value(p2) AS p2, any_value(o2) AS o2, any_value(w2) AS w2 FROM fits JOIN tops USING (fragment_id, role) WHERE gt1 = a AND gs1 = b AND gt2 = c2 AND gs2 = d AND layers = e AND penalty = f AND n_edits = g GROUP BY fragment_id, role HAVING count(*) = 1),
+  told AS MATERIALIZED (SELECT e.fragment_id, e.role, e.len, CASE WHEN early IS NOT NULL THEN early WHEN t.fragment_id IS NULL THEN 'evidence_below_thresholds' WHEN b.fragment_id IS NULL THEN 'conflicting_candidates' END AS reason, b.* EXCLUDE (fragment_id, role) FROM early e LEFT JOIN tops t USING (fragment_id, role) LEFT JOIN best b USING (fragment_id, role)),
+  ruled AS MATERIALIZED (SELECT *, CASE WHEN reason IS NULL THEN 'corrected' WHEN reason = 'conflicting_candidates' THEN 'quarantined' ELSE 'unchanged' END AS state FROM told),
+  changes_of AS (SELECT fragment_id, role, p1 AS pos, o1 AS old, w1 AS new FROM best UNION ALL SELECT fragment_id, role, p2, o2, w2 FROM best WHERE p2 IS NOT NULL)""",
+)
+_HANDED = "CASE WHEN state <> 'quarantined' THEN {0} END"
+
+
+def _corrected(spark: SparkSession, d: str, **given) -> DataFrame:
+    return correction.correct(adapters.reads(spark, d), _spectra(spark, d), QUALITY, **given)
+
+
+def _spectra(spark: SparkSession, d: str) -> dict[int, DataFrame]:
+    return {k: cut_lineage(_counts(spark, d, k)) for k in (K, HIGHER)}
+
+
+@registered(sql.query(*_SEARCH, select=f"SELECT fragment_id, role, state, reason, coalesce(n_edits, 0) AS n_edits, pos, old, new, {_HANDED.format('0')} AS start, {_HANDED.format('cast(len AS int)')} AS length FROM ruled LEFT JOIN changes_of USING (fragment_id, role)"))
 def corrected_reads(spark: SparkSession, d: str) -> DataFrame:
-    reads = adapters.reads(spark, d)
-    spectra = {k: cut_lineage(_counts(spark, d, k)) for k in (K, HIGHER)}
-    return correction.correct(reads, spectra, QUALITY)
+    return _corrected(spark, d)
+
+
+_TRIM = """
+  ends AS (SELECT fragment_id, role, seq, length(regexp_extract(bad, '^(1*)', 1)) AS s, 60 - length(regexp_extract(bad, '(1*)$', 1)) AS e FROM (SELECT fragment_id, role, seq, list_reduce(list_transform(range(1, 61), lambda i: CASE WHEN regexp_matches(substr(seq, i, 1), '[^ACGT]') OR substr(qual, i, 1) = '!' THEN '1' ELSE '0' END), lambda a, b: a || b) AS bad FROM reads)),
+  cuts AS MATERIALIZED (SELECT fragment_id, role, cast(s AS int) AS s, cast(e - s AS int) AS n FROM ends WHERE e - s BETWEEN 40 AND 59 AND NOT regexp_matches(substr(seq, cast(s + 1 AS int), cast(e - s AS int)), '[^ACGT]')),
+  trimmed AS MATERIALIZED (
+    SELECT fragment_id, role, len, coalesce(n_edits, 0) AS n_edits, CASE WHEN undecided AND n IS NOT NULL THEN 'trimmed' ELSE state END AS state, CASE WHEN NOT undecided THEN reason WHEN n IS NULL THEN 'terminal_trim_criteria_not_met' ELSE 'unresolved_low_quality_or_ambiguous_termini' END AS reason, CASE WHEN undecided THEN coalesce(s, 0) WHEN state <> 'quarantined' THEN 0 END AS start, CASE WHEN undecided THEN coalesce(n, len) WHEN state <> 'quarantined' THEN len END AS length
+    FROM (SELECT *, coalesce(reason IN ('no_editable_bases', 'evidence_below_thresholds'), false) AS undecided FROM ruled) LEFT JOIN cuts USING (fragment_id, role))"""
+
+
+@registered(sql.query(*_SEARCH, _TRIM, select="SELECT state, reason, count(*) AS reads, cast(sum(len) AS bigint) AS bases, cast(sum(coalesce(length, 0)) AS bigint) AS emitted_bases, cast(sum(CASE WHEN state = 'trimmed' THEN len - length ELSE 0 END) AS bigint) AS trimmed_bases, cast(sum(n_edits) AS bigint) AS changed_bases FROM trimmed GROUP BY state, reason"))
+def correction_accounting(spark: SparkSession, d: str) -> DataFrame:
+    """States, reasons and bases where unresolved reads lose their weak ends."""
+    return correction.accounting(adapters.reads(spark, d), _corrected(spark, d, unresolved="trim_low_quality_terminals"))
+
+
+_EVIDENCE = f"""
+  evaluated AS MATERIALIZED (
+    SELECT fragment_id, role, sha256('{correction.CANDIDATE}' || candidate) AS candidate_id, cast(n_edits AS bigint) AS n_edits, p1 || ':' || o1 || '>' || w1 || CASE WHEN p2 IS NULL THEN '' ELSE ',' || p2 || ':' || o2 || '>' || w2 END AS changes, qualified, layers, trusted_gain, support_gain, cast(penalty AS bigint) AS penalty, low, cast((o1 IN ('A', 'C', 'G', 'T'))::int + coalesce((o2 IN ('A', 'C', 'G', 'T'))::int, 0) AS bigint) AS substitutions
+    FROM judged)"""
+
+
+def _evaluated(spark: SparkSession, d: str) -> DataFrame:
+    return correction.evaluated_candidates(adapters.reads(spark, d), _spectra(spark, d), QUALITY)
+
+
+@registered(sql.query(*_SEARCH, _EVIDENCE, select="SELECT *, n_edits - substitutions AS ambiguities FROM (SELECT *, cast(row_number() OVER (PARTITION BY fragment_id, role ORDER BY candidate_id) AS int) AS rank FROM evaluated) WHERE rank <= 8"))
+def correction_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    """The eight candidates of every searched read with the smallest ids, and their evidence."""
+    return correction.alternatives(_evaluated(spark, d))
+
+
+_ROW = "sha256(candidate_id || chr(9) || changes || chr(9) || qualified::int || chr(9) || layers || chr(9) || trusted_gain || chr(9) || support_gain || chr(9) || penalty || chr(9) || low)"
+
+
+@registered(sql.query(*_SEARCH, _EVIDENCE, select=f"SELECT fragment_id, role, count(*) AS evaluated, cast(count_if(qualified) AS bigint) AS qualified, cast(count_if(substitutions > 0) AS bigint) AS exact_substitutions, cast(count_if(substitutions < n_edits) AS bigint) AS ambiguity_resolutions, cast(count_if(substitutions > 0 AND substitutions < n_edits) AS bigint) AS mixed, cast(count_if(low > 0) AS bigint) AS with_low, count(*) > 8 AS truncated, sha256('{correction.CANDIDATES}' || string_agg({_ROW}, '' ORDER BY n_edits, changes) || count(*)) AS digest FROM evaluated GROUP BY fragment_id, role"))
+def candidate_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of every searched read's candidates, and a digest over all of them in order."""
+    return correction.candidate_evidence(_evaluated(spark, d))
 
 
 # evaluation against the genomes that the reads come from

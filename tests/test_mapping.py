@@ -1,5 +1,6 @@
 """Placements, audits, evidence, correction, evaluation and simulation on small inputs."""
 
+import hashlib
 import random
 
 import pytest
@@ -167,6 +168,49 @@ def test_two_and_three_errors_inside_one_k_are_corrected_together(spark):
     assert {x[:2] for x in run(mode="raw_only")[0].values()} == {("unchanged", "raw_only")}
 
 
+def test_unresolved_reads_lose_weak_ends_only_where_enough_is_left(spark):
+    truth = "ACGTTGCAAGGCTTAACCGATACG"
+    spectrum = kmers.count_kmers(kmers.fragments(spark.createDataFrame([(i, 0, "S", truth, None) for i in range(3)], READS)), 7, 0)
+    other = "GATTACAGATTACCAGGTCCAATC"  # no window of it is known
+    reads = spark.createDataFrame([(0, 0, "S", other, "!!" + "I" * 21 + "!"), (1, 0, "S", other, "I" * 24), (2, 0, "S", other, "!" * 20 + "IIII"), (3, 0, "S", truth, "!!" + "I" * 22), (4, 0, "S", "T" + truth[1:], "!" + "I" * 23)], READS)
+    decided = correction.correct(reads, {7: spectrum}, 20, unresolved="trim_low_quality_terminals", minimum_length=10)
+    told = {r.fragment_id: (r.state, r.reason, r.start, r.length) for r in decided.collect()}
+    missed, cut = "terminal_trim_criteria_not_met", "unresolved_low_quality_or_ambiguous_termini"
+    assert told == {0: ("trimmed", cut, 2, 21), 1: ("unchanged", missed, 0, 24), 2: ("unchanged", missed, 0, 24), 3: ("unchanged", "already_trusted", 0, 24), 4: ("corrected", None, 0, 24)}
+    after = {r.fragment_id: (r.seq, r.qual) for r in correction.apply_corrections(reads, decided).collect()}
+    assert after[0] == (other[2:23], "I" * 21) and after[1] == (other, "I" * 24) and after[4] == (truth, "!" + "I" * 23)
+    sums = correction.accounting(reads, decided).collect()
+    assert {(r.state, r.emitted_bases, r.trimmed_bases, r.changed_bases) for r in sums} == {("trimmed", 21, 3, 0), ("unchanged", 48, 0, 0), ("unchanged", 24, 0, 0), ("corrected", 24, 0, 1)}
+
+
+def test_alternatives_are_the_smallest_ids_and_the_digest_covers_all_candidates(spark):
+    truth = "ACGTTGCAAGGCTTAACCGATACG"
+    spectrum = kmers.count_kmers(kmers.fragments(spark.createDataFrame([(i, 0, "S", truth, None) for i in range(3)], READS)), 7, 0)
+    bad, qual = truth[:10] + "T" + truth[11:14] + "R" + truth[15:], "I" * 10 + "!" + "I" * 13
+    reads = spark.createDataFrame([(0, 0, "S", bad, qual), (1, 0, "S", truth, "I" * 24), (2, 0, "S", "", ""), (3, 0, "S", "N", None)], READS)
+    rows = correction.evaluated_candidates(reads, {7: spectrum}, 20)
+    want = {}
+    for a in ("", "A", "C", "G"):
+        for b in ("", "A", "G"):
+            if a or b:
+                text = bad[:10] + (a or bad[10]) + bad[11:14] + (b or bad[14]) + bad[15:]
+                want[hashlib.sha256((correction.CANDIDATE + text).encode()).hexdigest()] = ",".join([f"10:T>{a}"] * bool(a) + [f"14:R>{b}"] * bool(b))
+    mine = [r for r in rows.collect() if r.fragment_id == 0]
+    assert {r.candidate_id: r.changes for r in mine} == want and len(mine) == 11
+    assert {r.changes for r in mine if r.qualified} == {f"10:T>{truth[10]},14:R>{truth[14]}"}
+    best = sorted((r.rank, r.candidate_id) for r in correction.alternatives(rows, 4).collect() if r.fragment_id == 0)
+    assert best == list(enumerate(sorted(want)[:4], 1))
+    told = {r.fragment_id: r for r in correction.candidate_evidence(rows, 8).collect()}
+    assert set(told) == {0, 3}  # a trusted read has no search, an empty one nothing to change
+    line = lambda r: "\t".join(map(str, (r.candidate_id, r.changes, int(r.qualified), r.layers, r.trusted_gain, r.support_gain, r.penalty, r.low)))
+    chain = "".join(hashlib.sha256(line(r).encode()).hexdigest() for r in sorted(mine, key=lambda r: (r.n_edits, r.changes)))
+    assert told[0].digest == hashlib.sha256((correction.CANDIDATES + chain + "11").encode()).hexdigest()
+    assert (told[0].evaluated, told[0].qualified, told[0].exact_substitutions, told[0].ambiguity_resolutions, told[0].mixed, told[0].truncated, told[3].truncated) == (11, 1, 9, 8, 6, True, False)
+    assert correction.candidate_evidence(rows.filter("false")).count() == 0
+    with pytest.raises(ValueError, match="at least 1"):
+        correction.alternatives(rows, 0)
+
+
 def test_trimming_cuts_ends_only(spark):
     reads = spark.createDataFrame([(0, 0, "S", "NACGTACGTA", "I" * 9 + "!"), (1, 0, "S", "ACGNTACGTA", "I" * 10), (2, 0, "S", "NNNN", "IIII")], READS)
     assert {r.fragment_id: (r.start, r.length, r.state) for r in correction.trim_ranges(reads, 20, 5).collect()} == {0: (1, 8, "trimmed"), 1: (0, 10, "internal_ambiguity"), 2: (4, 0, "too_short")}
