@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.durable import cut_lineage
 from helixframe.functions import dna, packed
-from helixframe.operators import graph, kmers
+from helixframe.operators import graph, kmers, limits
 
 
 def transition_ledger(reads: DataFrame, k: int, minimum_quality: int = 20) -> DataFrame:
@@ -244,15 +244,34 @@ def exact_agreement(units_by_k: dict[int, DataFrame]) -> DataFrame:
     return every.groupBy("topology", "seq").agg(F.array_join(F.array_sort(F.collect_set("k")), ",").alias("members"), (F.count_distinct("k") > 1).alias("agreement"))
 
 
+def portfolio_counts(frags: DataFrame, ks: list[int], minimum_quality: int = 20) -> DataFrame:
+    """k, kmer, fragments, occurrences of several k (rising, each at most 31), all from one scan of the fragments."""
+    found = kmers.spectra(frags, limits.multi_k(ks), minimum_quality)
+    spelling = F.coalesce(*[F.when(F.col("k") == k, dna.decode("code", k)) for k in ks])
+    return found.select("k", spelling.alias("kmer"), "fragments", "occurrences")
+
+
 def portfolio(frags: DataFrame, ks: list[int], minimum_support: int = 2, minimum_quality: int = 20) -> dict[int, dict[str, DataFrame]]:
-    """For each k: counts, retained, unitigs, links, ledger and segments."""
+    """For each k (rising, two or more): counts, retained, unitigs, links, ledger and segments.
+
+    The spectra of every k and of its transitions (k + 1) come from one scan and are written once to the checkpoint folder, if all are of 31
+    bases at most; longer ones are counted for each k. What several steps of one k read is cut from its lineage.
+    """
+    limits.multi_k(ks)
     out = {}
+    coded = max(ks) < packed.LONGEST
+    held = cut_lineage(kmers.spectra(frags, [*ks, *(k + 1 for k in ks)], minimum_quality)) if coded else None
     for k in ks:
-        counts = kmers.count_kmers(frags, k, minimum_quality)
+        if coded:
+            of = lambda n: held.filter(F.col("k") == n)
+            counts = of(k).select(dna.decode("code", k).alias("kmer"), F.col("fragments").alias("support"), "code")
+            ledger = of(k + 1).select(dna.decode("code", k + 1).alias("qmer"), "occurrences", "fragments")
+        else:
+            counts = cut_lineage(kmers.count_kmers(frags, k, minimum_quality, with_code=True))
+            ledger = cut_lineage(transition_ledger(frags, k, minimum_quality))
         kept = kmers.retain(counts, minimum_support)
-        units = graph.unitigs(kept, k)
-        ledger = transition_ledger(kmers.reads_of(frags), k, minimum_quality)
-        out[k] = {"counts": counts, "retained": kept, "unitigs": units, "links": graph.links(units, k), "ledger": ledger, "segments": witnessed_segments(units, ledger, k)}
+        units = cut_lineage(graph.unitigs(kept, k))
+        out[k] = {"counts": counts.select("kmer", "support"), "retained": kept.select("kmer", "support"), "unitigs": units, "links": graph.links(units, k), "ledger": ledger, "segments": witnessed_segments(units, ledger, k)}
     return out
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from helixframe.durable import cut_lineage
 from helixframe.functions import dna, packed
+from helixframe.operators import limits
 
 #: Bases of a minimizer that brings handles together, and handles that are contracted at a time.
 MINIMIZER, SLICE = 11, 1 << 20
@@ -212,6 +213,7 @@ def unitigs(counts: DataFrame, k: int, max_rounds: int = 40) -> DataFrame:
     its smallest rotation on either strand. A unitig is one row, so its steps meet in one task, each with its
     last base and support only. No walk holds a k-mer on both strands, as only boundaries turn a walk round.
     """
+    limits.Parameters(k=k)
     ids = _Ids(k)
     step = F.struct("step", ids.last_base("id").alias("base"), "support")
     walked = _ranked_in_parts(_chained(counts, k), k, max_rounds) if ids.coded else ranked(cut_lineage(_chained(counts, k)), max_rounds)

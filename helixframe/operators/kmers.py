@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import dna, packed
+from helixframe.operators import limits
 
 #: Bases that a task turns into windows at once.
 SLICE = 1 << 19
@@ -94,13 +95,26 @@ def _fragment_bases(batch: pa.RecordBatch) -> np.ndarray:
     return np.diff(sums[np.concatenate([[0], np.cumsum(counts)])])
 
 
-def spectrum(frags: DataFrame, k: int, minimum_quality: int = 20) -> DataFrame:
-    """code, occurrences, fragments of the canonical accepted k-mers, k at most 31: all windows and all fragments with one.
-
-    A task takes all windows of some fragments at once, sorts their codes and counts both units; only these partial
-    counts are shuffled. Null reads and sequences have no windows.
-    """
-    if not 1 <= k <= packed.LONGEST:
+def _slice_counts(counts: np.ndarray, codes: np.ndarray, bad: np.ndarray, firsts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Canonical codes of a slice's accepted windows, rising, with windows and fragments of each. `counts`: the reads of each fragment."""
+    sound = np.flatnonzero(packed.clean(bad, k))
+    forward, backward = packed.windows(codes, k) if len(sound) else (np.zeros(0, np.uint64),) * 2
+    canonical = np.minimum(forward[sound], backward[sound])
+    fragment = np.repeat(np.repeat(np.arange(len(counts), dtype=np.int32), counts), np.diff(firsts))[sound]
+    order = np.argsort(canonical, kind="stable")  # fragments stay in order within a code
+    canonical, fragment = canonical[order], fragment[order]
+    new = np.ones(len(order), bool)
+    new[1:] = canonical[1:] != canonical[:-1]
+    pair = new.copy()
+    pair[1:] |= fragment[1:] != fragment[:-1]
+    at = np.flatnonzero(new)
+    held = np.add.reduceat(pair.astype(np.int64), at) if len(at) else at
+    return canonical[at].astype(np.int64), np.diff(np.append(at, len(order))), held
+
+
+def _partial_spectra(frags: DataFrame, ks: list[int], minimum_quality: int) -> DataFrame:
+    """k, code, occurrences, fragments: the counts of every slice on its own, for all k from one reading of its bases."""
+    if not ks or not all(1 <= k <= packed.LONGEST for k in ks):
         raise ValueError("k must be 1 to 31")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,33 +122,35 @@ def spectrum(frags: DataFrame, k: int, minimum_quality: int = 20) -> DataFrame:
             lists = batch.column("reads")
             reads = lists.flatten()
             codes, bad, firsts = packed.reads_of(reads.field("seq"), reads.field("qual"), minimum_quality)
-            sound = np.flatnonzero(packed.clean(bad, k))
-            forward, backward = packed.windows(codes, k) if len(sound) else (np.zeros(0, np.uint64),) * 2
-            canonical = np.minimum(forward[sound], backward[sound])
             counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            fragment = np.repeat(np.repeat(np.arange(len(lists), dtype=np.int32), counts), np.diff(firsts))[sound]
-            order = np.argsort(canonical, kind="stable")  # fragments stay in order within a code
-            canonical, fragment = canonical[order], fragment[order]
-            new = np.ones(len(order), bool)
-            new[1:] = canonical[1:] != canonical[:-1]
-            pair = new.copy()
-            pair[1:] |= fragment[1:] != fragment[:-1]
-            at = np.flatnonzero(new)
-            many = np.diff(np.append(at, len(order)))
-            held = np.add.reduceat(pair.astype(np.int64), at) if len(at) else at
-            yield pa.RecordBatch.from_arrays([pa.array(canonical[at].astype(np.int64)), pa.array(many), pa.array(held)], names=["code", "occurrences", "fragments"])
-
-    found = frags.select("reads").mapInArrow(count, "code long, occurrences long, fragments long")
-    return found.groupBy("code").agg(F.sum("occurrences").alias("occurrences"), F.sum("fragments").alias("fragments"))
+            for k in ks:
+                code, many, held = _slice_counts(counts, codes, bad, firsts, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), k, np.int32)), pa.array(code), pa.array(many), pa.array(held)], names=["k", "code", "occurrences", "fragments"])
+
+    return frags.select("reads").mapInArrow(count, "k int, code long, occurrences long, fragments long")
+
+
+def spectrum(frags: DataFrame, k: int, minimum_quality: int = 20) -> DataFrame:
+    """code, occurrences, fragments of the canonical accepted k-mers, k at most 31: all windows and all fragments with one.
+
+    A task takes all windows of some fragments at once, sorts their codes and counts both units; only these partial
+    counts are shuffled. Null reads and sequences have no windows.
+    """
+    return _partial_spectra(frags, [k], minimum_quality).groupBy("code").agg(F.sum("occurrences").alias("occurrences"), F.sum("fragments").alias("fragments"))
+
+
+def spectra(frags: DataFrame, ks: list[int], minimum_quality: int = 20) -> DataFrame:
+    """k, code, occurrences, fragments of several k, each at most 31: one scan of the fragments and one exchange for all."""
+    return _partial_spectra(frags, sorted(set(ks)), minimum_quality).groupBy("k", "code").agg(F.sum("occurrences").alias("occurrences"), F.sum("fragments").alias("fragments"))
 
 
 def count_kmers(frags: DataFrame, k: int, minimum_quality: int = 20, unit: str = "fragment", with_code: bool = False) -> DataFrame:
     """kmer, support: the number of fragments that hold a canonical k-mer, or (unit 'occurrence') of accepted windows.
 
-    With `with_code` and k up to 31 also `code`, by which graph.unitigs goes on without reading spellings again.
+    With `with_code` and k up to 31 also `code`, by which graph.unitigs goes on without reading spellings again. Parameters
+    outside the limits raise.
     """
-    if unit not in ("fragment", "occurrence"):
-        raise ValueError("unit is 'fragment' or 'occurrence'")
+    limits.Parameters(k=k, minimum_quality=minimum_quality, unit=unit)
     if k <= packed.LONGEST:
         support = "fragments" if unit == "fragment" else "occurrences"
         return spectrum(frags, k, minimum_quality).select(dna.decode("code", k).alias("kmer"), F.col(support).alias("support"), *["code"] * with_code)

@@ -13,7 +13,7 @@ class LimitError(ValueError):
 
 @dataclass(frozen=True)
 class Parameters:
-    """k of 3 to 63, qualities up to 93, a support of at least 1 (2 where retained k-mers must recur), flanks of at least 1."""
+    """k of 3 to 127, qualities up to 93, a support of at least 1 (2 where retained k-mers must recur), flanks of at least 1."""
 
     k: int = 31
     minimum_quality: int = 20
@@ -24,7 +24,7 @@ class Parameters:
 
     def __post_init__(self) -> None:
         rules = [
-            (3 <= self.k <= 63, "k must be 3 to 63"),
+            (3 <= self.k <= 127, "k must be 3 to 127"),
             (0 <= self.minimum_quality <= 93, "a quality must be 0 to 93"),
             (self.minimum_support >= 1, "support must be at least 1"),
             (self.unit in ("fragment", "occurrence"), "unit is 'fragment' or 'occurrence'"),
@@ -37,7 +37,7 @@ class Parameters:
 
 
 def multi_k(ks: list[int]) -> list[int]:
-    """Several k in order: at least two, rising, each of 3 to 63."""
+    """Several k in order: at least two, rising, each of 3 to 127."""
     if len(ks) < 2 or sorted(set(ks)) != list(ks):
         raise ValueError("give two k or more, in rising order")
     return [Parameters(k=k).k for k in ks]

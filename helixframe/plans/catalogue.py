@@ -314,6 +314,16 @@ def library_model(spark: SparkSession, d: str) -> DataFrame:
 # read-witnessed evidence and several k
 
 
+def _both_units(k: int, win: str) -> str:
+    return f"SELECT cast({k} AS int) AS k, kmer, count(DISTINCT fragment_id) AS fragments, count(*) AS occurrences FROM {win} WHERE kmer IS NOT NULL GROUP BY kmer"
+
+
+@registered(sql.query(sql.win(K), sql.win(HIGHER, "win_higher"), select=_both_units(K, "win") + " UNION ALL " + _both_units(HIGHER, "win_higher")))
+def portfolio_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Supports of both k in both units, from one scan."""
+    return evidence.portfolio_counts(adapters.fragments(spark, d), [K, HIGHER], QUALITY)
+
+
 @registered(sql.query(sql.ledger(K), select="SELECT * FROM ledger"))
 def transition_ledger(spark: SparkSession, d: str) -> DataFrame:
     return evidence.transition_ledger(adapters.fragments(spark, d), K, QUALITY)

@@ -141,8 +141,8 @@ def test_tables_of_a_bundle_have_their_columns(spark):
 
 
 def test_limits_raise_and_never_shorten(spark):
-    with pytest.raises(ValueError, match="k must be 3 to 63; a quality"):
-        limits.Parameters(k=64, minimum_quality=94)
+    with pytest.raises(ValueError, match="k must be 3 to 127; a quality"):
+        limits.Parameters(k=128, minimum_quality=94)
     with pytest.raises(ValueError, match="rising"):
         limits.multi_k([31, 21])
     rows = spark.range(5)

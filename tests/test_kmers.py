@@ -3,10 +3,11 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import dna
-from helixframe.operators import kmers
+from helixframe.operators import evidence, graph, kmers
 
 SCHEMA = "fragment_id long, lane int, role string, seq string, qual string"
 
@@ -93,3 +94,37 @@ def test_super_kmers_are_runs_of_one_minimizer(spark):
             runs.append([i, 1, x])
     found = kmers.super_kmers(reads(spark, [seq]), k, m, 16, 0).orderBy("first_window").collect()
     assert [[r.first_window, r.window_count, r.minimizer] for r in found] == runs
+
+
+def test_operators_obey_the_limits(spark):
+    frags = kmers.fragments(reads(spark, ["ACGTACGT"]))
+    for wrong in ({"k": 2}, {"k": 128}, {"k": 5, "minimum_quality": 94}, {"k": 5, "unit": "base"}):
+        with pytest.raises(ValueError):
+            kmers.count_kmers(frags, **wrong)
+    with pytest.raises(ValueError, match="3 to 127"):
+        graph.unitigs(kmers.count_kmers(frags, 5), 128)
+    for ks in ([5], [7, 5], [5, 40]):
+        with pytest.raises(ValueError):
+            evidence.portfolio_counts(frags, ks)
+
+
+def test_a_portfolio_from_one_scan_equals_each_k_alone(spark):
+    rng = random.Random(8)
+    genome = "".join(rng.choice("ACGT") for _ in range(120))
+    seqs = [genome[i : i + 40] for i in range(0, 81, 4)] * 2 + [rc(genome[20:70]), genome[:30] + "N" + genome[31:50], "AC", "", None]
+    frags = kmers.fragments(reads(spark, seqs))
+    rows = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
+    both = evidence.portfolio_counts(frags, [5, 9], 0)
+    for k in (5, 9):
+        one = both.filter(F.col("k") == k)
+        for unit, column in (("fragment", "fragments"), ("occurrence", "occurrences")):
+            assert rows(one, "kmer", column) == rows(kmers.count_kmers(frags, k, 0, unit), "kmer", "support")
+    for ks in ([7, 9], [9, 33]):
+        for k, found in evidence.portfolio(frags, ks, 2, 0).items():
+            units = graph.unitigs(kmers.retain(kmers.count_kmers(frags, k, 0)), k)
+            ledger = evidence.transition_ledger(frags, k, 0)
+            assert rows(found["ledger"], "qmer", "occurrences", "fragments") == rows(ledger, "qmer", "occurrences", "fragments")
+            assert rows(found["unitigs"], "unitig_id", "seq") == rows(units, "unitig_id", "seq") != []
+            assert rows(found["segments"], "unitig_id", "segment_no", "seq") == rows(evidence.witnessed_segments(units, ledger, k), "unitig_id", "segment_no", "seq")
+    none = evidence.portfolio_counts(frags.filter("false"), [5, 9], 0)
+    assert none.columns == ["k", "kmer", "fragments", "occurrences"] and none.count() == 0
