@@ -38,7 +38,7 @@ assert e.queries() and not [q for q in e.queries() if q.startswith('op') or q ==
     subprocess.run([sys.executable, "-c", code], check=True)
 
 
-@pytest.mark.parametrize("name", ["kmer_count_fragment", "window_stats", "node_degree", "unitig_evidence", "pair_links", "multik_conflicts", "multik_unresolved_sides", "spectrum_scores", "chimeric_junctions", "corrected_reads", "correction_accounting", "correction_alternatives", "candidate_evidence"])
+@pytest.mark.parametrize("name", ["kmer_count_fragment", "window_stats", "node_degree", "unitig_evidence", "pair_links", "multik_conflicts", "multik_unresolved_sides", "spectrum_scores", "chimeric_junctions", "corrected_reads", "correction_accounting", "correction_alternatives", "candidate_evidence", "portfolio_counts"])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for f in Path(DATA).glob("*.parquet"):
