@@ -3,10 +3,12 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.functions import dna
+from helixframe.functions import dna, packed
 from helixframe.operators import evidence, graph, kmers
 
 SCHEMA = "fragment_id long, lane int, role string, seq string, qual string"
@@ -128,3 +130,33 @@ def test_a_portfolio_from_one_scan_equals_each_k_alone(spark):
             assert rows(found["segments"], "unitig_id", "segment_no", "seq") == rows(evidence.witnessed_segments(units, ledger, k), "unitig_id", "segment_no", "seq")
     none = evidence.portfolio_counts(frags.filter("false"), [5, 9], 0)
     assert none.columns == ["k", "kmer", "fragments", "occurrences"] and none.count() == 0
+
+
+@pytest.mark.parametrize("k", [3, 11, 21, 31])
+def test_counts_in_buckets_equal_a_plain_count(spark, monkeypatch, k):
+    rng, turn = random.Random(k), str.maketrans("ACGT", "TGCA")
+    genome = "".join(rng.choice("ACGT") for _ in range(120)) + "A" * 60 + "ACAC" * 20
+
+    def cut():
+        at = rng.randrange(len(genome) - 20)
+        return "".join(rng.choice("N" + 60 * c) for c in genome[at : at + rng.randrange(2, 90)])
+
+    reads = [(i, 0, [("R1", cut(), None), ("R2", cut().translate(turn)[::-1], None)][: 1 + i % 2]) for i in range(150)]
+    frags = spark.createDataFrame([*reads, (900, 0, None), (901, 0, [("S", None, None)])], "fragment_id long, lane int, reads array<struct<role:string,seq:string,qual:string>>")
+    many, held = {}, {}
+    for i, _, mates in reads:
+        for w in (s[j : j + k] for _, s, _ in mates for j in range(len(s) - k + 1)):
+            if "N" not in w:
+                c = min(w, w.translate(turn)[::-1])
+                many[c] = many.get(c, 0) + 1
+                held.setdefault(c, set()).add(i)
+    monkeypatch.setattr(kmers, "COUNTED", 40)  # so that buckets are counted in parts
+    found = kmers.spectra(frags.repartition(3), [k, k - 1], 0).filter(F.col("k") == k).select(dna.decode("code", k), "occurrences", "fragments").collect()
+    assert sorted(map(tuple, found)) == sorted((c, n, len(held[c])) for c, n in many.items())
+
+
+def test_runs_of_windows_are_fewer_than_windows():
+    seq = "".join(random.Random(1).choice("ACGT") for _ in range(5000))
+    given = packed.reads_of(pa.array([seq]), pa.nulls(1, pa.string()), 0)
+    runs, _ = kmers._runs(np.array([1]), *given, 21)
+    assert runs["windows"].sum() == 4980 and len(runs) < 1250
