@@ -173,3 +173,17 @@ def test_nodes_from_codes_equal_those_of_handles(spark, k):
     coded = graph.nodes_of(counts.withColumn("code", dna.encode("kmer")), k)
     plain = graph.nodes(graph.handles(counts, k))
     assert "node" in coded.columns and sorted(map(tuple, coded.select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+
+
+@pytest.mark.parametrize("size", [4, 1 << 20])
+def test_pieces_hold_every_handle_once_and_are_chains(spark, monkeypatch, size):
+    rng, k = random.Random(size), 13
+    text = "".join(rng.choice("ACGT") for _ in range(1500))
+    found = sorted({canon(text[i : i + k]) for i in range(len(text) - k + 1)})
+    monkeypatch.setattr(graph, "SLICE", size)
+    counts = spark.createDataFrame([(w, i + 1) for i, w in enumerate(found)], "kmer string, support long").repartition(3)
+    pieces = graph._linked_pieces(counts, k)
+    rows = graph._handles_of(pieces, k).select(dna.decode("id", k), "support", dna.decode("ptr", k)).collect()
+    assert sorted((s, n) for s, n, _ in rows) == sorted((s, i + 1) for i, w in enumerate(found) for s in {w, rc(w)})
+    assert all(p == s or p[1:] == s[:-1] for s, _, p in rows)
+    assert pieces.count() < len(found)  # far fewer rows than the handles
