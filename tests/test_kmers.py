@@ -160,3 +160,18 @@ def test_runs_of_windows_are_fewer_than_windows():
     given = packed.reads_of(pa.array([seq]), pa.nulls(1, pa.string()), 0)
     runs, _ = kmers._runs(np.array([1]), *given, 21)
     assert runs["windows"].sum() == 4980 and len(runs) < 1250
+
+
+@pytest.mark.parametrize("k", [4, 5])
+def test_contexts_as_bits_equal_contexts_as_rows(spark, k):
+    rng = random.Random(k)
+    text = "".join(rng.choice("ACGT") for _ in range(260)) + "ACGTACGT" + "AATTAATT"
+    canon = lambda n: sorted({min(w, rc(w)) for i in range(len(text) - n + 1) for w in [text[i : i + n]] if rng.random() < 0.6})
+    lower, higher = (spark.createDataFrame([(w, 2) for w in canon(n)], "kmer string, support long") for n in (k, k + 4))
+    rows = evidence.multik_contexts(lower, higher, k, k + 4).distinct().collect()
+    bases = defaultdict(set)
+    for r in rows:
+        bases[r.lower_kmer, r.side].add(r.base)
+    assert sorted(map(tuple, evidence.multik_conflicts(lower, higher, k, k + 4).collect())) == sorted(tuple(r) for r in rows if len(bases[r.lower_kmer, r.side]) > 1)
+    sides = {(r.kmer, s) for r in lower.collect() for s in (["fixed_point"] if r.kmer == rc(r.kmer) else ["left", "right"])}
+    assert sorted(map(tuple, evidence.multik_unresolved(lower, higher, k, k + 4).collect())) == sorted(sides - set(bases))
