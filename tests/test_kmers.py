@@ -1,5 +1,6 @@
 """Windows, counts and digests against golden values and a plain recount."""
 
+import hashlib
 import random
 from collections import Counter, defaultdict
 
@@ -175,3 +176,46 @@ def test_contexts_as_bits_equal_contexts_as_rows(spark, k):
     assert sorted(map(tuple, evidence.multik_conflicts(lower, higher, k, k + 4).collect())) == sorted(tuple(r) for r in rows if len(bases[r.lower_kmer, r.side]) > 1)
     sides = {(r.kmer, s) for r in lower.collect() for s in (["fixed_point"] if r.kmer == rc(r.kmer) else ["left", "right"])}
     assert sorted(map(tuple, evidence.multik_unresolved(lower, higher, k, k + 4).collect())) == sorted(sides - set(bases))
+
+
+def test_runs_are_shipped_in_few_bytes_and_come_back_whole():
+    draw = np.random.default_rng(4)
+    for k in (3, 21, 31):
+        runs = np.zeros(200, kmers._RUN)
+        runs["windows"] = draw.integers(1, kmers.RUN + 1, 200)
+        runs["first"] = draw.integers(0, 4**k, 200, dtype=np.uint64)
+        runs["rest"] = draw.integers(0, 1 << 32, 200, dtype=np.uint32)
+        runs["fragment"], bucket = np.arange(200) // 3, np.arange(200) // 50
+        heads, data, size = kmers._packed_runs(runs, bucket, k)
+        back = kmers._unpacked_runs(heads, data, k)
+        assert (size == -(-(k + runs["windows"].astype(int) - 1) // 4)).all() and len(data) == size.sum() and (back["first"] == runs["first"]).all()
+        assert (kmers.run_codes(back, k)[0] == kmers.run_codes(runs, k)[0]).all()
+        assert (np.diff(back["fragment"].astype(int)) == ((np.diff(runs["fragment"].astype(int)) != 0) | (np.diff(bucket) != 0))).all()
+
+
+def test_digests_of_both_states_come_from_one_counting(spark):
+    counts = spark.createDataFrame([("ACG", 1), ("CCA", 2), ("AAA", 5)], "kmer string, support long")
+    both = kmers.transform_summary(counts)
+    assert both.collect() == [*kmers.state_digest(counts, "observed").collect(), *kmers.state_digest(counts.filter("support >= 2"), "retained").collect()]
+    sums = [0] * 4
+    for r in counts.collect():
+        h = hashlib.sha256(f"{r.kmer}\t{r.support}".encode()).hexdigest()
+        sums = [x + int(h[15 * i : 15 * i + 15], 16) for i, x in enumerate(sums)]
+    assert both.first().digest == hashlib.sha256(":".join(map(str, [3, *sums])).encode()).hexdigest()
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    assert [(r.keys, r.mass) for r in kmers.transform_summary(counts.filter("false")).collect()] == [(0, 0), (0, 0)]
+
+
+def test_minimizers_and_transitions_go_by_codes(spark):
+    draw = random.Random(8)
+    texts = sorted({"".join(draw.choices("ACGT", k=21)) for _ in range(30)} | {"A" * 21, "ACACACACACACACACACACA"})
+    counts = spark.createDataFrame([(t, 2) for t in texts], "kmer string, support long")
+    back = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    want = {t: min((min(t[i : i + 11], back(t[i : i + 11])), i) for i in range(11)) for t in texts}
+    rows = kmers.minimizers(counts, 21, 11, 64)
+    assert {r.kmer: (r.minimizer, r.minimizer_pos) for r in rows.collect()} == want
+    assert "key#" in rows._jdf.queryExecution().optimizedPlan().toString()  # no spelling goes to Python
+    reads = spark.createDataFrame([(0, 0, "S", "ACGTNACGTTG", "IIIIIIIIII!"), (1, 0, "S", "AC", None), (2, 0, "S", "TTTTT", None)], SCHEMA)
+    found = evidence.qmer_windows(reads, 3, 20)
+    assert sorted(map(tuple, found.collect())) == [(0, "S", 0, "ACGT", "+"), (0, "S", 5, "ACGT", "+"), (0, "S", 6, "AACG", "-"), (2, "S", 0, "AAAA", "-"), (2, "S", 1, "AAAA", "-")]
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
