@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.operators import correction, evaluation, evidence, graph, kmers, mapping, simulation
+from helixframe.plans import adapters
 
 UNITS = "unitig_id string, seq string, topology string"
 READS = "fragment_id long, lane int, role string, seq string, qual string"
@@ -86,6 +87,42 @@ def test_sides_that_no_higher_window_covers_are_counted(spark):
     assert got == want and {s for _, s in got} == {"left", "right", "fixed_point"}
 
 
+@pytest.mark.parametrize(("k", "high"), [(4, 4), (4, 7), (21, 31), (31, 41), (33, 41)])
+def test_bare_sides_go_by_codes_from_fragments_or_reads(spark, k, high):
+    rng = random.Random(k + high)
+    genome = "".join(rng.choice("ACGT") for _ in range(150)) + "T" * 45 + "A" * 45 + "ACGT" * 12
+    rows = []
+    for i in range(80):
+        at, n = rng.randrange(250), rng.choice([0, k - 1, k, k + 1, high - 1, high, 90])
+        s = "".join(rng.choice("NXn") if rng.random() < 0.01 else c.lower() if i % 9 == 0 else c for c in genome[at : at + n])
+        rows.append((i // 2, 0, f"R{i % 2 + 1}", s, None if i % 7 == 0 else "".join("!" if rng.random() < 0.01 else "I" for _ in s)))
+    rows.append((99, 0, "R1", None, None))
+    want = {}
+    for _, _, _, s, q in rows:
+        sound = "".join(c if c in "ACGT" and x != "!" else "." for c, x in zip((s or "").upper(), q or "I" * len(s or ""), strict=True))
+        for stretch in sound.split("."):
+            for at in range(len(stretch) - k + 1):
+                w = stretch[at : at + k]
+                least, room = min(w, rc(w)), len(stretch) >= high
+                for side, covered in (("left", room and at > 0), ("right", room and at + k < len(stretch))):
+                    told = "fixed_point" if w == rc(w) else side if w == least else {"left": "right", "right": "left"}[side]
+                    if not covered:
+                        want[least, told] = want.get((least, told), 0) + 1
+    reads = spark.createDataFrame(rows, READS)
+    for given in (reads, kmers.fragments(reads), kmers.fragments(reads.repartition(3, "fragment_id"))):
+        found = evidence.unresolved_sides(given, k, high, 20)
+        assert [tuple(r) for r in found.collect() if r.lower_window_occurrences != want.get((r.lower_kmer, r.side))] == [] and found.count() == len(want) > 0
+        assert k > 31 or "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()  # no row for each stretch, window or side
+    assert evidence.unresolved_sides(reads.filter("fragment_id = 99"), k, high, 20).collect() == []
+
+
+def test_genomes_of_all_customers_go_neither_through_the_driver_nor_an_exchange(spark):
+    for made in (adapters.fragments, adapters.reads):
+        plan = made(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
+        assert "md5" in plan and "md5" not in plan.split("REPARTITION_BY_COL")[-1]  # keys are dealt out, genomes made behind
+
+
 def test_pair_states_follow_their_order_and_links_are_canonical(spark):
     units = spark.createDataFrame([("a", "A" * 10, "linear"), ("b", "C" * 10, "linear")], UNITS)
     audits = [(1, "single_placement_group", "single_placement_group"), (2, "single_placement_group", "single_placement_group"), (3, "unmapped", "ineligible_ambiguity_or_quality"), (4, "multiple_placement_groups", "unmapped"), (5, "single_placement_group", "single_placement_group")]
