@@ -187,3 +187,21 @@ def test_pieces_hold_every_handle_once_and_are_chains(spark, monkeypatch, size):
     assert sorted((s, n) for s, n, _ in rows) == sorted((s, i + 1) for i, w in enumerate(found) for s in {w, rc(w)})
     assert all(p == s or p[1:] == s[:-1] for s, _, p in rows)
     assert pieces.count() < len(found)  # far fewer rows than the handles
+
+
+@pytest.mark.parametrize("k", [31, 32, 33, 41])
+def test_walks_and_rings_of_long_keys_equal_a_plain_walk(spark, monkeypatch, k):
+    """Linear walks, forks, palindromes and a ring, in slices that cut them."""
+    monkeypatch.setattr(graph, "SLICE", 64)
+    rng = random.Random(k)
+    text = lambda n: "".join(rng.choices("ACGT", k=n))
+    ring, shared, half = text(70), text(50), text(k)
+    linear = [text(40) + shared + text(40), text(40) + shared + text(40), half + rc(half)]
+    counts = {canon(s[i : i + k]): rng.randint(2, 9) for s in [ring + ring[: k - 1], *linear] for i in range(len(s) - k + 1)}
+    _, _, found = run(spark, counts, k)
+    assert set(found) == plain(counts, k) and "closed_graph_walk" in {t for _, t in found}
+    for (seq, _), row in found.items():
+        supports = sorted(counts[canon(seq[i : i + k])] for i in range(len(seq) - k + 1))
+        assert (row.edge_steps, row.minimum_support, row.lower_median_support, row.maximum_support) == (len(supports), supports[0], supports[(len(supports) - 1) // 2], supports[-1])
+    held = keys(spark, counts)
+    assert graph._linked_pieces(held, k).count() < 2 * held.count()  # so fewer rows are ranked than there are handles
