@@ -311,3 +311,20 @@ def test_simulated_reads_replay_from_their_origins(spark):
     sequence = truths.filter("molecule = 0").first().seq
     longest = max((r.seq for r in graph.unitigs(held, 21).collect()), key=len)
     assert longest in sequence or longest in rc(sequence)
+
+
+def test_coded_decisions_equal_those_of_texts_and_move_no_spelling(spark, monkeypatch):
+    from helixframe.functions import packed
+
+    rng, k = random.Random(5), 7
+    genome = "".join(rng.choices("ACGT", k=400))
+    frags = spark.createDataFrame([(i, 0, [("R1", genome[s : s + 40], None)]) for i, s in enumerate(rng.choices(range(360), k=60))], "fragment_id long, lane int, reads array<struct<role:string,seq:string,qual:string>>")
+    kept = kmers.retain(kmers.count_kmers(frags, k, 0, with_code=True)).localCheckpoint()
+    units = graph.unitigs(kept, k).localCheckpoint()
+    links, ledger = graph.links(units, k).localCheckpoint(), evidence.transition_ledger(frags, k, 0, with_code=True).localCheckpoint()
+    coded = evidence.transition_decisions(ledger, units, links, kept, k)
+    assert "hashpartitioning(qmer" not in coded._jdf.queryExecution().executedPlan().toString()
+    found = sorted(map(tuple, coded.collect()))
+    monkeypatch.setattr(packed, "LONGEST", k)
+    assert found == sorted(map(tuple, evidence.transition_decisions(ledger, units, links, kept, k).collect()))
+    assert {r[-1] for r in found} >= {"admitted", "excluded_endpoint", "excluded_no_witness"}
