@@ -205,3 +205,23 @@ def test_minimizers_and_transitions_go_by_codes(spark):
     found = evidence.qmer_windows(reads, 3, 20)
     assert sorted(map(tuple, found.collect())) == [(0, "S", 0, "ACGT", "+"), (0, "S", 5, "ACGT", "+"), (0, "S", 6, "AACG", "-"), (2, "S", 0, "AAAA", "-"), (2, "S", 1, "AAAA", "-")]
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("k", [4, 9])
+def test_higher_keys_meet_lower_ones_in_buckets(spark, monkeypatch, k):
+    """Contents and sums against a plain count, with repeats inside a higher k-mer, in small parts; no row for each window is shuffled."""
+    monkeypatch.setattr(kmers, "COUNTED", 50)
+    rng, higher_k = random.Random(k), k + 6
+    turned = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    canon = lambda s: min(s, turned(s))
+    text = "".join(rng.choices("ACGT", k=300)) + "A" * 20 + "AC" * 12 + "ACGT" * 6
+    high = {canon(text[i : i + higher_k]): rng.randint(2, 9) for i in range(len(text) - higher_k + 1)}
+    low = {w: rng.randint(2, 9) for w in sorted({canon(text[i : i + k]) for i in range(len(text) - k + 1)}) if rng.random() < 0.8}
+    lower, higher = (spark.createDataFrame(sorted(x.items()), "kmer string, support long").repartition(3) for x in (low, high))
+    inside = [(h, i, canon(h[i : i + k]), "+" if h[i : i + k] == canon(h[i : i + k]) else "-", canon(h[i : i + k]) in low) for h in high for i in range(7)]
+    assert sorted(map(tuple, evidence.multik_contains(lower, higher, k, higher_k).collect())) == sorted(inside)
+    held = {(h, x) for h, _, x, _, there in inside if there}
+    sums = sorted((x, low[x], sum(y == x for _, y in held), sum(high[h] for h, y in held if y == x)) for x in {x for _, x in held})
+    found = evidence.multik_supports(lower, higher, k, higher_k)
+    assert sorted(map(tuple, found.collect())) == sums
+    assert "lower_kmer" not in "".join(x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x)
