@@ -3,7 +3,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from helixframe import durable
-from helixframe.operators import graph
+from helixframe.operators import evaluation, exact, graph
 
 
 def shuffle_files(spark) -> int:
@@ -30,3 +30,16 @@ def test_only_the_result_of_a_block_is_left(spark):
     units = durable.settled(spark, lambda: graph.unitigs(counts, 3))
     assert len(folders(spark) - before) == 1
     assert sorted(units.collect()) == sorted(graph.unitigs(counts, 3).collect())
+
+
+def test_shuffles_of_earlier_steps_are_gone_before_later_ones(spark):
+    """Seeds are chosen by counts of postings, and boundaries by windows of truths, before anything else is shuffled."""
+    text = "ACGGTCATTGCAGGATCCATTTGACCAGTAACCGTTAGG"
+    queries = spark.createDataFrame([("q", "+", text[5:25])], "query string, strand string, s string")
+    found = exact.occurrences(queries, spark.createDataFrame([("t", text)], "target string, seq string"), 8, one_piece=True)
+    assert [(r.target, r.start) for r in found.collect()] == [("t", 5)]
+    assert "partial_count" not in found._jdf.queryExecution().executedPlan().toString()
+    truths = spark.createDataFrame([(1, "primary", text)], "molecule long, truth_class string, seq string")
+    rows = evaluation.junctions(spark.createDataFrame([("c", text[:20] + "T" + text[22:])], "contig_id string, seq string"), truths, 6, correct=False)
+    assert "LeftAnti" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {r.classification for r in rows.collect()} <= {"false_junction", "indeterminate_unmapped_flank", "indeterminate_ambiguous_flank"} and rows.count() > 0
